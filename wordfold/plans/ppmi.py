@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordfold.operators import assoc, corpus
+from wordfold.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -23,13 +24,22 @@ class CorpusParams:
     chunk_tokens: int = corpus.DEFAULT_CHUNK
 
 
-def counts_from_lines(lines: DataFrame, p: CorpusParams) -> DataFrame:
-    """(word, context, n). The vocabulary is persisted: it is counted for the
-    broadcast check, summed for the subsampling threshold and joined."""
+def counts_from_lines(lines: DataFrame, p: CorpusParams, materialize: bool = True) -> DataFrame:
+    """(word, context, n).
+
+    The vocabulary is persisted while the counts are built (it is counted for
+    the broadcast check, summed for the subsampling threshold and joined). The
+    counts are checkpointed into the shared checkpoint folder: every later
+    step reads them at least three times (two marginals and the cell join)."""
     voc = corpus.subsample_prob(corpus.vocab(lines, p.thr), p.sub).persist()
     kept = corpus.mask_tokens(lines, voc, p.seed, p.chunk_tokens)
     pairs = corpus.window_pairs(kept, p.win, p.dyn, p.positional, p.delete, p.seed, p.chunk_tokens)
-    return corpus.pair_counts(pairs)
+    counts = corpus.pair_counts(pairs)
+    if not materialize:
+        return counts
+    counts = cut_lineage(counts)
+    voc.unpersist()
+    return counts
 
 
 def ppmi_from_counts(counts: DataFrame, cds: float) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wordfold.plans import catalog_corpus
+from wordfold.plans import catalog_corpus, catalog_vectors
 
-_CATALOGS = [catalog_corpus]
+_CATALOGS = [catalog_corpus, catalog_vectors]
 
 
 def queries() -> dict:
