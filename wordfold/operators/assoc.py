@@ -35,12 +35,16 @@ def smooth_contexts(sums: DataFrame, cds: float = 1.0, val: str = "col_sum", out
 
 
 def exp_pmi(
-    counts: DataFrame, cds: float = 1.0, row: str = "word", col: str = "context", val: str = "n"
+    counts: DataFrame, cds: float = 1.0, row: str = "word", col: str = "context", val: str = "n",
+    max_rows: int | None = None, max_cols: int | None = None,
 ) -> DataFrame:
-    """C3. Adds ``epmi`` = n * S / (row_sum * col_sum**cds) for every stored cell."""
-    rs = size_bounded_broadcast(row_sums(counts, row, val))
+    """C3. Adds ``epmi`` = n * S / (row_sum * col_sum**cds) for every stored cell.
+
+    ``max_rows`` / ``max_cols`` are known upper bounds of the marginal sizes
+    (e.g. the vocabulary size); without them the marginals are counted."""
+    rs = size_bounded_broadcast(row_sums(counts, row, val), known_rows=max_rows)
     cs = smooth_contexts(col_sums(counts, col, val), cds)
-    cs = size_bounded_broadcast(cs.select(col, "col_smooth", "smooth_total"))
+    cs = size_bounded_broadcast(cs.select(col, "col_smooth", "smooth_total"), known_rows=max_cols)
     return counts.join(rs, row).join(cs, col).select(
         row,
         col,
@@ -85,7 +89,8 @@ def l2_normalize_rows(coo: DataFrame, row: str = "i", val: str = "v") -> DataFra
     """C9. Divide every row by its L2 norm; empty rows stay empty."""
     norms = coo.groupBy(row).agg(F.sqrt(F.sum(F.col(val) * F.col(val))).alias("_norm"))
     norms = size_bounded_broadcast(norms)
-    return coo.join(norms, row).withColumn(val, F.col(val) / F.col("_norm")).drop("_norm")
+    return coo.join(norms, row).withColumn(
+        val, F.when(F.col("_norm") > 0, F.col(val) / F.col("_norm")).otherwise(F.lit(0.0))).drop("_norm")
 
 
 def matrix_meta(coo: DataFrame, rows: DataFrame | None = None, cols: DataFrame | None = None,

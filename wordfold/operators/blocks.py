@@ -51,6 +51,9 @@ def cogroup_blocks(
     ``right_extra`` rows (e.g. excluded cells) are routed to exactly one block
     pair: query block from ``right_extra_keys[0]``, candidate block from
     ``right_extra_keys[1]``; they must share the right side's schema."""
+    # fresh attribute ids: both sides may project the same source table
+    left = left.select([F.col(c).alias(c) for c in left.columns])
+    right = right.select([F.col(c).alias(c) for c in right.columns])
     bq = n_blocks(left, block_rows)
     bc = n_blocks(right, block_rows)
     lb = replicate(assign_block(left, left_keys, bq, "_qb"), bc, "_cb")

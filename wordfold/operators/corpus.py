@@ -54,7 +54,8 @@ def subsample_prob(voc: DataFrame, t: float) -> DataFrame:
 
 
 # ---------------------------------------------------------------- B4 - B5
-def mask_tokens(lines: DataFrame, voc_p: DataFrame, seed: int = 17, chunk_tokens: int = DEFAULT_CHUNK) -> DataFrame:
+def mask_tokens(lines: DataFrame, voc_p: DataFrame, seed: int = 17, chunk_tokens: int = DEFAULT_CHUNK,
+                vocab_rows: int | None = None) -> DataFrame:
     """B4. Kept tokens (doc_id, line_no, pos, word, n_chunks).
 
     A token is kept when it is in the vocabulary and its keyed uniform draw
@@ -67,7 +68,7 @@ def mask_tokens(lines: DataFrame, voc_p: DataFrame, seed: int = 17, chunk_tokens
         F.ceil(F.size("toks") / F.lit(chunk_tokens)).cast("int").alias("n_chunks"),
         F.posexplode("toks").alias("pos", "word"),
     )
-    lookup = size_bounded_broadcast(voc_p.select("word", "p_drop"))
+    lookup = size_bounded_broadcast(voc_p.select("word", "p_drop"), known_rows=vocab_rows)
     joined = toks.join(lookup, "word", "inner")
     u = keyed_uniform(lit_key("sub"), lit_key(seed), "doc_id", "line_no", "pos")
     keep = (F.col("p_drop") <= 0) | (u > F.col("p_drop"))

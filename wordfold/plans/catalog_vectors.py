@@ -157,7 +157,9 @@ NEG = 5.0
 
 
 def _epmi(s, sf):
-    return assoc.exp_pmi(_counts(s, sf), P.cds)
+    from wordfold.plans.catalog_corpus import _epmi as corpus_epmi
+
+    return corpus_epmi(s, sf)
 
 
 CORPUS_ASSOC = [C_CORPUS, c_pairs(P), assoc_ctes(P.cds)]

@@ -24,31 +24,39 @@ class CorpusParams:
     chunk_tokens: int = corpus.DEFAULT_CHUNK
 
 
-def counts_from_lines(lines: DataFrame, p: CorpusParams, materialize: bool = True) -> DataFrame:
-    """(word, context, n).
+def build_counts(lines: DataFrame, p: CorpusParams, materialize: bool = True) -> tuple[DataFrame, tuple[int, int]]:
+    """(word, context, n) plus upper bounds on (#words, #contexts).
 
     The vocabulary is persisted while the counts are built (it is counted for
     the broadcast check, summed for the subsampling threshold and joined). The
-    counts are checkpointed into the shared checkpoint folder: every later
-    step reads them at least three times (two marginals and the cell join)."""
+    counts are written to the shared checkpoint folder: every later step reads
+    them at least three times (two marginals and the cell join). Words are
+    vocabulary words and positional contexts carry one of 2*win offsets, so
+    the vocabulary size bounds both marginals without another count."""
     voc = corpus.subsample_prob(corpus.vocab(lines, p.thr), p.sub).persist()
-    kept = corpus.mask_tokens(lines, voc, p.seed, p.chunk_tokens)
+    n_vocab = voc.count()
+    kept = corpus.mask_tokens(lines, voc, p.seed, p.chunk_tokens, vocab_rows=n_vocab)
     pairs = corpus.window_pairs(kept, p.win, p.dyn, p.positional, p.delete, p.seed, p.chunk_tokens)
     counts = corpus.pair_counts(pairs)
-    if not materialize:
-        return counts
-    counts = cut_lineage(counts)
-    voc.unpersist()
-    return counts
+    bounds = (n_vocab, n_vocab * 2 * p.win if p.positional else n_vocab)
+    if materialize:
+        counts = cut_lineage(counts, "counts")
+        voc.unpersist()
+    return counts, bounds
+
+
+def counts_from_lines(lines: DataFrame, p: CorpusParams, materialize: bool = True) -> DataFrame:
+    return build_counts(lines, p, materialize)[0]
 
 
-def ppmi_from_counts(counts: DataFrame, cds: float) -> DataFrame:
+def ppmi_from_counts(counts: DataFrame, cds: float, bounds: tuple = (None, None)) -> DataFrame:
     """(word, context, n, epmi, pmi) for cells with pmi > 0."""
-    return assoc.ppmi(assoc.exp_pmi(counts, cds))
+    return assoc.ppmi(assoc.exp_pmi(counts, cds, max_rows=bounds[0], max_cols=bounds[1]))
 
 
 def ppmi_table(lines: DataFrame, p: CorpusParams) -> DataFrame:
-    return ppmi_from_counts(counts_from_lines(lines, p), p.cds)
+    counts, bounds = build_counts(lines, p)
+    return ppmi_from_counts(counts, p.cds, bounds)
 
 
 def top_pairs(ppmi: DataFrame, k: int = 100) -> DataFrame:

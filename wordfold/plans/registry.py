@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wordfold.plans import catalog_corpus, catalog_vectors
+from wordfold.plans import catalog_corpus, catalog_matrix, catalog_vectors
 
-_CATALOGS = [catalog_corpus, catalog_vectors]
+_CATALOGS = [catalog_corpus, catalog_vectors, catalog_matrix]
 
 
 def queries() -> dict:

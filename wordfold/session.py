@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,21 +50,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
+    The written table survives executor loss (no recomputation from lineage),
+    is columnar and compressed, and later scans get pruning and statistics."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
-def size_bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+
+def size_bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
     """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows.
 
-    The count is an actual measurement (one small job); callers pass
-    vocabulary- or marginal-sized frames, which they usually reuse anyway.
-    Above the bound the frame is returned as is and Spark plans a shuffle join
-    (AQE may still convert it at runtime using real statistics).
-    """
-    n = df.count()
+    The bound is either ``known_rows`` (an upper bound the caller measured
+    earlier, e.g. the vocabulary size for a per-word marginal) or an actual
+    count (one small job). Above the bound the frame is returned as is and
+    Spark plans a shuffle join (AQE may still convert it at runtime)."""
+    n = known_rows if known_rows is not None else df.count()
     return F.broadcast(df) if n <= max_rows else df
 
 

@@ -37,8 +37,10 @@ def parse_counts(lines: DataFrame, col: str = "value") -> DataFrame:
     """A2. 'count word context' with leading blanks -> (word, context, n)."""
     parts = F.split(F.trim(F.col(col)), " +")
     return lines.select(
-        parts.getItem(1).alias("word"), parts.getItem(2).alias("context"), parts.getItem(0).cast("long").alias("n")
-    ).where(F.col("context").isNotNull())
+        F.try_element_at(parts, F.lit(2)).alias("word"),
+        F.try_element_at(parts, F.lit(3)).alias("context"),
+        F.try_element_at(parts, F.lit(1)).try_cast("long").alias("n"),
+    ).where(F.col("context").isNotNull() & F.col("n").isNotNull())
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -55,10 +57,10 @@ def format_counts(counts: DataFrame, width: int = 7) -> DataFrame:
 def parse_vectors(lines: DataFrame, col: str = "value") -> DataFrame:
     """A8. 'word v1 ... vk' -> (word, vec array<double>)."""
     parts = F.filter(F.split(F.trim(F.col(col)), r"[ \t]+"), lambda t: t != F.lit(""))
-    return lines.select(
-        parts.getItem(0).alias("word"),
-        F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: x.cast("double")).alias("vec"),
-    ).where(F.col("word").isNotNull())
+    return lines.where(F.size(parts) > 0).select(
+        F.try_element_at(parts, F.lit(1)).alias("word"),
+        F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: x.try_cast("double")).alias("vec"),
+    )
 
 
 def read_vectors_text(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +73,7 @@ def parse_wordsim(lines: DataFrame, col: str = "value") -> DataFrame:
     The gold score is cast to double (numeric ranking, not text ranking)."""
     parts = F.filter(F.split(F.lower(F.trim(F.col(col))), r"[ \t\n\r\f\x0B]+"), lambda t: t != F.lit(""))
     return lines.where(F.size(parts) == 3).select(
-        parts.getItem(0).alias("w1"), parts.getItem(1).alias("w2"), parts.getItem(2).cast("double").alias("gold")
+        parts.getItem(0).alias("w1"), parts.getItem(1).alias("w2"), parts.getItem(2).try_cast("double").alias("gold")
     )
 
 
