@@ -129,7 +129,27 @@ def analogy_accuracy(test: DataFrame, vecs: DataFrame, dense: bool = True) -> Da
     """H7. (method, accuracy): share of questions answered with b_; the
     denominator is every question."""
     g = analogy_guesses(test, vecs, dense)
-    methods = test.sparkSession.createDataFrame([("add",), ("mul",)], "method string")
-    allq = test.select("qid", "b_").crossJoin(F.broadcast(methods))
+    allq = test.select("qid", "b_", F.explode(F.array(F.lit("add"), F.lit("mul"))).alias("method"))
     return allq.join(g, ["qid", "method"], "left").groupBy("method").agg(
         F.avg(F.when(F.col("guess") == F.col("b_"), 1.0).otherwise(0.0)).alias("accuracy"))
+
+
+def evaluation_catalog(models: DataFrame, tasks: DataFrame) -> DataFrame:
+    """A16. (model, task, spearman) for every saved model against every task
+    in one grouped job. ``models``: (model, word, vec) normalized vectors;
+    ``tasks``: (task, w1, w2, gold). Unknown words score 0."""
+    names = [r["model"] for r in models.select("model").distinct().collect()]  # a handful of model names
+    pairs = tasks.withColumn("model", F.explode(F.array(*[F.lit(n) for n in names])))
+    va = models.select("model", F.col("word").alias("w1"), F.col("vec").alias("_a"))
+    vb = models.select("model", F.col("word").alias("w2"), F.col("vec").alias("_b"))
+    from wordfold.functions.vec import dot
+
+    sims = pairs.join(va, ["model", "w1"], "left").join(vb, ["model", "w2"], "left").withColumn(
+        "sim", F.coalesce(dot("_a", "_b"), F.lit(0.0)))
+    return spearman(sims, "sim", "gold", ["model", "task"])
+
+
+def read_snapshots(spark, path: str, side: str = "W") -> DataFrame:
+    """A16 source: factor snapshots written as side=S/iter=N -> (model, id, vec)."""
+    df = spark.read.parquet(path).where(F.col("side") == side)
+    return df.select(F.concat(F.lit("iter"), F.col("iter").cast("string")).alias("model"), "id", "vec")

@@ -210,12 +210,12 @@ def objective(coo: DataFrame, w: DataFrame, h: DataFrame, rho: float, lam: float
 
 
 # ---------------------------------------------------------------- E12 - E16 sampling
-def _draw_cells(spark, n_draws: DataFrame, rows: DataFrame, seed: int, tag: str) -> DataFrame:
-    """Uniform cells (i, j) from ``n_draws`` rows keyed by draw id; dims from
-    the one-row ``rows`` frame (m, n)."""
-    return n_draws.crossJoin(F.broadcast(rows)).select(
-        F.floor(keyed_uniform(lit_key(tag + "i"), lit_key(seed), "draw") * F.col("m")).cast("long").alias("i"),
-        F.floor(keyed_uniform(lit_key(tag + "j"), lit_key(seed), "draw") * F.col("n")).cast("long").alias("j"),
+def _draw_cells(n_draws: DataFrame, m: int, n: int, seed: int, tag: str) -> DataFrame:
+    """Uniform cells (i, j) in [0, m) x [0, n), one per row of ``n_draws``
+    (column ``draw``), keyed by the draw id."""
+    return n_draws.select(
+        F.floor(keyed_uniform(lit_key(tag + "i"), lit_key(seed), "draw") * F.lit(float(m))).cast("long").alias("i"),
+        F.floor(keyed_uniform(lit_key(tag + "j"), lit_key(seed), "draw") * F.lit(float(n))).cast("long").alias("j"),
     )
 
 
@@ -249,8 +249,7 @@ def sample_negatives(coo: DataFrame, m: int, n: int, strategy: str = "pu1", rati
         raise ValueError(strategy)
     stored = coo.where(keyed_uniform(lit_key("keep"), lit_key(seed), "i", "j") < keep_p) if keep_p < 1 else coo
     stored = stored.select("i", "j", "v", F.lit(True).alias("stored"))
-    dims = spark.createDataFrame([(m, n)], "m long, n long")
-    drawn = _draw_cells(spark, spark.range(n_draw).withColumnRenamed("id", "draw"), dims, seed, "neg").select(
+    drawn = _draw_cells(spark.range(n_draw).withColumnRenamed("id", "draw"), m, n, seed, "neg").select(
         "i", "j", F.lit(0.0).alias("v"), F.lit(False).alias("stored"))
     return stored.unionByName(drawn)
 
@@ -259,8 +258,7 @@ def sample_cells_lookup(coo: DataFrame, m: int, n: int, n_draw: int, rho: float
     """E13. Uniform cells with their stored value (0 if absent) and weight 1
     for stored cells, rho for absent ones. (i, j, v, w)."""
     spark = coo.sparkSession
-    dims = spark.createDataFrame([(m, n)], "m long, n long")
-    cells = _draw_cells(spark, spark.range(n_draw).withColumnRenamed("id", "draw"), dims, seed, "look")
+    cells = _draw_cells(spark.range(n_draw).withColumnRenamed("id", "draw"), m, n, seed, "look")
     look = cells.join(coo.select("i", "j", F.col("v").alias("_v")), ["i", "j"], "left")
     return look.select("i", "j", F.coalesce("_v", F.lit(0.0)).alias("v"),
                        F.when(F.col("_v").isNull(), F.lit(rho)).otherwise(F.lit(1.0)).alias("w"))

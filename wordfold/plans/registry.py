@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wordfold.plans import catalog_corpus, catalog_matrix, catalog_vectors
+from wordfold.plans import catalog_corpus, catalog_matrix, catalog_train, catalog_vectors
 
-_CATALOGS = [catalog_corpus, catalog_vectors, catalog_matrix]
+_CATALOGS = [catalog_corpus, catalog_vectors, catalog_matrix, catalog_train]
 
 
 def queries() -> dict:
