@@ -165,8 +165,8 @@ def window_pairs(
       centre's (doc, line, pos).
     * ``positional`` (B8): context is 'token_offset'.
     """
-    if chunk_tokens < win:
-        raise ValueError("chunk_tokens must be >= win")
+    if chunk_tokens < 1:
+        raise ValueError("chunk_tokens must be >= 1")
     ext = _extended(kept, win, delete, chunk_tokens)
     cell = F.transform(
         "ext",
