@@ -312,3 +312,14 @@ QUERIES["analogy_accuracy"] = lambda s, sf: evaluate.analogy_accuracy(fx.analogy
     "method", r6(F.col("accuracy")).alias("accuracy"))
 SQL["analogy_accuracy"] = ANALOGY_SQL + """
 SELECT method, round(avg(CASE WHEN guess = b_ THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM best GROUP BY method"""
+
+# A12 / A13 text test sets: lines built from the fixtures (upper case, tabs, CRLF), parsed back
+from wordfold.sources.text import parse_analogies, parse_wordsim  # noqa: E402
+
+QUERIES["read_wordsim"] = lambda s, sf: parse_wordsim(fx.wordsim_gold(s, sf).select(
+    F.concat(F.upper("w1"), F.lit("\t"), F.upper("w2"), F.lit("\t"), F.col("gold").cast("string"), F.lit("\r")).alias("value"))).select(
+    "w1", "w2", r6(F.col("gold")).alias("gold"))
+SQL["read_wordsim"] = _with(wordsim_cte()) + "SELECT lower(w1) AS w1, lower(w2) AS w2, round(gold, 6) AS gold FROM gold"
+QUERIES["read_analogies"] = lambda s, sf: parse_analogies(fx.analogy_questions(s, sf).select(
+    F.concat_ws(" ", F.upper("a"), F.upper("a_"), F.upper("b"), F.upper("b_")).alias("value")))
+SQL["read_analogies"] = _with(analogy_cte()) + "SELECT lower(a) AS a, lower(a_) AS a_, lower(b) AS b, lower(b_) AS b_ FROM quest"
