@@ -12,6 +12,7 @@ from wordfold.plans.catalog_corpus import P, _lines, _with
 from wordfold.plans.catalog_vectors import SLICES, WVN, _slices, _svd, _wv, sql_norm
 from wordfold.plans.ppmi import build_counts
 from wordfold.plans.sql_fixtures import word_vectors_cte, wordsim_cte
+from wordfold.session import cut_lineage, size_bounded_broadcast
 from wordfold.plans.train import TrainParams, train_als, train_ccd, train_pu, train_pu_als_unit, train_sgd
 
 QUERIES = {}
@@ -36,12 +37,11 @@ def _factors_out(res, names=None):
 def _ppmi_coo(s, sf):
     counts, (nw, nc) = build_counts(_lines(s, sf), P)
     ep = assoc.exp_pmi(counts, P.cds, max_rows=nw, max_cols=nc)
-    pp = assoc.ppmi(ep)
+    pp = cut_lineage(assoc.ppmi(ep).select("word", "context", "n", "pmi"), "ppmi")
     wid = corpus.assign_ids(pp.select("word"), "word", "i")
     cid = corpus.assign_ids(pp.select(F.col("context").alias("word")), "word", "j").withColumnRenamed("word", "context")
-    coo = pp.join(F.broadcast(wid) if nw <= 2_000_000 else wid, "word").join(
-        F.broadcast(cid) if nc <= 2_000_000 else cid, "context").select("i", "j", F.col("pmi").alias("v"), F.col("n").cast("double").alias("n"))
-    coo = E.glove_weights(coo.select("i", "j", "v"), coo.select("i", "j", F.col("n").alias("v")), 10.0)
+    coo = pp.join(size_bounded_broadcast(wid, known_rows=nw), "word").join(size_bounded_broadcast(cid, known_rows=nc), "context").select(
+        "i", "j", F.col("pmi").alias("v"), E.glove_weight(F.col("n").cast("double"), 10.0).alias("w"))
     return coo, wid
 
 

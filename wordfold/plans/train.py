@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordfold.operators import factor as E
-from wordfold.operators.solve import DEFAULT_HEAVY, solve_side
+from wordfold.operators.solve import DEFAULT_HEAVY, plan_side, solve_side
 from wordfold.session import cut_lineage
 from wordfold.sources.matrix import snapshot_factors
 
@@ -92,10 +92,11 @@ def train_pu(coo: DataFrame, p: TrainParams, test: DataFrame | None = None,
     fix_h = {kk - 1: 1.0} if p.bias else {}
     fix_w = {kk - 2: 1.0} if p.bias else {}
     w = cut_lineage(w, "W")
+    plan_h, plan_w = plan_side(coo, "j", p.heavy_rows, "i"), plan_side(coo, "i", p.heavy_rows, "j")
     history, prev = [], None
     for it in range(1, p.iters + 1):
-        h = cut_lineage(solve_side(coo, "j", "i", w, kk, p.rho, p.lam, fix_h, cols, p.heavy_rows), "H")
-        w = cut_lineage(solve_side(coo, "i", "j", h, kk, p.rho, p.lam, fix_w, rows, p.heavy_rows), "W")
+        h = cut_lineage(solve_side(coo, "j", "i", w, kk, p.rho, p.lam, fix_h, cols, p.heavy_rows, plan_h), "H")
+        w = cut_lineage(solve_side(coo, "i", "j", h, kk, p.rho, p.lam, fix_w, rows, p.heavy_rows, plan_w), "W")
         if p.snapshot_path:
             w, h = snapshot_factors(w, h, p.snapshot_path, it)
         if p.log:
@@ -105,6 +106,9 @@ def train_pu(coo: DataFrame, p: TrainParams, test: DataFrame | None = None,
             if prev is not None and prev > 0 and (prev - m["obj"]) / prev < p.eps:
                 break
             prev = m["obj"]
+    for pl in (plan_h, plan_w):
+        if pl.layout is not None:
+            pl.layout.unpersist()
     return TrainResult(w, h, _log_frame(spark, history) if history else None, history)
 
 
