@@ -18,4 +18,4 @@ WHITESPACE_RE_SQL = r"[ \t\n\r\f\v]+"
 def tokens(line) -> Column:
     """Whitespace split with empty strings removed (leading/trailing blanks)."""
     col = F.col(line) if isinstance(line, str) else line
-    return F.filter(F.split(col, WHITESPACE_RE), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(col, WHITESPACE_RE), "")

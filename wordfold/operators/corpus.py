@@ -15,7 +15,7 @@ Plan shape (see README, "Corpus plan"):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordfold.functions.rand import keyed_uniform, lit_key
@@ -167,39 +167,28 @@ def window_pairs(
     """
     if chunk_tokens < 1:
         raise ValueError("chunk_tokens must be >= 1")
-    ext = _extended(kept, win, delete, chunk_tokens)
-    cell = F.transform(
-        "ext",
-        lambda x, i: F.struct(
-            x["word"].alias("word"), x["pos"].alias("pos"), (i if delete else x["pos"]).alias("coord")
-        ),
-    )
-    ext = ext.select("doc_id", "line_no", cell.alias("ext"), "lo", "hi")
-
-    def centre_window(i: Column) -> Column:
-        c = F.element_at("ext", i + 1)
-        if dyn:
-            u = keyed_uniform(lit_key("dyn"), lit_key(seed), F.col("doc_id"), F.col("line_no"), c["pos"])
-            w = (F.floor(u * win) + 1).cast("int")
-        else:
-            w = F.lit(win)
-        return F.struct(i.alias("i"), c["word"].alias("word"), c["coord"].alias("coord"), w.alias("w"))
-
-    centres = F.transform(F.sequence("lo", "hi"), centre_window)
-
-    def contexts(c: Column) -> Column:
-        cand = F.slice("ext", F.greatest(c["i"] - win, F.lit(0)) + 1, 2 * win + 1)
-        near = F.filter(
-            cand, lambda x: (x["coord"] != c["coord"]) & (F.abs(x["coord"] - c["coord"]) <= c["w"])
-        )
-        if positional:
-            ctx = lambda x: F.concat(x["word"], F.lit("_"), (x["coord"] - c["coord"]).cast("string"))
-        else:
-            ctx = lambda x: x["word"]
-        return F.transform(near, lambda x: F.struct(c["word"].alias("word"), ctx(x).alias("context")))
-
-    pairs = F.flatten(F.transform(centres, contexts))
-    return ext.where(F.col("hi") >= F.col("lo")).select(F.inline(pairs))
+    if win < 1:
+        return kept.sparkSession.createDataFrame([], "word string, context string")
+    ext = _extended(kept, win, delete, chunk_tokens).where(F.col("hi") >= F.col("lo"))
+    # One row per centre index; the 2*win neighbours are fixed-offset lookups
+    # into the chunk array, so the whole generator stays in generated code
+    # (no per-row lambdas) and feeds the partial aggregate directly.
+    cen = ext.select("doc_id", "line_no", "ext", F.explode(F.sequence("lo", "hi")).alias("i"))
+    c = F.get(F.col("ext"), F.col("i"))
+    if dyn:
+        u = keyed_uniform(lit_key("dyn"), lit_key(seed), F.col("doc_id"), F.col("line_no"), c["pos"])
+        w = (F.floor(u * win) + 1).cast("int")
+    else:
+        w = F.lit(win)
+    cands = []
+    for d in [*range(-win, 0), *range(1, win + 1)]:
+        x = F.get(F.col("ext"), F.col("i") + F.lit(d))
+        # delete: distance counts kept tokens (array index); else raw positions
+        off = F.lit(d) if delete else (x["pos"] - c["pos"])
+        ctx = F.concat(x["word"], F.lit("_"), off.cast("string")) if positional else x["word"]
+        cands.append(F.when(x.isNotNull() & (F.abs(off) <= w), ctx))
+    pairs = cen.select(c["word"].alias("word"), F.explode(F.array(*cands)).alias("context"))
+    return pairs.where(F.col("context").isNotNull())
 
 
 # ---------------------------------------------------------------- B9 - B13
