@@ -118,7 +118,11 @@ def test_dcg_levels_pad_with_last_value(spark):
     assert got[1] == 1.0 and got[4] == 1.0 and got[2] == got[3] == 1.0
 
 
-def test_zero_fill_guard(spark):
+def test_zero_fill_matches_dense_grid(spark):
     coo, w, h, _ = small(spark)
-    with pytest.raises(ValueError):
-        E.zero_fill(coo, w.select("id"), h.select("id"), max_cells=10)
+    stored = {(r.i, r.j): r.v for r in coo.collect()}
+    rows = [r.id for r in w.select("id").collect()]
+    cols = [r.id for r in h.select("id").collect()]
+    got = {(r.i, r.j): r.v for r in E.zero_fill(coo, w.select("id"), h.select("id")).collect()}
+    assert len(got) == len(rows) * len(cols)
+    assert got == {(i, j): stored.get((i, j), 0.0) for i in rows for j in cols}

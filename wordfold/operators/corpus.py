@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordfold.functions.rand import keyed_uniform, lit_key
 from wordfold.session import size_bounded_broadcast
@@ -55,24 +56,27 @@ def subsample_prob(voc: DataFrame, t: float) -> DataFrame:
 
 # ---------------------------------------------------------------- B4 - B5
 def mask_tokens(lines: DataFrame, voc_p: DataFrame, seed: int = 17, chunk_tokens: int = DEFAULT_CHUNK,
-                vocab_rows: int | None = None) -> DataFrame:
+                vocab_rows: int | None = None, token_col: str = "word") -> DataFrame:
     """B4. Kept tokens (doc_id, line_no, pos, word, n_chunks).
 
     A token is kept when it is in the vocabulary and its keyed uniform draw
     exceeds its drop probability. Removed tokens are not materialized: with
     placeholders (B5 off) the windows run over raw positions, so the holes are
-    implied by ``pos``."""
+    implied by ``pos``. With ``token_col`` (e.g. ``wid``) the kept token is
+    that vocabulary column instead of the word string."""
     toks = lines.select(
         "doc_id",
         "line_no",
         F.ceil(F.size("toks") / F.lit(chunk_tokens)).cast("int").alias("n_chunks"),
         F.posexplode("toks").alias("pos", "word"),
     )
-    lookup = size_bounded_broadcast(voc_p.select("word", "p_drop"), known_rows=vocab_rows)
+    tok = F.col("word") if token_col == "word" else F.col(token_col).alias("word")
+    lookup = size_bounded_broadcast(voc_p.select("word", "p_drop", *([token_col] if token_col != "word" else [])),
+                                    known_rows=vocab_rows)
     joined = toks.join(lookup, "word", "inner")
     u = keyed_uniform(lit_key("sub"), lit_key(seed), "doc_id", "line_no", "pos")
     keep = (F.col("p_drop") <= 0) | (u > F.col("p_drop"))
-    return joined.where(keep).select("doc_id", "line_no", "pos", "word", "n_chunks")
+    return joined.where(keep).select("doc_id", "line_no", "pos", tok, "n_chunks")
 
 
 # ---------------------------------------------------------------- B6 - B8
@@ -134,7 +138,8 @@ def _extended(kept: DataFrame, win: int, delete: bool, chunk_tokens: int) -> Dat
     """Rows (doc_id, line_no, ext, lo, hi): chunk cells with halos; centres are
     ext[lo..hi] (0-based)."""
     cells = _chunk_cells(kept, chunk_tokens)
-    empty = F.array().cast("array<struct<pos:int,word:string>>")
+    # token type follows the input (word strings, or vocabulary ids)
+    empty = F.array().cast(T.ArrayType(cells.schema["cells"].dataType.elementType))
     single = cells.where(F.col("n_chunks") <= 1).select("doc_id", "line_no", F.col("cells").alias("ext"), F.lit(0).alias("lo"), (F.size("cells") - 1).alias("hi"))
     multi = cells.where(F.col("n_chunks") > 1)
     halo = _halo(multi, win, delete, chunk_tokens)
@@ -156,6 +161,7 @@ def window_pairs(
     delete: bool = True,
     seed: int = 17,
     chunk_tokens: int = DEFAULT_CHUNK,
+    encoded: bool = False,
 ) -> DataFrame:
     """B5-B8. (word, context) rows, one per ordered co-occurrence.
 
@@ -164,6 +170,9 @@ def window_pairs(
     * ``dyn`` (B7): per-centre window 1 + floor(u * win), u keyed by the
       centre's (doc, line, pos).
     * ``positional`` (B8): context is 'token_offset'.
+    * ``encoded``: tokens are non-negative long vocabulary ids; a positional
+      context is then the long ``id * (2*win+1) + (offset + win)`` (see
+      :func:`decode_counts`), so pairs stay two primitive columns.
     """
     if chunk_tokens < 1:
         raise ValueError("chunk_tokens must be >= 1")
@@ -185,7 +194,12 @@ def window_pairs(
         x = F.get(F.col("ext"), F.col("i") + F.lit(d))
         # delete: distance counts kept tokens (array index); else raw positions
         off = F.lit(d) if delete else (x["pos"] - c["pos"])
-        ctx = F.concat(x["word"], F.lit("_"), off.cast("string")) if positional else x["word"]
+        if not positional:
+            ctx = x["word"]
+        elif encoded:
+            ctx = x["word"] * F.lit(2 * win + 1) + (off + F.lit(win))
+        else:
+            ctx = F.concat(x["word"], F.lit("_"), off.cast("string"))
         cands.append(F.when(x.isNotNull() & (F.abs(off) <= w), ctx))
     pairs = cen.select(c["word"].alias("word"), F.explode(F.array(*cands)).alias("context"))
     return pairs.where(F.col("context").isNotNull())
@@ -197,6 +211,35 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("word", "context").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_token_ids(voc: DataFrame) -> DataFrame:
+    """Vocabulary rows plus a unique non-negative long ``wid``.
+
+    The ids need not be dense; callers must materialize the result (e.g. with
+    ``cut_lineage``) before using it twice, so encode and decode see the same
+    ids."""
+    return voc.withColumn("wid", F.monotonically_increasing_id())
+
+
+def decode_counts(counts: DataFrame, ids: DataFrame, win: int, positional: bool,
+                  vocab_rows: int | None = None) -> DataFrame:
+    """Encoded (word, context, n) -> string (word, context, n).
+
+    ``ids`` is (word, wid). Both lookups are vocabulary-sized: broadcast when
+    the measured vocabulary size allows, shuffle joins otherwise."""
+    wl = size_bounded_broadcast(ids.select(F.col("wid").alias("_w"), F.col("word").alias("_ws")), known_rows=vocab_rows)
+    cl = size_bounded_broadcast(ids.select(F.col("wid").alias("_c"), F.col("word").alias("_cs")), known_rows=vocab_rows)
+    span = 2 * win + 1
+    if positional:
+        enc = counts.select(
+            F.col("word").alias("_w"), F.floor(F.col("context") / span).cast("long").alias("_c"),
+            (F.pmod(F.col("context"), F.lit(span)) - F.lit(win)).alias("_off"), "n")
+        ctx = F.concat(F.col("_cs"), F.lit("_"), F.col("_off").cast("string"))
+    else:
+        enc = counts.select(F.col("word").alias("_w"), F.col("context").alias("_c"), "n")
+        ctx = F.col("_cs")
+    return enc.join(wl, "_w").join(cl, "_c").select(F.col("_ws").alias("word"), ctx.alias("context"), "n")
+
+
 def word_marginals(counts: DataFrame) -> DataFrame:
     """B10. (word, n) = sum of counts per word, sorted by n desc, word asc."""
     return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc("word"))

@@ -9,6 +9,7 @@ enumerated: the zero part of PU losses goes through k x k Gram matrices.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -269,16 +270,28 @@ def sample_cells_lookup(coo: DataFrame, m: int, n: int, n_draw: int, rho: float
                        F.when(F.col("_v").isNull(), F.lit(rho)).otherwise(F.lit(1.0)).alias("w"))
 
 
-MAX_ZERO_FILL_CELLS = 50_000_000
+GRID_CELLS_PER_PARTITION = 8_000_000
 
 
-def zero_fill(coo: DataFrame, rows: DataFrame, cols: DataFrame, max_cells: int = MAX_ZERO_FILL_CELLS) -> DataFrame:
-    """E14. The full grid rows x cols with the stored value or 0 (guarded:
-    refuses grids above ``max_cells``; the PU losses never need it)."""
-    nr, nc = rows.count(), cols.count()
-    if nr * nc > max_cells:
-        raise ValueError(f"zero_fill of {nr} x {nc} cells exceeds {max_cells}")
-    grid = rows.select(F.col("id").alias("i")).crossJoin(F.broadcast(cols.select(F.col("id").alias("j"))))
+def zero_fill(coo: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """E14. The full grid rows x cols with the stored value or 0.
+
+    The output is m*n rows by definition (the dense PU strategy of the SGD
+    trainer); the PU losses and the row solvers never need it (they use the
+    Gram identity). The grid is generated, not joined: ``range(m*n)`` split
+    into partitions of a fixed cell budget, cell c -> (c div n, c mod n) dense
+    indices, mapped back to ids through the two dense id tables (broadcast
+    when their measured size allows), then a left join with the stored cells."""
+    from wordfold.operators.corpus import assign_ids
+
+    r = assign_ids(rows.select(F.col("id").alias("i")), "i", "_ri").persist()
+    c = assign_ids(cols.select(F.col("id").alias("j")), "j", "_cj").persist()
+    nr, nc = r.count(), c.count()
+    spark = coo.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-nr * nc // GRID_CELLS_PER_PARTITION))
+    grid = spark.range(0, nr * nc, 1, parts).select(
+        (F.col("id") / F.lit(nc)).cast("long").alias("_ri"), F.pmod(F.col("id"), F.lit(nc)).alias("_cj"))
+    grid = grid.join(size_bounded_broadcast(r, known_rows=nr), "_ri").join(size_bounded_broadcast(c, known_rows=nc), "_cj")
     return grid.join(coo.select("i", "j", F.col("v").alias("_v")), ["i", "j"], "left").select(
         "i", "j", F.coalesce("_v", F.lit(0.0)).alias("v"))
 
@@ -287,14 +300,23 @@ def pu_zero_gradient_step(w: DataFrame, h: DataFrame, rho: float, eta: float) ->
     """E15. W <- W - eta rho W (H^T H); then H <- H - eta rho H (W^T W) with the new W.
 
     The k x k Gram is reduced to the driver (bounded by k, not data) and
-    applied as a broadcast matrix by array expressions."""
+    shipped with the task closure; each Arrow batch of factor rows is updated
+    by one numpy product (no per-element expressions, so the plan does not
+    grow with k^2)."""
     from wordfold.operators.coo import gram_matrix
 
     def step(x: DataFrame, g: np.ndarray) -> DataFrame:
-        k = g.shape[0]
-        cols = [F.array(*[F.lit(float(g[a, b])) for a in range(k)]) for b in range(k)]
-        upd = F.array(*[V.dot("vec", c) for c in cols])
-        return x.select("id", F.zip_with("vec", upd, lambda a, b: a - F.lit(eta * rho) * b).alias("vec"))
+        m = float(eta * rho) * np.asarray(g, dtype=float)
+        x = x.select("id", "vec")
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                v = np.stack(pdf["vec"].to_numpy()).astype(float)
+                yield pd.DataFrame({"id": pdf["id"], "vec": list(v - v @ m)})
+
+        return x.mapInPandas(run, x.schema)
 
     w2 = step(w, gram_matrix(h))
     h2 = step(h, gram_matrix(w2))

@@ -27,21 +27,26 @@ class CorpusParams:
 def build_counts(lines: DataFrame, p: CorpusParams, materialize: bool = True) -> tuple[DataFrame, tuple[int, int]]:
     """(word, context, n) plus upper bounds on (#words, #contexts).
 
-    The vocabulary is persisted while the counts are built (it is counted for
-    the broadcast check, summed for the subsampling threshold and joined). The
-    counts are written to the shared checkpoint folder: every later step reads
-    them at least three times (two marginals and the cell join). Words are
-    vocabulary words and positional contexts carry one of 2*win offsets, so
-    the vocabulary size bounds both marginals without another count."""
-    voc = corpus.subsample_prob(corpus.vocab(lines, p.thr), p.sub).persist()
+    The vocabulary (with a long id per word) is written once to the shared
+    checkpoint folder: it is counted for the broadcast check, joined to mask
+    the tokens and joined again to decode the counts, and the ids must be the
+    same each time. Tokens travel as ids from the mask on, so the window
+    regroup and the pair aggregate shuffle and hash primitive longs, not
+    strings; words come back with two vocabulary-sized joins after the
+    counts are reduced. With ``materialize`` the counts are written too: every
+    later step reads them at least three times (two marginals and the cell
+    join). Words are vocabulary words and positional contexts carry one of
+    2*win offsets, so the vocabulary size bounds both marginals without
+    another count."""
+    voc = corpus.subsample_prob(corpus.vocab(lines, p.thr), p.sub)
+    voc = cut_lineage(corpus.with_token_ids(voc), "vocab")
     n_vocab = voc.count()
-    kept = corpus.mask_tokens(lines, voc, p.seed, p.chunk_tokens, vocab_rows=n_vocab)
-    pairs = corpus.window_pairs(kept, p.win, p.dyn, p.positional, p.delete, p.seed, p.chunk_tokens)
-    counts = corpus.pair_counts(pairs)
+    kept = corpus.mask_tokens(lines, voc, p.seed, p.chunk_tokens, vocab_rows=n_vocab, token_col="wid")
+    pairs = corpus.window_pairs(kept, p.win, p.dyn, p.positional, p.delete, p.seed, p.chunk_tokens, encoded=True)
+    counts = corpus.decode_counts(corpus.pair_counts(pairs), voc, p.win, p.positional, vocab_rows=n_vocab)
     bounds = (n_vocab, n_vocab * 2 * p.win if p.positional else n_vocab)
     if materialize:
         counts = cut_lineage(counts, "counts")
-        voc.unpersist()
     return counts, bounds
 
 
