@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordfold.functions import vec as V
+from wordfold.operators.grouped import running_sums_before
 from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, cogroup_blocks
 from wordfold.session import size_bounded_broadcast
 
@@ -197,7 +198,8 @@ def rank_positives(truth: DataFrame, w: DataFrame, h: DataFrame, ignored: DataFr
     rank = 1 + (#columns beating it) - (#ignored columns beating it). The first
     term comes from the blocked kernel (positives blocked by (i, j), so a heavy
     row spreads over many tasks); the second from a per-row running count
-    over the row's ignored and positive cells only."""
+    over the row's ignored and positive cells only, computed on range pieces
+    of the rows (:mod:`wordfold.operators.grouped`)."""
     cols = h.select("id")
     pos = truth.where(F.col("v") > 0).join(cols.select(F.col("id").alias("j")), "j", "left_semi")
     if ignored is not None:
@@ -216,9 +218,11 @@ def rank_positives(truth: DataFrame, w: DataFrame, h: DataFrame, ignored: DataFr
         ig = ig.join(pos.select("i").distinct(), "i", "left_semi").join(wv, "i").join(hv, "j").select(
             "i", "j", V.dot("wi", "hj").alias("s"), F.lit(1).alias("is_ign"))
         ev = ev.unionByName(ig)
-    win = Window.partitionBy("i").orderBy(F.desc("s"), F.asc("j")).rowsBetween(Window.unboundedPreceding, -1)
-    ev = ev.withColumn("ign_before", F.coalesce(F.sum("is_ign").over(win), F.lit(0))).withColumn(
-        "pos_before", F.coalesce(F.sum(1 - F.col("is_ign")).over(win), F.lit(0))).where(F.col("is_ign") == 0)
+    # range-partitioned running sums: a hot row is split over many tasks
+    ev = running_sums_before(ev.withColumn("is_pos", 1 - F.col("is_ign")), ["i"], [F.desc("s"), F.asc("j")],
+                             ["is_ign", "is_pos"])
+    ev = ev.withColumnRenamed("is_ign_before", "ign_before").withColumnRenamed("is_pos_before", "pos_before").where(
+        F.col("is_ign") == 0)
     out = ev.join(beat, ["i", "j"]).join(pos, ["i", "j"])
     return out.select("i", "j", "rel", (F.col("beat") - F.col("ign_before") + 1).cast("long").alias("rank"),
                       (F.col("pos_before") + 1).cast("long").alias("nr_pos"))

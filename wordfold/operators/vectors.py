@@ -194,7 +194,12 @@ def explicit_closest(words: DataFrame, m: DataFrame, n: int = 10) -> DataFrame:
     q = m.join(size_bounded_broadcast(words.select("word").distinct()), "word", "left_semi").select(
         F.col("word").alias("query"), "context", F.col("v").alias("_vq")
     )
-    scores = q.join(m, "context").groupBy("query", "word").agg(F.sum(F.col("_vq") * F.col("v")).alias("score"))
+    # The query rows are usually few: measured, and broadcast when under the
+    # bound, so the matrix side streams through a hash join without a shuffle
+    # and only (query, word) partial sums cross the network.
+    q = q.persist()
+    q = size_bounded_broadcast(q, known_rows=q.count())
+    scores = m.join(q, "context").groupBy("query", "word").agg(F.sum(F.col("_vq") * F.col("v")).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("word"))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 

@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordfold.functions.rand import keyed_uniform, lit_key
-from wordfold.operators import assoc, corpus, evaluate, factor as E, vectors
+from wordfold.operators import assoc, evaluate, factor as E, vectors
 from wordfold.plans import fixtures as fx
 from wordfold.plans.catalog_corpus import P, _lines, _with
 from wordfold.plans.catalog_vectors import SLICES, WVN, _slices, _svd, _wv, sql_norm
-from wordfold.plans.ppmi import build_counts
+from wordfold.plans.ppmi import encoded_counts
 from wordfold.plans.sql_fixtures import word_vectors_cte, wordsim_cte
-from wordfold.session import cut_lineage, size_bounded_broadcast
+from wordfold.session import cut_lineage
 from wordfold.plans.train import TrainParams, train_als, train_ccd, train_pu, train_pu_als_unit, train_sgd
 
 QUERIES = {}
@@ -33,15 +33,16 @@ def _factors_out(res, names=None):
     return w.unionByName(h)
 
 
-# T3 flagship: PU factorization of the corpus PPMI matrix with GloVe weights and bias dims
+# T3 flagship: PU factorization of the corpus PPMI matrix with GloVe weights and bias dims.
+# The matrix stays on vocabulary ids from the pair aggregate on (rows i = word
+# ids, columns j = context word ids); words are attached once to the result.
 def _ppmi_coo(s, sf):
-    counts, (nw, nc) = build_counts(_lines(s, sf), P)
-    ep = assoc.exp_pmi(counts, P.cds, max_rows=nw, max_cols=nc)
-    pp = cut_lineage(assoc.ppmi(ep).select("word", "context", "n", "pmi"), "ppmi")
-    wid = corpus.assign_ids(pp.select("word"), "word", "i")
-    cid = corpus.assign_ids(pp.select(F.col("context").alias("word")), "word", "j").withColumnRenamed("word", "context")
-    coo = pp.join(size_bounded_broadcast(wid, known_rows=nw), "word").join(size_bounded_broadcast(cid, known_rows=nc), "context").select(
-        "i", "j", F.col("pmi").alias("v"), E.glove_weight(F.col("n").cast("double"), 10.0).alias("w"))
+    enc, voc, nv = encoded_counts(_lines(s, sf), P)
+    enc = cut_lineage(enc, "counts-ids")
+    ep = assoc.exp_pmi(enc, P.cds, max_rows=nv, max_cols=nv)
+    coo = assoc.ppmi(ep).select(F.col("word").alias("i"), F.col("context").alias("j"), F.col("pmi").alias("v"),
+                                E.glove_weight(F.col("n").cast("double"), 10.0).alias("w"))
+    wid = voc.select("word", F.col("wid").alias("i"))
     return coo, wid
 
 

@@ -38,16 +38,25 @@ def build_counts(lines: DataFrame, p: CorpusParams, materialize: bool = True) ->
     join). Words are vocabulary words and positional contexts carry one of
     2*win offsets, so the vocabulary size bounds both marginals without
     another count."""
+    enc, voc, n_vocab = encoded_counts(lines, p)
+    counts = corpus.decode_counts(enc, voc, p.win, p.positional, vocab_rows=n_vocab)
+    bounds = (n_vocab, n_vocab * 2 * p.win if p.positional else n_vocab)
+    if materialize:
+        counts = cut_lineage(counts, "counts")
+    return counts, bounds
+
+
+def encoded_counts(lines: DataFrame, p: CorpusParams) -> tuple[DataFrame, DataFrame, int]:
+    """Counts keyed by vocabulary ids: (word long, context long, n), the
+    written vocabulary (word, n, p_drop, wid) and its size. Jobs that only
+    need matrix coordinates (factorization) stay on the ids; see
+    :func:`wordfold.operators.corpus.decode_counts` for the strings."""
     voc = corpus.subsample_prob(corpus.vocab(lines, p.thr), p.sub)
     voc = cut_lineage(corpus.with_token_ids(voc), "vocab")
     n_vocab = voc.count()
     kept = corpus.mask_tokens(lines, voc, p.seed, p.chunk_tokens, vocab_rows=n_vocab, token_col="wid")
     pairs = corpus.window_pairs(kept, p.win, p.dyn, p.positional, p.delete, p.seed, p.chunk_tokens, encoded=True)
-    counts = corpus.decode_counts(corpus.pair_counts(pairs), voc, p.win, p.positional, vocab_rows=n_vocab)
-    bounds = (n_vocab, n_vocab * 2 * p.win if p.positional else n_vocab)
-    if materialize:
-        counts = cut_lineage(counts, "counts")
-    return counts, bounds
+    return corpus.pair_counts(pairs), voc, n_vocab
 
 
 def counts_from_lines(lines: DataFrame, p: CorpusParams, materialize: bool = True) -> DataFrame:

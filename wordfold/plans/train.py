@@ -88,6 +88,9 @@ def train_pu(coo: DataFrame, p: TrainParams, test: DataFrame | None = None,
     spark = coo.sparkSession
     coo = cut_lineage(coo.select("i", "j", "v", *(["w"] if "w" in coo.columns else [])), "train-entries")
     w, h, rows, cols = init_model(coo, p, w0, h0)
+    # id lists are read by every half-iteration: written once, not re-derived
+    # from the entries (a shuffle) each time
+    rows, cols = cut_lineage(rows, "row-ids"), cut_lineage(cols, "col-ids")
     kk = p.k + 2 if (p.bias and w0 is None) else p.k
     fix_h = {kk - 1: 1.0} if p.bias else {}
     fix_w = {kk - 2: 1.0} if p.bias else {}
