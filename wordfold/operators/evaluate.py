@@ -8,21 +8,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, cogroup_blocks
+from wordfold.operators.corpus import assign_ids
+from wordfold.operators.grouped import running_sums_before
 from wordfold.operators.vectors import _dim, represent, similarity
 
 
-def avg_rank(col: str, group: list | None = None) -> F.Column:
-    """1-based rank of ``col`` with ties sharing the average of their ranks."""
+def with_avg_rank(df: DataFrame, col: str, out: str, group: list | None = None) -> DataFrame:
+    """Adds ``out``: the 1-based rank of ``col`` (ascending, per group) with
+    ties sharing the average of their ranks.
+
+    Ranks come from value multiplicities: rank = (#rows below the value) +
+    (multiplicity + 1) / 2, where the running count runs on range pieces of the
+    distinct values, so neither a large group nor an ungrouped set is ranked
+    by one task."""
     part = group or []
-    w = Window.partitionBy(*part).orderBy(F.col(col)) if part else Window.orderBy(F.col(col))
-    ties = Window.partitionBy(*part, col)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+    vals = df.groupBy(*part, col).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_sums_before(vals, part, [F.asc(col)], ["_c"]).select(
+        *[F.col(g).alias(f"_k_{g}") for g in (*part, col)], (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias(out))
+    cond = [df[g].eqNullSafe(ranked[f"_k_{g}"]) for g in (*part, col)]
+    return df.join(ranked, cond).drop(*[f"_k_{g}" for g in (*part, col)])
 
 
 def spearman(df: DataFrame, x: str = "sim", y: str = "gold", group: list | None = None) -> DataFrame:
     """H1. Spearman correlation per group: Pearson correlation of tie-averaged ranks."""
     group = group or []
-    ranked = df.select(*group, avg_rank(x, group).alias("_rx"), avg_rank(y, group).alias("_ry"))
+    base = df.select(*group, x, y)
+    ranked = with_avg_rank(with_avg_rank(base, x, "_rx", group), y, "_ry", group)
     if group:
         return ranked.groupBy(*group).agg(F.corr("_rx", "_ry").alias("spearman"))
     return ranked.agg(F.corr("_rx", "_ry").alias("spearman"))
@@ -36,7 +47,7 @@ def wordsim_eval(vecs: DataFrame, test: DataFrame, group: list | None = None) ->
 def test_vocab(test: DataFrame) -> DataFrame:
     """H3. Sorted distinct words of an analogy set with 0-based ids."""
     words = test.select(F.explode(F.array("a", "a_", "b", "b_")).alias("word")).distinct()
-    return words.select("word", (F.row_number().over(Window.orderBy("word")) - 1).alias("id"))
+    return assign_ids(words, "word", "id")
 
 
 def _block_kernel(dense: bool):

@@ -147,8 +147,12 @@ def ndcg_rated(scored: DataFrame, k: int = 10, by: str = "i", truth: str = "v",
     k = 3 if k <= 0 else k
     other = "j" if by == "i" else "i"
     c = scored.where(~F.isnan(truth) & ~F.isnan(pred) & F.col(truth).isNotNull() & F.col(pred).isNotNull())
-    by_pred = c.withColumn("_pos", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(pred), F.asc(other))))
-    by_true = c.withColumn("_pos", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(truth), F.asc(other))))
+    # only positions <= k enter the DCG: the filter right after row_number lets
+    # Spark keep a per-task top-k (WindowGroupLimit) before the group shuffle
+    by_pred = c.withColumn("_pos", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(pred), F.asc(other)))).where(
+        F.col("_pos") <= k)
+    by_true = c.withColumn("_pos", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(truth), F.asc(other)))).where(
+        F.col("_pos") <= k)
     return _ndcg_average(dcg_at_levels(by_pred, [by], "_pos", truth, k), dcg_at_levels(by_true, [by], "_pos", truth, k), [by])
 
 
@@ -158,9 +162,10 @@ def ndcg_topk_lists(truth: DataFrame, lists: DataFrame, k: int, by: str = "i") -
     other = "j" if by == "i" else "i"
     rel = truth.groupBy(by, other).agg(F.sum("v").alias("rel"))
     lst = lists.where(F.col(other) >= 0)
-    lst = lst.withColumn("_pos", F.row_number().over(Window.partitionBy(by).orderBy("rank")))
+    lst = lst.withColumn("_pos", F.row_number().over(Window.partitionBy(by).orderBy("rank"))).where(F.col("_pos") <= k)
     lst = lst.join(rel, [by, other], "left").withColumn("rel", F.coalesce("rel", F.lit(0.0)))
-    ideal = rel.withColumn("_pos", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("rel"), F.asc(other))))
+    ideal = rel.withColumn("_pos", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("rel"), F.asc(other)))).where(
+        F.col("_pos") <= k)
     groups = rel.select(by).distinct()
     got = dcg_at_levels(lst.join(groups, by, "left_semi"), [by], "_pos", "rel", k)
     # groups whose list is empty still count with dcg 0
@@ -271,7 +276,8 @@ def ndcg_full(ranks: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     their ranks) against the ideal order of the row's truth by relevance."""
     rel = truth.groupBy("i", "j").agg(F.sum("v").alias("rel"))
     got = dcg_at_levels(ranks, ["i"], "rank", "rel", k)
-    ideal = rel.withColumn("_pos", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("rel"), F.asc("j"))))
+    ideal = rel.withColumn("_pos", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("rel"), F.asc("j")))).where(
+        F.col("_pos") <= k)
     ideal = dcg_at_levels(ideal, ["i"], "_pos", "rel", k)
     lv = ideal.select("i", "level")
     got = lv.join(got, ["i", "level"], "left").withColumn("dcg", F.coalesce("dcg", F.lit(0.0)))

@@ -7,6 +7,7 @@ user x bucket event matrix (events); factors: W = even, H = odd embeddings.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wordfold.functions.rand import sql_uniform
@@ -356,7 +357,7 @@ SQL["recommend_topk"] = _with(EVM, FAC) + SQL_TEST + SQL_CAND + f"""
 SELECT i, rank, j, round(s, 6) AS score FROM ranked WHERE rank <= {K}"""
 QUERIES["dcg_at_k"] = lambda s, sf: R.dcg_at_levels(
     _split_ev(s, sf)[1].withColumn("_p", F.row_number().over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("i").orderBy(F.desc("v"), "j"))),
+        Window.partitionBy("i").orderBy(F.desc("v"), "j"))).where(F.col("_p") <= 5),
     ["i"], "_p", "v", 5).select("i", F.col("level").cast("long").alias("level"), r6(F.col("dcg")).alias("dcg"))
 SQL["dcg_at_k"] = _with(EVM) + SQL_TEST + """,
 p AS (SELECT i, v, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS pos FROM test),
