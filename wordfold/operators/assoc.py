@@ -85,10 +85,16 @@ def scale_cols(coo: DataFrame, coefs: DataFrame, col: str = "j", val: str = "v",
     return scale_rows(coo, coefs, col, val, coef)
 
 
-def l2_normalize_rows(coo: DataFrame, row: str = "i", val: str = "v") -> DataFrame:
-    """C9. Divide every row by its L2 norm; empty rows stay empty."""
+def l2_normalize_rows(coo: DataFrame, row: str = "i", val: str = "v", max_rows: int | None = None) -> DataFrame:
+    """C9. Divide every row by its L2 norm; empty rows stay empty.
+
+    The norms table has one row per row key: with a known bound (e.g. the
+    vocabulary size) it is broadcast when under the limit; without one the
+    join is left to AQE, which switches to a broadcast from the measured
+    shuffle size (no extra counting pass over the matrix)."""
     norms = coo.groupBy(row).agg(F.sqrt(F.sum(F.col(val) * F.col(val))).alias("_norm"))
-    norms = size_bounded_broadcast(norms)
+    if max_rows is not None:
+        norms = size_bounded_broadcast(norms, known_rows=max_rows)
     return coo.join(norms, row).withColumn(
         val, F.when(F.col("_norm") > 0, F.col(val) / F.col("_norm")).otherwise(F.lit(0.0))).drop("_norm")
 

@@ -222,22 +222,23 @@ def with_token_ids(voc: DataFrame) -> DataFrame:
 
 def decode_counts(counts: DataFrame, ids: DataFrame, win: int, positional: bool,
                   vocab_rows: int | None = None) -> DataFrame:
-    """Encoded (word, context, n) -> string (word, context, n).
+    """Encoded (word, context, n, ...) -> string (word, context, n, ...).
 
     ``ids`` is (word, wid). Both lookups are vocabulary-sized: broadcast when
     the measured vocabulary size allows, shuffle joins otherwise."""
     wl = size_bounded_broadcast(ids.select(F.col("wid").alias("_w"), F.col("word").alias("_ws")), known_rows=vocab_rows)
     cl = size_bounded_broadcast(ids.select(F.col("wid").alias("_c"), F.col("word").alias("_cs")), known_rows=vocab_rows)
     span = 2 * win + 1
+    rest = [c for c in counts.columns if c not in ("word", "context")]  # n and any cell values
     if positional:
         enc = counts.select(
             F.col("word").alias("_w"), F.floor(F.col("context") / span).cast("long").alias("_c"),
-            (F.pmod(F.col("context"), F.lit(span)) - F.lit(win)).alias("_off"), "n")
+            (F.pmod(F.col("context"), F.lit(span)) - F.lit(win)).alias("_off"), *rest)
         ctx = F.concat(F.col("_cs"), F.lit("_"), F.col("_off").cast("string"))
     else:
-        enc = counts.select(F.col("word").alias("_w"), F.col("context").alias("_c"), "n")
+        enc = counts.select(F.col("word").alias("_w"), F.col("context").alias("_c"), *rest)
         ctx = F.col("_cs")
-    return enc.join(wl, "_w").join(cl, "_c").select(F.col("_ws").alias("word"), ctx.alias("context"), "n")
+    return enc.join(wl, "_w").join(cl, "_c").select(F.col("_ws").alias("word"), ctx.alias("context"), *rest)
 
 
 def word_marginals(counts: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from wordfold.functions import vec as V
 from wordfold.operators import assoc
 from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, cogroup_blocks
-from wordfold.session import size_bounded_broadcast
+from wordfold.session import cut_lineage, size_bounded_broadcast
 
 
 def _dim(vecs: DataFrame) -> int:
@@ -151,20 +151,24 @@ def svd_vectors(u: DataFrame, s: DataFrame, eig: float = 0.5, normalize: bool =
 
 
 # ---------------------------------------------------------------- explicit (sparse)
-def explicit_vectors(epmi: DataFrame, normalize: bool = True) -> DataFrame:
-    """G11. Rows of ln(epmi) (unclipped), optionally L2-normalized per word."""
+def explicit_vectors(epmi: DataFrame, normalize: bool = True, max_rows: int | None = None) -> DataFrame:
+    """G11. Rows of ln(epmi) (unclipped), optionally L2-normalized per word
+    (``max_rows``: known bound on the number of words)."""
     m = epmi.select("word", "context", F.log("epmi").alias("v"))
-    return assoc.l2_normalize_rows(m, "word", "v") if normalize else m
+    return assoc.l2_normalize_rows(m, "word", "v", max_rows) if normalize else m
 
 
-def positive_explicit(epmi: DataFrame, neg: float = 1.0, normalize: bool = True) -> DataFrame:
+def positive_explicit(epmi: DataFrame, neg: float = 1.0, normalize: bool = True,
+                      max_rows: int | None = None) -> DataFrame:
     """PPMI representation: shifted PPMI cells, optionally L2-normalized."""
     m = assoc.shifted_ppmi(epmi, neg).select("word", "context", F.col("spmi").alias("v"))
-    return assoc.l2_normalize_rows(m, "word", "v") if normalize else m
+    return assoc.l2_normalize_rows(m, "word", "v", max_rows) if normalize else m
 
 
 def explicit_similarity(pairs: DataFrame, m: DataFrame, a: str = "w1", b: str = "w2") -> DataFrame:
-    """G12. Sparse row dot product for listed pairs; 0 when rows share no context."""
+    """G12. Sparse row dot product for listed pairs; 0 when rows share no context.
+    The matrix feeds both sides of the pair join: written once, read twice."""
+    m = cut_lineage(m.select("word", "context", "v"), "explicit-matrix")
     p = pairs.select(a, b).distinct()
     left = p.join(m.select(F.col("word").alias(a), "context", F.col("v").alias("_va")), a)
     both = left.join(m.select(F.col("word").alias(b), "context", F.col("v").alias("_vb")), [b, "context"])
@@ -190,7 +194,10 @@ def explicit_closest_contexts(words: DataFrame, m: DataFrame, n: int = 10) -> Da
 
 def explicit_closest(words: DataFrame, m: DataFrame, n: int = 10) -> DataFrame:
     """G15. Top-n words by sparse dot with the query row (only rows sharing a
-    context get a score). Partial sums per (query, word) are combined map-side."""
+    context get a score). Partial sums per (query, word) are combined map-side.
+    The matrix is read twice (query rows, all rows): it is written once to the
+    checkpoint folder instead of being derived twice."""
+    m = cut_lineage(m.select("word", "context", "v"), "explicit-matrix")
     q = m.join(size_bounded_broadcast(words.select("word").distinct()), "word", "left_semi").select(
         F.col("word").alias("query"), "context", F.col("v").alias("_vq")
     )
@@ -208,14 +215,14 @@ def explicit_closest(words: DataFrame, m: DataFrame, n: int = 10) -> DataFrame:
 def representation(kind: str, *, epmi: DataFrame | None = None, words: DataFrame | None = None,
                    contexts: DataFrame | None = None, u: DataFrame | None = None, s: DataFrame | None = None,
                    v: DataFrame | None = None, neg: float = 1.0, eig: float = 0.5, w_c: bool = False,
-                   concat: bool = False, use_contexts: bool = False) -> DataFrame:
+                   concat: bool = False, use_contexts: bool = False, max_rows: int | None = None) -> DataFrame:
     """G16. Build a representation by kind: 'PPMI', 'SVD', 'PMF' or an embedding.
 
     PPMI -> sparse (word, context, v); all others -> dense (word, vec)."""
     if kind == "PPMI":
         if w_c:
             raise ValueError("w+c is not defined for PPMI")
-        return positive_explicit(epmi, neg, True)
+        return positive_explicit(epmi, neg, True, max_rows)
     if kind == "SVD":
         if w_c:
             return ensemble(svd_vectors(u, s, eig, False), svd_vectors(v, s, eig, False), True)

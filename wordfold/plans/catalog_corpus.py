@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wordfold.operators import assoc, corpus
 from wordfold.plans import fixtures as fx
-from wordfold.plans.ppmi import CorpusParams, build_counts, counts_from_lines
+from wordfold.plans.ppmi import CorpusParams, build_epmi, counts_from_lines
 from wordfold.plans.sql_fixtures import assoc_ctes, corpus_ctes, d, pairs_ctes
 from wordfold.sources.text import format_counts, parse_counts
 
@@ -38,8 +38,7 @@ def _vp(spark, sf, p=P):
 
 
 def _epmi(spark, sf):
-    counts, (nw, nc) = build_counts(_lines(spark, sf), P)
-    return assoc.exp_pmi(counts, P.cds, max_rows=nw, max_cols=nc)
+    return build_epmi(_lines(spark, sf), P)[0]
 
 
 def _with(*ctes: str) -> str:

@@ -185,11 +185,12 @@ QUERIES["representation"] = lambda s, sf: _ppmi_rep(s, sf).select("word", "conte
 SQL["representation"] = _with(*CORPUS_ASSOC) + PPMI_REP + "\nSELECT word, context, round(v, 6) AS v FROM rep"
 
 
-def _neighbour_pairs(s, sf):
+def _neighbour_pairs(s, sf, rep=None):
     """(w1, w2) = consecutive words of the sorted vocabulary of the representation."""
     from wordfold.operators.coo import dense_ids
 
-    words = dense_ids(_ppmi_rep(s, sf).select("word").distinct(), ["word"], "k")
+    rep = _ppmi_rep(s, sf) if rep is None else rep
+    words = dense_ids(rep.select("word").distinct(), ["word"], "k")
     nxt = words.select(F.col("word").alias("w2"), (F.col("k") - 1).alias("k"))
     return words.withColumnRenamed("word", "w1").join(nxt, "k").select("w1", "w2")
 
@@ -198,14 +199,15 @@ SQL_NEIGHBOURS = """,
 vk AS (SELECT word, row_number() OVER (ORDER BY word) AS k FROM (SELECT DISTINCT word FROM rep)),
 nb AS (SELECT a.word AS w1, b.word AS w2 FROM vk a JOIN vk b ON b.k = a.k + 1)"""
 
-QUERIES["explicit_similarity"] = lambda s, sf: vectors.explicit_similarity(_neighbour_pairs(s, sf), _ppmi_rep(s, sf)).select(
-    "w1", "w2", r6(F.col("sim")).alias("sim"))
+# one corpus build per query: the test pairs and the matrix come from the same representation
+QUERIES["explicit_similarity"] = lambda s, sf: (lambda m: vectors.explicit_similarity(_neighbour_pairs(s, sf, m), m))(
+    _ppmi_rep(s, sf)).select("w1", "w2", r6(F.col("sim")).alias("sim"))
 SQL["explicit_similarity"] = _with(*CORPUS_ASSOC) + PPMI_REP + SQL_NEIGHBOURS + """
 SELECT nb.w1, nb.w2, round(coalesce(sum(a.v * b.v), 0.0), 6) AS sim
 FROM nb LEFT JOIN rep a ON a.word = nb.w1 LEFT JOIN rep b ON b.word = nb.w2 AND b.context = a.context
 GROUP BY nb.w1, nb.w2"""
-QUERIES["explicit_first_order"] = lambda s, sf: vectors.explicit_first_order(
-    _neighbour_pairs(s, sf).select(F.col("w1").alias("word"), F.col("w2").alias("context")), _ppmi_rep(s, sf)).select(
+QUERIES["explicit_first_order"] = lambda s, sf: (lambda m: vectors.explicit_first_order(
+    _neighbour_pairs(s, sf, m).select(F.col("w1").alias("word"), F.col("w2").alias("context")), m))(_ppmi_rep(s, sf)).select(
     "word", "context", r6(F.col("sim")).alias("sim"))
 SQL["explicit_first_order"] = _with(*CORPUS_ASSOC) + PPMI_REP + SQL_NEIGHBOURS + """
 SELECT nb.w1 AS word, nb.w2 AS context, round(coalesce(rep.v, 0.0), 6) AS sim
@@ -218,14 +220,25 @@ SELECT query, rank, word, round(score, 6) AS score FROM (
          row_number() OVER (PARTITION BY word ORDER BY v DESC, context DESC) AS rank FROM rep) WHERE rank <= {N}"""
 
 
-def _frequent_words(s, sf, k=20):
+def _frequent_words(s, sf, k=20, counts=None):
     """Report input: the k most frequent words of the corpus vocabulary."""
-    c = _counts(s, sf)
+    c = _counts(s, sf) if counts is None else counts
     w = c.groupBy("word").agg(F.sum("n").alias("n"))
     return w.orderBy(F.desc("n"), "word").limit(k).select("word")
 
 
-QUERIES["explicit_closest"] = lambda s, sf: vectors.explicit_closest(_frequent_words(s, sf), _ppmi_rep(s, sf), N).select(
+def _explicit_closest(s, sf):
+    # one corpus build: the query words (sum of n per word over all cells) and
+    # the matrix come from the same cell table
+    from wordfold.plans.catalog_corpus import P as CP, _lines
+    from wordfold.plans.ppmi import build_epmi
+
+    ep, (nw, _) = build_epmi(_lines(s, sf), CP)
+    rep = vectors.representation("PPMI", epmi=ep, neg=NEG, max_rows=nw)
+    return vectors.explicit_closest(_frequent_words(s, sf, counts=ep), rep, N)
+
+
+QUERIES["explicit_closest"] = lambda s, sf: _explicit_closest(s, sf).select(
     "query", F.col("rank").cast("long").alias("rank"), "word", r6(F.col("score")).alias("score"))
 SQL["explicit_closest"] = _with(*CORPUS_ASSOC) + PPMI_REP + f""",
 fq AS (SELECT word FROM (SELECT word, sum(n) AS n FROM counts GROUP BY word) ORDER BY n DESC, word LIMIT 20),

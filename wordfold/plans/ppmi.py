@@ -59,6 +59,19 @@ def encoded_counts(lines: DataFrame, p: CorpusParams) -> tuple[DataFrame, DataFr
     return corpus.pair_counts(pairs), voc, n_vocab
 
 
+def build_epmi(lines: DataFrame, p: CorpusParams) -> tuple[DataFrame, tuple[int, int]]:
+    """(word, context, n, epmi) for every stored cell, plus marginal bounds.
+
+    The id-keyed counts are written once; marginals, the smoothed total and
+    the two cell joins run on long keys, and the strings are attached to the
+    cells only at the end (two vocabulary-sized joins)."""
+    enc, voc, n_vocab = encoded_counts(lines, p)
+    enc = cut_lineage(enc, "counts-ids")
+    bounds = (n_vocab, n_vocab * 2 * p.win if p.positional else n_vocab)
+    ep = assoc.exp_pmi(enc, p.cds, max_rows=bounds[0], max_cols=bounds[1])
+    return corpus.decode_counts(ep, voc, p.win, p.positional, vocab_rows=n_vocab), bounds
+
+
 def counts_from_lines(lines: DataFrame, p: CorpusParams, materialize: bool = True) -> DataFrame:
     return build_counts(lines, p, materialize)[0]
 
@@ -69,8 +82,7 @@ def ppmi_from_counts(counts: DataFrame, cds: float, bounds: tuple = (None, None)
 
 
 def ppmi_table(lines: DataFrame, p: CorpusParams) -> DataFrame:
-    counts, bounds = build_counts(lines, p)
-    return ppmi_from_counts(counts, p.cds, bounds)
+    return assoc.ppmi(build_epmi(lines, p)[0])
 
 
 def top_pairs(ppmi: DataFrame, k: int = 100) -> DataFrame:
