@@ -91,6 +91,10 @@ def train_pu(coo: DataFrame, p: TrainParams, test: DataFrame | None = None,
     # id lists are read by every half-iteration: written once, not re-derived
     # from the entries (a shuffle) each time
     rows, cols = cut_lineage(rows, "row-ids"), cut_lineage(cols, "col-ids")
+    # every solve returns one vector per listed id, so the fixed side's size
+    # is the id count (not counted again each half-iteration); warm starts
+    # may bring other ids, so they are counted
+    n_rows, n_cols = (None, None) if w0 is not None else (rows.count(), cols.count())
     kk = p.k + 2 if (p.bias and w0 is None) else p.k
     fix_h = {kk - 1: 1.0} if p.bias else {}
     fix_w = {kk - 2: 1.0} if p.bias else {}
@@ -98,8 +102,10 @@ def train_pu(coo: DataFrame, p: TrainParams, test: DataFrame | None = None,
     plan_h, plan_w = plan_side(coo, "j", p.heavy_rows, "i"), plan_side(coo, "i", p.heavy_rows, "j")
     history, prev = [], None
     for it in range(1, p.iters + 1):
-        h = cut_lineage(solve_side(coo, "j", "i", w, kk, p.rho, p.lam, fix_h, cols, p.heavy_rows, plan_h), "H")
-        w = cut_lineage(solve_side(coo, "i", "j", h, kk, p.rho, p.lam, fix_w, rows, p.heavy_rows, plan_w), "W")
+        h = cut_lineage(solve_side(coo, "j", "i", w, kk, p.rho, p.lam, fix_h, cols, p.heavy_rows, plan_h,
+                                   n_x=n_rows), "H")
+        w = cut_lineage(solve_side(coo, "i", "j", h, kk, p.rho, p.lam, fix_w, rows, p.heavy_rows, plan_w,
+                                   n_x=n_cols), "W")
         if p.snapshot_path:
             w, h = snapshot_factors(w, h, p.snapshot_path, it)
         if p.log:
