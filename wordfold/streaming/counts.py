@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wordfold.operators import corpus
 from wordfold.plans.ppmi import CorpusParams
+from wordfold.session import cut_lineage
 from wordfold.sources.text import read_corpus
 
 DOC_SCHEMA = "doc_id long, text string"
@@ -22,16 +23,21 @@ DOC_SCHEMA = "doc_id long, text string"
 
 def start_count_stream(spark: SparkSession, source_dir: str, vocab_p: DataFrame, p: CorpusParams,
                        sink_dir: str, checkpoint_location: str, available_now: bool = True):
-    """Start the query; ``vocab_p`` is (word, p_drop) from :func:`corpus.subsample_prob`."""
-    vocab_p = vocab_p.select("word", "p_drop").persist()
+    """Start the query; ``vocab_p`` is (word, p_drop) from :func:`corpus.subsample_prob`.
+
+    Like the batch plan, tokens travel as vocabulary ids (written once, so
+    every micro-batch and every retry sees the same ids) and each micro-batch
+    decodes its reduced counts to strings before writing them."""
+    vocab_p = cut_lineage(corpus.with_token_ids(vocab_p.select("word", "p_drop")), "stream-vocab")
     n_vocab = vocab_p.count()
     docs = spark.readStream.schema(DOC_SCHEMA).parquet(source_dir)
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
         lines = read_corpus(batch.select("doc_id", "text"))
-        kept = corpus.mask_tokens(lines, vocab_p, p.seed, p.chunk_tokens, vocab_rows=n_vocab)
-        pairs = corpus.window_pairs(kept, p.win, p.dyn, p.positional, p.delete, p.seed, p.chunk_tokens)
-        (corpus.pair_counts(pairs).withColumn("epoch", F.lit(int(epoch_id)))
+        kept = corpus.mask_tokens(lines, vocab_p, p.seed, p.chunk_tokens, vocab_rows=n_vocab, token_col="wid")
+        pairs = corpus.window_pairs(kept, p.win, p.dyn, p.positional, p.delete, p.seed, p.chunk_tokens, encoded=True)
+        counts = corpus.decode_counts(corpus.pair_counts(pairs), vocab_p, p.win, p.positional, vocab_rows=n_vocab)
+        (counts.withColumn("epoch", F.lit(int(epoch_id)))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("epoch").parquet(sink_dir))
 
