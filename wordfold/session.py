@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,14 +37,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def require_local(master: str) -> None:
+    """Raise unless driver and executors share one machine's disk."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"master {master!r} needs spark.checkpoint.dir: a folder that the driver and all executors share")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only pick a local one
-    when the setting is absent (tests, local runs)."""
+    The cluster names it in ``spark.checkpoint.dir``. A local folder is picked
+    only when the setting is absent and the master is local: executors of a
+    cluster can't read each other's disks, so there the setting is required."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        require_local(spark.sparkContext.master)
         path = tempfile.mkdtemp(prefix="wordfold-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
