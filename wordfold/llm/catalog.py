@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from wordfold.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from wordfold.llm.langid import op9_compression_langid
+from wordfold.llm.packing import op3_nnls_packing
 from wordfold.llm.token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_nnls_packing": op3_nnls_packing,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op9_compression_langid": op9_compression_langid,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_exact_dedup": OP5_SQL,
+}
