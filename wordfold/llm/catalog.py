@@ -6,6 +6,7 @@ from wordfold.llm.decontaminate import op2_simhash_decontamination
 from wordfold.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from wordfold.llm.langid import op9_compression_langid
 from wordfold.llm.packing import op3_nnls_packing
+from wordfold.llm.sanitise import op8_information_sanitiser
 from wordfold.llm.set_join import op10_prefix_tree_join
 from wordfold.llm.substring_dedup import op4_suffix_array_dedup
 from wordfold.llm.token_files import op1_token_files
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_nnls_packing": op3_nnls_packing,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_information_sanitiser": op8_information_sanitiser,
     "op9_compression_langid": op9_compression_langid,
     "op10_prefix_tree_join": op10_prefix_tree_join,
 }
