@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wordfold.llm import io
 
 BLOCK_BYTES = 8 << 20
-BLOCKS = "block long, ids binary, sizes binary, texts binary"
+BLOCKS = "block long, kind int, ids binary, sizes binary, texts binary"
 #: Stands for a null document id.
 NO_ID = np.iinfo(np.int64).max
 
@@ -61,29 +62,35 @@ class Block:
 
 
 def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of ``BLOCKS`` from ``doc_id, text``, written once. Null texts are
-    empty, null ids ``NO_ID``. A longer text makes a longer block."""
+    """Rows of ``BLOCKS`` from ``doc_id, text`` and, if there, ``kind`` (an
+    int; a block holds one kind), written once. Null texts are empty, null ids
+    ``NO_ID``. A longer text makes a longer block."""
     schema = io.arrow_schema(BLOCKS)
+    docs = docs.select("doc_id", "text", "kind") if "kind" in docs.columns else docs.select("doc_id", "text", F.lit(0).alias("kind"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, sizes, texts, held = io.task_id() << 32, [], [], [], 0
-
-        def row() -> pa.RecordBatch:
-            data = b"".join(t.tobytes() for t in texts)
-            blob = zstandard.ZstdCompressor(level=3).compress(data) if data else b""
-            values = (number, packed(np.concatenate(ids)), packed(np.concatenate(sizes)), blob)
-            return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+    def row(number: int, kind: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        ids, sizes, texts = zip(*parts, strict=True)
+        data = b"".join(t.tobytes() for t in texts)
+        blob = zstandard.ZstdCompressor(level=3).compress(data) if data else b""
+        values = (number, kind, packed(np.concatenate(ids)), packed(np.concatenate(sizes)), blob)
+        return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = io.task_id() << 32
+        waiting: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        held: dict[int, int] = {}
         for piece in io.slices(batches, "text"):
-            data, offsets = io.text_arrays(piece.column(1))
-            if held and held + len(data) > size:
-                yield row()
-                number, ids, sizes, texts, held = number + 1, [], [], [], 0
-            ids.append(piece.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy())
-            sizes.append(np.diff(offsets))
-            texts.append(data)
-            held += len(data)
-        if ids:
-            yield row()
-
-    return io.written(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "blocks", "uncompressed")
+            kinds = piece.column(2).to_numpy()
+            for kind in np.unique(kinds).tolist():
+                of = piece.filter(pa.array(kinds == kind)) if (kinds != kind).any() else piece
+                data, offsets = io.text_arrays(of.column(1))
+                if held.get(kind) and held[kind] + len(data) > size:
+                    yield row(number, kind, waiting.pop(kind))
+                    number, held[kind] = number + 1, 0
+                waiting.setdefault(kind, []).append((of.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(), np.diff(offsets), data))
+                held[kind] = held.get(kind, 0) + len(data)
+        for kind, parts in waiting.items():
+            yield row(number, kind, parts)
+            number += 1
+
+    return io.written(docs.mapInArrow(run, BLOCKS), "blocks", "uncompressed")

@@ -3,10 +3,11 @@
 1. Each document's words are hashed into its set of distinct n-grams, ordered
    by 64-bit hash (the global order). Equal sets are one set from here on.
 2. Candidates by exact signatures: sets within the threshold differ in at most
-   ``k`` elements, so if the hash space is dealt into ``k + 2`` pieces, at
-   least two pieces hold the same elements in both. ``k`` follows from a
-   class of set sizes; a set signs for its class and the next, which covers
-   all sizes it can link with. No pair within the threshold is missed, and
+   ``k`` elements, so if the hash space is dealt into more than ``k`` pieces,
+   some hold the same elements in both. ``k`` follows from a class of set
+   sizes; a set signs for its class and the next, which covers all sizes it
+   can link with. The few sets with many empty pieces also sign by the first
+   elements of the global order. No pair within the threshold is missed, and
    texts that share only a passage rarely agree in a whole piece.
 3. A piece's sets are joined with the smallest of them (first inside each
    task, so that a piece shared by a third of all sets sends one row a task).
@@ -27,6 +28,7 @@ identified by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordfold.llm import graph, hashing, io
+from wordfold.llm.blocks import packed_sorted, unpacked_sorted
 from wordfold.llm.hashing import U, mix
 from wordfold.session import size_bounded_broadcast
 
@@ -74,18 +77,35 @@ class Sets:
             self.ids[full] = mix(np.add.reduceat(mix(self.grams ^ U(0xA5A5A5A5A5A5A5A5)), self.first[full]) + self.sizes[full].astype(U))
 
 
-def size_classes(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(largest size of each class, pieces of each class) up to the class
-    after that of ``largest``. Sizes that may link lie in one class or two
-    neighbours; two sets of at most ``top`` elements differ in at most
-    ``2 * top * (100 - percent) / (100 + percent)`` elements."""
-    tops, top, extra = [], 0, 0
+def size_classes(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(largest size, pieces, spare pieces) of each class up to the class
+    after that of ``largest``.
+
+    Sizes that may link lie in one class or two neighbours. Two sets of at
+    most ``top`` elements differ in at most ``k = 2 * top * (100 - percent) /
+    (100 + percent)`` elements, so of ``k + 1 + spare`` pieces at least
+    ``1 + spare`` agree. The spare ones keep it unlikely that all those are
+    empty: sets with more than ``spare`` empty pieces should be rare."""
+    tops, pieces, spares, top, extra = [], [], [], 0, 0
     while extra < 2:
         extra += top >= largest
+        low = top * percent // 100 + 1
         top = max(top + 1, (top + 1) * 100 // percent)
+        k = 2 * top * (100 - percent) // (100 + percent)
+        chances = []
+        for spare in range(1, 13):
+            empty = (k + 1 + spare) * math.exp(-low / (k + 1 + spare))  # expected, about Poisson
+            term = kept = math.exp(-empty)
+            for i in range(1, spare + 1):
+                term *= empty / i
+                kept += term
+            chances.append(1 - kept)
+        few = [i for i, c in enumerate(chances) if c < 1e-4]
+        spare = 1 + (few[0] if few else chances.index(min(chances)))
         tops.append(top)
-    tops = np.array(tops)
-    return tops, 2 * tops * (100 - percent) // (100 + percent) + 2
+        pieces.append(k + 1 + spare)
+        spares.append(spare)
+    return np.array(tops), np.array(pieces), np.array(spares)
 
 
 def signatures(sets: Sets, chosen: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,11 +115,12 @@ def signatures(sets: Sets, chosen: np.ndarray, percent: int) -> tuple[np.ndarray
     sizes, ids = sets.sizes[chosen], sets.ids[chosen]
     if not len(sizes):
         return np.zeros(0, U), np.zeros(0, U)
-    tops, pieces = size_classes(int(sizes.max()), percent)
+    tops, pieces, spares = size_classes(int(sizes.max()), percent)
     scattered = mix(grams ^ U(0x5851F42D4C957F2D))
     low, high = (scattered & U(0xFFFFFFFF)).astype(float), (scattered >> U(32)).astype(float)
     where = mix(scattered) >> U(32)
     out, of = [], []
+    hollow = np.zeros(len(sizes), bool)
     for step in (0, 1):
         cls = np.searchsorted(tops, sizes) + step
         m = pieces[cls]
@@ -114,10 +135,14 @@ def signatures(sets: Sets, chosen: np.ndarray, percent: int) -> tuple[np.ndarray
         full = count > 0
         out.append(mix(mix(value + count.astype(U)) + key)[full])
         of.append(ids[set_of[full]])
-        # two agreeing pieces may both be empty: those sets meet under the class
-        empty = np.bincount(set_of[~full], minlength=len(m)) > 1
-        out.append(mix(mix(cls[empty].astype(U)) ^ U(0x0F0F0F0F0F0F0F0F)))
-        of.append(ids[empty])
+        hollow |= np.bincount(set_of[~full], minlength=len(m)) > spares[cls]
+    # if all agreeing pieces may be empty: one of the first elements in the
+    # global order is common, as many as may be missing and one more
+    first = np.cumsum(sizes) - sizes
+    rank = np.arange(len(grams)) - first[owner]
+    prefix = hollow[owner] & (rank <= (sizes - -(-percent * sizes // 100))[owner])
+    out.append(mix(grams[prefix] ^ U(0x0F0F0F0F0F0F0F0F)))
+    of.append(ids[owner[prefix]])
     return np.concatenate(out), np.concatenate(of)
 
 
@@ -154,7 +179,7 @@ def sign_documents(docs: DataFrame, buckets: int, n_gram: int, percent: int) ->
             cuts = np.searchsorted(where, np.arange(buckets + 1).astype(U))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 lo, hi = cuts[b], cuts[b + 1]
-                yield 1, b, k[lo:hi].tobytes(), s[lo:hi].tobytes(), None
+                yield 1, b, packed_sorted(k[lo:hi]), s[lo:hi].tobytes(), None
             if len(others[0]):
                 yield 2, int(others[0][0] % U(buckets)), *(x.tobytes() for x in others)
 
@@ -193,6 +218,9 @@ def gather(blobs: DataFrame) -> DataFrame:
     def joined(column: pa.ChunkedArray) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), U)
 
+    def keys(column: pa.ChunkedArray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, U), *[unpacked_sorted(x, U) for x in column.to_pylist()]])
+
     def run(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_numpy()
         out = []
@@ -200,7 +228,7 @@ def gather(blobs: DataFrame) -> DataFrame:
             part = table.filter(pa.array(kinds == kind))
             out.append((kind, *(joined(part[c]) for c in "abc")))
         part = table.filter(pa.array(kinds == 1))
-        _, _, *others = star(joined(part["a"]), joined(part["b"]))
+        _, _, *others = star(keys(part["a"]), joined(part["b"]))
         out.append((2, *others))
         return pa.concat_tables([pa.table([pa.array(np.full(len(x), k, np.int32)), as_long(x), as_long(y), as_long(z)], schema=schema) for k, x, y, z in out])
 
@@ -388,9 +416,9 @@ def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     return filled.union(documents.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def first_documents(docs: DataFrame) -> DataFrame:
+def first_documents(docs: DataFrame, n_gram: int, percent: int) -> DataFrame:
     """One row of each component of ``docs``: that of the smallest doc_id."""
-    away = join_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    away = join_components(docs, n_gram, percent).filter("doc_id <> component_id").select("doc_id").distinct()
     away = io.written(away, "set-join-away")
     return docs.join(size_bounded_broadcast(away, 1_000_000), "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
 
