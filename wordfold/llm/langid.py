@@ -52,8 +52,12 @@ def fit(rows: DataFrame) -> dict[str, bytes]:
     """Dictionary content by language from ``doc_id, text, lang``. The rows
     with the smallest hash of ``doc_id`` make the sample."""
     known = rows.filter("text is not null and lang is not null")
+    # rows with a small hash only, so that few of a language meet in a task
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    few = known.select("lang", "doc_id").join(counts, "lang").filter(share * F.col("rows") < 4 * SAMPLE_ROWS)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= SAMPLE_ROWS)
+    chosen = few.select("lang", "doc_id").withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= SAMPLE_ROWS)
     chosen = io.written(chosen.drop("n"), "langid-sample")  # at most SAMPLE_ROWS a language
     pieces = known.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("piece"))
     found = defaultdict(list)
