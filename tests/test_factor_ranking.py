@@ -1,13 +1,18 @@
 """Factorization data operators, training properties and ranking metrics."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from wordfold.operators import coo as D
 from wordfold.operators import factor as E
 from wordfold.operators import ranking as R
-from wordfold.plans.train import TrainParams, train_pu
+from wordfold.operators.solve import settled
+from wordfold.plans.train import SgdParams, TrainParams, train_ccd, train_pu, train_sgd
+from wordfold.session import require_local
 
 
 def small(spark, seed=0, m=12, n=9, k=3, density=0.4):
@@ -26,16 +31,36 @@ def test_glove_weights(spark):
     assert got[(0, 0)] == 1.0 and abs(got[(0, 1)] - 0.125) < 1e-12 and got[(1, 1)] == 1.0
 
 
+def dense(w, h):
+    return np.array([r.vec for r in w.orderBy("id").collect()]) @ np.array([r.vec for r in h.orderBy("id").collect()]).T
+
+
 def test_pu_loss_gram_equals_enumeration(spark):
-    coo, w, h, _ = small(spark)
+    coo, w, h, cells = small(spark)
     rho = 0.3
     gram = E.pu_loss(coo, w, h, rho).first()
-    grid = E.zero_fill(coo, w.select("id"), h.select("id"))
-    p = E.predictions(grid, w, h).toPandas()
-    stored = p["v"] != 0
-    omega = ((p["v"] - p["p"]) ** 2)[stored].sum()
-    zero = rho * (p["p"] ** 2)[~stored].sum()
+    p, a = dense(w, h), np.full((12, 9), np.nan)
+    for i, j, v in cells:
+        a[i, j] = v
+    omega, zero = np.nansum((a - p) ** 2), rho * (p[np.isnan(a)] ** 2).sum()
     assert abs(gram["omega"] - omega) < 1e-8 and abs(gram["zero"] - zero) < 1e-8
+    weighted = E.weighted_zero_loss(coo, w, h, rho).first()["loss"]
+    assert abs(weighted - omega - zero) < 1e-8
+
+
+def test_losses_keep_cells_without_factors(spark):
+    coo, w, h, cells = small(spark)
+    known = w.where("id < 6")
+    p = dense(w, h)
+    p[6:] = 0.0
+    loss = sum((v - p[i, j]) ** 2 for i, j, v in cells)
+    got = E.loss_rmse(coo, known, h).first()
+    assert abs(got["loss"] - loss) < 1e-8 and abs(got["rmse"] - np.sqrt(loss / len(cells))) < 1e-8
+    row = E.objective(coo, known, h, 0.2, 0.1).first()
+    x = {r.id: np.array(r.vec) for r in known.collect()}
+    y = {r.id: np.array(r.vec) for r in h.collect()}
+    reg = sum((x[i] ** 2).sum() if i in x else 0.0 for i, _, _ in cells) + sum((y[j] ** 2).sum() for _, j, _ in cells)
+    assert abs(row["omega"] - loss) < 1e-8 and abs(row["reg"] - reg) < 1e-8
 
 
 def test_gram_matrix_two_level(spark):
@@ -118,11 +143,91 @@ def test_dcg_levels_pad_with_last_value(spark):
     assert got[1] == 1.0 and got[4] == 1.0 and got[2] == got[3] == 1.0
 
 
-def test_zero_fill_matches_dense_grid(spark):
-    coo, w, h, _ = small(spark)
-    stored = {(r.i, r.j): r.v for r in coo.collect()}
-    rows = [r.id for r in w.select("id").collect()]
-    cols = [r.id for r in h.select("id").collect()]
-    got = {(r.i, r.j): r.v for r in E.zero_fill(coo, w.select("id"), h.select("id")).collect()}
-    assert len(got) == len(rows) * len(cols)
-    assert got == {(i, j): stored.get((i, j), 0.0) for i in rows for j in cols}
+def test_ranks_with_equal_vectors_missing_factors_and_repeated_cells(spark):
+    rng = np.random.default_rng(11)
+    kinds = rng.normal(size=(7, 5))
+    cols = [(j, kinds[j % 7].tolist()) for j in range(60)]
+    h = spark.createDataFrame(cols, "id long, vec array<double>")
+    w = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(4)], "id long, vec array<double>")  # row 4 has none
+    cells = [(i, int(j), 1.0) for i in range(5) for j in rng.choice(60, 12, replace=False)]
+    cells += [(0, 59, 2.0), (0, 59, -3.0)]  # together no positive
+    cells = [c for c in cells if c[:2] != (0, 59) or c[2] != 1.0]
+    ign = [(i, int(j)) for i in range(5) for j in rng.choice(60, 15, replace=False)]
+    truth = spark.createDataFrame(cells, "i long, j long, v double")
+    ignored = spark.createDataFrame([(*c, 1.0) for c in ign], "i long, j long, v double")
+    W = {r.id: r.vec for r in w.collect()}
+    ranks = {(r.i, r.j): (r.rank, r.nr_pos) for r in R.rank_positives(truth, w, h, ignored, block_rows=16).collect()}
+    expected = {}
+    for i in range(5):
+        score = {j: sum(a * b for a, b in zip(W[i], v)) if i in W else 0.0 for j, v in cols}
+        order = sorted((j for j, _ in cols if (i, j) not in set(ign)), key=lambda j: (-score[j], j))
+        total = {}
+        for a, j, v in cells:
+            if a == i:
+                total[j] = total.get(j, 0.0) + v
+        for n, j in enumerate([j for j in order if total.get(j, 0.0) > 0], 1):
+            expected[(i, j)] = (order.index(j) + 1, n)
+    assert ranks == expected
+    top = R.recommend_topk(truth.select(F.col("i").alias("id")), w, h, 2, ignored, block_rows=16)
+    assert {r.i for r in top.collect()} == set(range(5))
+
+
+def test_trainers_reach_their_optimum(spark):
+    coo, _, _, _ = small(spark, seed=9, m=25, n=18)
+    p = TrainParams(k=4, lam=0.1, rho=0.05, iters=3)
+    res = train_pu(coo, p)
+    assert all(r.settled for r in settled(coo, "i", "j", res.w, res.h, 4, 0.05, 0.1).collect())
+    ccd = train_ccd(coo, TrainParams(k=2, lam=0.1, iters=3, inner=2, center=True))
+    assert all(h["gain"] >= 0 for h in ccd.history) and ccd.history[-1]["loss"] < ccd.history[0]["loss"] + 1e-9
+    assert ccd.mean > 0 and ccd.w.count() == 25
+    nmf = train_ccd(coo, TrainParams(k=2, lam=0.1, iters=2, inner=2, nmf=True))
+    assert all(min(r.vec) >= 0 for r in nmf.h.collect())
+    for q in (SgdParams(split=True, bold=True), SgdParams(rho=0.1, shifted=True)):
+        sgd = train_sgd(coo, TrainParams(k=4, lam=0.01, iters=3), q)
+        assert sgd.history[-1]["loss"] < sgd.history[0]["loss"]
+
+
+def test_early_stop_does_not_depend_on_the_log(spark):
+    coo, _, _, _ = small(spark, seed=10)
+    a, b = (train_pu(coo, TrainParams(k=3, rho=0.1, iters=6, eps=0.05, log=log)) for log in (True, False))
+    assert len(a.history) == len(b.history) < 6 and b.log is None
+
+
+def test_demo_rank_fits_in_bounded_blocks(spark, monkeypatch):
+    from wordfold.operators import solve
+
+    coo, _, _, _ = small(spark, seed=12, m=30, n=8)
+    monkeypatch.setattr(solve, "FLUSH_BYTES", 3 * 302 * 302 * 8)
+    kernel = solve._segment_kernel(np.eye(302), 0.0, 0.1, 302, {})
+    x = np.random.default_rng(0).normal(size=(240, 302))
+    pdf = pd.DataFrame(x, columns=[f"x{d}" for d in range(302)])
+    pdf["t"], pdf["salt"], pdf["w"], pdf["a"] = np.repeat(np.arange(30), 8), -1, 1.0, 1.0
+    tracemalloc.start()
+    out = pd.concat(list(kernel(iter([pdf]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(out["t"]) == list(range(30)) and peak < 60e6
+    g = np.eye(302) + x[:8].T @ x[:8] + 0.8 * np.eye(302)
+    assert np.allclose(np.stack(out[out["t"] == 0]["vec"])[0], np.linalg.solve(g, x[:8].sum(axis=0)))
+
+
+def test_ids_are_unique_without_a_cache(spark):
+    ids = D.dense_ids(spark.range(1000).withColumn("x", F.rand(3)).select("x"), ["x"])
+    spark.catalog.clearCache()
+    assert sorted(r.id for r in ids.collect()) == list(range(1000))
+
+
+def test_cluster_needs_a_shared_folder():
+    require_local("local[4]")
+    require_local("local")
+    with pytest.raises(ValueError):
+        require_local("yarn")
+    with pytest.raises(ValueError):
+        require_local("local-cluster[2,1,1024]")
+
+
+def test_matrix_multiplication_keeps_empty_rows(spark):
+    coo = spark.createDataFrame([(0, 0, 2.0)], "i long, j long, v double")
+    f = spark.createDataFrame([(0, [1.0, 2.0])], "id long, vec array<double>")
+    rows = spark.createDataFrame([(0,), (1,)], "id long")
+    assert {r.i: r.vec for r in D.spmm(coo, f, rows=rows).collect()} == {0: [2.0, 4.0], 1: [0.0, 0.0]}

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from typing import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,17 @@ from pyspark.sql import types as T
 DEFAULT_BLOCK_ROWS = 4096
 
 
+def block_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """<q_r, c_s> of all rows of two blocks, summed over the dimensions in
+    order. Unlike a matrix product, whose order of summation depends on the
+    blocks' shapes, equal vectors always get equal scores, and the scores
+    equal those of :func:`wordfold.functions.vec.dot` bit by bit."""
+    out = np.zeros((len(q), len(c)))
+    for d in range(q.shape[1]):
+        out += q[:, d, None] * c[None, :, d]
+    return out
+
+
 def n_blocks(df: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> int:
     return max(1, math.ceil(df.count() / block_rows))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordfold.functions.rand import keyed_hash32, lit_key
-from wordfold.session import size_bounded_broadcast
+from wordfold.session import cut_lineage, size_bounded_broadcast
 
 
 def transpose(coo: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
@@ -41,7 +41,8 @@ def dense_ids(df: DataFrame, order_cols: list, id_col: str = "id") -> DataFrame:
     single-partition window: range-partitioned sort, then per-partition
     offsets from one small row per partition."""
     srt = df.orderBy(*order_cols)
-    srt = srt.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")).persist()
+    # written, not cached: a lost cache block would be cut and numbered anew
+    srt = cut_lineage(srt.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")), "ids")
     sizes = srt.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_m0"))
     offs = sizes.select("_p", "_m0", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_off"))
     return srt.join(F.broadcast(offs), "_p").withColumn(id_col, F.col("_off") + F.col("_m") - F.col("_m0")).drop(
@@ -89,8 +90,9 @@ def spmv_t(coo: DataFrame, u: DataFrame, cols: DataFrame | None = None) -> DataF
     return spmv(transpose(coo), u, cols).withColumnRenamed("i", "j")
 
 
-def spmm(coo: DataFrame, factors: DataFrame, a: float = 1.0, h0: DataFrame | None = None) -> DataFrame:
-    """D8. (i, vec) = a * X W (+ H0). W is (id, vec) keyed by column id.
+def spmm(coo: DataFrame, factors: DataFrame, a: float = 1.0, h0: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """D8. (i, vec) = a * X W (+ H0). W is (id, vec) keyed by column id. Rows
+    listed in ``rows`` (column id) but without entries get zeros.
 
     Each entry contributes v * W_j; the per-(i, dim) sums are partial-aggregated
     before the shuffle, then the k sums of a row are reassembled."""
@@ -100,9 +102,14 @@ def spmm(coo: DataFrame, factors: DataFrame, a: float = 1.0, h0: DataFrame | Non
     if h0 is not None:
         base = h0.select(F.col("id").alias("i"), F.posexplode("vec").alias("t", "s"))
         parts = parts.unionByName(base).groupBy("i", "t").agg(F.sum("s").alias("s"))
-    return parts.groupBy("i").agg(
+    out = parts.groupBy("i").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("t", "s"))), lambda e: e["s"]).alias("vec")
     )
+    if rows is not None:
+        k = factors.select(F.size("vec").alias("k")).first()
+        zeros = F.array_repeat(F.lit(0.0), k["k"] if k else 0)
+        out = rows.select(F.col("id").alias("i")).distinct().join(out, "i", "left").select("i", F.coalesce("vec", zeros).alias("vec"))
+    return out
 
 
 def _partial_gram(k: int):
@@ -149,7 +156,7 @@ def gram_matrix(a: DataFrame, b: DataFrame | None = None, k: int | None = None)
         pairs = a.select("id", "vec").join(b.select("id", F.col("vec").alias("vec2")), "id").select("vec", "vec2")
     schema = T.StructType([T.StructField("g", T.ArrayType(T.DoubleType()))])
     partials = pairs.mapInPandas(_partial_gram(k), schema)
-    n_part = max(1, int(np.sqrt(max(1, pairs.rdd.getNumPartitions()))))
+    n_part = max(1, int(np.sqrt(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     summed = partials.repartition(n_part).mapInPandas(_sum_partials(k), schema)
     total = np.zeros(k * k)
     for row in summed.collect():

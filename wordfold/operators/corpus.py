@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordfold.functions.rand import keyed_uniform, lit_key
-from wordfold.session import size_bounded_broadcast
+from wordfold.session import cut_lineage, size_bounded_broadcast
 
 DEFAULT_CHUNK = 16384
 
@@ -258,7 +258,7 @@ def assign_ids(keys: DataFrame, col: str = "word", id_col: str = "id") -> DataFr
     partition) give offsets; id = offset + rank inside the partition."""
     srt = keys.select(col).distinct().orderBy(col)
     srt = srt.select(col, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
-    srt = srt.persist()
+    srt = cut_lineage(srt, "ids")  # written, not cached: a lost cache block would be cut anew
     sizes = srt.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_m0"))
     offs = sizes.select(
         "_p", "_m0", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_off")

@@ -50,32 +50,6 @@ def test_vocab(test: DataFrame) -> DataFrame:
     return assign_ids(words, "word", "id")
 
 
-def _block_kernel(dense: bool):
-    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({"query": pd.Series([], dtype=object), "word": pd.Series([], dtype=object),
-                                 "score": pd.Series([], dtype=float)})
-        s = np.stack(q["qvec"].to_numpy()) @ np.stack(c["vec"].to_numpy()).T
-        if dense:
-            s = (s + 1.0) / 2.0
-        return pd.DataFrame({
-            "query": np.repeat(q["query"].to_numpy(), len(c)),
-            "word": np.tile(c["word"].to_numpy(), len(q)),
-            "score": s.ravel(),
-        })
-
-    return kernel
-
-
-def similarity_block(words: DataFrame, vecs: DataFrame, dense: bool = True,
-                     block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """H4. (query, word, score) for test words x vocabulary; dense scores are
-    mapped to (s + 1) / 2. The output is the dense block by definition."""
-    q = represent(words.select("word").distinct(), vecs).select(F.col("word").alias("query"), F.col("vec").alias("qvec"))
-    return cogroup_blocks(q, vecs.select("word", "vec"), ["query"], ["word"], _block_kernel(dense),
-                          "query string, word string, score double", block_rows)
-
-
 def _analogy_kernel(dense: bool):
     def best(scores: np.ndarray, words: np.ndarray) -> tuple[int, float]:
         m = np.max(scores)
@@ -149,8 +123,8 @@ def evaluation_catalog(models: DataFrame, tasks: DataFrame) -> DataFrame:
     """A16. (model, task, spearman) for every saved model against every task
     in one grouped job. ``models``: (model, word, vec) normalized vectors;
     ``tasks``: (task, w1, w2, gold). Unknown words score 0."""
-    names = [r["model"] for r in models.select("model").distinct().collect()]  # a handful of model names
-    pairs = tasks.withColumn("model", F.explode(F.array(*[F.lit(n) for n in names])))
+    # every task row for every model: both sides of the equality are constant
+    pairs = tasks.withColumn("_one", F.lit(1)).join(models.select("model", F.lit(1).alias("_one")).distinct(), "_one").drop("_one")
     va = models.select("model", F.col("word").alias("w1"), F.col("vec").alias("_a"))
     vb = models.select("model", F.col("word").alias("w2"), F.col("vec").alias("_b"))
     from wordfold.functions.vec import dot

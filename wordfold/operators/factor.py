@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wordfold.functions import vec as V
 from wordfold.functions.rand import keyed_hash32, keyed_uniform, lit_key
-from wordfold.operators.coo import gram_table, nnz_by_row
+from wordfold.operators.coo import gram_matrix, nnz_by_row
 from wordfold.session import size_bounded_broadcast
 
 # GloVe-style weight exponent and default cap.
@@ -32,8 +32,8 @@ def _side(f: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def with_factors(coo: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
-    """Attach wi / hj vectors to every stored cell (inner joins)."""
-    return coo.join(_side(w, "i", "wi"), "i").join(_side(h, "j", "hj"), "j")
+    """Attach wi / hj vectors to every stored cell; null where an id has none."""
+    return coo.join(_side(w, "i", "wi"), "i", "left").join(_side(h, "j", "hj"), "j", "left")
 
 
 # ---------------------------------------------------------------- E1 - E4
@@ -109,61 +109,56 @@ def residual_loss(r: DataFrame) -> DataFrame:
     return r.agg(F.sum(F.col("v") * F.col("v")).alias("loss"))
 
 
-def rank_one_update(r: DataFrame, u: DataFrame, v: DataFrame, lam: float, nmf: bool = False) -> DataFrame:
-    """E6. New v_j = sum w u_i r_ij / (lam n_j + sum w u_i^2) over the column's
-    n_j stored cells; empty columns keep v_j; NMF clamps at 0.
-    Returns (id, x, fundec)."""
-    w = _wcol(r)
-    g = r.join(u.select(F.col("id").alias("i"), F.col("x").alias("_u")), "i").groupBy("j").agg(
-        F.sum(w * F.col("_u") * F.col("v")).alias("g"),
-        (F.lit(float(lam)) * F.count(F.lit(1)) + F.sum(w * F.col("_u") * F.col("_u"))).alias("h"))
-    cur = v.select(F.col("id").alias("j"), F.col("x").alias("old"))
-    j = cur.join(g, "j", "left")
-    new = F.when(F.col("h") != 0, F.col("g") / F.col("h")).otherwise(F.lit(0.0))
-    clamp = F.lit(nmf) & (new < 0)
-    x = F.when(F.col("g").isNull(), F.col("old")).when(clamp, F.lit(0.0)).otherwise(new)
-    dec = F.when(F.col("g").isNull(), F.lit(0.0)).when(
-        clamp, -2 * F.col("g") * F.col("old") + F.col("h") * F.col("old") * F.col("old")).otherwise(
-        F.col("h") * (F.col("old") - new) * (F.col("old") - new))
-    return j.select(F.col("j").alias("id"), x.alias("x"), dec.alias("fundec"))
-
-
-def pu_rank_one_update(a: DataFrame, r: DataFrame, w_f: DataFrame, h_f: DataFrame, t: int, rho: float, lam: float) -> DataFrame:
-    """E7. PU update of rank t of H given W:
-
-    v_j = [sum (w-rho) u r + rho (sum u a - sum_{s!=t} (u.W_s) H_s[j])] /
-          [sum (w-rho) u^2 + rho u.u + lam n_j]
-
-    with u = W[:, t]; sums over the column's stored cells (a: values, r:
-    residual without rank t). The k scalars u.W_s come from one Gram row."""
-    k = len(w_f.select("vec").first()[0])
-    u = w_f.select("id", F.element_at("vec", t + 1).alias("u"))
-    # scalars u.W_s for every s (one pass over W, k sums)
-    cross = w_f.select(F.posexplode("vec").alias("s", "x"), F.element_at("vec", t + 1).alias("u")).groupBy("s").agg(
-        F.sum(F.col("u") * F.col("x")).alias("uw"))
-    uws = {row["s"]: row["uw"] for row in cross.collect()}  # k scalars
-    utu = uws[t]
-    coef = F.array(*[F.lit(0.0 if s == t else float(uws[s])) for s in range(k)])
-    uwht = h_f.select(F.col("id").alias("j"), V.dot("vec", coef).alias("uwht"))
-    w = _wcol(r)
-    cells = r.select("i", "j", F.col("v").alias("r"), w.alias("w")).join(a.select("i", "j", F.col("v").alias("a")), ["i", "j"])
-    cells = cells.join(u.select(F.col("id").alias("i"), "u"), "i")
-    agg = cells.groupBy("j").agg(
-        F.sum((F.col("w") - rho) * F.col("u") * F.col("r")).alias("urc"),
-        F.sum(F.col("u") * F.col("a")).alias("uac"),
-        F.sum((F.col("w") - rho) * F.col("u") * F.col("u")).alias("uuo"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    j = uwht.join(agg, "j", "left").na.fill(0.0, ["urc", "uac", "uuo"]).na.fill(0, ["n"])
-    num = F.col("urc") + F.lit(rho) * (F.col("uac") - F.col("uwht"))
-    den = F.col("uuo") + F.lit(rho * utu) + F.lit(lam) * F.col("n")
-    return j.select(F.col("j").alias("id"), F.when(den != 0, num / den).otherwise(F.lit(0.0)).alias("x"))
+def rank_one_update(cells: DataFrame, u: DataFrame, v: DataFrame, lam: float, nmf: bool = False) -> DataFrame:
+    """E6. The best x_j for sum_i w_ij (r_ij - u_i x_j)^2 + lam n_j x_j^2 with u
+    fixed: where the derivative vanishes, x_j = (sum w u r) / (sum w u^2 + lam n_j),
+    not below 0 with ``nmf``. Columns without cells keep their value. Ids
+    without an entry in ``u`` count as 0. Returns (id, x, gain), where gain is
+    by how much the objective falls."""
+    weight, at = _wcol(cells), F.coalesce(F.col("at"), F.lit(0.0))
+    known = cells.join(u.select(F.col("id").alias("i"), F.col("x").alias("at")), "i", "left").groupBy(F.col("j").alias("id")).agg(
+        F.sum(weight * at * F.col("v")).alias("slope"),
+        (F.sum(weight * at * at) + lam * F.count(F.lit(1))).alias("curve"))
+    best = F.when(F.col("curve") > 0, F.col("slope") / F.col("curve")).otherwise(0.0)
+    best = F.greatest(best, F.lit(0.0)) if nmf else best
+
+    def value(x: F.Column) -> F.Column:  # the objective as a function of x_j, without its constant
+        return F.col("curve") * x * x - 2 * F.col("slope") * x
+
+    there = v.select("id", F.col("x").alias("old")).join(known, "id", "left")
+    moved = there.withColumn("x", F.when(F.col("slope").isNull(), F.col("old")).otherwise(best))
+    return moved.select("id", "x", F.coalesce(value(F.col("old")) - value(F.col("x")), F.lit(0.0)).alias("gain"))
+
+
+def pu_rank_one_update(coo: DataFrame, w: DataFrame, h: DataFrame, t: int, rho: float, lam: float) -> DataFrame:
+    """E7. The best value of dimension t of every column vector for the PU
+    objective, the other dimensions fixed.
+
+    With p' the product without dimension t, the derivative vanishes where
+    x (sum_stored (w - rho) u^2 + rho <u, u> + lam n) =
+    sum_stored (w v - (w - rho) p') u - rho sum_{s<>t} <u, W_s> h_s: all pairs
+    count with rho through one Gram row, and stored cells with the rest of
+    their weight. Ids without factors count as zeros. Returns (id, x)."""
+    gram_row = gram_matrix(w)[t]
+    others = gram_row.copy()
+    others[t] = 0.0
+    weight, u = _wcol(coo), F.element_at("wi", t + 1)
+    rest = V.dot("wi", "hj") - u * F.element_at("hj", t + 1)
+    cells = with_factors(coo, w, h).where(F.col("wi").isNotNull() & F.col("hj").isNotNull())
+    stored = cells.groupBy(F.col("j").alias("id")).agg(
+        F.sum((weight * F.col("v") - (weight - rho) * rest) * u).alias("pull"),
+        F.sum((weight - rho) * u * u).alias("curve"))
+    n = nnz_by_row(coo, "j").select(F.col("j").alias("id"), "nnz")
+    every = h.join(stored, "id", "left").join(n, "id", "left").na.fill(0, ["pull", "curve", "nnz"])
+    push = V.dot("vec", F.array(*[F.lit(float(x)) for x in others]))
+    curve = F.col("curve") + rho * float(gram_row[t]) + lam * F.col("nnz")
+    return every.select("id", F.when(curve != 0, (F.col("pull") - rho * push) / curve).otherwise(0.0).alias("x"))
 
 
 # ---------------------------------------------------------------- E8 - E11 losses
 def predictions(coo: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
-    """Stored cells with p = <w_i, h_j>."""
-    return with_factors(coo, w, h).withColumn("p", V.dot("wi", "hj")).drop("wi", "hj")
+    """Stored cells with p = <w_i, h_j>; 0 where an id has no factors."""
+    return with_factors(coo, w, h).withColumn("p", F.coalesce(V.dot("wi", "hj"), F.lit(0.0))).drop("wi", "hj")
 
 
 def loss_rmse(coo: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
@@ -173,46 +168,57 @@ def loss_rmse(coo: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
         "loss", F.sqrt(F.col("loss") / F.col("nnz")).alias("rmse"))
 
 
-def gram_inner(w: DataFrame, h: DataFrame) -> DataFrame:
-    """One row: <W^T W, H^T H> (Frobenius) from two k x k Gram tables."""
-    gw = gram_table(w).withColumnRenamed("g", "gw")
-    gh = gram_table(h).withColumnRenamed("g", "gh")
-    return gw.join(gh, ["t1", "t2"]).agg(F.sum(F.col("gw") * F.col("gh")).alias("gg"))
+def gram_inner(w: DataFrame, h: DataFrame) -> float:
+    """<W^T W, H^T H>: the sum of squared products over all row-column pairs,
+    from two k x k Gram matrices."""
+    return float((gram_matrix(w) * gram_matrix(h)).sum())
+
+
+def stored_sums(coo: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
+    """One row of what the losses need from the stored cells, in one pass:
+    omega = sum w (v - p)^2, loss = sum (v - p)^2, pp = sum p^2, nnz, and
+    reg = sum_i n_i |w_i|^2 + sum_j n_j |h_j|^2. Ids without factors count as
+    zero vectors."""
+    p, none = F.coalesce(V.dot("wi", "hj"), F.lit(0.0)), F.lit(0.0)
+    cells = with_factors(coo, w, h).withColumn("p", p)
+    norms = F.coalesce(V.sq_norm("wi"), none) + F.coalesce(V.sq_norm("hj"), none)
+    error = (F.col("v") - F.col("p")) ** 2
+    total = lambda c: F.coalesce(F.sum(c), none)
+    return cells.agg(total(_wcol(coo) * error).alias("omega"), total(error).alias("loss"), total(F.col("p") * F.col("p")).alias("pp"),
+                     F.count(F.lit(1)).alias("nnz"), total(norms).alias("reg"))
 
 
 def pu_loss(coo: DataFrame, w: DataFrame, h: DataFrame, rho: float) -> DataFrame:
     """E9. One row (omega, zero, loss): omega = sum_Omega w (v - p)^2,
     zero = rho (<W^T W, H^T H> - sum_Omega p^2); m x n never enumerated."""
-    p = predictions(coo, w, h)
-    wc = _wcol(coo)
-    parts = p.agg(
-        F.sum(wc * (F.col("v") - F.col("p")) ** 2).alias("omega"),
-        F.sum(F.col("p") * F.col("p")).alias("pp"),
-    )
-    return parts.crossJoin(gram_inner(w, h)).select(
-        "omega", (F.lit(rho) * (F.col("gg") - F.col("pp"))).alias("zero")).withColumn(
-        "loss", F.col("omega") + F.col("zero"))
+    zero = F.lit(rho) * (F.lit(gram_inner(w, h)) - F.col("pp"))
+    return stored_sums(coo, w, h).select("omega", zero.alias("zero"), (F.col("omega") + zero).alias("loss"))
 
 
-def weighted_zero_loss(cells: DataFrame, w: DataFrame, h: DataFrame, rho: float) -> DataFrame:
-    """E10. Over an explicit table that stores zeros: (p - v)^2 where v > 0,
-    rho p^2 elsewhere. One row (loss)."""
-    p = predictions(cells, w, h)
-    return p.agg(F.sum(F.when(F.col("v") > 0, (F.col("p") - F.col("v")) ** 2).otherwise(
-        F.lit(rho) * F.col("p") * F.col("p"))).alias("loss"))
+def weighted_zero_loss(coo: DataFrame, w: DataFrame, h: DataFrame, rho: float) -> DataFrame:
+    """E10. (p - v)^2 over the stored cells with v > 0, rho p^2 over all other
+    pairs of a row of ``w`` and a column of ``h``. The zero cells are never
+    listed: their sum is that over all pairs (Gram) less the stored ones.
+    One row (loss)."""
+    p = predictions(coo.where(F.col("v") > 0), w, h)
+    known = p.agg(F.coalesce(F.sum((F.col("p") - F.col("v")) ** 2), F.lit(0.0)).alias("positive"),
+                  F.coalesce(F.sum(F.col("p") * F.col("p")), F.lit(0.0)).alias("pp"))
+    return known.select((F.col("positive") + F.lit(rho) * (F.lit(gram_inner(w, h)) - F.col("pp"))).alias("loss"))
 
 
 def regularizer(coo: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
     """E11. One row: reg = sum_i n_i |w_i|^2 + sum_j n_j |h_j|^2."""
-    rw = nnz_by_row(coo, "i").join(_side(w, "i", "x"), "i").agg(F.sum(F.col("nnz") * V.sq_norm("x")).alias("a"))
-    rh = nnz_by_row(coo, "j").join(_side(h, "j", "x"), "j").agg(F.sum(F.col("nnz") * V.sq_norm("x")).alias("b"))
-    return rw.crossJoin(rh).select((F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("reg"))
+    return stored_sums(coo, w, h).select("reg")
 
 
 def objective(coo: DataFrame, w: DataFrame, h: DataFrame, rho: float, lam: float) -> DataFrame:
-    """E11. One row (omega, zero, loss, reg, obj) with obj = loss + lam * reg."""
-    return pu_loss(coo, w, h, rho).crossJoin(regularizer(coo, w, h)).withColumn(
-        "obj", F.col("loss") + F.lit(lam) * F.col("reg"))
+    """E11. One row (omega, zero, loss, reg, rmse, obj) with obj = omega + zero +
+    lam * reg; one pass over the stored cells and two Gram matrices."""
+    inner = gram_inner(w, h) if rho else 0.0
+    zero = F.lit(rho) * (F.lit(inner) - F.col("pp"))
+    return stored_sums(coo, w, h).select(
+        "omega", zero.alias("zero"), (F.col("omega") + zero).alias("loss"), "reg",
+        F.sqrt(F.col("loss") / F.col("nnz")).alias("rmse"), (F.col("omega") + zero + F.lit(lam) * F.col("reg")).alias("obj"))
 
 
 # ---------------------------------------------------------------- E12 - E16 sampling
@@ -236,8 +242,7 @@ def sample_negatives(coo: DataFrame, m: int, n: int, strategy: str = "pu1", rati
 
     * pu0: each stored cell is kept with prob nnz/(nnz+rho*m*n) and
       rho*m*n*(that share) cells are drawn;
-    * pu1: all stored cells plus ratio*nnz drawn cells;
-    * pu2: m*n draws in total, each stored cell kept with prob nnz/(nnz+m*n).
+    * pu1: all stored cells plus ratio*nnz drawn cells.
     Drawn cells may coincide with stored ones (as in the reference).
     Columns: (i, j, v, stored)."""
     spark = coo.sparkSession
@@ -248,9 +253,6 @@ def sample_negatives(coo: DataFrame, m: int, n: int, strategy: str = "pu1", rati
         n_draw = int(round(rho * mn * keep_p))
     elif strategy == "pu1":
         keep_p, n_draw = 1.0, int(round(ratio * nnz))
-    elif strategy == "pu2":
-        keep_p = nnz / (nnz + mn)
-        n_draw = int(round(mn * (1 - keep_p)))
     else:
         raise ValueError(strategy)
     stored = coo.where(keyed_uniform(lit_key("keep"), lit_key(seed), "i", "j") < keep_p) if keep_p < 1 else coo
@@ -270,32 +272,6 @@ def sample_cells_lookup(coo: DataFrame, m: int, n: int, n_draw: int, rho: float
                        F.when(F.col("_v").isNull(), F.lit(rho)).otherwise(F.lit(1.0)).alias("w"))
 
 
-GRID_CELLS_PER_PARTITION = 8_000_000
-
-
-def zero_fill(coo: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
-    """E14. The full grid rows x cols with the stored value or 0.
-
-    The output is m*n rows by definition (the dense PU strategy of the SGD
-    trainer); the PU losses and the row solvers never need it (they use the
-    Gram identity). The grid is generated, not joined: ``range(m*n)`` split
-    into partitions of a fixed cell budget, cell c -> (c div n, c mod n) dense
-    indices, mapped back to ids through the two dense id tables (broadcast
-    when their measured size allows), then a left join with the stored cells."""
-    from wordfold.operators.corpus import assign_ids
-
-    r = assign_ids(rows.select(F.col("id").alias("i")), "i", "_ri").persist()
-    c = assign_ids(cols.select(F.col("id").alias("j")), "j", "_cj").persist()
-    nr, nc = r.count(), c.count()
-    spark = coo.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, -(-nr * nc // GRID_CELLS_PER_PARTITION))
-    grid = spark.range(0, nr * nc, 1, parts).select(
-        (F.col("id") / F.lit(nc)).cast("long").alias("_ri"), F.pmod(F.col("id"), F.lit(nc)).alias("_cj"))
-    grid = grid.join(size_bounded_broadcast(r, known_rows=nr), "_ri").join(size_bounded_broadcast(c, known_rows=nc), "_cj")
-    return grid.join(coo.select("i", "j", F.col("v").alias("_v")), ["i", "j"], "left").select(
-        "i", "j", F.coalesce("_v", F.lit(0.0)).alias("v"))
-
-
 def pu_zero_gradient_step(w: DataFrame, h: DataFrame, rho: float, eta: float) -> tuple[DataFrame, DataFrame]:
     """E15. W <- W - eta rho W (H^T H); then H <- H - eta rho H (W^T W) with the new W.
 
@@ -303,8 +279,6 @@ def pu_zero_gradient_step(w: DataFrame, h: DataFrame, rho: float, eta: float) ->
     shipped with the task closure; each Arrow batch of factor rows is updated
     by one numpy product (no per-element expressions, so the plan does not
     grow with k^2)."""
-    from wordfold.operators.coo import gram_matrix
-
     def step(x: DataFrame, g: np.ndarray) -> DataFrame:
         m = float(eta * rho) * np.asarray(g, dtype=float)
         x = x.select("id", "vec")
@@ -323,25 +297,20 @@ def pu_zero_gradient_step(w: DataFrame, h: DataFrame, rho: float, eta: float) ->
     return w2, h2
 
 
-def entry_regularization(entries: DataFrame, coo: DataFrame, n_cols: int, lam: float, mode: str = "row_share") -> DataFrame:
-    """E16. Per-entry lambda from the row's entry count n_i:
-    'row_share' -> lam n_i / (n_cols + n_i); 'row_frac' -> lam n_i / n_cols;
-    'stored_only' / 'zero_only' -> row_frac on stored (v > 0) / zero cells, 0 elsewhere.
-    Adds column ``lam``."""
-    n = size_bounded_broadcast(nnz_by_row(coo, "i"))
-    j = entries.join(n, "i", "left").withColumn("nnz", F.coalesce("nnz", F.lit(0)))
-    frac = F.lit(float(lam)) * F.col("nnz") / F.lit(float(n_cols))
-    if mode == "row_share":
-        e = F.lit(float(lam)) * F.col("nnz") / (F.lit(float(n_cols)) + F.col("nnz"))
-    elif mode == "row_frac":
-        e = frac
-    elif mode == "stored_only":
-        e = F.when(F.col("v") > 0, frac).otherwise(F.lit(0.0))
-    elif mode == "zero_only":
-        e = F.when(F.col("v") <= 0, frac).otherwise(F.lit(0.0))
-    else:
-        raise ValueError(mode)
-    return j.withColumn("lam", e).drop("nnz")
+def entry_regularization(entries: DataFrame, coo: DataFrame, n_cols: int, lam: float, mode: str = "row_share",
+                         side: str = "i", name: str = "lam") -> DataFrame:
+    """E16. Per-entry lambda from the entry count n of its row (``side`` 'j':
+    of its column, with ``n_cols`` the number of rows then):
+    'row_share' -> lam n / (n_cols + n); 'row_frac' -> lam n / n_cols;
+    'stored_only' / 'zero_only' -> row_frac on stored (v > 0) / zero cells, 0
+    elsewhere. Adds column ``name``; a trainer takes one per side."""
+    counts = size_bounded_broadcast(nnz_by_row(coo, side))
+    n = F.coalesce(F.col("nnz"), F.lit(0))
+    share = F.lit(float(lam)) * n / (F.lit(float(n_cols)) + n)
+    frac = F.lit(float(lam)) * n / F.lit(float(n_cols))
+    modes = {"row_share": share, "row_frac": frac, "stored_only": F.when(F.col("v") > 0, frac).otherwise(0.0),
+             "zero_only": F.when(F.col("v") <= 0, frac).otherwise(0.0)}
+    return entries.join(counts, side, "left").withColumn(name, modes[mode]).drop("nnz")
 
 
 def block_of(ids: F.Column, n_blocks: int, seed: int = 0) -> F.Column:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from wordfold.functions import vec as V
 from wordfold.operators.grouped import running_sums_before
-from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, cogroup_blocks
-from wordfold.session import size_bounded_broadcast
+from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, block_scores, cogroup_blocks
+from wordfold.session import cut_lineage
 
 # Fixed values of the half-life utility: neutral relevance 0, half-life 5.
 HLU_NEUTRAL = 0.0
@@ -51,43 +51,40 @@ def prediction_rmse(scored: DataFrame, truth: str = "v", pred: str = "pred") ->
     return scored.agg(F.sqrt(F.avg((F.col(truth) - F.col(pred)) ** 2)).alias("rmse"))
 
 
+def row_vectors(rows: DataFrame, w: DataFrame, k: int) -> DataFrame:
+    """(i, vec) of every distinct row; rows without factors get zeros, so all
+    their candidates tie, as :func:`predict` has it."""
+    return rows.select("i").distinct().join(w.select(F.col("id").alias("i"), "vec"), "i", "left").select(
+        "i", F.coalesce("vec", V.zeros(k)).alias("vec"))
+
+
+def width(h: DataFrame) -> int:
+    """Number of factor dimensions (0 for an empty table)."""
+    first = h.select(F.size("vec").alias("k")).first()
+    return first["k"] if first else 0
+
+
 # ---------------------------------------------------------------- F3 top-k
 def _topk_kernel(k: int):
     def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"),
-                              "score": pd.Series([], dtype=float)})
-        if len(q) == 0 or len(c) == 0:
-            return empty
-        cand = c[c["ign_i"].isna()]
-        if len(cand) == 0:
-            return empty
+        cand = c[c["ign_i"].isna()].sort_values("id")
+        if len(q) == 0 or len(cand) == 0:
+            return pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype=float)})
         ign = c[c["ign_i"].notna()]
-        cid = cand["id"].to_numpy().astype(np.int64)
-        s = np.stack(q["vec"].to_numpy()) @ np.stack(cand["vec"].to_numpy()).T
-        qi = q["i"].to_numpy().astype(np.int64)
+        q = q.sort_values("i")
+        qi, cid = q["i"].to_numpy().astype(np.int64), cand["id"].to_numpy().astype(np.int64)
+        s = block_scores(np.stack(q["vec"].to_numpy()), np.stack(cand["vec"].to_numpy()))
         if len(ign):
-            rpos = {v: r for r, v in enumerate(qi)}
-            cpos = {v: r for r, v in enumerate(cid)}
-            for ii, jj in zip(ign["ign_i"].to_numpy().astype(np.int64), ign["id"].to_numpy().astype(np.int64)):
-                r, cc = rpos.get(ii), cpos.get(jj)
-                if r is not None and cc is not None:
-                    s[r, cc] = -np.inf
-        out_i, out_j, out_s = [], [], []
-        take = min(k, s.shape[1])
-        for r in range(s.shape[0]):
-            row = s[r]
-            if take < len(row):
-                thr = np.partition(row, len(row) - take)[len(row) - take]
-                idx = np.nonzero(row >= thr)[0]
-            else:
-                idx = np.arange(len(row))
-            idx = idx[np.isfinite(row[idx])]
-            order = sorted(idx, key=lambda t: (-row[t], cid[t]))[:take]
-            out_i.extend([qi[r]] * len(order))
-            out_j.extend(cid[order].tolist())
-            out_s.extend(row[order].tolist())
-        return pd.DataFrame({"i": pd.Series(out_i, dtype="int64"), "j": pd.Series(out_j, dtype="int64"),
-                             "score": pd.Series(out_s, dtype=float)})
+            ii, jj = ign["ign_i"].to_numpy().astype(np.int64), ign["id"].to_numpy().astype(np.int64)
+            r, cc = np.searchsorted(qi, ii), np.searchsorted(cid, jj)
+            here = (qi[np.minimum(r, len(qi) - 1)] == ii) & (cid[np.minimum(cc, len(cid) - 1)] == jj)
+            s[r[here], cc[here]] = -np.inf
+        # candidates are in order of id, so a stable sort breaks ties by id
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(s, order, axis=1)
+        row, place = np.nonzero(np.isfinite(best))
+        return pd.DataFrame({"i": qi[row], "j": cid[order[row, place]], "score": best[row, place]})
 
     return kernel
 
@@ -96,9 +93,9 @@ def recommend_topk(rows: DataFrame, w: DataFrame, h: DataFrame, k: int = 10, ign
                    block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """F3. (i, rank, j, score): per requested row the k best columns by
     <w_i, h_j>, ignored cells excluded, ties by column id; rows with fewer
-    valid candidates return fewer rows. Column-wise top-k: swap w and h and
-    transpose ``ignored``."""
-    q = rows.select(F.col("id").alias("i")).distinct().join(w.select(F.col("id").alias("i"), "vec"), "i")
+    valid candidates return fewer rows, rows without factors score 0.
+    Column-wise top-k: swap w and h and transpose ``ignored``."""
+    q = row_vectors(rows.select(F.col("id").alias("i")), w, width(h))
     cand = h.select("id", "vec", F.lit(None).cast("long").alias("ign_i"))
     extra = None
     if ignored is not None:
@@ -175,21 +172,32 @@ def ndcg_topk_lists(truth: DataFrame, lists: DataFrame, k: int, by: str = "i") -
 
 
 # ---------------------------------------------------------------- F8 ranks of positives
+#: Marked cells of a row that one query row carries.
+CELLS_PER_QUERY = 1024
+
+
 def _beat_kernel():
-    """For each positive (i, j, s, w): number of candidate columns whose score
-    beats it (higher, or equal with a smaller id) in this candidate block."""
+    """For the marked cells of each row: how many candidates of this block
+    score higher, or equal with a smaller id."""
 
-    def kernel(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if len(p) == 0 or len(c) == 0:
-            return pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"),
-                                 "beat": pd.Series([], dtype="int64")})
-        cid = c["id"].to_numpy().astype(np.int64)
-        s = np.stack(p["vec"].to_numpy()) @ np.stack(c["vec"].to_numpy()).T
-        ps = p["s"].to_numpy()[:, None]
-        pj = p["j"].to_numpy().astype(np.int64)[:, None]
-        beat = (s > ps) | ((s == ps) & (cid[None, :] < pj))
-        beat &= cid[None, :] != pj
-        return pd.DataFrame({"i": p["i"].to_numpy().astype(np.int64), "j": pj[:, 0], "beat": beat.sum(axis=1).astype(np.int64)})
+    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out_i, out_j, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(q) and len(c):
+            c = c.sort_values("id")
+            cid = c["id"].to_numpy().astype(np.int64)
+            scores = block_scores(np.stack(q["vec"].to_numpy()), np.stack(c["vec"].to_numpy()))
+            for i, row, js, ss in zip(q["i"].to_numpy(), scores, q["js"], q["ss"]):
+                js, ss = np.asarray(js, np.int64), np.asarray(ss, float)
+                order = np.argsort(-row, kind="stable")  # ties stay in order of id
+                down, ids = -row[order], cid[order]
+                first, last = np.searchsorted(down, -ss, "left"), np.searchsorted(down, -ss, "right")
+                n = first.copy()
+                for t in np.flatnonzero(last > first):
+                    n[t] += np.searchsorted(ids[first[t]:last[t]], js[t])
+                out_i.append(np.full(len(js), i, np.int64))
+                out_j.append(js)
+                out_n.append(n)
+        return pd.DataFrame({"i": np.concatenate(out_i), "j": np.concatenate(out_j), "beat": np.concatenate(out_n)})
 
     return kernel
 
@@ -199,38 +207,42 @@ def rank_positives(truth: DataFrame, w: DataFrame, h: DataFrame, ignored: DataFr
     """F8. (i, j, rel, rank, nr_pos): for every truth cell with v > 0 that is a
     valid candidate, its 1-based rank among all non-ignored columns of its row
     (score desc, column id asc) and the 1-based count of positives up to it.
-
-    rank = 1 + (#columns beating it) - (#ignored columns beating it). The first
-    term comes from the blocked kernel (positives blocked by (i, j), so a heavy
-    row spreads over many tasks); the second from a per-row running count
-    over the row's ignored and positive cells only, computed on range pieces
-    of the rows (:mod:`wordfold.operators.grouped`)."""
-    cols = h.select("id")
-    pos = truth.where(F.col("v") > 0).join(cols.select(F.col("id").alias("j")), "j", "left_semi")
+    Repeated truth cells are added up first; rows without factors score 0.
+
+    rank = 1 + (#columns beating it) - (#ignored columns beating it). For the
+    first term a row is scored once per candidate block and its positives are
+    placed by binary search; a row with many positives is cut into query rows
+    of ``CELLS_PER_QUERY`` cells. The second is a running count over the row's
+    ignored and positive cells only, on range pieces of the rows
+    (:mod:`wordfold.operators.grouped`). All scores sum the dimensions in the
+    same order, so equal vectors tie exactly."""
+    k = width(h)
+    cols = h.select(F.col("id").alias("j"))
+    pos = truth.groupBy("i", "j").agg(F.sum("v").alias("rel")).where(F.col("rel") > 0).join(cols, "j", "left_semi")
+    if ignored is not None:
+        ignored = ignored.select("i", "j").distinct()
+        pos = pos.join(ignored, ["i", "j"], "left_anti")
+    pos = cut_lineage(pos, "positives")
+    wv = cut_lineage(row_vectors(pos, w, k), "positive-rows")
+    cells = pos.select("i", "j", F.lit(0).alias("is_ign"))
     if ignored is not None:
-        pos = pos.join(ignored.select("i", "j"), ["i", "j"], "left_anti")
-    pos = pos.groupBy("i", "j").agg(F.sum("v").alias("rel"))
-    wv = w.select(F.col("id").alias("i"), F.col("vec").alias("wi"))
+        cells = cells.unionByName(ignored.join(cols, "j", "left_semi").join(wv.select("i"), "i", "left_semi").select(
+            "i", "j", F.lit(1).alias("is_ign")))
     hv = h.select(F.col("id").alias("j"), F.col("vec").alias("hj"))
-    scored = pos.join(wv, "i").join(hv, "j").select("i", "j", "rel", "wi", V.dot("wi", "hj").alias("s"))
-    left = scored.select("i", "j", "s", F.col("wi").alias("vec"))
-    beat = cogroup_blocks(left, h.select("id", "vec"), ["i", "j"], ["id"], _beat_kernel(),
+    scored = cells.join(wv, "i").join(hv, "j").select("i", "j", "is_ign", V.dot("vec", "hj").alias("s"))
+    scored = cut_lineage(scored, "positive-scores")
+    chunks = pos.groupBy("i").agg(F.ceil(F.count(F.lit(1)) / CELLS_PER_QUERY).alias("chunks"))
+    asked = scored.where(F.col("is_ign") == 0).join(chunks, "i").groupBy(
+        "i", F.pmod(F.xxhash64("j"), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("j", "s")).alias("c"))
+    asked = asked.join(wv, "i").select("i", "chunk", "vec", F.col("c.j").alias("js"), F.col("c.s").alias("ss"))
+    beat = cogroup_blocks(asked, h.select("id", "vec"), ["i", "chunk"], ["id"], _beat_kernel(),
                           "i long, j long, beat long", block_rows).groupBy("i", "j").agg(F.sum("beat").alias("beat"))
-    # running counts inside each row over (ignored + positive) cells ordered like the candidates
-    ev = scored.select("i", "j", "s", F.lit(0).alias("is_ign"))
-    if ignored is not None:
-        ig = ignored.select("i", "j").distinct().join(cols.select(F.col("id").alias("j")), "j", "left_semi")
-        ig = ig.join(pos.select("i").distinct(), "i", "left_semi").join(wv, "i").join(hv, "j").select(
-            "i", "j", V.dot("wi", "hj").alias("s"), F.lit(1).alias("is_ign"))
-        ev = ev.unionByName(ig)
     # range-partitioned running sums: a hot row is split over many tasks
-    ev = running_sums_before(ev.withColumn("is_pos", 1 - F.col("is_ign")), ["i"], [F.desc("s"), F.asc("j")],
-                             ["is_ign", "is_pos"])
-    ev = ev.withColumnRenamed("is_ign_before", "ign_before").withColumnRenamed("is_pos_before", "pos_before").where(
-        F.col("is_ign") == 0)
+    ev = running_sums_before(scored.withColumn("is_pos", 1 - F.col("is_ign")), ["i"], [F.desc("s"), F.asc("j")],
+                             ["is_ign", "is_pos"]).where(F.col("is_ign") == 0)
     out = ev.join(beat, ["i", "j"]).join(pos, ["i", "j"])
-    return out.select("i", "j", "rel", (F.col("beat") - F.col("ign_before") + 1).cast("long").alias("rank"),
-                      (F.col("pos_before") + 1).cast("long").alias("nr_pos"))
+    return cut_lineage(out.select("i", "j", "rel", (F.col("beat") - F.col("is_ign_before") + 1).cast("long").alias("rank"),
+                                  (F.col("is_pos_before") + 1).cast("long").alias("nr_pos")), "ranks")
 
 
 # ---------------------------------------------------------------- F9 - F12 from ranks
@@ -245,24 +257,32 @@ def row_candidates(truth: DataFrame, h: DataFrame, ignored: DataFrame | None) ->
     return rows.join(ign, "i", "left").select("i", (F.lit(n_cols) - F.coalesce("_ni", F.lit(0))).alias("n_cand"))
 
 
+def half_life(place: F.Column) -> F.Column:
+    """The half-life utility's weight of a 1-based place."""
+    return F.pow(F.lit(0.5), (place - 1) / (HLU_HALFLIFE - 1.0))
+
+
+def row_sums(ranks: DataFrame, relevance: F.Column) -> DataFrame:
+    """Per row: the number of positives, the sum of their precisions (in
+    percent), the (negative, positive) pairs in wrong order, and the half-life
+    utility reached and at best."""
+    rank, place = F.col("rank"), F.col("nr_pos")
+    return ranks.groupBy("i").agg(
+        F.count(F.lit(1)).alias("pos"), F.sum(100.0 * place / rank).alias("precisions"), F.sum(rank - place).alias("wrong"),
+        F.sum(relevance * half_life(rank)).alias("utility"), F.sum(relevance * half_life(place)).alias("best_utility"))
+
+
 def per_row_scores(ranks: DataFrame, cand: DataFrame) -> DataFrame:
     """(i, map, auc, hlu) per row from F8 ranks; rows without valid positives
     score 0 (MAP, HLU) and 1 (AUC)."""
-    hl = HLU_HALFLIFE - 1.0
-    agg = ranks.groupBy("i").agg(
-        F.count(F.lit(1)).alias("pos"),
-        F.sum(100.0 * F.col("nr_pos") / F.col("rank")).alias("_map"),
-        F.sum(F.col("rank") - F.col("nr_pos")).alias("viol"),
-        F.sum((F.col("rel") - HLU_NEUTRAL) * F.pow(F.lit(0.5), (F.col("rank") - 1) / hl)).alias("_hlu"),
-        F.sum((F.col("rel") - HLU_NEUTRAL) * F.pow(F.lit(0.5), (F.col("nr_pos") - 1) / hl)).alias("_hmax"),
-    )
-    j = cand.where(F.col("n_cand") > 0).join(agg, "i", "left").na.fill(0, ["pos", "viol"]).na.fill(0.0, ["_map", "_hlu", "_hmax"])
-    neg = F.col("n_cand") - F.col("pos")
+    sums = row_sums(ranks, F.col("rel") - HLU_NEUTRAL)
+    j = cand.where(F.col("n_cand") > 0).join(sums, "i", "left").na.fill(0)
+    pairs = F.col("pos") * (F.col("n_cand") - F.col("pos"))
     return j.select(
         "i",
-        F.when(F.col("pos") > 0, F.col("_map") / F.col("pos")).otherwise(0.0).alias("map"),
-        F.when((F.col("pos") > 0) & (neg > 0), (F.col("pos") * neg - F.col("viol")) / (F.col("pos") * neg)).otherwise(1.0).alias("auc"),
-        F.when((F.col("pos") > 0) & (F.col("_hmax") > 0), 100.0 * F.col("_hlu") / F.col("_hmax")).otherwise(0.0).alias("hlu"),
+        F.when(F.col("pos") > 0, F.col("precisions") / F.col("pos")).otherwise(0.0).alias("map"),
+        F.when(pairs > 0, (pairs - F.col("wrong")) / pairs).otherwise(1.0).alias("auc"),
+        F.when(F.col("best_utility") > 0, 100.0 * F.col("utility") / F.col("best_utility")).otherwise(0.0).alias("hlu"),
     )
 
 
@@ -287,52 +307,31 @@ def ndcg_full(ranks: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 def weighted_rank_metrics(ranks: DataFrame, k: int, n_cols: int, ignored: DataFrame | None = None,
                           weight: DataFrame | None = None) -> DataFrame:
     """F13. From (i, j, rank, nr_pos) rows and optional row weights (i, weight):
-    weighted MAP, AUC (neg = n_cols - ignored - pos), binary NDCG@1..k and HLU,
-    each over rows whose per-row value (or its max) is > 0.
-    Returns rows (metric, level, value); level is 0 except for ndcg."""
-    r = ranks.select("i", "rank", "nr_pos")
-    wt = weight.select("i", "weight") if weight is not None else None
-    per = r.groupBy("i").agg(
-        F.avg(100.0 * F.col("nr_pos") / F.col("rank")).alias("map"),
-        F.max("nr_pos").alias("pos"),
-        F.sum(F.col("rank") - F.col("nr_pos")).alias("viol"),
-        F.sum(F.pow(F.lit(0.5), (F.col("rank") - 1) / (HLU_HALFLIFE - 1))).alias("ra"),
-        F.sum(F.pow(F.lit(0.5), (F.col("nr_pos") - 1) / (HLU_HALFLIFE - 1))).alias("ramax"),
-    )
-    if ignored is not None:
-        ni = ignored.select("i", "j").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("ni"))
-        per = per.join(ni, "i", "left")
-    else:
-        per = per.withColumn("ni", F.lit(0))
-    per = per.withColumn("ni", F.coalesce("ni", F.lit(0)))
-    neg = F.lit(n_cols) - F.col("ni") - F.col("pos")
-    per = per.withColumn("auc", F.when(F.col("pos") * neg != 0, 1.0 - F.col("viol") / (F.col("pos") * neg)))
-    per = per.join(wt, "i", "left") if wt is not None else per.withColumn("weight", F.lit(1.0))
-    per = per.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-
-    def wavg(val: F.Column, cond: F.Column) -> F.Column:
-        return F.sum(F.when(cond, F.col("weight") * val)) / F.sum(F.when(cond, F.col("weight")))
-
-    scal = per.agg(
-        wavg(F.col("map"), F.col("map") > 0).alias("map"),
-        wavg(F.col("auc"), F.col("auc") > 0).alias("auc"),
-        (100.0 * wavg(F.when(F.col("ramax") > 0, F.col("ra") / F.col("ramax")), F.col("ramax") > 0)).alias("hlu"),
-    )
-    def entry(name: str) -> F.Column:
-        return F.struct(F.lit(name).alias("metric"), F.lit(0).alias("level"), F.col(name).cast("double").alias("value"))
-
-    scal = scal.select(F.explode(F.array(entry("map"), entry("auc"), entry("hlu"))).alias("m")).select("m.*")
-    # binary NDCG@L: dcg = sum_{rank<=L} 1/log2(1+rank), maxdcg = sum_{nr_pos<=L} 1/log2(1+nr_pos)
-    lv = r.select("i").distinct().select("i", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("level"))
-    d = r.where(F.col("rank") <= k).select("i", F.explode(F.sequence(F.col("rank").cast("int"), F.lit(k))).alias("level"),
-                                           (1.0 / F.log2(1.0 + F.col("rank"))).alias("g"))
-    m = r.where(F.col("nr_pos") <= k).select("i", F.explode(F.sequence(F.col("nr_pos").cast("int"), F.lit(k))).alias("level"),
-                                             (1.0 / F.log2(1.0 + F.col("nr_pos"))).alias("g"))
-    dd = d.groupBy("i", "level").agg(F.sum("g").alias("dcg"))
-    mm = m.groupBy("i", "level").agg(F.sum("g").alias("maxdcg"))
-    nd = lv.join(dd, ["i", "level"], "left").join(mm, ["i", "level"], "left").na.fill(0.0, ["dcg", "maxdcg"])
-    nd = nd.join(per.select("i", "weight"), "i", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    ok = F.col("maxdcg") > 0
-    nd = nd.groupBy("level").agg(
-        (F.sum(F.when(ok, F.col("weight") * 100.0 * F.col("dcg") / F.col("maxdcg"))) / F.sum(F.when(ok, F.col("weight")))).alias("value"))
-    return scal.unionByName(nd.select(F.lit("ndcg").alias("metric"), "level", "value"))
+    weighted MAP, AUC (negatives: columns neither ignored nor positive), HLU
+    and NDCG@1..k with unit relevance, each over the rows whose value (NDCG,
+    HLU: best value) is positive. Rows (metric, level, value); level is 0
+    except for ndcg."""
+    rows = row_sums(ranks, F.lit(1.0))
+    ignored_cells = ranks.select("i").limit(0).withColumn("n", F.lit(0)) if ignored is None else \
+        ignored.select("i", "j").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    weights = ranks.select("i").limit(0).withColumn("weight", F.lit(1.0)) if weight is None else weight.select("i", "weight")
+    rows = rows.join(ignored_cells, "i", "left").join(weights, "i", "left").na.fill({"n": 0, "weight": 1.0})
+    pairs = F.col("pos") * (n_cols - F.col("n") - F.col("pos"))
+    values = {"map": F.col("precisions") / F.col("pos"), "auc": F.when(pairs != 0, 1.0 - F.col("wrong") / pairs),
+              "hlu": F.when(F.col("best_utility") > 0, 100.0 * F.col("utility") / F.col("best_utility"))}
+    used = {"map": values["map"] > 0, "auc": values["auc"] > 0, "hlu": F.col("best_utility") > 0}
+    each = rows.select("i", "weight", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.lit(0).alias("level"), F.when(used[m], v).alias("value")) for m, v in values.items()])).alias("m"))
+    each = each.select("weight", "m.*")
+
+    unit = ranks.select("i", "rank", "nr_pos", F.lit(1.0).alias("rel"))
+    got = dcg_at_levels(unit, ["i"], "rank", "rel", k)
+    best = dcg_at_levels(unit, ["i"], "nr_pos", "rel", k).withColumnRenamed("dcg", "best")
+    ndcg = got.join(best, ["i", "level"]).join(rows.select("i", "weight"), "i").select(
+        "weight", F.lit("ndcg").alias("metric"), "level", F.when(F.col("best") > 0, 100.0 * F.col("dcg") / F.col("best")).alias("value"))
+    both = each.unionByName(ndcg).where(F.col("value").isNotNull())
+    averaged = both.groupBy("metric", "level").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("value"))
+    # a metric that no row has stays in the result, with null
+    names = averaged.sparkSession.createDataFrame([(m, 0) for m in values], "metric string, level int")
+    scalars = names.join(averaged, ["metric", "level"], "left")
+    return scalars.unionByName(averaged.where(F.col("metric") == "ndcg"))

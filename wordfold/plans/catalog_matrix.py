@@ -76,8 +76,8 @@ QUERIES["write_vectors"] = lambda s, sf: exploded(A.strip_bias(_wh(s, sf)[0], 1)
 SQL["write_vectors"] = _with(FAC) + """,
 wb AS (SELECT id, vec[1:len(vec) - 2] AS vec FROM wf)
 """ + sql_exploded("wb")
-QUERIES["coo_from_triples"] = lambda s, sf: A.coo_from_triples(_ev(s, sf), 100, 50)[0]
-SQL["coo_from_triples"] = _with(EVM) + "SELECT i, j, v FROM evm WHERE i >= 0 AND i < 100 AND j >= 0 AND j < 50"
+QUERIES["coo_from_triples"] = lambda s, sf: A.coo_from_triples(_ev(s, sf))[0]
+SQL["coo_from_triples"] = _with(EVM) + "SELECT i, j, v FROM evm"
 QUERIES["coo_dims"] = lambda s, sf: A.coo_from_triples(_ev(s, sf))[1]
 SQL["coo_dims"] = _with(EVM) + "SELECT max(i) + 1 AS rows, max(j) + 1 AS cols FROM evm"
 QUERIES["coo_from_dense"] = lambda s, sf: A.coo_from_dense(_wh(s, sf)[0]).select("i", "j", r6(F.col("v")).alias("v"))
@@ -201,41 +201,30 @@ QUERIES["residual_loss"] = lambda s, sf: (lambda w, h: E.residual_loss(E.residua
 SQL["residual_loss"] = _with(EVM, FAC) + SQL_RES + "\nSELECT round(sum(v * v), 6) AS loss FROM res"
 QUERIES["rank_one_update"] = lambda s, sf: (lambda w, h: E.rank_one_update(
     E.residuals(_ev(s, sf), _col0(w), _col0(h)), _col0(w), _col0(h), LAM).select(
-    "id", r6(F.col("x")).alias("x"), r6(F.col("fundec")).alias("fundec")))(*_wh(s, sf))
+    "id", r6(F.col("x")).alias("x"), r6(F.col("gain")).alias("gain")))(*_wh(s, sf))
 SQL["rank_one_update"] = _with(EVM, FAC) + SQL_RES + f""",
-g AS (SELECT res.j, sum(wf.vec[1] * res.v) AS g, {LAM} * count(*) + sum(wf.vec[1] * wf.vec[1]) AS h
-      FROM res JOIN wf ON wf.id = res.i GROUP BY res.j)
-SELECT hf.id, round(CASE WHEN g.g IS NULL THEN hf.vec[1] ELSE g.g / g.h END, 6) AS x,
-       round(CASE WHEN g.g IS NULL THEN 0.0 ELSE g.h * (hf.vec[1] - g.g / g.h) * (hf.vec[1] - g.g / g.h) END, 6) AS fundec
+g AS (SELECT res.j, sum(coalesce(wf.vec[1], 0.0) * res.v) AS slope, {LAM} * count(*) + sum(coalesce(wf.vec[1], 0.0) * coalesce(wf.vec[1], 0.0)) AS curve
+      FROM res LEFT JOIN wf ON wf.id = res.i GROUP BY res.j)
+SELECT hf.id, round(CASE WHEN slope IS NULL THEN hf.vec[1] ELSE slope / curve END, 6) AS x,
+       round(CASE WHEN slope IS NULL THEN 0.0 ELSE curve * (hf.vec[1] - slope / curve) * (hf.vec[1] - slope / curve) END, 6) AS gain
 FROM hf LEFT JOIN g ON g.j = hf.id"""
-
-
-def _pu_r1(s, sf):
-    w, h = _wh(s, sf)
-    a = _ev(s, sf)
-    # residual without rank 0: A - sum_{s != 0} w_s h_s over stored cells
-    from wordfold.functions import vec as V
-
-    rest = E.with_factors(a, w, h).select("i", "j", (F.col("v") - (V.dot("wi", "hj") - F.element_at("wi", 1) * F.element_at("hj", 1))).alias("v"))
-    return E.pu_rank_one_update(a, rest, w, h, 0, RHO, LAM)
-
-
-QUERIES["pu_rank_one_update"] = lambda s, sf: _pu_r1(s, sf).select("id", r6(F.col("x")).alias("x"))
+QUERIES["pu_rank_one_update"] = lambda s, sf: E.pu_rank_one_update(_ev(s, sf), *_wh(s, sf), 0, RHO, LAM).select("id", r6(F.col("x")).alias("x"))
 SQL["pu_rank_one_update"] = _with(EVM, FAC) + SQL_WX + f""",
-uw AS (SELECT b.t AS s, sum(a.x * b.x) AS uw FROM wx a JOIN wx b USING (id) WHERE a.t = 0 GROUP BY b.t),
-uwht AS (SELECT hx.id AS j, sum(CASE WHEN hx.t = 0 THEN 0.0 ELSE uw.uw * hx.x END) AS uwht FROM hx JOIN uw ON uw.s = hx.t GROUP BY hx.id),
-cells AS (SELECT evm.i, evm.j, evm.v AS a, evm.v - (list_dot_product(wf.vec, hf.vec) - wf.vec[1] * hf.vec[1]) AS r, wf.vec[1] AS u
-          FROM evm JOIN wf ON wf.id = evm.i JOIN hf ON hf.id = evm.j),
-agg AS (SELECT j, sum((1.0 - {RHO}) * u * r) AS urc, sum(u * a) AS uac, sum((1.0 - {RHO}) * u * u) AS uuo, count(*) AS n FROM cells GROUP BY j)
-SELECT uwht.j AS id,
-       round((coalesce(urc, 0.0) + {RHO} * (coalesce(uac, 0.0) - uwht)) /
-             (coalesce(uuo, 0.0) + {RHO} * (SELECT uw FROM uw WHERE s = 0) + {LAM} * coalesce(n, 0)), 6) AS x
-FROM uwht LEFT JOIN agg ON agg.j = uwht.j"""
+gram AS (SELECT b.t, sum(a.x * b.x) AS g FROM wx a JOIN wx b USING (id) WHERE a.t = 0 GROUP BY b.t),
+push AS (SELECT hx.id, sum(CASE WHEN hx.t = 0 THEN 0.0 ELSE gram.g * hx.x END) AS push FROM hx JOIN gram USING (t) GROUP BY hx.id),
+stored AS (SELECT evm.j AS id, sum((evm.v - {1 - RHO} * (list_dot_product(wf.vec, hf.vec) - wf.vec[1] * hf.vec[1])) * wf.vec[1]) AS pull,
+                  sum({1 - RHO} * wf.vec[1] * wf.vec[1]) AS curve
+           FROM evm JOIN wf ON wf.id = evm.i JOIN hf ON hf.id = evm.j GROUP BY evm.j),
+cnt AS (SELECT j AS id, count(*) AS n FROM evm GROUP BY j)
+SELECT id, round((coalesce(pull, 0.0) - {RHO} * push) /
+                 (coalesce(curve, 0.0) + {RHO} * (SELECT g FROM gram WHERE t = 0) + {LAM} * coalesce(n, 0)), 6) AS x
+FROM push LEFT JOIN stored USING (id) LEFT JOIN cnt USING (id)"""
 
 QUERIES["loss_rmse"] = lambda s, sf: E.loss_rmse(_ev(s, sf), *_wh(s, sf)).select(
     r6(F.col("loss")).alias("loss"), r6(F.col("rmse")).alias("rmse"))
 SQL_PRED = """,
-pr AS (SELECT evm.i, evm.j, evm.v, list_dot_product(wf.vec, hf.vec) AS p FROM evm JOIN wf ON wf.id = evm.i JOIN hf ON hf.id = evm.j)"""
+pr AS (SELECT evm.i, evm.j, evm.v, coalesce(list_dot_product(wf.vec, hf.vec), 0.0) AS p
+       FROM evm LEFT JOIN wf ON wf.id = evm.i LEFT JOIN hf ON hf.id = evm.j)"""
 SQL["loss_rmse"] = _with(EVM, FAC) + SQL_PRED + """
 SELECT round(sum((p - v) * (p - v)), 6) AS loss, round(sqrt(sum((p - v) * (p - v)) / count(*)), 6) AS rmse FROM pr"""
 SQL_GG = """,
@@ -257,20 +246,9 @@ SQL["objective"] = _with(EVM, FAC) + SQL_WX + SQL_GG + SQL_PRED + SQL_REG + f"""
 SELECT round(sum((v - p) * (v - p)) + {RHO} * ((SELECT gg FROM gg) - sum(p * p)) + {LAM} * (SELECT a FROM rw) + {LAM} * (SELECT b FROM rh), 6) AS obj FROM pr"""
 
 
-def _grid(s, sf):
-    ev = _ev(s, sf)
-    return E.zero_fill(ev, ev.select(F.col("i").alias("id")).distinct(), ev.select(F.col("j").alias("id")).distinct())
-
-
-QUERIES["zero_fill"] = lambda s, sf: _grid(s, sf)
-SQL_GRID = """,
-grid AS (SELECT r.i, c.j, coalesce(evm.v, 0.0) AS v FROM (SELECT DISTINCT i FROM evm) r, (SELECT DISTINCT j FROM evm) c
-         LEFT JOIN evm ON evm.i = r.i AND evm.j = c.j)"""
-SQL["zero_fill"] = _with(EVM) + SQL_GRID + "\nSELECT i, j, v FROM grid"
-QUERIES["weighted_zero_loss"] = lambda s, sf: E.weighted_zero_loss(_grid(s, sf), *_wh(s, sf), RHO).select(r6(F.col("loss")).alias("loss"))
-SQL["weighted_zero_loss"] = _with(EVM, FAC) + SQL_GRID + f"""
-SELECT round(sum(CASE WHEN g.v > 0 THEN (p - g.v) * (p - g.v) ELSE {RHO} * p * p END), 6) AS loss FROM (
-  SELECT grid.v, list_dot_product(wf.vec, hf.vec) AS p FROM grid JOIN wf ON wf.id = grid.i JOIN hf ON hf.id = grid.j) g"""
+QUERIES["weighted_zero_loss"] = lambda s, sf: E.weighted_zero_loss(_ev(s, sf), *_wh(s, sf), RHO).select(r6(F.col("loss")).alias("loss"))
+SQL["weighted_zero_loss"] = _with(EVM, FAC) + SQL_WX + SQL_GG + SQL_PRED + f"""
+SELECT round(coalesce(sum((p - v) * (p - v)), 0.0) + {RHO} * ((SELECT gg FROM gg) - coalesce(sum(p * p), 0.0)), 6) AS loss FROM pr WHERE v > 0"""
 
 
 def _dims(s, sf):
@@ -349,8 +327,8 @@ QUERIES["recommend_topk"] = lambda s, sf: _topk(s, sf).select(
     "i", F.col("rank").cast("long").alias("rank"), "j", r6(F.col("score")).alias("score"))
 SQL_CAND = """,
 qrows AS (SELECT DISTINCT i FROM test),
-cand AS (SELECT q.i, hf.id AS j, list_dot_product(wf.vec, hf.vec) AS s
-         FROM qrows q JOIN wf ON wf.id = q.i, hf
+cand AS (SELECT q.i, hf.id AS j, coalesce(list_dot_product(wf.vec, hf.vec), 0.0) AS s
+         FROM qrows q LEFT JOIN wf ON wf.id = q.i CROSS JOIN hf
          WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.i = q.i AND t.j = hf.id)),
 ranked AS (SELECT i, j, s, row_number() OVER (PARTITION BY i ORDER BY s DESC, j ASC) AS rank FROM cand)"""
 SQL["recommend_topk"] = _with(EVM, FAC) + SQL_TEST + SQL_CAND + f"""

@@ -1,22 +1,26 @@
-"""Registered training jobs (T1-T11; rows-only checks: iterative solvers are
-not SQL-expressible) and the evaluation catalog (A16, SQL-checked)."""
+"""Registered training jobs (T1-T11, with the library defaults) and the
+evaluation catalog (A16)."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from wordfold.functions.rand import keyed_uniform, lit_key
+from wordfold.functions.rand import keyed_uniform, lit_key, sql_uniform
 from wordfold.operators import assoc, evaluate, factor as E, vectors
 from wordfold.plans import fixtures as fx
-from wordfold.plans.catalog_corpus import P, _lines, _with
+from wordfold.operators.solve import settled
+from wordfold.plans.catalog_corpus import P, SQL as CORPUS_SQL, _lines, _with
 from wordfold.plans.catalog_vectors import SLICES, WVN, _slices, _svd, _wv, sql_norm
 from wordfold.plans.ppmi import encoded_counts
-from wordfold.plans.sql_fixtures import word_vectors_cte, wordsim_cte
+from wordfold.plans.sql_fixtures import event_matrix_cte, interactions_cte, word_vectors_cte, wordsim_cte
 from wordfold.session import cut_lineage
-from wordfold.plans.train import TrainParams, train_als, train_ccd, train_pu, train_pu_als_unit, train_sgd
+from wordfold.plans.train import SgdParams, TrainParams, train_als, train_ccd, train_pu, train_pu_als_unit, train_sgd
 
 QUERIES = {}
 SQL = {}
+EVM = event_matrix_cte()
 
 
 def r6(c):
@@ -27,12 +31,6 @@ def _ev(s, sf):
     return fx.event_matrix(s, sf)
 
 
-def _factors_out(res, names=None):
-    w = res.w.select(F.lit("W").alias("side"), "id", "vec")
-    h = res.h.select(F.lit("H").alias("side"), "id", "vec")
-    return w.unionByName(h)
-
-
 # T3 flagship: PU factorization of the corpus PPMI matrix with GloVe weights and bias dims.
 # The matrix stays on vocabulary ids from the pair aggregate on (rows i = word
 # ids, columns j = context word ids); words are attached once to the result.
@@ -42,54 +40,112 @@ def _ppmi_coo(s, sf):
     ep = assoc.exp_pmi(enc, P.cds, max_rows=nv, max_cols=nv)
     coo = assoc.ppmi(ep).select(F.col("word").alias("i"), F.col("context").alias("j"), F.col("pmi").alias("v"),
                                 E.glove_weight(F.col("n").cast("double"), 10.0).alias("w"))
-    wid = voc.select("word", F.col("wid").alias("i"))
-    return coo, wid
+    return cut_lineage(coo, "ppmi-ids"), voc.select("word", F.col("wid").alias("id"))
+
 
+def ppmi_factors(s, sf, p=TrainParams(k=10, lam=2 ** -11, rho=0.0625, bias=True, log=False)):  # noqa: B008
+    """(coo, words, result) of the flagship job."""
+    coo, words = _ppmi_coo(s, sf)
+    return coo, words, train_pu(coo, p)
 
+
+# A trained model can't be compared number by number; what is compared is
+# whether every id is there and its vector solves its normal equations (W is
+# solved last), or whether the loss fell.
 def _train_pu_weighted(s, sf):
-    coo, wid = _ppmi_coo(s, sf)
-    res = train_pu(coo, TrainParams(k=10, lam=2 ** -11, rho=0.0625, iters=3, bias=True, log=False))
-    return res.w.join(wid.withColumnRenamed("i", "id"), "id").select("word", "vec")
+    coo, words, res = ppmi_factors(s, sf)
+    return settled(coo, "i", "j", res.w, res.h, 12, 0.0625, 2 ** -11, {10: 1.0}).join(words, "id").select("word", "settled")
 
 
 QUERIES["train_pu_weighted"] = _train_pu_weighted
+SQL["train_pu_weighted"] = f"SELECT DISTINCT word, true AS settled FROM ({CORPUS_SQL['ppmi']}) cells"
 
 # T2 unweighted PU on the event matrix; T11 its training log
-PU = TrainParams(k=8, lam=0.1, rho=0.01, iters=4, log=True)
-QUERIES["train_pu"] = lambda s, sf: _factors_out(train_pu(_ev(s, sf), TrainParams(**{**PU.__dict__, "log": False})))
-QUERIES["training_log"] = lambda s, sf: (lambda tr, te: train_pu(tr, PU, test=te).log)(*fx.train_test(_ev(s, sf)))
-QUERIES["train_pu_als_unit"] = lambda s, sf: _factors_out(train_pu_als_unit(_ev(s, sf), TrainParams(k=8, lam=0.1, rho=0.1, iters=5)))
+PU = TrainParams(lam=0.1, rho=0.01, log=False)
 
-# T1 explicit ALS on the customer x part matrix
-QUERIES["train_als"] = lambda s, sf: _factors_out(train_als(fx.interactions(s, sf), TrainParams(k=8, lam=0.1, iters=5)))
 
-# T4 / T5 cyclic rank-one descent (few ranks: every rank step is its own job)
-CCD = TrainParams(k=3, lam=0.1, iters=2, inner=2, log=False)
-QUERIES["train_ccd"] = lambda s, sf: _factors_out(train_ccd(_ev(s, sf), CCD))
-QUERIES["train_ccd_growing"] = lambda s, sf: _factors_out(train_ccd(_ev(s, sf), TrainParams(**{**CCD.__dict__, "k": 4, "iters": 3}), growing=True))
+def _train_pu(s, sf):
+    coo = cut_lineage(_ev(s, sf), "events")
+    res = train_pu(coo, PU)
+    return settled(coo, "i", "j", res.w, res.h, PU.k, PU.rho, PU.lam)
 
-# T6 stratified SGD, T7 weighted on an explicit-zero table, T8 PU on sampled negatives with per-entry lambda
-SGD = TrainParams(k=6, lam=0.05, iters=2, log=False)
-QUERIES["train_sgd"] = lambda s, sf: _factors_out(train_sgd(_ev(s, sf), SGD, blocks=4, lr=0.05))
 
+QUERIES["train_pu"] = _train_pu
+SQL["train_pu"] = _with(EVM) + "SELECT DISTINCT i AS id, true AS settled FROM evm"
+QUERIES["training_log"] = lambda s, sf: (lambda tr, te: train_pu(tr, replace(PU, log=True), test=te).log)(*fx.train_test(_ev(s, sf)))
 
-def _grid(s, sf):
-    ev = _ev(s, sf)
-    return E.zero_fill(ev, ev.select(F.col("i").alias("id")).distinct(), ev.select(F.col("j").alias("id")).distinct())
 
+def _report(coo, res, fell):
+    """One row: ids of both sides with a full vector, entries, whether the loss fell."""
+    full = lambda f: f.where(F.size("vec") == F.lit(10)).count()
+    return coo.sparkSession.createDataFrame([(full(res.w), full(res.h), coo.count(), bool(fell))],
+                                            "rows long, cols long, entries long, fell boolean")
 
-QUERIES["train_sgd_weighted"] = lambda s, sf: _factors_out(train_sgd(_grid(s, sf), SGD, blocks=4, lr=0.05, rho=0.1))
 
+def _fell(res):
+    return res.history[-1]["loss"] < res.history[0]["loss"]
+
+
+def _beats_zero(coo, res):
+    """The model's squared error is below that of its mean alone."""
+    sums = E.stored_sums(coo.withColumn("v", F.col("v") - res.mean), res.w, res.h).select("loss")
+    zero = coo.agg(F.sum((F.col("v") - res.mean) ** 2).alias("z"))
+    return sums.first()["loss"] < zero.first()["z"]
 
-def _pu_sgd(s, sf):
-    ev = _ev(s, sf)
-    d = E.dims_of(ev).first()
-    cells = E.sample_negatives(ev, int(d["m"]), int(d["n"]), "pu1", 1.0, seed=3)
-    lam = E.entry_regularization(cells.select("i", "j", "v"), ev, int(d["n"]), 0.05, "row_share")
-    return _factors_out(train_sgd(cells.select("i", "j", "v"), SGD, blocks=4, lr=0.05, rho=0.1, entry_lam=lam))
 
+def _job(matrix, train, check=None):
+    def run(s, sf):
+        coo = cut_lineage(matrix(s, sf), "entries")
+        res = train(coo)
+        return _report(coo, res, check(coo, res) if check else _fell(res))
 
-QUERIES["train_pu_sgd"] = _pu_sgd
+    return run
+
+
+REPORT = "SELECT count(DISTINCT i) AS rows, count(DISTINCT j) AS cols, count(*) AS entries, true AS fell FROM "
+TRAIN = TrainParams(center=True)
+
+# T1 explicit ALS on the customer x part matrix, T2 by MLlib for unit values
+QUERIES["train_als"] = _job(fx.interactions, lambda coo: train_als(coo, TRAIN), _beats_zero)
+SQL["train_als"] = _with(interactions_cte()) + REPORT + "inter"
+QUERIES["train_pu_als_unit"] = _job(_ev, lambda coo: train_pu_als_unit(coo, TrainParams(rho=0.1)),
+                                    lambda coo, res: _beats_zero(coo.withColumn("v", F.lit(1.0)), res))
+SQL["train_pu_als_unit"] = _with(EVM) + REPORT + "evm"
+
+# T4 / T5 cyclic rank-one descent
+QUERIES["train_ccd"] = _job(_ev, lambda coo: train_ccd(coo, TRAIN), _beats_zero)
+QUERIES["train_ccd_growing"] = _job(_ev, lambda coo: train_ccd(coo, TRAIN, growing=True), _beats_zero)
+
+# T6 stratified SGD with the rank split and T10's step sizes
+QUERIES["train_sgd"] = _job(_ev, lambda coo: train_sgd(coo, TRAIN, SgdParams(split=True, bold=True)))
+for _name in ("train_ccd", "train_ccd_growing", "train_sgd"):
+    SQL[_name] = _with(EVM) + REPORT + "evm"
+
+
+def _with_zeros(s, sf, lam=0.1, mode="row_frac"):
+    """Stored cells and as many drawn zero cells, with a lambda for each side."""
+    ev = cut_lineage(_ev(s, sf), "events")
+    d = E.dims_of(ev).first()
+    m, n = int(d["m"]), int(d["n"])
+    cells = E.sample_negatives(ev, m, n, "pu1", 1.0, seed=3).select("i", "j", "v")
+    cells = E.entry_regularization(cells, ev, n, lam, mode, "i", "lam_i")
+    return E.entry_regularization(cells, ev, m, lam, mode, "j", "lam_j")
+
+
+# T7 weighted SGD on sampled zeros, lambda by the share of stored cells of each
+# side; T8 the shifted PU form, the zero cells' pull in one dense step
+QUERIES["train_sgd_weighted"] = _job(lambda s, sf: _with_zeros(s, sf, mode="stored_only"),
+                                     lambda coo: train_sgd(coo, TrainParams(), SgdParams(rho=0.1)))
+QUERIES["train_pu_sgd"] = _job(lambda s, sf: _with_zeros(s, sf, mode="row_share").where(F.col("v") > 0),
+                               lambda coo: train_sgd(coo, TrainParams(), SgdParams(rho=0.1, shifted=True)))
+SQL["train_sgd_weighted"] = _with(EVM) + f""",
+dm AS (SELECT max(i) + 1 AS m, max(j) + 1 AS n, count(*) AS nnz FROM evm),
+cells AS (SELECT i, j FROM evm UNION ALL
+          SELECT CAST(floor({sql_uniform("'negi'", "'3'", 'r.range')} * dm.m) AS BIGINT),
+                 CAST(floor({sql_uniform("'negj'", "'3'", 'r.range')} * dm.n) AS BIGINT)
+          FROM dm, range(0, (SELECT nnz FROM dm)) r)
+""" + REPORT + "cells"
+SQL["train_pu_sgd"] = _with(EVM) + REPORT + "evm"
 
 # A16 evaluation catalog: every model against every task, one grouped job
 def _models(s, sf):
@@ -106,7 +162,6 @@ def _tasks(s, sf):
 
 QUERIES["evaluation_catalog"] = lambda s, sf: evaluate.evaluation_catalog(_models(s, sf), _tasks(s, sf)).select(
     "model", "task", r6(F.col("spearman")).alias("spearman"))
-from wordfold.functions.rand import sql_uniform  # noqa: E402
 
 SQL["evaluation_catalog"] = _with(WVN, wordsim_cte()) + "," + SLICES.replace(word_vectors_cte() + ",", "") + f""",
 sv0 AS (SELECT word, list_transform(list_zip(vec, generate_series(0, len(vec) - 1)), lambda p: p[1] * pow(1.0 / (p[2] + 1), 0.5)) AS vec FROM wv),

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wordfold.functions.rand import keyed_uniform, lit_key, sql_uniform
+from wordfold.functions.text import tokens
 from wordfold.operators import assoc, evaluate, vectors
 from wordfold.plans import fixtures as fx
 from wordfold.plans.catalog_corpus import C_CORPUS, P, _counts, _with, c_pairs
@@ -220,28 +221,24 @@ SELECT query, rank, word, round(score, 6) AS score FROM (
          row_number() OVER (PARTITION BY word ORDER BY v DESC, context DESC) AS rank FROM rep) WHERE rank <= {N}"""
 
 
-def _frequent_words(s, sf, k=20, counts=None):
-    """Report input: the k most frequent words of the corpus vocabulary."""
-    c = _counts(s, sf) if counts is None else counts
-    w = c.groupBy("word").agg(F.sum("n").alias("n"))
-    return w.orderBy(F.desc("n"), "word").limit(k).select("word")
+def _benchmark_words(s, sf):
+    """Query words: every word of the benchmark texts."""
+    return fx.table(s, sf, "benchmark").select(F.explode(tokens("text")).alias("word")).distinct()
 
 
 def _explicit_closest(s, sf):
-    # one corpus build: the query words (sum of n per word over all cells) and
-    # the matrix come from the same cell table
     from wordfold.plans.catalog_corpus import P as CP, _lines
     from wordfold.plans.ppmi import build_epmi
 
     ep, (nw, _) = build_epmi(_lines(s, sf), CP)
     rep = vectors.representation("PPMI", epmi=ep, neg=NEG, max_rows=nw)
-    return vectors.explicit_closest(_frequent_words(s, sf, counts=ep), rep, N)
+    return vectors.explicit_closest(_benchmark_words(s, sf), rep, N)
 
 
 QUERIES["explicit_closest"] = lambda s, sf: _explicit_closest(s, sf).select(
     "query", F.col("rank").cast("long").alias("rank"), "word", r6(F.col("score")).alias("score"))
 SQL["explicit_closest"] = _with(*CORPUS_ASSOC) + PPMI_REP + f""",
-fq AS (SELECT word FROM (SELECT word, sum(n) AS n FROM counts GROUP BY word) ORDER BY n DESC, word LIMIT 20),
+fq AS (SELECT DISTINCT unnest(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+')) AS word FROM benchmark),
 sc AS (SELECT q.word AS query, m.word, sum(q.v * m.v) AS score
        FROM rep q JOIN fq USING (word) JOIN rep m ON m.context = q.context GROUP BY q.word, m.word)
 SELECT query, rank, word, round(score, 6) AS score FROM (
@@ -286,14 +283,6 @@ QUERIES["test_vocab"] = lambda s, sf: evaluate.test_vocab(fx.analogy_questions(s
 SQL["test_vocab"] = _with(analogy_cte()) + """
 SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM (
   SELECT DISTINCT unnest([a, a_, b, b_]) AS word FROM quest)"""
-QUERIES["similarity_block"] = lambda s, sf: evaluate.similarity_block(
-    evaluate.test_vocab(fx.analogy_questions(s, sf)), _wv(s, sf), True).select(
-    "query", "word", r6(F.col("score")).alias("score"))
-SQL["similarity_block"] = _with(WVN, analogy_cte()) + f""",
-tv AS (SELECT DISTINCT unnest([a, a_, b, b_]) AS word FROM quest)
-SELECT tv.word AS query, c.word, round(({sql_dot('q.vec', 'c.vec')} + 1.0) / 2.0, 6) AS score
-FROM tv LEFT JOIN wvn q ON q.word = tv.word, wvn c"""
-
 ANALOGY_SQL = _with(WVN, analogy_cte()) + f""",
 sc AS (
   SELECT q.qid, q.b_, c.word,

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordfold.functions import vec as V
 from wordfold.operators import factor as E
+from wordfold.operators.coo import dense_ids
 from wordfold.operators.solve import DEFAULT_HEAVY, plan_side, solve_side
 from wordfold.session import cut_lineage
 from wordfold.sources.matrix import snapshot_factors
@@ -34,7 +37,8 @@ class TrainParams:
     seed: int = 0
     nmf: bool = False
     heavy_rows: int = DEFAULT_HEAVY
-    log: bool = True
+    log: bool = True  # keep the metrics of every iteration; never changes the model
+    center: bool = False  # subtract the mean of the values and keep it in the result
     snapshot_path: str | None = None
 
 
@@ -44,16 +48,24 @@ class TrainResult:
     h: DataFrame
     log: DataFrame | None = None
     history: list = field(default_factory=list)
+    mean: float = 0.0  # to be added to every prediction
+
+
+def centered(coo: DataFrame, p: TrainParams, test: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, float]:
+    """The entries (and test entries) less the training mean, if asked."""
+    if not p.center:
+        return coo, test, 0.0
+    mean = float(E.center_values(coo)[2].first()["mean"] or 0.0)
+    less = lambda df: df.withColumn("v", F.col("v") - mean)
+    return less(coo), less(test) if test is not None else None, mean
 
 
 def _metrics_row(coo: DataFrame, w: DataFrame, h: DataFrame, p: TrainParams, test: DataFrame | None) -> dict:
-    obj = E.objective(coo, w, h, p.rho, p.lam).first().asDict()
-    out = {k: float(v) if v is not None else None for k, v in obj.items()}
-    out["train_rmse"] = float(E.loss_rmse(coo, w, h).first()["rmse"] or 0.0)
+    out = E.objective(coo, w, h, p.rho, p.lam).first().asDict()
+    out["train_rmse"] = out.pop("rmse")
     if test is not None:
-        r = E.loss_rmse(test, w, h).first()["rmse"]
-        out["test_rmse"] = float(r) if r is not None else None
-    return out
+        out["test_rmse"] = E.loss_rmse(test, w, h).first()["rmse"]
+    return {k: float(v) for k, v in out.items() if v is not None}
 
 
 def _log_frame(spark, history: list) -> DataFrame:
@@ -86,6 +98,7 @@ def train_pu(coo: DataFrame, p: TrainParams, test: DataFrame | None = None,
     biases (W[k-2] = 1 and H[k-1] = 1 frozen). H is solved first, then W.
     T9: stops when the relative objective decrease falls below eps."""
     spark = coo.sparkSession
+    coo, test, mean = centered(coo, p, test)
     coo = cut_lineage(coo.select("i", "j", "v", *(["w"] if "w" in coo.columns else [])), "train-entries")
     w, h, rows, cols = init_model(coo, p, w0, h0)
     # id lists are read by every half-iteration: written once, not re-derived
@@ -108,7 +121,7 @@ def train_pu(coo: DataFrame, p: TrainParams, test: DataFrame | None = None,
                                    n_x=n_cols), "W")
         if p.snapshot_path:
             w, h = snapshot_factors(w, h, p.snapshot_path, it)
-        if p.log:
+        if p.log or p.eps > 0:
             m = _metrics_row(coo, w, h, p, test)
             m["iter"] = it
             history.append(m)
@@ -118,20 +131,30 @@ def train_pu(coo: DataFrame, p: TrainParams, test: DataFrame | None = None,
     for pl in (plan_h, plan_w):
         if pl.layout is not None:
             pl.layout.unpersist()
-    return TrainResult(w, h, _log_frame(spark, history) if history else None, history)
+        if pl.heavy is not None:
+            pl.heavy.unpersist()
+    return TrainResult(w, h, _log_frame(spark, history) if p.log else None, history, mean)
 
 
 def train_als(coo: DataFrame, p: TrainParams, implicit: bool = False, alpha: float = 1.0) -> TrainResult:
     """T1. Explicit ALS with n_i-scaled regularization (MLlib's ALS-WR);
-    ``implicit`` gives the confidence-weighted variant used for T2 with unit values."""
+    ``implicit`` gives the confidence-weighted variant used for T2 with unit
+    values. MLlib wants 32-bit ids, so any long ids are numbered first."""
     from pyspark.ml.recommendation import ALS
 
-    als = ALS(rank=p.k, maxIter=p.iters, regParam=p.lam, userCol="i", itemCol="j", ratingCol="v",
+    coo, _, mean = centered(coo, p)
+    ids = {c: cut_lineage(dense_ids(coo.select(c).distinct(), [c], f"_{c}"), f"als-{c}") for c in ("i", "j")}
+    numbered = coo.join(ids["i"], "i").join(ids["j"], "j")
+    als = ALS(rank=p.k, maxIter=p.iters, regParam=p.lam, userCol="_i", itemCol="_j", ratingCol="v",
               implicitPrefs=implicit, alpha=alpha, nonnegative=p.nmf, seed=p.seed,
               coldStartStrategy="nan", checkpointInterval=2)
-    model = als.fit(coo.select(F.col("i").cast("int"), F.col("j").cast("int"), F.col("v").cast("float")))
-    tod = lambda df: df.select(F.col("id").cast("long"), F.transform("features", lambda x: x.cast("double")).alias("vec"))
-    return TrainResult(tod(model.userFactors), tod(model.itemFactors))
+    model = als.fit(numbered.select(F.col("_i").cast("int"), F.col("_j").cast("int"), F.col("v").cast("float")))
+
+    def named(factors: DataFrame, c: str) -> DataFrame:
+        back = ids[c].select(F.col(f"_{c}").alias("id"), F.col(c).cast("long").alias("key"))
+        return factors.join(back, "id").select(F.col("key").alias("id"), F.transform("features", lambda x: x.cast("double")).alias("vec"))
+
+    return TrainResult(named(model.userFactors, "i"), named(model.itemFactors, "j"), mean=mean)
 
 
 def train_pu_als_unit(coo: DataFrame, p: TrainParams) -> TrainResult:
@@ -142,163 +165,202 @@ def train_pu_als_unit(coo: DataFrame, p: TrainParams) -> TrainResult:
 
 
 # ---------------------------------------------------------------- T4 / T5 cyclic rank-one descent
-def _set_dim(f: DataFrame, t: int, x: DataFrame) -> DataFrame:
-    """Replace dim t of (id, vec) by (id, x) (missing ids keep their value)."""
-    j = f.join(x.select("id", F.col("x").alias("_x")), "id", "left")
-    return j.select("id", F.transform("vec", lambda v, idx: F.when((idx == t) & F.col("_x").isNotNull(), F.col("_x")).otherwise(v)).alias("vec"))
-
-
 def _dim(f: DataFrame, t: int) -> DataFrame:
     return f.select("id", F.element_at("vec", t + 1).alias("x"))
 
 
+def _assemble(dims: list[DataFrame]) -> DataFrame:
+    """(id, vec) from one (id, x) table per dimension."""
+    parts = [d.select("id", F.lit(t).alias("t"), "x") for t, d in enumerate(dims)]
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda e: e["x"]).alias("vec"))
+
+
+def _sweep(r: DataFrame, u: DataFrame, v: DataFrame, lam: float, nmf: bool) -> tuple[DataFrame, DataFrame, float]:
+    """One column update and one row update of a rank: (u, v, gain)."""
+    across = r.withColumnsRenamed({"i": "j", "j": "i"})
+    new_v = E.rank_one_update(r, u, v, lam, nmf)
+    new_u = E.rank_one_update(across, new_v.select("id", "x"), u, lam, nmf)
+    both = cut_lineage(new_v.withColumn("of", F.lit("v")).unionByName(new_u.withColumn("of", F.lit("u"))), "rank")
+    gain = both.agg(F.sum("gain")).first()[0] or 0.0
+    return *(both.where(F.col("of") == side).select("id", "x") for side in "uv"), gain
+
+
 def train_ccd(coo: DataFrame, p: TrainParams, growing: bool = False) -> TrainResult:
     """T4 (and T5 with ``growing``). Cyclic rank-one descent on the squared
-    loss with n-scaled lambda: for each rank t, add u_t v_t back to the
-    residual, alternate closed-form column / row updates (E6) for up to
-    ``inner`` sweeps, subtract the new product. Each rank step is a join and
-    an aggregate; residuals and factors are written to the checkpoint folder
-    after every rank. Growing mode activates ranks 1, 2, 4, ... k over outer
-    iterations with lambda starting at lam*log2(k) and falling by lam per
-    iteration down to lam."""
+    loss with n-scaled lambda.
+
+    A pass takes the ranks in turn: the rank's product goes back into the
+    residual, ``inner`` sweeps (E6 for columns, then rows) fit it, and the
+    new product is taken out. Training ends after ``iters`` passes, or when a
+    pass lowers the objective by less than ``eps`` of it. Growing mode
+    activates 1, 2, 4, ... k ranks pass by pass, with lambda falling linearly
+    from lam * log2(k) to lam; it doesn't end before all are active. One table
+    is written per sweep and one residual per rank."""
     spark = coo.sparkSession
+    coo, _, mean = centered(coo, p)
     coo = cut_lineage(coo.select("i", "j", "v", *(["w"] if "w" in coo.columns else [])), "ccd-entries")
-    w, h, rows, cols = init_model(coo, p)
-    k = p.k
-    # residual R = A - W H^T on stored cells (H starts at zero -> R = A)
-    r = cut_lineage(E.predictions(coo, w, h).withColumn("v", F.col("v") - F.col("p")).drop("p"), "R")
-    history, fundec_max = [], 0.0
+    w, h, _, _ = init_model(coo, p)
+    w, h = cut_lineage(w, "W"), cut_lineage(h, "H")
+    us, vs = [_dim(w, t) for t in range(p.k)], [_dim(h, t) for t in range(p.k)]
+    r = E.predictions(coo, w, h).withColumn("v", F.col("v") - F.col("p")).drop("p")
+    weight = F.col("w") if "w" in coo.columns else F.lit(1.0)
+    history = []
     for it in range(1, p.iters + 1):
-        active = min(k, 2 ** (it - 1)) if growing else k
-        lam = max(p.lam, p.lam * math.log2(k) - p.lam * (it - 1)) if growing else p.lam
-        early = 0
+        active = min(p.k, 2 ** (it - 1)) if growing else p.k
+        lam = p.lam * max(1.0, math.log2(max(p.k, 2)) - (it - 1)) if growing else p.lam
+        gained = 0.0
         for t in range(active):
-            if early >= 5:
-                break
-            u, v = _dim(w, t), _dim(h, t)
-            r_hat = E.residuals(r, u, v, add=True)
-            r_hat = cut_lineage(r_hat, "Rhat")
-            for inner in range(1, p.inner + 1):
-                nv = E.rank_one_update(r_hat, u, v, lam, p.nmf).persist()
-                nu = E.rank_one_update(r_hat.select(F.col("j").alias("i"), F.col("i").alias("j"), *[c for c in r_hat.columns if c not in ("i", "j")]),
-                                       nv.select("id", "x"), u, lam, p.nmf).persist()
-                dec = (nv.agg(F.sum("fundec")).first()[0] or 0.0) + (nu.agg(F.sum("fundec")).first()[0] or 0.0)
-                v, u = nv.select("id", "x"), nu.select("id", "x")
-                v, u = cut_lineage(v, "v"), cut_lineage(u, "u")
-                if dec < fundec_max * p.eps:
-                    if inner == 1:
-                        early += 1
-                    break
-                if not (it == 1 and t == 0 and inner == 1):
-                    fundec_max = max(fundec_max, dec)
-            h = cut_lineage(_set_dim(h, t, v), "H")
-            w = cut_lineage(_set_dim(w, t, u), "W")
-            r = cut_lineage(E.residuals(r_hat, u, v, add=False), "R")
-        if p.log:
-            m = _metrics_row(coo, w, h, TrainParams(**{**p.__dict__, "rho": 0.0, "lam": lam}), None)
-            m["iter"] = it
-            history.append(m)
-    return TrainResult(w, h, _log_frame(spark, history) if history else None, history)
+            r = cut_lineage(E.residuals(r, us[t], vs[t], add=True), "R")
+            for _ in range(p.inner):
+                us[t], vs[t], gain = _sweep(r, us[t], vs[t], lam, p.nmf)
+                gained += gain
+            r = E.residuals(r, us[t], vs[t])
+        r = cut_lineage(r, "R")
+        left = r.agg(F.sum(weight * F.col("v") * F.col("v"))).first()[0] or 0.0
+        history.append({"iter": it, "loss": left, "gain": gained})
+        if active == p.k and gained < p.eps * (left + gained):
+            break
+    return TrainResult(_assemble(us), _assemble(vs), _log_frame(spark, history) if p.log else None, history, mean)
 
 
 # ---------------------------------------------------------------- T6 - T8 stratified SGD
-def _sgd_kernel(k: int, lr: float, lam: float, nmf: bool, rho: float | None, adagrad: bool):
-    """One block: SGD over its entries in a fixed order (AdaGrad step sizes).
+#: Entries of a block whose gradients are taken together.
+MINI_BATCH = 64
 
-    With ``rho`` (T7), cells with v < 0.5 are zero cells: their error is
-    scaled by rho."""
+
+@dataclass
+class SgdParams:
+    """``lr`` step size; ``adagrad`` scales it per dimension; ``bold`` adapts
+    it by the loss of each iteration (T10). ``rho`` weighs zero cells (T7);
+    with ``shifted`` (T8) the zero cells' pull of rho p on every pair comes
+    from one dense step an iteration (E15), and a stored cell only adds what
+    it differs by, (1 - rho) p - v. ``split``: of the k dimensions the last
+    half starts in the second iteration, so that the first half settles on
+    the bulk of the signal. ``entries``: entries of a block at most."""
+    lr: float = 0.1
+    adagrad: bool = True
+    bold: bool = False
+    rho: float | None = None
+    shifted: bool = False
+    split: bool = False
+    entries: int = 200_000
+
+
+def _sgd_kernel(lr: float, nmf: bool, q: SgdParams, active: int):
+    """One block: SGD over its entries in the order of their keys, in
+    mini-batches; each step uses the vectors as the batch found them and adds
+    up the gradients of entries that share an id."""
+
+    def step(x: np.ndarray, g2: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+        ids, where = np.unique(at, return_inverse=True)
+        total = np.zeros((len(ids), x.shape[1]))
+        np.add.at(total, where, grad)
+        if q.adagrad:
+            g2[ids] += total * total
+            total /= np.sqrt(g2[ids] + 1e-8)
+        x[ids] -= lr * total
+        if nmf:
+            x[ids] = np.maximum(x[ids], 0)
+
+    def places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, wanted)
+        if len(wanted) and (not len(known) or (known[np.minimum(at, len(known) - 1)] != wanted).any()):
+            raise ValueError("an entry's id has no factors in its block")
+        return at
 
     def run(ents: pd.DataFrame, fac: pd.DataFrame) -> pd.DataFrame:
         if len(fac) == 0:
             return pd.DataFrame({"side": [], "id": [], "vec": [], "g2": []})
-        side = fac["side"].to_numpy()
-        ids = fac["id"].to_numpy().astype(np.int64)
-        vecs = np.stack(fac["vec"].to_numpy()).astype(float)
-        g2 = np.stack(fac["g2"].to_numpy()).astype(float)
-        pos_w = {i: r for r, (s, i) in enumerate(zip(side, ids)) if s == "W"}
-        pos_h = {i: r for r, (s, i) in enumerate(zip(side, ids)) if s == "H"}
-        if len(ents):
-            order = np.argsort(ents["key"].to_numpy(), kind="stable")
-            ei = ents["i"].to_numpy().astype(np.int64)[order]
-            ej = ents["j"].to_numpy().astype(np.int64)[order]
-            ev = ents["v"].to_numpy(dtype=float)[order]
-            el = ents["lam"].to_numpy(dtype=float)[order] if "lam" in ents else np.full(len(order), lam)
-            for i, j, val, lm in zip(ei, ej, ev, el):
-                a, b = pos_w.get(i), pos_h.get(j)
-                if a is None or b is None:
-                    continue
-                wa, hb = vecs[a], vecs[b]
-                err = wa @ hb - val
-                if rho is not None and val < 0.5:
-                    err *= rho
-                gw = err * hb + lm * wa
-                gh = err * wa + lm * hb
-                if adagrad:
-                    g2[a] += gw * gw
-                    g2[b] += gh * gh
-                    vecs[a] = wa - lr * gw / np.sqrt(g2[a] + 1e-8)
-                    vecs[b] = hb - lr * gh / np.sqrt(g2[b] + 1e-8)
-                else:
-                    vecs[a] = wa - lr * gw
-                    vecs[b] = hb - lr * gh
-                if nmf:
-                    vecs[a] = np.maximum(vecs[a], 0)
-                    vecs[b] = np.maximum(vecs[b], 0)
-        return pd.DataFrame({"side": side, "id": ids, "vec": list(vecs), "g2": list(g2)})
+        fac = fac.sort_values(["side", "id"], kind="stable")
+        side, ids = fac["side"].to_numpy(), fac["id"].to_numpy().astype(np.int64)
+        x, g2 = (np.stack(fac[c].to_numpy()).astype(float) for c in ("vec", "g2"))
+        n_h = int((side == "H").sum())  # H sorts before W
+        xh, xw, gh, gw = x[:n_h], x[n_h:], g2[:n_h], g2[n_h:]
+        ents = ents.sort_values("key", kind="stable")
+        i, j = (ents[c].to_numpy().astype(np.int64) for c in ("i", "j"))
+        v, li, lj = (ents[c].to_numpy(dtype=float) for c in ("v", "lam_i", "lam_j"))
+        ri, cj = places(ids[n_h:], i), places(ids[:n_h], j)
+        for lo in range(0, len(v), MINI_BATCH):
+            b = slice(lo, lo + MINI_BATCH)
+            a, c = xw[ri[b]], xh[cj[b]]
+            p = (a * c).sum(axis=1)
+            if q.shifted:
+                err = np.where(v[b] > 0, (1 - q.rho) * p - v[b], q.rho * p)
+            else:
+                err = p - v[b]
+                if q.rho is not None:
+                    err = np.where(v[b] > 0, err, q.rho * err)
+            grad_w, grad_h = err[:, None] * c + li[b, None] * a, err[:, None] * a + lj[b, None] * c
+            grad_w[:, active:] = 0.0
+            grad_h[:, active:] = 0.0
+            step(xw, gw, ri[b], grad_w)
+            step(xh, gh, cj[b], grad_h)
+        return pd.DataFrame({"side": side, "id": ids, "vec": list(x), "g2": list(g2)})
 
     return run
 
 
-def train_sgd(coo: DataFrame, p: TrainParams, blocks: int = 8, lr: float = 0.1, rho: float | None = None,
-              adagrad: bool = True, entry_lam: DataFrame | None = None) -> TrainResult:
-    """T6 (T7 with ``rho``; T8 by passing a table from E12-E16). Stratified
-    SGD on a blocks x blocks grid: a stratum holds the blocks (b, (b + s) mod B),
-    which share no row or column, so its B block jobs run in parallel, each
-    with exactly the factor rows / columns it touches (cogrouped by block).
-    ``entry_lam`` (i, j, lam) sets per-entry regularization (E16)."""
+def train_sgd(coo: DataFrame, p: TrainParams, q: SgdParams | None = None) -> TrainResult:
+    """T6 (T7 with ``rho``, T8 with ``shifted``). Stratified SGD on a B x B
+    grid of id blocks: a stratum's blocks share no row or column, so its B
+    jobs run in parallel, each with just the factors it touches (cogrouped by
+    block). Every iteration takes the strata in another order. B follows from
+    the number of entries, so that a block holds about ``q.entries``.
+    ``coo`` may bring lambdas per entry and side (``lam_i``, ``lam_j``, E16);
+    the default is ``p.lam`` for both. Repeated cells stay separate entries."""
+    q = q or SgdParams()
     spark = coo.sparkSession
-    ent = coo.select("i", "j", "v")
-    if entry_lam is not None:
-        ent = ent.join(entry_lam.select("i", "j", "lam"), ["i", "j"], "left").withColumn("lam", F.coalesce("lam", F.lit(p.lam)))
-    else:
-        ent = ent.withColumn("lam", F.lit(p.lam))
+    coo, _, mean = centered(coo, p)
+    lams = [F.col(c) if c in coo.columns else F.lit(p.lam).alias(c) for c in ("lam_i", "lam_j")]
+    ent = coo.select("i", "j", "v", *lams)
+    n = ent.count()
+    blocks = max(2, math.ceil(math.sqrt(n / q.entries)))
     ent = ent.withColumn("rb", E.block_of(F.col("i"), blocks, p.seed)).withColumn("cb", E.block_of(F.col("j"), blocks, p.seed + 1))
-    ent = ent.withColumn("key", F.xxhash64("i", "j"))
     ent = cut_lineage(ent, "sgd-entries")
-    rows = coo.select(F.col("i").alias("id")).distinct()
-    cols = coo.select(F.col("j").alias("id")).distinct()
-    w = E.init_factors(rows, p.k, p.seed)
-    h = E.init_factors(cols, p.k, p.seed + p.k)
+    rows, cols = (ent.select(F.col(c).alias("id")).distinct() for c in "ij")
     zeros = F.array_repeat(F.lit(0.0), p.k)
-    fac = w.select(F.lit("W").alias("side"), "id", "vec", zeros.alias("g2")).unionByName(
-        h.select(F.lit("H").alias("side"), "id", "vec", zeros.alias("g2")))
-    fac = fac.withColumn("blk", F.when(F.col("side") == "W", E.block_of(F.col("id"), blocks, p.seed)).otherwise(
-        E.block_of(F.col("id"), blocks, p.seed + 1)))
-    fac = cut_lineage(fac, "sgd-factors")
-    kernel = _sgd_kernel(p.k, lr, 0.0, p.nmf, rho, adagrad)
+    block = F.when(F.col("side") == "W", E.block_of(F.col("id"), blocks, p.seed)).otherwise(E.block_of(F.col("id"), blocks, p.seed + 1))
+    sides = [E.init_factors(ids, p.k, seed).select(F.lit(side).alias("side"), "id", "vec", zeros.alias("g2"))
+             for side, ids, seed in (("W", rows, p.seed), ("H", cols, p.seed + p.k))]
+    fac = cut_lineage(sides[0].unionByName(sides[1]).withColumn("blk", block), "sgd-factors")
     schema = "side string, id long, vec array<double>, g2 array<double>"
-    history = []
-    for it in range(1, p.iters + 1):
-        for s in range(blocks):
-            # stratum s: entry block (b, (b+s) mod B) is task b; factors of row block b and column block (b+s) mod B join it
-            e_s = ent.where(F.pmod(F.col("cb") - F.col("rb"), F.lit(blocks)) == s).withColumn("task", F.col("rb"))
-            f_task = F.when(F.col("side") == "W", F.col("blk")).otherwise(F.pmod(F.col("blk") - F.lit(s), F.lit(blocks)))
-            f_s = fac.withColumn("task", f_task)
-            upd = e_s.groupBy("task").cogroup(f_s.groupBy("task")).applyInPandas(kernel, schema)
-            fac = cut_lineage(upd.withColumn("blk", F.when(F.col("side") == "W", E.block_of(F.col("id"), blocks, p.seed)).otherwise(
-                E.block_of(F.col("id"), blocks, p.seed + 1))), "sgd-factors")
-        if p.log:
-            w_ = fac.where(F.col("side") == "W").select("id", "vec")
-            h_ = fac.where(F.col("side") == "H").select("id", "vec")
-            m = {"iter": it, **{k2: float(v) for k2, v in E.loss_rmse(coo, w_, h_).first().asDict().items()}}
-            history.append(m)
-    w = fac.where(F.col("side") == "W").select("id", "vec")
-    h = fac.where(F.col("side") == "H").select("id", "vec")
-    return TrainResult(w, h, _log_frame(spark, history) if history else None, history)
+    history, lr, rng = [], q.lr, np.random.default_rng(p.seed)
 
+    def loss() -> float:
+        w_, h_ = (fac.where(F.col("side") == s).select("id", "vec") for s in "WH")
+        if q.shifted:
+            return float(E.pu_loss(ent.where(F.col("v") > 0), w_, h_, q.rho).first()["loss"])
+        cells = ent.withColumn("w", F.when(F.col("v") > 0, 1.0).otherwise(1.0 if q.rho is None else q.rho))
+        return float(E.stored_sums(cells, w_, h_).first()["omega"])
 
-def bold_driver(history: list, lr: float, metric: str = "loss", start: int = 4) -> float:
-    """T10. From the ``start``-th iteration: x1.05 if the objective fell, else x0.5."""
-    if len(history) < start or len(history) < 2:
-        return lr
-    return lr * 1.05 if history[-1][metric] < history[-2][metric] else lr * 0.5
+    if p.log or q.bold:
+        history.append({"iter": 0, "loss": loss()})
+    for it in range(1, p.iters + 1):
+        active = p.k // 2 if q.split and it == 1 else p.k
+        for s in rng.permutation(blocks).tolist():
+            keyed = ent.where(F.pmod(F.col("cb") - F.col("rb"), F.lit(blocks)) == s).select(
+                F.col("rb").alias("task"), "i", "j", "v", "lam_i", "lam_j", F.xxhash64("i", "j", F.lit(it)).alias("key"))
+            task = F.when(F.col("side") == "W", F.col("blk")).otherwise(F.pmod(F.col("blk") - F.lit(s), F.lit(blocks)))
+            moved = keyed.groupBy("task").cogroup(fac.withColumn("task", task).groupBy("task")).applyInPandas(
+                _sgd_kernel(lr, p.nmf, q, active), schema)
+            fac = cut_lineage(moved.withColumn("blk", block), "sgd-factors")
+        if q.shifted:
+            w_, h_ = (fac.where(F.col("side") == s).select("id", "vec") for s in "WH")
+            # at most the share lr of a vector: no eigenvalue of a Gram matrix exceeds its trace
+            trace = max(f.agg(F.sum(V.sq_norm("vec"))).first()[0] or 0.0 for f in (w_, h_))
+            w_, h_ = E.pu_zero_gradient_step(w_, h_, q.rho, lr / (q.rho * max(trace, 1.0)))
+            new = w_.withColumn("side", F.lit("W")).unionByName(h_.withColumn("side", F.lit("H"))).withColumnRenamed("vec", "new")
+            fac = cut_lineage(fac.join(new, ["side", "id"]).select("side", "id", F.col("new").alias("vec"), "g2", "blk"), "sgd-factors")
+        if p.log or q.bold:
+            history.append({"iter": it, "loss": loss()})
+            if q.bold:
+                lr = bold_driver(history, lr)
+    w, h = (fac.where(F.col("side") == s).select("id", "vec") for s in "WH")
+    return TrainResult(w, h, _log_frame(spark, history) if p.log else None, history, mean)
+
+
+def bold_driver(history: list, lr: float) -> float:
+    """T10. The next step size: 5 % more after a fall of the loss, half after
+    a rise."""
+    return lr * (1.05 if history[-1]["loss"] <= history[-2]["loss"] else 0.5)
