@@ -13,12 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordfold.llm import io
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCKS = "block long, kind int, ids binary, sizes binary, texts binary"
 #: Stands for a null document id.
 NO_ID = np.iinfo(np.int64).max
@@ -61,12 +61,12 @@ class Block:
         yield from zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(self.sizes)].tolist(), strict=True)
 
 
-def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of ``BLOCKS`` from ``doc_id, text`` and, if there, ``kind`` (an
-    int; a block holds one kind), written once. Null texts are empty, null ids
-    ``NO_ID``. A longer text makes a longer block."""
+def make_blocks(docs: DataFrame, size: int = BLOCK_BYTES, kind: Column | None = None) -> DataFrame:
+    """Rows of ``BLOCKS`` from ``doc_id, text``, written once. A block holds
+    documents of one ``kind`` (an int expression, 0 by default). Null texts
+    are empty, null ids ``NO_ID``. A longer text makes a longer block."""
     schema = io.arrow_schema(BLOCKS)
-    docs = docs.select("doc_id", "text", "kind") if "kind" in docs.columns else docs.select("doc_id", "text", F.lit(0).alias("kind"))
+    docs = docs.select("doc_id", "text", (F.lit(0) if kind is None else kind).cast("int").alias("kind"))
 
     def row(number: int, kind: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         ids, sizes, texts = zip(*parts, strict=True)

@@ -247,7 +247,7 @@ def score_blocks(blocks: DataFrame, order: int, model: Mixture) -> DataFrame:
 def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of ``SCORES`` from ``doc_id, text, kind``."""
     buckets = 4 * io.shuffle_partitions(docs.sparkSession)
-    blocks = make_blocks(docs, block_bytes)
+    blocks = make_blocks(docs, block_bytes, F.col("kind"))
     answers = io.written(requests(blocks, order, buckets).groupBy("level", "bucket").applyInArrow(answer, ANSWERS), "lm-answers", "uncompressed")
     totals = answers.filter("block = -1 and level = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "fold_tokens", "rest_types")]).first()
     tokens, types, fold_tokens, rest_types = totals

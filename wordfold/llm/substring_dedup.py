@@ -43,6 +43,8 @@ from wordfold.llm.suffix_array import common_prefixes, join_strings, suffix_arra
 
 LENGTH = 50
 ANCHOR = 20
+#: Spans that are gathered at once, and bytes of one suffix array.
+SPANS_AT_ONCE, ARRAY_BYTES = 8192, 1 << 20
 #: Numbers of copied documents (four bytes each) that may be broadcast.
 BROADCAST_COPIES = 1_000_000
 
@@ -186,33 +188,34 @@ def take_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
 
 
 def content_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The spans as rows of equal width (zero-filled), for exact comparison."""
-    width = int(sizes.max(initial=1))
-    out = np.zeros((len(starts), width + 1), np.uint8)
+    """The spans as rows of 64-bit numbers, filled up with zeros, and their
+    sizes: two spans are equal if their rows are."""
+    width = -(-int(sizes.max(initial=1)) // 8) * 8
+    out = np.zeros((len(starts), width + 8), np.uint8)
     column = np.arange(width)
-    inside = column < sizes[:, None]
-    out[:, :width][inside] = take_spans(data, starts, sizes)
-    out[:, width] = sizes  # below 256: a fragment has at most 2 * LENGTH bytes
-    return out
+    for lo in range(0, len(starts), SPANS_AT_ONCE):
+        part = slice(lo, lo + SPANS_AT_ONCE)
+        at = starts[part, None] + column
+        np.minimum(at, len(data) - 1, out=at)
+        out[part, :width] = np.where(column < sizes[part, None], data[at], 0)
+    numbers = out.view(U)
+    numbers[:, -1] = sizes
+    return numbers
 
 
 def equal_spans(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """A number for each span; spans with equal hash and bytes share it. The
     numbers ascend with the hash."""
-    wide = np.concatenate([hashes.astype(">u8").view(np.uint8).reshape(-1, 8), keys], axis=1)
-    as_one = np.ascontiguousarray(wide).view(f"V{wide.shape[1]}").ravel()
-    order = np.argsort(hashes, kind="stable")
-    number = np.empty(len(hashes), np.int64)
-    # spans of one hash are few kinds: sort by a digest of the bytes within it
-    digest = np.zeros(len(hashes), U)
-    padded = np.zeros((len(wide), -(-wide.shape[1] // 8) * 8), np.uint8)
-    padded[:, : wide.shape[1]] = wide
-    for column in padded.view(U).T:
+    digest = hashes.copy()
+    for column in keys.T:
         digest = mix(digest * U(3) + column)
     order = np.lexsort((digest, hashes))
-    ordered = as_one[order]
     new = np.ones(len(order), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    for column in keys.T:  # the bytes decide, the digest only brings equals together
+        ordered = column[order]
+        new[1:] |= ordered[1:] != ordered[:-1]
+    number = np.empty(len(hashes), np.int64)
     number[order] = np.cumsum(new) - 1
     return number
 
@@ -317,7 +320,17 @@ def settle(table: pa.Table) -> pa.Table:
         kinds = kinds[times[inverse] > 1]
         covered: list[tuple[np.ndarray, np.ndarray]] = []
         if len(kinds):
-            span, inside = agreeing_windows(data, starts[kinds], sizes[kinds], ids[kinds])
+            # kinds of one hash side by side; equal windows have one hash, so
+            # the arrays may be cut between hashes
+            kinds = kinds[np.argsort(hashes[kinds], kind="stable")]
+            ends = np.flatnonzero(np.r_[hashes[kinds][1:] != hashes[kinds][:-1], True]) + 1
+            part = np.cumsum(sizes[kinds])[ends - 1] // ARRAY_BYTES
+            cuts = np.r_[0, ends[np.r_[part[1:] != part[:-1], True]]]
+            found = []
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                some, inside = agreeing_windows(data, starts[kinds[lo:hi]], sizes[kinds[lo:hi]], ids[kinds[lo:hi]])
+                found.append((some + lo, inside))
+            span, inside = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             # to all fragments of the kind that are not whole
             kind_of = np.full(len(ids), -1)
             kind_of[kinds] = np.arange(len(kinds))
