@@ -179,30 +179,30 @@ def window_pairs(
     if win < 1:
         return kept.sparkSession.createDataFrame([], "word string, context string")
     ext = _extended(kept, win, delete, chunk_tokens).where(F.col("hi") >= F.col("lo"))
-    # One row per centre index; the 2*win neighbours are fixed-offset lookups
-    # into the chunk array, so the whole generator stays in generated code
-    # (no per-row lambdas) and feeds the partial aggregate directly.
+    # One row per centre, then one per index near it: both are lookups into the
+    # chunk array, so the generators stay in generated code whose size doesn't
+    # depend on the window, and feed the partial aggregate directly.
     cen = ext.select("doc_id", "line_no", "ext", F.explode(F.sequence("lo", "hi")).alias("i"))
     c = F.get(F.col("ext"), F.col("i"))
+    w = F.lit(win)
     if dyn:
         u = keyed_uniform(lit_key("dyn"), lit_key(seed), F.col("doc_id"), F.col("line_no"), c["pos"])
         w = (F.floor(u * win) + 1).cast("int")
+    cen = cen.select("ext", "i", c["word"].alias("word"), c["pos"].alias("pos"), w.alias("w"))
+    reach = F.sequence(F.greatest(F.col("i") - F.col("w"), F.lit(0)), F.least(F.col("i") + F.col("w"), F.size("ext") - 1))
+    near = cen.select("ext", "i", "word", "pos", "w", F.explode(reach).alias("k")).where(F.col("k") != F.col("i"))
+    x = F.get(F.col("ext"), F.col("k"))
+    # delete: distance counts kept tokens (array index); else raw positions
+    off = (F.col("k") - F.col("i")) if delete else (x["pos"] - F.col("pos"))
+    if not delete:
+        near = near.where(F.abs(off) <= F.col("w"))
+    if not positional:
+        ctx = x["word"]
+    elif encoded:
+        ctx = x["word"] * F.lit(2 * win + 1) + (off + F.lit(win))
     else:
-        w = F.lit(win)
-    cands = []
-    for d in [*range(-win, 0), *range(1, win + 1)]:
-        x = F.get(F.col("ext"), F.col("i") + F.lit(d))
-        # delete: distance counts kept tokens (array index); else raw positions
-        off = F.lit(d) if delete else (x["pos"] - c["pos"])
-        if not positional:
-            ctx = x["word"]
-        elif encoded:
-            ctx = x["word"] * F.lit(2 * win + 1) + (off + F.lit(win))
-        else:
-            ctx = F.concat(x["word"], F.lit("_"), off.cast("string"))
-        cands.append(F.when(x.isNotNull() & (F.abs(off) <= w), ctx))
-    pairs = cen.select(c["word"].alias("word"), F.explode(F.array(*cands)).alias("context"))
-    return pairs.where(F.col("context").isNotNull())
+        ctx = F.concat(x["word"], F.lit("_"), off.cast("string"))
+    return near.select("word", ctx.alias("context"))
 
 
 # ---------------------------------------------------------------- B9 - B13

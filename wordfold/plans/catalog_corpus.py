@@ -94,6 +94,10 @@ QUERIES["window_pairs_dynamic"] = lambda s, sf: _counts(s, sf, P_DYN)
 SQL["window_pairs_dynamic"] = _with(C_CORPUS, c_pairs(P_DYN)) + "SELECT word, context, n FROM counts"
 QUERIES["window_pairs_positional"] = lambda s, sf: _counts(s, sf, P_POS)
 SQL["window_pairs_positional"] = _with(C_CORPUS, c_pairs(P_POS)) + "SELECT word, context, n FROM counts"
+# the demo's corpus settings: window 15, dynamic, subsampling 1e-5
+P_DEMO = CorpusParams(thr=5, win=15, dyn=True, sub=1e-5, delete=True, seed=P.seed)
+QUERIES["pair_counts_demo"] = lambda s, sf: _counts(s, sf, P_DEMO)
+SQL["pair_counts_demo"] = _with(corpus_ctes(P_DEMO.thr, P_DEMO.sub, P_DEMO.seed), c_pairs(P_DEMO)) + "SELECT word, context, n FROM counts"
 # chunked execution path (tiny chunks force halos on most lines) must give the same counts
 QUERIES["window_pairs_chunked"] = lambda s, sf: _counts(s, sf, CorpusParams(
     thr=P.thr, win=P.win, sub=P.sub, delete=True, seed=P.seed, chunk_tokens=3))

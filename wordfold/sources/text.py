@@ -26,11 +26,48 @@ def read_corpus(df: DataFrame, text_col: str = "text", key_col: str = "doc_id",
     return lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"), tokens("line").alias("toks")).where(F.size("toks") > 0)
 
 
+#: Tokens of a file's line that stay in one row.
+LINE_TOKENS = 100_000
+
+
 def read_corpus_text(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
-    """A1 for plain text files: each file line is a corpus line; doc_id is a
-    stable hash of the file name, line_no the line's order inside its file."""
-    raw = spark.read.text(path, wholetext=True).withColumn("doc_id", F.xxhash64(F.input_file_name()))
-    return read_corpus(raw, "value", "doc_id", lower)
+    """A1 for plain text files: each file line is a corpus line. Files are read
+    by splits, not whole; doc_id names the file's split and line_no numbers the
+    lines of it in the order of the file. Lines without tokens drop."""
+    raw = spark.read.text(path).select("value", F.xxhash64(F.input_file_name()).alias("file"), F.monotonically_increasing_id().alias("n"))
+    line = F.lower("value") if lower else F.col("value")
+    numbered = raw.select(F.xxhash64("file", F.shiftright("n", 33)).alias("doc_id"),
+                          F.col("n").bitwiseAND((1 << 33) - 1).cast("int").alias("line_no"), tokens(line).alias("toks"))
+    return numbered.where(F.size("toks") > 0)
+
+
+def rejected_lines(lines: DataFrame, fields: tuple[int, int | None], numbers: tuple[int, ...] = (), col: str = "value") -> DataFrame:
+    """The lines that the parsers here leave out though they aren't blank:
+    fewer or more fields than ``fields`` (least, most), or no number where
+    there should be one (1-based places)."""
+    parts = F.filter(F.split(F.trim(F.col(col)), r"[ \t\n\r\f\x0B]+"), lambda t: t != F.lit(""))
+    least, most = fields
+    wrong = F.size(parts) < least
+    if most is not None:
+        wrong = wrong | (F.size(parts) > most)
+    for place in numbers:
+        wrong = wrong | F.try_element_at(parts, F.lit(place)).try_cast("double").isNull()
+    return lines.where((F.size(parts) > 0) & wrong)
+
+
+#: Fields and numeric places of the formats: counts, word similarity,
+#: analogies, matrix cells, count vocabularies.
+FORMATS = {"counts": ((3, 3), (1,)), "wordsim": ((3, 3), (3,)), "analogies": ((4, 4), ()), "coo": ((3, 3), (1, 2, 3)), "count_vocab": ((2, 2), (2,))}
+
+
+def require_readable(lines: DataFrame, kind: str, col: str = "value") -> DataFrame:
+    """``lines`` if all can be read as the format; raises with their number
+    and the first of them otherwise."""
+    bad = rejected_lines(lines, *FORMATS[kind], col)
+    found = bad.agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("first")).first()
+    if found["n"]:
+        raise ValueError(f"{found['n']} lines are no {kind}, such as {found['first']!r}")
+    return lines
 
 
 def parse_counts(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -44,7 +81,7 @@ def parse_counts(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    return parse_counts(spark.read.text(path))
+    return parse_counts(require_readable(spark.read.text(path), "counts"))
 
 
 def format_counts(counts: DataFrame, width: int = 7) -> DataFrame:
@@ -78,7 +115,7 @@ def parse_wordsim(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_wordsim(spark: SparkSession, path: str) -> DataFrame:
-    return parse_wordsim(spark.read.text(path))
+    return parse_wordsim(require_readable(spark.read.text(path), "wordsim"))
 
 
 def parse_analogies(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -90,6 +127,8 @@ def parse_analogies(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_analogies(spark: SparkSession, path: str) -> DataFrame:
+    """Analogy files may hold section names, which have other numbers of
+    fields; :func:`rejected_lines` lists them."""
     return parse_analogies(spark.read.text(path))
 
 
