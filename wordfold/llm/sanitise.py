@@ -1,12 +1,12 @@
 """Personal data by patterns, and terms that give it away by information.
 
 DataFrame functions only. Patterns find the protected entities (e-mail, IP,
-card and phone numbers). For every entity that several different texts
-mention, co-occurrence over the whole corpus tells how strongly a term
-reveals it: ``disclosure = log(N c(e,t) / (c(e) c(t))) / log(N / c(e))`` is
+card and phone numbers). For every entity that several different lines
+mention, co-occurrence in the lines of the whole corpus tells how strongly a
+term reveals it: ``disclosure = log(N c(e,t) / (c(e) c(t))) / log(N / c(e))`` is
 the information that seeing the term gives about the entity, as a share of
 all there is to know; it is 1 if the term occurs only where the entity does
-and 0 if they are independent. Counts are of different texts, so copies of a
+and 0 if they are independent. Counts are of different lines, so copies of a
 text count once. Terms at ``REMOVE`` or more are removed, at ``GENERALISE``
 or more generalised, wherever they stand outside an entity.
 
@@ -42,7 +42,7 @@ TERM_KINDS = ["remove", "generalise"]
 NAMES = [k for k, _, _ in KINDS] + TERM_KINDS
 TERM = r"\p{L}++"
 
-#: Texts that must mention an entity, and a term with it.
+#: Different lines that must mention an entity, and a term with it.
 SUPPORT = 3
 REMOVE, GENERALISE = 0.9, 0.6
 #: Rows of a table that may be broadcast.
@@ -115,33 +115,9 @@ def _with_bound(rows: DataFrame) -> DataFrame:
     return size_bounded_broadcast(rows, BROADCAST_ROWS)
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(``term, disclosure`` of the revealing terms, ``row, text_key, term``
-    of their places). ``docs`` has ``row, text_key, text``; ``found`` has
-    ``row, text_key, base, values`` (the entities) without the texts."""
-    n_texts = found.agg(F.count_distinct("text_key")).first()[0]
-    entities = found.filter(F.size("values") > 0).select("row", "text_key", F.explode(F.array_distinct("values")).alias("entity"))
-    of_text = entities.groupBy("text_key", "entity").agg(F.min("row").alias("row"))
-    frequent = of_text.groupBy("entity").agg(F.count("*").alias("c_e")).filter(F.col("c_e") >= support)
-    of_text = io.written(of_text.join(_with_bound(io.written(frequent, "entities")), "entity"), "entity-texts")
-
-    # terms beside an entity that enough texts mention
-    holders = io.written(of_text.groupBy("text_key").agg(F.min("row").alias("row")), "entity-holders")
-    beside = docs.join(_with_bound(holders.select("row")), "row", "left_semi").select("text_key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).distinct()
-    pairs = of_text.join(beside, "text_key").groupBy("entity", "c_e", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= support)
-    pairs = io.written(pairs, "entity-terms")
-    candidates = io.written(pairs.select("term").distinct(), "candidate-terms")
-
-    # their places and frequency in the whole corpus
-    places = docs.select("row", "text_key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(_with_bound(candidates), "term", "left_semi")
-    places = io.written(places, "term-places")
-    frequency = places.select("text_key", "term").distinct().groupBy("term").agg(F.count("*").alias("c_t"))
-    known = F.log(F.lit(float(max(n_texts, 2))) / F.col("c_e"))
-    told = F.log(F.lit(float(max(n_texts, 2))) * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
-    scored = pairs.join(frequency, "term").withColumn("disclosure", F.when(known > 0, told / known).otherwise(0.0))
-    terms = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
-    terms = io.written(terms, "revealing-terms")
-    return terms, places.join(_with_bound(terms), "term")
+def _lines(docs: DataFrame) -> DataFrame:
+    """``row, line`` of every line; a line's key is its hash."""
+    return docs.select("row", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("line_key", F.xxhash64("line"))
 
 
 def _entity_values(text: Column, base: Column) -> Column:
@@ -155,30 +131,55 @@ def _entity_values(text: Column, base: Column) -> Column:
     return F.transform(base, value)
 
 
+def revealing_terms(docs: DataFrame, holders: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """``row, term, disclosure`` of the places of revealing terms. ``docs``
+    has ``row, text``; ``holders`` the rows with entities."""
+    n_lines = _lines(docs).agg(F.count_distinct("line_key")).first()[0]
+    near = base_spans(_lines(docs.join(_with_bound(holders), "row", "left_semi")).dropDuplicates(["line_key"]), "line").filter(F.size("base") > 0)
+    near = io.written(near.withColumn("values", _entity_values(F.col("line"), F.col("base"))).drop("row", "base"), "entity-lines")
+    of_line = near.select("line_key", F.explode(F.array_distinct("values")).alias("entity"))
+    frequent = of_line.groupBy("entity").agg(F.count("*").alias("c_e")).filter(F.col("c_e") >= support)
+    of_line = of_line.join(_with_bound(io.written(frequent, "entities")), "entity")
+    beside = near.select("line_key", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term"))
+    pairs = of_line.join(beside, "line_key").groupBy("entity", "c_e", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= support)
+    pairs = io.written(pairs, "entity-terms")
+    candidates = io.written(pairs.select("term").distinct(), "candidate-terms")
+
+    # their places and frequency in the whole corpus
+    places = _lines(docs).select("row", "line_key", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term"))
+    places = io.written(places.join(_with_bound(candidates), "term", "left_semi"), "term-places")
+    frequency = places.select("line_key", "term").distinct().groupBy("term").agg(F.count("*").alias("c_t"))
+    n = F.lit(float(max(n_lines, 2)))
+    known, told = F.log(n / F.col("c_e")), F.log(n * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
+    scored = pairs.join(frequency, "term").withColumn("disclosure", F.when(known > 0, told / known).otherwise(0.0))
+    terms = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    return places.select("row", "term").distinct().join(_with_bound(io.written(terms, "revealing-terms")), "term")
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """``row, doc_id, base, spans`` for every row of ``doc_id, text``: the
     spans of the patterns, and all spans with those of revealing terms."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "text_key"))
-    found = base_spans(rows).withColumn("values", F.when(F.size("base") > 0, _entity_values(F.col("text"), F.col("base"))).otherwise(F.array().cast("array<string>")))
-    found = io.written(found.drop("text"), "base-spans")
-    _, places = revealing_terms(rows, found)
+    rows = docs.select(F.col("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", F.xxhash64("text")))
+    found = io.written(base_spans(rows).drop("text"), "base-spans")
+    places = revealing_terms(rows.select("row", "text"), found.filter(F.size("base") > 0).select("row").distinct())
     kind = F.when(F.col("disclosure") >= REMOVE, F.lit(len(KINDS))).otherwise(F.lit(len(KINDS) + 1))
-    marked = places.withColumn("kind", kind).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("marked"))
+    marked = places.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", kind.alias("kind")))).alias("marked"))
     marked = io.written(marked, "marked-rows")
-    there = rows.select("row", "text").join(_with_bound(marked), "row").withColumn("words", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
-    numbers = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.map_contains_key("marked", F.lower(F.get("words", i))))
-    there = there.withColumn("hits", numbers)
-    inside, between = F.transform("words", F.length), F.transform(F.split("text", TERM, -1), F.length)
 
-    def span(i: Column) -> Column:
+    # a pattern of the row's own terms: they are letters only
+    own = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("marked"), "|"), F.lit(r")(?!\p{L})"))
+    there = rows.select("row", "text").join(_with_bound(marked), "row").dropDuplicates(["row"]).withColumn("own", own)
+    there = there.withColumn("hits", F.regexp_extract_all("text", F.col("own"), F.lit(0))).withColumn("rests", F.split(F.col("text"), F.col("own"), -1))
+    inside, between = F.transform("hits", F.length), F.transform("rests", F.length)
+
+    def span(hit: Column, i: Column) -> Column:
         start = _total(between, i + 1) + _total(inside, i)
-        return F.struct(start.alias("start"), F.get(F.col("kinds"), i).alias("kind"), (start + F.get(inside, i)).alias("end"))
+        return F.struct(start.alias("start"), F.try_element_at("marked", F.lower(hit)).alias("kind"), (start + F.length(hit)).alias("end"))
 
-    there = there.withColumn("kinds", F.transform("words", lambda w: F.try_element_at("marked", F.lower(w))))
-    there = there.select("row", F.transform("hits", span).alias("extra")).groupBy("row").agg(F.first("extra").alias("extra"))
-    there = io.written(there, "term-spans")
-    joined = found.join(there, "row", "left")
+    extra = F.filter(F.transform("hits", span), lambda s: s["kind"].isNotNull())
+    there = io.written(there.select("row", extra.alias("extra")), "term-spans")
+    joined = found.join(_with_bound(there), "row", "left")
     clear = F.filter("extra", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     spans = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat(F.col("base"), clear)))
     return joined.select("row", "doc_id", "base", spans.alias("spans"))
