@@ -14,7 +14,8 @@
    The sets of each smallest one are stored in a prefix tree, which it
    traverses: sets with a common prefix share the overlap counted so far, and
    a subtree ends where the remaining lengths can't reach the overlap needed.
-   Large groups are dealt to several tasks.
+   The tree is kept in levels of some elements each, so that numpy takes all
+   living nodes of a level at once. Large groups are dealt to several tasks.
 4. Sets of a piece that this leaves in different components are compared with
    each other through trees of all of them, so no link is lost.
 5. Components by star contraction; each gets its smallest ``doc_id``.
@@ -244,66 +245,71 @@ def overlap_needed(a: int, b, percent: int):
 
 
 class PrefixTree:
-    """Sets in lexicographic order with the length of the prefix each shares
-    with the one before: the tree in depth-first order, a path per set."""
+    """Sets as paths of a tree, ``STEP`` elements an edge.
+
+    A node stands for a prefix; sets that share it share the overlap counted
+    so far. ``levels[d]`` holds the edges of depth ``d``: the parent of each,
+    its elements (numbered in the global order; ``absent`` beyond a set's
+    end), and the smallest and largest size of the sets below it."""
+
+    STEP = 32
 
     def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.paths = [sets[i] for i in self.order]
-        self.sizes = np.array([len(p) for p in self.paths])
-        self.shared = [0] * len(self.paths)
-        for i in range(1, len(self.paths)):
-            a, b = self.paths[i - 1], self.paths[i]
-            n = min(len(a), len(b))
-            differ = np.flatnonzero(a[:n] != b[:n])
-            self.shared[i] = int(differ[0]) if len(differ) else n
-
-    def search(self, probe: np.ndarray, percent: int, skip=None) -> list[int]:
-        """Numbers of the stored sets that link with ``probe``; ``skip(i)``
-        leaves out set ``i``.
-
-        Walks the paths in order. ``counts[d]`` is the overlap of the current
-        path's first ``d`` elements. After ``d`` elements the overlap can't
-        exceed ``counts[d]`` plus the shorter of both remainders; where that
-        is too small for every size below, the subtree is passed over."""
-        found: list[int] = []
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate([np.zeros(0, U), *sets])
+        self.known, numbers = np.unique(every, return_inverse=True)
+        self.absent = len(self.known)
+        width = -(-int(self.sizes.max(initial=1)) // self.STEP) * self.STEP
+        table = np.full((len(sets), width), self.absent, np.int32)
+        table[np.arange(width) < self.sizes[:, None]] = numbers
+        self.levels, self.leaves = [], []
+        node = np.zeros(len(sets), np.int64)
+        for lo in range(0, width, self.STEP):
+            here = np.flatnonzero(self.sizes > lo)
+            edge = np.ascontiguousarray(table[here, lo : lo + self.STEP])
+            key = np.concatenate([node[here, None].astype(np.int32), edge], axis=1)
+            key = np.ascontiguousarray(key).view(f"V{key.shape[1] * 4}").ravel()
+            _, first, child = np.unique(key, return_index=True, return_inverse=True)
+            small, large = np.full(len(first), width + 1), np.zeros(len(first), np.int64)
+            np.minimum.at(small, child, self.sizes[here])
+            np.maximum.at(large, child, self.sizes[here])
+            last = np.max(np.where(edge[first] < self.absent, edge[first], -1), axis=1)
+            self.levels.append((node[here][first], edge[first], small, large, last))
+            node[here] = child
+            end = self.sizes[here] <= lo + self.STEP
+            self.leaves.append((child[end], here[end]))
+
+    def search(self, probe: np.ndarray, percent: int) -> np.ndarray:
+        """Numbers of the stored sets that link with ``probe``."""
         n = len(probe)
-        longest = int(self.sizes.max(initial=0))
-        counts = np.zeros(longest + 1, np.int64)
-        known = 0  # elements of the current path whose counts are filled in
-        dead = longest + 1  # depth of the subtree being passed over
-        for i, path in enumerate(self.paths):
-            share = self.shared[i]
-            known = min(known, share)
-            if share >= dead:
-                continue
-            dead = longest + 1
-            if skip is not None and skip(self.order[i]):
-                continue
-            size = len(path)
-            if 100 * min(size, n) < percent * max(size, n):
-                continue
-            need = overlap_needed(n, size, percent)
-            while known < size:
-                step = path[known : known + 64]
-                at = np.searchsorted(probe, step)
-                inside = probe[np.minimum(at, n - 1)] == step
-                counts[known + 1 : known + 1 + len(step)] = counts[known] + np.cumsum(inside)
-                done = known + len(step)
-                if done < size:
-                    left = min(size - done, n - int(at[-1]))
-                    if counts[done] + left < need:
-                        # smaller sets below need less: test the least of the sizes that can link
-                        least = overlap_needed(n, -(-percent * n // 100), percent)
-                        if counts[done] + n - int(at[-1]) < least:
-                            dead = done
-                        known = done
-                        break
-                known = done
-            else:
-                if counts[size] >= need:
-                    found.append(self.order[i])
-        return found
+        at = np.searchsorted(self.known, probe)
+        at = at[(at < self.absent) & (self.known[np.minimum(at, self.absent - 1)] == probe)] if self.absent else at[:0]
+        mine = np.zeros(self.absent + 1, np.int32)
+        mine[at] = 1
+        # a probe's element beyond the last one of a path can still be met
+        passed = np.searchsorted(probe, self.known, "right")
+        found = []
+        counts = np.zeros(1, np.int64)
+        alive = np.ones(1, bool)
+        for depth, (parent, edge, small, large, last) in enumerate(self.levels):
+            some = np.flatnonzero(alive[parent] & (100 * large >= percent * n) & (100 * n >= percent * small))
+            total = np.zeros(len(parent), np.int64)
+            total[some] = counts[parent[some]] + mine[edge[some]].sum(axis=1)
+            done = (depth + 1) * self.STEP
+            left = np.minimum(np.maximum(large[some] - done, 0), n - passed[last[some]])
+            # the smallest set below that can link at all needs least
+            least = np.maximum(small[some], -(-percent * n // 100))
+            live = total[some] + left >= overlap_needed(n, least, percent)
+            alive = np.zeros(len(parent), bool)
+            alive[some[live]] = True
+            counts = total
+            nodes, sets = self.leaves[depth]
+            size = self.sizes[sets]
+            fits = alive[nodes] & (counts[nodes] >= overlap_needed(n, size, percent))
+            found.append(sets[fits & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))])
+            if not alive.any():
+                break
+        return np.concatenate([np.zeros(0, np.int64), *found])
 
 
 LINKS = "u long, v long"
@@ -316,7 +322,7 @@ def link_star(table: pa.Table, percent: int) -> pa.Table:
     if pivot not in ids:
         raise ValueError("a pivot without its set")
     others = [i for i, x in enumerate(ids) if x != pivot]
-    found = PrefixTree([sets[i] for i in others]).search(sets[ids.index(pivot)], percent) if others else []
+    found = PrefixTree([sets[i] for i in others]).search(sets[ids.index(pivot)], percent).tolist() if others else []
     return pa.table([pa.array([ids[others[i]] for i in found], pa.int64()), pa.array([pivot] * len(found), pa.int64())], schema=io.arrow_schema(LINKS))
 
 
@@ -334,10 +340,9 @@ def link_groups(table: pa.Table, percent: int) -> pa.Table:
 
     tree, links = PrefixTree(sets), []
     for i, probe in enumerate(sets):
-        own = labels[i]
-        for j in tree.search(probe, percent, lambda j, own=own: find(labels[j]) == find(own)):
-            if find(labels[j]) != find(own):
-                root[find(labels[j])] = find(own)
+        for j in tree.search(probe, percent).tolist():
+            if find(labels[j]) != find(labels[i]):
+                root[find(labels[j])] = find(labels[i])
                 links.append((ids[i], ids[j]))
     return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=io.arrow_schema(LINKS))
 
