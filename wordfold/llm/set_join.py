@@ -1,22 +1,22 @@
 """Jaccard join of n-gram sets by a prefix tree, with components.
 
-1. Each document's words are hashed into its set of distinct n-grams, ordered
-   by 64-bit hash (the global order). Equal sets are one set from here on.
-2. Candidates by exact signatures: sets within the threshold differ in at most
-   ``k`` elements, so if the hash space is dealt into more than ``k`` pieces,
-   some hold the same elements in both. ``k`` follows from a class of set
-   sizes; a set signs for its class and the next, which covers all sizes it
-   can link with. The few sets with many empty pieces also sign by the first
-   elements of the global order. No pair within the threshold is missed, and
-   texts that share only a passage rarely agree in a whole piece.
-3. A piece's sets are joined with the smallest of them (first inside each
-   task, so that a piece shared by a third of all sets sends one row a task).
-   The sets of each smallest one are stored in a prefix tree, which it
-   traverses: sets with a common prefix share the overlap counted so far, and
-   a subtree ends where the remaining lengths can't reach the overlap needed.
-   The tree is kept in levels of some elements each, so that numpy takes all
-   living nodes of a level at once. Large groups are dealt to several tasks.
-4. Sets of a piece that this leaves in different components are compared with
+1. Each document's words are hashed into its set of distinct n-grams. Equal
+   sets are one set from here on.
+2. The global order is by frequency, then by hash. Frequencies are counted
+   over all documents in a table of fixed size, one cell for many hashes,
+   which keeps common n-grams behind rare ones at any size of the corpus;
+   what follows is exact whatever the counts. A set can link only if it
+   shares one of its first elements, as many as it may lack and one more.
+   Each of them is a key under which sets meet.
+3. Each key has a star: its smallest set and the others, first inside each
+   task, so that an element that a third of all sets share sends one row a
+   task. Every set is joined with the centre that most of its keys have. The
+   sets of a centre are stored in a prefix tree, which the centre traverses:
+   sets with a common prefix share the overlap counted so far, and a subtree
+   ends where the remaining lengths can't reach the overlap needed. The tree
+   is kept in levels of some elements each, so that numpy takes all living
+   nodes of a level at once. Large groups are dealt to several tasks.
+4. Sets of a key that this leaves in different components are compared with
    each other through trees of all of them, so no link is lost.
 5. Components by star contraction; each gets its smallest ``doc_id``.
 
@@ -38,16 +38,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordfold.llm import graph, hashing, io
-from wordfold.llm.blocks import packed_sorted, unpacked_sorted
+from wordfold.llm.blocks import packed, packed_sorted, unpacked, unpacked_sorted
 from wordfold.llm.hashing import U, mix
 from wordfold.session import size_bounded_broadcast
 
 N_GRAM = 3
 PERCENT = 90
+#: Hash cells whose n-grams are counted, and cells in one row of the table.
+CELLS, CHUNK = 1 << 24, 1 << 16
 #: Signatures gathered in a task before they are combined and sent.
 GATHER = 1_500_000
-#: Sets in one prefix tree at most.
-TREE_SETS = 2048
+#: Sets and their elements in one prefix tree, about.
+TREE_SETS, TREE_GRAMS = 2048, 500_000
 
 BLOBS = "kind int, bucket int, a binary, b binary, c binary"
 FOUND = "kind int, x long, y long, z long"
@@ -78,73 +80,53 @@ class Sets:
             self.ids[full] = mix(np.add.reduceat(mix(self.grams ^ U(0xA5A5A5A5A5A5A5A5)), self.first[full]) + self.sizes[full].astype(U))
 
 
-def size_classes(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(largest size, pieces, spare pieces) of each class up to the class
-    after that of ``largest``.
-
-    Sizes that may link lie in one class or two neighbours. Two sets of at
-    most ``top`` elements differ in at most ``k = 2 * top * (100 - percent) /
-    (100 + percent)`` elements, so of ``k + 1 + spare`` pieces at least
-    ``1 + spare`` agree. The spare ones keep it unlikely that all those are
-    empty: sets with more than ``spare`` empty pieces should be rare."""
-    tops, pieces, spares, top, extra = [], [], [], 0, 0
-    while extra < 2:
-        extra += top >= largest
-        low = top * percent // 100 + 1
-        top = max(top + 1, (top + 1) * 100 // percent)
-        k = 2 * top * (100 - percent) // (100 + percent)
-        chances = []
-        for spare in range(1, 13):
-            empty = (k + 1 + spare) * math.exp(-low / (k + 1 + spare))  # expected, about Poisson
-            term = kept = math.exp(-empty)
-            for i in range(1, spare + 1):
-                term *= empty / i
-                kept += term
-            chances.append(1 - kept)
-        few = [i for i, c in enumerate(chances) if c < 1e-4]
-        spare = 1 + (few[0] if few else chances.index(min(chances)))
-        tops.append(top)
-        pieces.append(k + 1 + spare)
-        spares.append(spare)
-    return np.array(tops), np.array(pieces), np.array(spares)
-
-
-def signatures(sets: Sets, chosen: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set id) of the chosen sets' pieces."""
-    member = chosen[sets.owner]
-    grams, owner = sets.grams[member], np.cumsum(chosen)[sets.owner[member]] - 1
-    sizes, ids = sets.sizes[chosen], sets.ids[chosen]
-    if not len(sizes):
-        return np.zeros(0, U), np.zeros(0, U)
-    tops, pieces, spares = size_classes(int(sizes.max()), percent)
-    scattered = mix(grams ^ U(0x5851F42D4C957F2D))
-    low, high = (scattered & U(0xFFFFFFFF)).astype(float), (scattered >> U(32)).astype(float)
-    where = mix(scattered) >> U(32)
-    out, of = [], []
-    hollow = np.zeros(len(sizes), bool)
-    for step in (0, 1):
-        cls = np.searchsorted(tops, sizes) + step
-        m = pieces[cls]
-        base = np.cumsum(m) - m
-        at = base[owner] + ((where * m[owner].astype(U)) >> U(32)).astype(np.int64)
-        total = int(m.sum())
-        count = np.bincount(at, minlength=total)
-        value = np.bincount(at, low, total).astype(U) + (np.bincount(at, high, total).astype(U) << U(32))
-        set_of = np.repeat(np.arange(len(m)), m)
-        number = np.arange(total) - base[set_of]
-        key = mix((cls[set_of].astype(U) << U(32)) + number.astype(U))
-        full = count > 0
-        out.append(mix(mix(value + count.astype(U)) + key)[full])
-        of.append(ids[set_of[full]])
-        hollow |= np.bincount(set_of[~full], minlength=len(m)) > spares[cls]
-    # if all agreeing pieces may be empty: one of the first elements in the
-    # global order is common, as many as may be missing and one more
-    first = np.cumsum(sizes) - sizes
-    rank = np.arange(len(grams)) - first[owner]
-    prefix = hollow[owner] & (rank <= (sizes - -(-percent * sizes // 100))[owner])
-    out.append(mix(grams[prefix] ^ U(0x0F0F0F0F0F0F0F0F)))
-    of.append(ids[owner[prefix]])
-    return np.concatenate(out), np.concatenate(of)
+def count_grams(docs: DataFrame, n_gram: int) -> np.ndarray:
+    """How often the n-grams of each of ``CELLS`` hash cells occur in all
+    documents, as a byte: eight steps to a power of two. The table's size is
+    fixed, so it may be sent to the driver and the tasks."""
+    kinds = "chunk int, counts binary"
+    schema = io.arrow_schema(kinds)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(CELLS, np.uint32)
+        for piece in io.slices(batches, "text"):
+            data, offsets = io.text_arrays(piece.column(0))
+            start, end, doc = hashing.word_bounds(data, offsets)
+            grams, _ = hashing.shingles(hashing.span_hashes(data, start, end), doc, n_gram, len(offsets) - 1)
+            np.add.at(table, cell(grams), np.uint32(1))
+        for n, part in enumerate(np.split(table, CELLS // CHUNK)):
+            if part.any():
+                yield pa.record_batch([pa.array([n], pa.int32()), pa.array([packed(part)], pa.binary())], schema=schema)
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.uint64)
+        for blob in table["counts"].to_pylist():
+            total += unpacked(blob, np.uint32)
+        steps = np.minimum(255, np.ceil(8 * np.log2(1 + total.astype(float)))).astype(np.uint8)
+        return pa.table([table["chunk"].slice(0, 1).combine_chunks(), pa.array([steps.tobytes()], pa.binary())], schema=schema)
+
+    steps = np.zeros(CELLS, np.uint8)
+    for r in docs.select("text").mapInArrow(count, kinds).groupBy("chunk").applyInArrow(add, kinds).collect():
+        steps[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint8)
+    return steps
+
+
+def cell(grams: np.ndarray) -> np.ndarray:
+    return (grams >> U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def signatures(sets: Sets, chosen: np.ndarray, percent: int, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, set id) of the chosen sets' first elements in the order of
+    frequency and hash: as many as a set that links may lack, and one more."""
+    member = np.flatnonzero(chosen[sets.owner])
+    grams, owner = sets.grams[member], sets.owner[member]
+    order = np.argsort(steps[cell(grams)], kind="stable")  # equal steps stay in order of hash
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(chosen) < 1 << 16 else np.int64), kind="stable")]
+    grams, owner = grams[order], owner[order]
+    sizes = np.where(chosen, sets.sizes, 0)
+    rank = np.arange(len(grams)) - (np.cumsum(sizes) - sizes)[owner]
+    first = rank <= (sizes - -(-percent * sizes // 100))[owner]
+    return grams[first], sets.ids[owner[first]]
 
 
 def star(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -170,6 +152,7 @@ def sign_documents(docs: DataFrame, buckets: int, n_gram: int, percent: int) ->
     signatures with their smallest set, by bucket; kind 2: (signature, set,
     smallest set) for the others of a signature in this task."""
     schema = io.arrow_schema(BLOBS)
+    frequency = docs.sparkSession.sparkContext.broadcast(count_grams(docs, n_gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets, waiting = [], [], 0
@@ -193,7 +176,7 @@ def sign_documents(docs: DataFrame, buckets: int, n_gram: int, percent: int) ->
             chosen[first] = True
             chosen &= found.sizes > 0
             chosen &= ids.is_valid().to_numpy(zero_copy_only=False)
-            k, s = signatures(found, chosen, percent)
+            k, s = signatures(found, chosen, percent, frequency.value)
             keys.append(k)
             sets.append(s)
             waiting += len(k)
@@ -259,14 +242,15 @@ class PrefixTree:
         every = np.concatenate([np.zeros(0, U), *sets])
         self.known, numbers = np.unique(every, return_inverse=True)
         self.absent = len(self.known)
-        width = -(-int(self.sizes.max(initial=1)) // self.STEP) * self.STEP
-        table = np.full((len(sets), width), self.absent, np.int32)
-        table[np.arange(width) < self.sizes[:, None]] = numbers
+        numbers = np.append(numbers.astype(np.int32), np.int32(self.absent))
+        first_of = np.cumsum(self.sizes) - self.sizes
+        width = int(self.sizes.max(initial=1))
         self.levels, self.leaves = [], []
         node = np.zeros(len(sets), np.int64)
         for lo in range(0, width, self.STEP):
             here = np.flatnonzero(self.sizes > lo)
-            edge = np.ascontiguousarray(table[here, lo : lo + self.STEP])
+            place = np.arange(lo, lo + self.STEP)
+            edge = numbers[np.where(place < self.sizes[here, None], first_of[here, None] + place, -1)]
             key = np.concatenate([node[here, None].astype(np.int32), edge], axis=1)
             key = np.ascontiguousarray(key).view(f"V{key.shape[1] * 4}").ravel()
             _, first, child = np.unique(key, return_index=True, return_inverse=True)
@@ -317,19 +301,18 @@ LINKS = "u long, v long"
 
 def link_star(table: pa.Table, percent: int) -> pa.Table:
     """Links of the group's probe (``set`` = ``pivot``) with its other sets."""
-    ids, pivot = table["set"].to_pylist(), table["pivot"][0].as_py()
-    sets = [np.frombuffer(x, U) for x in table["grams"].to_pylist()]
-    if pivot not in ids:
-        raise ValueError("a pivot without its set")
-    others = [i for i, x in enumerate(ids) if x != pivot]
-    found = PrefixTree([sets[i] for i in others]).search(sets[ids.index(pivot)], percent).tolist() if others else []
-    return pa.table([pa.array([ids[others[i]] for i in found], pa.int64()), pa.array([pivot] * len(found), pa.int64())], schema=io.arrow_schema(LINKS))
+    sets = dict(zip(table["set"].to_pylist(), table["grams"].to_pylist(), strict=True))
+    pivot = table["pivot"][0].as_py()
+    probe = unpacked_sorted(sets.pop(pivot), U)
+    ids = list(sets)
+    found = PrefixTree([unpacked_sorted(x, U) for x in sets.values()]).search(probe, percent).tolist() if ids else []
+    return pa.table([pa.array([ids[i] for i in found], pa.int64()), pa.array([pivot] * len(found), pa.int64())], schema=io.arrow_schema(LINKS))
 
 
 def link_groups(table: pa.Table, percent: int) -> pa.Table:
     """Links between sets with different labels, until they agree."""
     ids, labels = table["set"].to_pylist(), table["label"].to_pylist()
-    sets = [np.frombuffer(x, U) for x in table["grams"].to_pylist()]
+    sets = [unpacked_sorted(x, U) for x in table["grams"].to_pylist()]
     root = {x: x for x in labels}
 
     def find(x: int) -> int:
@@ -349,27 +332,29 @@ def link_groups(table: pa.Table, percent: int) -> pa.Table:
 
 # -- the join --------------------------------------------------------------
 
-SETS = "set long, grams binary"
+SETS = "set long, size long, grams binary"
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, n_gram: int) -> DataFrame:
-    """``set, grams`` for the sets ``wanted`` (``set, doc_id`` of one holder)."""
+    """``set, grams`` for the sets ``wanted`` (``set, doc_id`` of one holder);
+    repeated rows repeat a set."""
     schema = io.arrow_schema(SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in io.slices(batches, "text"):
             found = Sets(piece.column("text"), n_gram)
-            blobs = [found.grams[f : f + n].tobytes() for f, n in zip(found.first, found.sizes, strict=True)]
-            yield pa.record_batch([as_long(found.ids), pa.array(blobs, pa.binary())], schema=schema)
+            blobs = [packed_sorted(found.grams[f : f + n]) for f, n in zip(found.first, found.sizes, strict=True)]
+            yield pa.record_batch([as_long(found.ids), pa.array(found.sizes.astype(np.int64)), pa.array(blobs, pa.binary())], schema=schema)
 
     holders = size_bounded_broadcast(wanted.select("doc_id"), 1_000_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(holders, "doc_id", "left_semi")
-    return io.written(texts.mapInArrow(run, SETS).dropDuplicates(["set"]), "set-join-sets")
+    return io.written(texts.mapInArrow(run, SETS), "set-join-sets", "uncompressed")
 
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """``key, parts``: tasks for each key, so that each has few sets."""
-    return rows.groupBy(key).agg(F.ceil(F.count("*") / TREE_SETS).cast("int").alias("parts"))
+def _dealt(rows: DataFrame, key: str, sets: DataFrame) -> DataFrame:
+    """``key, parts``: tasks for each key, so that each has a tree's sets."""
+    parts = F.greatest(F.count("*") / TREE_SETS, F.sum("size") / TREE_GRAMS)
+    return rows.join(sets.select("set", "size"), "set").groupBy(key).agg(F.ceil(parts).cast("int").alias("parts"))
 
 
 def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCENT) -> DataFrame:
@@ -382,16 +367,18 @@ def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     holders = documents.filter("doc_id is not null and n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
 
     stars = found.filter("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("set"), F.col("z").alias("pivot"))
-    edges = io.written(stars.select("set", "pivot").distinct(), "set-join-edges")
-    nodes = edges.select("set").union(edges.select("pivot")).distinct()
+    pairs = stars.groupBy("set", "pivot").agg(F.count("*").alias("keys"))
+    edges = pairs.groupBy("set").agg(F.max(F.struct("keys", "pivot")).alias("best")).select("set", F.col("best.pivot").alias("pivot"))
+    edges = io.written(edges, "set-join-edges")
+    nodes = stars.select("set").union(stars.select("pivot")).distinct()
     wanted = io.written(holders.join(nodes, "set"), "set-join-wanted")
     sets = fetch_sets(docs, wanted, n_gram)
 
     part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
-    dealt = io.written(_dealt(edges, "pivot"), "set-join-dealt")
+    dealt = io.written(_dealt(edges, "pivot", sets), "set-join-dealt")
     members = edges.join(dealt, "pivot").select("pivot", "set", part.alias("part"))
     probes = dealt.select("pivot", F.col("pivot").alias("set"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    groups = members.union(probes).join(sets, "set").select("pivot", "part", "set", "grams")
+    groups = members.union(probes).join(sets.drop("size"), "set").select("pivot", "part", "set", "grams")
     links = io.written(groups.groupBy("pivot", "part").applyInArrow(lambda t: link_star(t, percent), LINKS), "set-join-links")
     labels = io.written(graph.components(links), "set-join-labels")
 
@@ -405,9 +392,9 @@ def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     open_sets = apart.select("set", "label").distinct()
     open_sets = io.written(open_sets.join(areas, open_sets["label"] == areas["node"]).select(F.col("component").alias("area"), "set", "label"), "set-join-open")
     # an area of many sets is dealt into blocks, and a task joins two of them
-    block = open_sets.join(_dealt(open_sets, "area"), "area").withColumn("own", part)
+    block = open_sets.join(_dealt(open_sets, "area", sets), "area").withColumn("own", part)
     block = block.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    block = block.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "label").join(sets, "set")
+    block = block.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "label").join(sets.drop("size"), "set")
     more = block.groupBy("area", "i", "j").applyInArrow(lambda t: link_groups(t, percent), LINKS)
     links = io.written(links.union(more), "set-join-all-links")
     labels = io.written(graph.components(links), "set-join-components")
