@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wordfold.functions import vec as V
 from wordfold.operators import factor as E
-from wordfold.operators.coo import dense_ids
+from wordfold.operators.coo import dense_ids, transpose
 from wordfold.operators.solve import DEFAULT_HEAVY, plan_side, solve_side
 from wordfold.session import cut_lineage
 from wordfold.sources.matrix import snapshot_factors
@@ -178,7 +178,7 @@ def _assemble(dims: list[DataFrame]) -> DataFrame:
 
 def _sweep(r: DataFrame, u: DataFrame, v: DataFrame, lam: float, nmf: bool) -> tuple[DataFrame, DataFrame, float]:
     """One column update and one row update of a rank: (u, v, gain)."""
-    across = r.withColumnsRenamed({"i": "j", "j": "i"})
+    across = transpose(r)
     new_v = E.rank_one_update(r, u, v, lam, nmf)
     new_u = E.rank_one_update(across, new_v.select("id", "x"), u, lam, nmf)
     both = cut_lineage(new_v.withColumn("of", F.lit("v")).unionByName(new_u.withColumn("of", F.lit("u"))), "rank")
