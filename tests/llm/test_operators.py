@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordfold.llm import decontaminate, exact_dedup, graph, interpolated_lm, io, langid, packing, sanitise, set_join, substring_dedup, token_files
+from wordfold.llm import decontaminate, exact_dedup, graph, interpolated_lm, io, langid, line_dedup, packing, sanitise, set_join, substring_dedup, token_files
 from wordfold.llm.catalog import QUERIES
 from wordfold.llm.tokens import default_vocabulary, encoder
 
@@ -254,6 +254,59 @@ def test_exact_dedup_of_odd_rows(spark, odd, odd_rows, nothing):
     assert exact_dedup.dedup_rows(nothing)[1].count() == exact_dedup.unique_documents(nothing).count() == 0
 
 
+# -- 6 ---------------------------------------------------------------------
+
+
+def expected_lines(rows):
+    """By plain lines: partners are the first documents of shared lines."""
+    order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0, n))
+    lines = [(t or "").split("\n") for _, t in rows]
+    first = {}
+    for n in order:
+        for x in lines[n]:
+            if x.strip():
+                first.setdefault(x, n)
+    out = []
+    for n, (d, _) in enumerate(rows):
+        partners = {first[x] for x in lines[n] if x.strip()} - {n}
+        gone = set()
+        for p in partners:
+            numbers = {x: i for i, x in enumerate({*lines[n], *lines[p]}, 1)}
+            code = lambda xs, numbers=numbers: np.array([numbers[x] if x.strip() else 0 for x in xs], np.int64)
+            gone.update(line_dedup.cuts(code(lines[n]), np.array([len(x) for x in lines[n]]), code(lines[p])))
+        kept = "\n".join(x for i, x in enumerate(lines[n]) if i not in gone)
+        out.append((d, len(lines[n]), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return Counter(out)
+
+
+COLUMNS6 = ("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
+def test_line_dedup(spark, sf, documents):
+    found = Counter(rows_of(QUERIES["op6_patience_line_dedup"](spark, sf), *COLUMNS6))
+    assert found == expected_lines(list(documents.items())) and any(r[2] for r in found)
+
+
+def test_line_dedup_of_odd_rows(spark, odd, odd_rows, nothing):
+    block = "\n".join(f"a line of the block, number {i}" for i in range(6))
+    rows = [r for r in odd_rows if r != (12, odd_rows[9][1])] + [(30, block), (31, f"own\n{block}\n\nown too"), (32, block.replace("number 3", "other")), (33, "x\n\ny"), (34, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert Counter(rows_of(line_dedup.remove_lines(docs), *COLUMNS6)) == expected_lines(rows)
+    assert line_dedup.remove_lines(odd).count() == len(odd_rows)
+    assert line_dedup.remove_lines(nothing).count() == 0
+
+
+def test_patience_alignment():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a, b = (rng.integers(0, 6, rng.integers(0, 12)).tolist() for _ in range(2))
+        pairs = line_dedup.patience(a, b)
+        assert all(a[i] == b[j] != 0 for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    assert line_dedup.patience([1, 2, 3, 9, 4], [7, 1, 2, 3, 4]) == [(0, 1), (1, 2), (2, 3), (4, 4)]
+    assert line_dedup.patience([5, 1, 5], [1, 5, 5]) == [(0, 1), (2, 2)] or line_dedup.patience([5, 1, 5], [1, 5, 5]) == [(1, 0), (2, 2)]
+
+
 # -- 7 ---------------------------------------------------------------------
 
 

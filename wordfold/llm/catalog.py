@@ -6,6 +6,7 @@ from wordfold.llm.decontaminate import op2_simhash_decontamination
 from wordfold.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from wordfold.llm.interpolated_lm import op7_deleted_interpolation
 from wordfold.llm.langid import op9_compression_langid
+from wordfold.llm.line_dedup import op6_patience_line_dedup
 from wordfold.llm.packing import op3_nnls_packing
 from wordfold.llm.sanitise import op8_information_sanitiser
 from wordfold.llm.set_join import op10_prefix_tree_join
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_nnls_packing": op3_nnls_packing,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_patience_line_dedup": op6_patience_line_dedup,
     "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_information_sanitiser": op8_information_sanitiser,
     "op9_compression_langid": op9_compression_langid,
