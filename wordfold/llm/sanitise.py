@@ -142,14 +142,19 @@ def revealing_terms(docs: DataFrame, holders: DataFrame, support: int = SUPPORT)
     of_line = of_line.join(_with_bound(io.written(frequent, "entities")), "entity")
     beside = near.select("line_key", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term"))
     pairs = of_line.join(beside, "line_key").groupBy("entity", "c_e", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= support)
-    pairs = io.written(pairs, "entity-terms")
-    candidates = io.written(pairs.select("term").distinct(), "candidate-terms")
-
-    # their places and frequency in the whole corpus
-    places = _lines(docs).select("row", "line_key", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term"))
-    places = io.written(places.join(_with_bound(candidates), "term", "left_semi"), "term-places")
-    frequency = places.select("line_key", "term").distinct().groupBy("term").agg(F.count("*").alias("c_t"))
     n = F.lit(float(max(n_lines, 2)))
+    # lines that a term may stand in at most to be told apart
+    most = n * F.col("c_et") / F.col("c_e") * F.pow(F.col("c_e") / n, F.lit(GENERALISE))
+    pairs = io.written(pairs.withColumn("most", most), "entity-terms")
+
+    # words in far more lines are left out by an estimate (a sketch of 5 % error
+    # against twice the bound); the others are counted exactly
+    candidates = io.written(pairs.groupBy("term").agg(F.max("most").alias("most")), "candidate-terms")
+    every = _lines(docs).select("row", "line_key", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term"))
+    rough = every.join(_with_bound(candidates), "term").groupBy("term").agg(F.approx_count_distinct("line_key", 0.05).alias("c"), F.max("most").alias("most"))
+    candidates = io.written(rough.filter(F.col("c") <= 2 * F.col("most")).select("term"), "candidate-terms")
+    places = io.written(every.join(_with_bound(candidates), "term", "left_semi"), "term-places")
+    frequency = places.select("line_key", "term").distinct().groupBy("term").agg(F.count("*").alias("c_t"))
     known, told = F.log(n / F.col("c_e")), F.log(n * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
     scored = pairs.join(frequency, "term").withColumn("disclosure", F.when(known > 0, told / known).otherwise(0.0))
     terms = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
