@@ -15,7 +15,7 @@ from wordfold.llm.blocks import packed, packed_sorted, unpacked, unpacked_sorted
 from wordfold.llm.exact_dedup import ContentTable
 from wordfold.llm.interpolated_lm import learn_weights
 from wordfold.llm.langid import Classifier
-from wordfold.llm.set_join import CELLS, PrefixTree, Sets, signatures
+from wordfold.llm.set_join import PrefixTree, Sets, signatures
 from wordfold.llm.tokens import Encoder, default_vocabulary
 
 TEXT = st.text(alphabet="aAbB é½日 \n\t'.,1\x00\x1c", max_size=40)
@@ -145,8 +145,7 @@ def test_similar_sets_share_a_signature():
         sets = Sets(pa.array(texts), 1)
         every = [set(sets.grams[sets.owner == n].tolist()) for n in range(len(texts))]
         signs = {int(i): set() for i in sets.ids}
-        steps = np.random.default_rng(percent).integers(0, 256, CELLS).astype(np.uint8)  # any counts will do
-        for key, i in zip(*signatures(sets, sets.sizes > 0, percent, steps), strict=True):
+        for key, i in zip(*signatures(sets, sets.sizes > 0, percent), strict=True):
             signs[int(i)].add(int(key))
         for a in range(0, len(texts), 2):
             x, y = every[a], every[a + 1]
