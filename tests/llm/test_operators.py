@@ -296,6 +296,49 @@ def test_line_dedup_of_odd_rows(spark, odd, odd_rows, nothing):
     assert line_dedup.remove_lines(nothing).count() == 0
 
 
+def expected_lines_of_all_pairs(rows):
+    """By plain lines: every earlier document that shares a line is aligned."""
+    order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0, n))
+    place = {n: i for i, n in enumerate(order)}
+    lines = [(t or "").split("\n") for _, t in rows]
+    shared = [{x for x in xs if x.strip()} for xs in lines]
+    out = []
+    for n, (d, _) in enumerate(rows):
+        gone = set()
+        for p in range(len(rows)):
+            if place[p] < place[n] and shared[p] & shared[n]:
+                numbers = {x: i for i, x in enumerate({*lines[n], *lines[p]}, 1)}
+                code = lambda xs, numbers=numbers: np.array([numbers[x] if x.strip() else 0 for x in xs], np.int64)
+                gone.update(line_dedup.cuts(code(lines[n]), np.array([len(x) for x in lines[n]]), code(lines[p])))
+        kept = "\n".join(x for i, x in enumerate(lines[n]) if i not in gone)
+        out.append((d, len(lines[n]), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("few", [line_dedup.FEW_PAIRS, 0])
+def test_line_dedup_meets_every_partner(spark, monkeypatch, few):
+    """Crossed lines, short lines whose first holders are scattered, copies."""
+    monkeypatch.setattr(line_dedup.overlapping_cuts, "__defaults__", (few,))
+    one, two = "the first line, of twenty and more", "the second line, of twenty and more"
+    short = [f"short{i}" for i in range(6)]
+    rows = [(1, f"{two}\n{one}"), (2, f"{one}\n{two}"), (3, f"{one}\n{two}")]
+    rows += [(10 + i, f"own line number {i} of a holder\n{x}") for i, x in enumerate(short)]
+    rows += [(20, "\n".join(["before", *short, "after"])), (21, "\n".join(["else", *short])), (None, "\n".join(short))]
+    rng = np.random.default_rng(6)
+    pool = [f"{'long line of the pool' if i % 2 else 'line'} {i}" for i in range(9)] + ["", " "]
+    rows += [(int(n), "\n".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(1, 9)))) for n in rng.integers(100, 140, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = Counter(rows_of(line_dedup.remove_lines(docs), *COLUMNS6))
+    assert found == expected_lines_of_all_pairs(rows)
+    removed = {d: n for d, _, n, _ in found}
+    assert removed[3] == 2 and removed[21] == removed[None] == 6
+
+
+def test_line_dedup_of_the_table_meets_every_partner(spark, sf, documents):
+    found = Counter(rows_of(QUERIES["op6_patience_line_dedup"](spark, sf), *COLUMNS6))
+    assert found == expected_lines_of_all_pairs(list(documents.items()))
+
+
 def test_patience_alignment():
     rng = np.random.default_rng(8)
     for _ in range(300):

@@ -1,14 +1,18 @@
 """Line deduplication by pairwise alignment with patience diff.
 
-Documents become sequences of line hashes. A document overlaps with the first
-document (smallest ``doc_id``) of each line that it shares, so a line that a
-third of all documents hold makes one pair a document, not all pairs; every
-shared line finds a partner, and no partner is left out. Each pair is aligned
-by patience diff: lines that are rare enough to stand once on either side
-anchor the alignment (the longest ascending run of them), equal lines before
-and after an anchor join it, and the parts between are aligned in turn. The
-aligned blocks of at least ``MIN_CHARS`` characters are deleted from the later
-document. Pairs are judged on the input, not on what is left.
+Documents become sequences of line hashes. A document is aligned with every
+earlier document (by ``doc_id``) with which it shares a run of lines of
+``MIN_CHARS`` characters, as far as that can delete more: its shared runs meet
+their first holder; the runs that have lines left then meet the next holder,
+and so on until none has lines left or holders before it. So a line that a
+third of all documents hold makes about one pair a document. A document with
+the lines of an earlier one loses all that can be lost and is nobody's
+partner. Each pair is aligned by patience diff: lines that are rare enough to
+stand once on either side anchor the alignment (the longest ascending run of
+them), equal lines before and after an anchor join it, and the parts between
+are aligned in turn. The aligned blocks of at least ``MIN_CHARS`` characters
+are deleted from the later document. Pairs are judged on the input, not on
+what is left.
 
 Lines end at line feeds; lines of white space only are neither shared nor
 deleted. Null texts are empty. A null ``doc_id`` counts as larger than all
@@ -34,7 +38,14 @@ from wordfold.session import size_bounded_broadcast
 
 MIN_CHARS = 20
 
-DOCUMENTS = "part int, row long, doc_id long, text string, lines binary, chars binary"
+#: Pairs left after a round that are aligned all at once.
+FEW_PAIRS = 10_000
+#: An odd number and its inverse modulo 2**64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LAST = (1 << 63) - 1
+
+DOCUMENTS = "part int, row long, doc_id long, text string, lines binary, chars binary, same binary"
 CUTS = "part int, row long, cut array<int>"
 RESULT = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
 
@@ -56,31 +67,69 @@ def number_lines(docs: DataFrame) -> DataFrame:
             texts = [t or "" for t in piece.column(1).to_pylist()]
             found = [line_hashes(t) for t in texts]
             n = len(texts)
-            columns = [np.full(n, part, np.int32), np.arange(row, row + n), piece.column(0), texts, [h.tobytes() for h, _ in found], [c.tobytes() for _, c in found]]
+            columns = [np.full(n, part, np.int32), np.arange(row, row + n), piece.column(0), texts, [h.tobytes() for h, _ in found], [c.tobytes() for _, c in found], [xxhash.xxh3_128_digest(h.tobytes()) for h, _ in found]]
             row += n
             yield pa.record_batch([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return io.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DOCUMENTS), "line-documents")
 
 
-def lines_of(documents: DataFrame) -> DataFrame:
-    """``line, own`` for the different lines of each document; ``own`` is its
-    place in the order of documents."""
-    kinds = "line long, doc_id long, part int, row long"
+def short_runs(hashes: np.ndarray, chars: np.ndarray, least: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the shortest runs of lines that have ``least``
+    characters and begin, or end, at some line; no run holds a 0. Every line
+    of a common block of ``least`` characters is in such a run of the block:
+    in the one that ends there, or else in the one that begins the block."""
+    n = len(hashes)
+    total = np.r_[0, np.cumsum(chars, dtype=np.int64)]
+    blank = np.r_[0, np.cumsum(hashes == 0)]
+    at = np.arange(n)
+    ends = np.searchsorted(total, total[:-1] + least, "left")
+    starts = np.searchsorted(total, total[1:] - least, "right") - 1
+    lo, hi = np.r_[at, starts], np.r_[ends, at + 1]
+    inside = (lo >= 0) & (hi <= n)
+    lo, hi = lo[inside], hi[inside]
+    whole = blank[hi] == blank[lo]
+    lo, hi = lo[whole], hi[whole]
+    # a polynomial in BASE, moved to the run's first line
+    up = np.cumprod(np.r_[np.uint64(1), np.full(n, BASE)], dtype=np.uint64)
+    down = np.cumprod(np.r_[np.uint64(1), np.full(n, BASE_INVERSE)], dtype=np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum(hashes.view(np.uint64) * up[:-1], dtype=np.uint64)]
+    return lo, hi, ((sums[hi] - sums[lo]) * down[lo]).view(np.int64)
+
+
+def runs_of(documents: DataFrame) -> DataFrame:
+    """``run, own`` for the different short runs of each document that have a
+    line not in its ``cut``; ``own`` is its place in the order of documents."""
+    kinds = "run long, doc_id long, part int, row long"
     schema = io.arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [np.unique(np.frombuffer(x, np.int64)) for x in batch.column("lines").to_pylist()]
-            sizes = [len(x) for x in lines]
-            of = np.repeat(np.arange(len(lines)), sizes)
-            ids = batch.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()
-            columns = [np.concatenate([np.zeros(0, np.int64), *lines]), ids[of], batch.column("part").to_numpy()[of], batch.column("row").to_numpy()[of]]
-            keep = columns[0] != 0
-            yield pa.record_batch([pa.array(c[keep], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    exploded = documents.select("part", "row", "doc_id", "lines").mapInArrow(run, kinds)
-    return exploded.select("line", F.struct("doc_id", "part", "row").alias("own"))
+            if not batch.num_rows:
+                continue
+            # the documents one after another, a line of white space after each
+            lines = [np.frombuffer(x, np.int64) for x in batch.column("lines").to_pylist()]
+            ends = np.cumsum([len(x) + 1 for x in lines])
+            hashes = np.concatenate([y for x in lines for y in (x, np.zeros(1, np.int64))])
+            chars = np.concatenate([y for x in batch.column("chars").to_pylist() for y in (np.frombuffer(x, np.int32), np.zeros(1, np.int32))])
+            there = np.ones(len(hashes), bool)
+            for end, x, cut in zip(ends.tolist(), lines, batch.column("cut").to_pylist(), strict=True):
+                if cut:
+                    there[np.array(cut) + end - len(x) - 1] = False
+            lo, hi, keys = short_runs(hashes, chars)
+            kept = np.r_[0, np.cumsum(there)]
+            some = kept[hi] > kept[lo]
+            keys, of = keys[some], np.searchsorted(ends, lo[some], "right")
+            order = np.lexsort((keys, of))
+            keys, of = keys[order], of[order]
+            new = np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])][: len(keys)]
+            keys, of = keys[new], of[new]
+            ids = batch.column("doc_id").fill_null(LAST).to_numpy()
+            columns = [keys, ids[of], batch.column("part").to_numpy()[of], batch.column("row").to_numpy()[of]]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    exploded = documents.select("part", "row", "doc_id", "lines", "chars", "cut").mapInArrow(run, kinds)
+    return exploded.select("run", F.struct("doc_id", "part", "row").alias("own"))
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -138,16 +187,34 @@ def cuts(later: np.ndarray, chars: np.ndarray, first: np.ndarray, least: int = M
     return out
 
 
-def overlapping_cuts(documents: DataFrame) -> DataFrame:
-    """Rows of ``CUTS``: for each pair of documents, the lines to delete."""
-    lines = lines_of(documents)
-    first = lines.groupBy("line").agg(F.min("own").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = lines.join(first, "line").filter("first < own").select("own", "first").distinct()
+def repeated(documents: DataFrame) -> DataFrame:
+    """``part, row`` of the documents whose lines are those of an earlier one."""
+    own = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "part", "row")
+    rows = documents.select(own.alias("own"), "same")
+    first = rows.groupBy("same").agg(F.min("own").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = size_bounded_broadcast(io.written(first, "line-firsts"), 300_000)
+    return io.written(rows.join(first, "same").filter("first < own").select("own.part", "own.row"), "line-copies")
+
+
+def copied_cuts(copies: DataFrame) -> DataFrame:
+    """Rows of ``CUTS`` for documents that are aligned with their like."""
+    schema = io.arrow_schema(CUTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [cuts(x, np.frombuffer(c, np.int32), x) for x, c in ((np.frombuffer(a, np.int64), c) for a, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], schema=schema)
+
+    return copies.select("part", "row", "lines", "chars").mapInArrow(run, CUTS).filter(F.size("cut") > 0)
+
+
+def aligned_cuts(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of ``CUTS``: for each pair of ``own, earlier``, the lines to delete."""
     hashes = documents.select("part", "row", "lines", "chars")
     mine = hashes.select(F.col("part").alias("own_part"), F.col("row").alias("own_row"), F.col("lines").alias("later"), "chars")
-    theirs = hashes.select(F.col("part").alias("first_part"), F.col("row").alias("first_row"), F.col("lines").alias("earlier"))
-    pairs = pairs.select(F.col("own.part").alias("own_part"), F.col("own.row").alias("own_row"), F.col("first.part").alias("first_part"), F.col("first.row").alias("first_row"))
-    both = pairs.join(mine, ["own_part", "own_row"]).join(theirs, ["first_part", "first_row"]).select("own_part", "own_row", "later", "chars", "earlier")
+    theirs = hashes.select(F.col("part").alias("first_part"), F.col("row").alias("first_row"), F.col("lines").alias("first"))
+    pairs = pairs.select(F.col("own.part").alias("own_part"), F.col("own.row").alias("own_row"), F.col("earlier.part").alias("first_part"), F.col("earlier.row").alias("first_row"))
+    both = pairs.join(mine, ["own_part", "own_row"]).join(theirs, ["first_part", "first_row"]).select("own_part", "own_row", "later", "chars", "first")
     schema = io.arrow_schema(CUTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,11 +225,54 @@ def overlapping_cuts(documents: DataFrame) -> DataFrame:
     return both.mapInArrow(run, CUTS).filter(F.size("cut") > 0)
 
 
+def merged(found: DataFrame) -> DataFrame:
+    return found.groupBy("part", "row").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+
+
+def overlapping_cuts(documents: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
+    """Rows of ``CUTS``, one a document: the lines that an alignment with some
+    earlier document deletes. Of ``few`` pairs or less (or as many as the first
+    round had) all that are left are aligned at once."""
+    copies = repeated(documents)
+    n_copies = copies.count()
+    named = size_bounded_broadcast(copies, 300_000, n_copies)
+    out = io.written(copied_cuts(documents.join(named, ["part", "row"], "left_semi")), "line-cuts")
+    others = documents.join(named, ["part", "row"], "left_anti") if n_copies else documents
+    runs = runs_of(others.withColumn("cut", F.lit(None).cast("array<int>")))
+    shared = runs.groupBy("run").agg(F.min("own").alias("earlier"), F.count("*").alias("n")).filter("n > 1")
+    shared = io.written(shared, "shared-runs")
+    holders = io.written(runs.join(size_bounded_broadcast(shared.select("run"), 300_000), "run"), "run-holders")
+    open_runs, tried = holders, 0
+    while True:
+        # every run's next holder is met by all later ones that still need it
+        pairs = io.written(open_runs.join(size_bounded_broadcast(shared, 300_000), "run").filter("earlier < own").select("own", "earlier").distinct(), "line-pairs")
+        n_pairs = pairs.count()
+        if not n_pairs:
+            return merged(out)
+        tried = max(tried, n_pairs)
+        found = io.written(aligned_cuts(documents, pairs), "line-cuts")
+        out = out.unionByName(found)
+        # runs of those documents with lines that stay, and holders not yet met
+        met = pairs.select("own.part", "own.row").distinct()
+        rest = others.join(met, ["part", "row"], "left_semi").join(merged(out), ["part", "row"], "left")
+        open_runs = io.written(runs_of(rest).join(size_bounded_broadcast(shared, 300_000), "run").filter("earlier < own").select("run", "own", "n"), "open-runs")
+        left = open_runs.agg(F.sum("n")).first()[0] or 0
+        if not left:
+            return merged(out)
+        wanted = shared.join(size_bounded_broadcast(open_runs.select("run").distinct(), 300_000), "run", "left_semi")
+        later = holders.join(size_bounded_broadcast(wanted, 300_000), "run").filter("earlier < own")
+        open_runs = open_runs.select("run", "own")
+        if left <= max(few, tried):
+            ahead = later.select("run", F.col("own").alias("earlier"))
+            pairs = open_runs.join(ahead, "run").filter("earlier < own").select("own", "earlier").distinct()
+            return merged(out.unionByName(io.written(aligned_cuts(documents, pairs), "line-cuts")))
+        shared = io.written(later.groupBy("run").agg(F.min("own").alias("earlier"), F.count("*").alias("n")), "shared-runs")
+
+
 def remove_lines(docs: DataFrame) -> DataFrame:
     """A row of ``RESULT`` for every document."""
     documents = number_lines(docs)
-    found = overlapping_cuts(documents).groupBy("part", "row").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
-    found = io.written(found, "line-cuts")
+    found = io.written(overlapping_cuts(documents), "line-cuts")
     joined = documents.select("part", "row", "doc_id", "text").join(size_bounded_broadcast(found, 300_000), ["part", "row"], "left").select("doc_id", "text", "cut")
     schema = io.arrow_schema(RESULT)
 
