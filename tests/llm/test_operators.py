@@ -350,6 +350,26 @@ def test_patience_alignment():
     assert line_dedup.patience([5, 1, 5], [1, 5, 5]) == [(0, 1), (2, 2)] or line_dedup.patience([5, 1, 5], [1, 5, 5]) == [(1, 0), (2, 2)]
 
 
+def test_alignment_of_repeated_lines(spark):
+    """A passage that stands twice in one document has no line that anchors."""
+    assert line_dedup.patience([11, 1, 2, 12, 1, 2, 13], [21, 1, 2, 22]) == [(1, 1), (2, 2)]
+    rng = np.random.default_rng(9)
+    for _ in range(500):
+        a, b = (rng.integers(0, 4, rng.integers(1, 30)).tolist() for _ in range(2))
+        blocks = {(-n, i, j) for i in range(len(a)) for j in range(len(b)) for n in range(1, min(len(a) - i, len(b) - j) + 1) if 0 not in a[i : i + n] and a[i : i + n] == b[j : j + n]}
+        want = min(blocks, default=(0, 0, 0))
+        assert line_dedup.common_block(a, b) == (want[1], want[2], -want[0])
+        pairs = line_dedup.patience(a, b)
+        assert all(a[i] == b[j] != 0 for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        assert line_dedup.patience(a, a) == [(i, i) for i, x in enumerate(a) if x]
+        assert pairs or not blocks
+    page = "the head of each page\nand the line below it"
+    rows = [(1, f"v1\n{page}\nv2"), (2, f"u1\n{page}\nu2\n{page}\nu3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert Counter(rows_of(line_dedup.remove_lines(docs), *COLUMNS6)) == expected_lines_of_all_pairs(rows)
+    assert {(d, n) for d, _, n, _ in rows_of(line_dedup.remove_lines(docs), *COLUMNS6)} == {(1, 0), (2, 2)}
+
+
 # -- 7 ---------------------------------------------------------------------
 
 

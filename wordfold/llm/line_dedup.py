@@ -10,7 +10,8 @@ the lines of an earlier one loses all that can be lost and is nobody's
 partner. Each pair is aligned by patience diff: lines that are rare enough to
 stand once on either side anchor the alignment (the longest ascending run of
 them), equal lines before and after an anchor join it, and the parts between
-are aligned in turn. The aligned blocks of at least ``MIN_CHARS`` characters
+are aligned in turn; a part without such lines is aligned by its longest
+common block, and what is before and after it in turn. The aligned blocks of at least ``MIN_CHARS`` characters
 are deleted from the later document. Pairs are judged on the input, not on
 what is left.
 
@@ -132,6 +133,39 @@ def runs_of(documents: DataFrame) -> DataFrame:
     return exploded.select("run", F.struct("doc_id", "part", "row").alias("own"))
 
 
+def common_block(a: list[int], b: list[int]) -> tuple[int, int, int]:
+    """(place in ``a``, place in ``b``, lines) of the longest common block; of
+    equal ones the first in ``a``, then in ``b``; 0 matches nothing."""
+    n, m = len(a), len(b)
+    both = np.r_[np.array(a, np.int64), np.array(b, np.int64)]
+    names = np.unique(both, return_inverse=True)[1]
+    blank = both == 0
+    names[blank] = len(both) + np.arange(int(blank.sum()))
+
+    def shared(names: np.ndarray, length: int) -> tuple[int, int] | None:
+        left, right = names[: n - length + 1], names[n : n + m - length + 1]
+        if not len(left) or not len(right):
+            return None
+        found = np.flatnonzero(np.isin(left, right))
+        return (int(found[0]), int(np.flatnonzero(right == left[found[0]])[0])) if len(found) else None
+
+    def longer(names: np.ndarray, by: int) -> np.ndarray:
+        """Names of the blocks that two blocks with names make, ``by`` apart."""
+        return np.unique(names[: len(names) - by] * (2 * len(both)) + names[by:], return_inverse=True)[1]
+
+    at, length, levels = shared(names, 1), 1, [names]
+    if at is None:
+        return 0, 0, 0
+    while 2 * length <= min(n, m) and (there := shared(twice := longer(names, length), 2 * length)):
+        at, length, names = there, 2 * length, twice
+        levels.append(names)
+    top = length
+    for step in [top >> k for k in range(1, len(levels))]:
+        if there := shared(longer(names, length + step - top) if length + step <= min(n, m) else names[:0], length + step):
+            at, length = there, length + step
+    return *at, length
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Pairs of places where ``a`` and ``b`` are aligned; 0 matches nothing."""
     out: list[tuple[int, int]] = []
@@ -162,6 +196,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         while n >= 0:
             run.append(both[n])
             n = before[n]
+        if not run and any(x and x in once_b for x in once_a):
+            i, j, size = common_block(a[alo:ahi], b[blo:bhi])
+            i, j = i + alo, j + blo
+            out.extend((i + n, j + n) for n in range(size))
+            waiting += [(alo, i, blo, j), (i + size, ahi, j + size, bhi)]
         if run:
             run.reverse()
             ends = [*run, (ahi, bhi)]
