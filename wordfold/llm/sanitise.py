@@ -1,12 +1,12 @@
 """Personal data by patterns, and terms that give it away by information.
 
 DataFrame functions only. Patterns find the protected entities (e-mail, IP,
-card and phone numbers). For every entity that several different lines
-mention, co-occurrence in the lines of the whole corpus tells how strongly a
+card and phone numbers). For every entity that several different texts
+mention, co-occurrence in the texts of the whole corpus tells how strongly a
 term reveals it: ``disclosure = log(N c(e,t) / (c(e) c(t))) / log(N / c(e))`` is
 the information that seeing the term gives about the entity, as a share of
 all there is to know; it is 1 if the term occurs only where the entity does
-and 0 if they are independent. Counts are of different lines, so copies of a
+and 0 if they are independent. Counts are of different texts, so copies of a
 text count once. Terms at ``REMOVE`` or more are removed, at ``GENERALISE``
 or more generalised, wherever they stand outside an entity.
 
@@ -42,7 +42,7 @@ TERM_KINDS = ["remove", "generalise"]
 NAMES = [k for k, _, _ in KINDS] + TERM_KINDS
 TERM = r"\p{L}++"
 
-#: Different lines that must mention an entity, and a term with it.
+#: Different texts that must mention an entity, and a term with it.
 SUPPORT = 3
 REMOVE, GENERALISE = 0.9, 0.6
 #: Rows of a table that may be broadcast.
@@ -115,9 +115,9 @@ def _with_bound(rows: DataFrame) -> DataFrame:
     return size_bounded_broadcast(rows, BROADCAST_ROWS)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``row, line`` of every line; a line's key is its hash."""
-    return docs.select("row", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("line_key", F.xxhash64("line"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``row, text, text_key``; a text's key is its hash."""
+    return docs.select("row", "text", F.xxhash64("text").alias("text_key"))
 
 
 def _entity_values(text: Column, base: Column) -> Column:
@@ -134,27 +134,28 @@ def _entity_values(text: Column, base: Column) -> Column:
 def revealing_terms(docs: DataFrame, holders: DataFrame, support: int = SUPPORT) -> DataFrame:
     """``row, term, disclosure`` of the places of revealing terms. ``docs``
     has ``row, text``; ``holders`` the rows with entities."""
-    n_lines = _lines(docs).agg(F.count_distinct("line_key")).first()[0]
-    near = base_spans(_lines(docs.join(_with_bound(holders), "row", "left_semi")).dropDuplicates(["line_key"]), "line").filter(F.size("base") > 0)
-    near = io.written(near.withColumn("values", _entity_values(F.col("line"), F.col("base"))).drop("row", "base"), "entity-lines")
-    of_line = near.select("line_key", F.explode(F.array_distinct("values")).alias("entity"))
-    frequent = of_line.groupBy("entity").agg(F.count("*").alias("c_e")).filter(F.col("c_e") >= support)
-    of_line = of_line.join(_with_bound(io.written(frequent, "entities")), "entity")
-    beside = near.select("line_key", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term"))
-    pairs = of_line.join(beside, "line_key").groupBy("entity", "c_e", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= support)
-    n = F.lit(float(max(n_lines, 2)))
-    # lines that a term may stand in at most to be told apart
+    texts = _keyed(docs)
+    n_texts = texts.agg(F.count_distinct("text_key")).first()[0]
+    near = base_spans(texts.join(_with_bound(holders), "row", "left_semi").dropDuplicates(["text_key"])).filter(F.size("base") > 0)
+    near = io.written(near.select("text_key", F.array_distinct(_terms(F.col("text"))).alias("terms"), F.array_distinct(_entity_values(F.col("text"), F.col("base"))).alias("values")), "entity-texts")
+    of_text = near.select("text_key", F.explode("values").alias("entity"))
+    frequent = of_text.groupBy("entity").agg(F.count("*").alias("c_e")).filter(F.col("c_e") >= support)
+    of_text = of_text.join(_with_bound(io.written(frequent, "entities")), "entity")
+    beside = near.select("text_key", F.explode("terms").alias("term"))
+    pairs = of_text.join(beside, "text_key").groupBy("entity", "c_e", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= support)
+    n = F.lit(float(max(n_texts, 2)))
+    # texts that a term may stand in at most to be told apart
     most = n * F.col("c_et") / F.col("c_e") * F.pow(F.col("c_e") / n, F.lit(GENERALISE))
     pairs = io.written(pairs.withColumn("most", most), "entity-terms")
 
-    # words in far more lines are left out by an estimate (a sketch of 5 % error
+    # words in far more texts are left out by an estimate (a sketch of 5 % error
     # against twice the bound); the others are counted exactly
     candidates = io.written(pairs.groupBy("term").agg(F.max("most").alias("most")), "candidate-terms")
-    every = _lines(docs).select("row", "line_key", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term"))
-    rough = every.join(_with_bound(candidates), "term").groupBy("term").agg(F.approx_count_distinct("line_key", 0.05).alias("c"), F.max("most").alias("most"))
+    every = texts.select("row", "text_key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    rough = every.join(_with_bound(candidates), "term").groupBy("term").agg(F.approx_count_distinct("text_key", 0.05).alias("c"), F.max("most").alias("most"))
     candidates = io.written(rough.filter(F.col("c") <= 2 * F.col("most")).select("term"), "candidate-terms")
     places = io.written(every.join(_with_bound(candidates), "term", "left_semi"), "term-places")
-    frequency = places.select("line_key", "term").distinct().groupBy("term").agg(F.count("*").alias("c_t"))
+    frequency = places.select("text_key", "term").distinct().groupBy("term").agg(F.count("*").alias("c_t"))
     known, told = F.log(n / F.col("c_e")), F.log(n * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
     scored = pairs.join(frequency, "term").withColumn("disclosure", F.when(known > 0, told / known).otherwise(0.0))
     terms = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
