@@ -195,7 +195,8 @@ def train_ccd(coo: DataFrame, p: TrainParams, growing: bool = False) -> TrainRes
     new product is taken out. Training ends after ``iters`` passes, or when a
     pass lowers the objective by less than ``eps`` of it. Growing mode
     activates 1, 2, 4, ... k ranks pass by pass, with lambda falling linearly
-    from lam * log2(k) to lam; it doesn't end before all are active. One table
+    from lam * log2(k) to lam; it goes on after ``iters`` passes until all
+    ranks were active in one. ``active`` of the history tells how many were. One table
     is written per sweep and one residual per rank."""
     spark = coo.sparkSession
     coo, _, mean = centered(coo, p)
@@ -206,7 +207,8 @@ def train_ccd(coo: DataFrame, p: TrainParams, growing: bool = False) -> TrainRes
     r = E.predictions(coo, w, h).withColumn("v", F.col("v") - F.col("p")).drop("p")
     weight = F.col("w") if "w" in coo.columns else F.lit(1.0)
     history = []
-    for it in range(1, p.iters + 1):
+    grown = math.ceil(math.log2(max(p.k, 1))) + 1 if growing else 0  # the first pass of all ranks
+    for it in range(1, max(p.iters, grown) + 1):
         active = min(p.k, 2 ** (it - 1)) if growing else p.k
         lam = p.lam * max(1.0, math.log2(max(p.k, 2)) - (it - 1)) if growing else p.lam
         gained = 0.0
@@ -218,7 +220,7 @@ def train_ccd(coo: DataFrame, p: TrainParams, growing: bool = False) -> TrainRes
             r = E.residuals(r, us[t], vs[t])
         r = cut_lineage(r, "R")
         left = r.agg(F.sum(weight * F.col("v") * F.col("v"))).first()[0] or 0.0
-        history.append({"iter": it, "loss": left, "gain": gained})
+        history.append({"iter": it, "loss": left, "gain": gained, "active": active})
         if active == p.k and gained < p.eps * (left + gained):
             break
     return TrainResult(_assemble(us), _assemble(vs), _log_frame(spark, history) if p.log else None, history, mean)
