@@ -112,10 +112,8 @@ QUERIES["train_pu_als_unit"] = _job(_ev, lambda coo: train_pu_als_unit(coo, Trai
                                     lambda coo, res: _beats_zero(coo.withColumn("v", F.lit(1.0)), res))
 SQL["train_pu_als_unit"] = _with(EVM) + REPORT + "evm"
 
-# T4 cyclic rank-one descent with fewer sweeps than the defaults, as each sweep
-# is a job of its own; T5 with the defaults, up to a pass of all ranks
-CCD = replace(TRAIN, iters=2, inner=1)
-QUERIES["train_ccd"] = _job(_ev, lambda coo: train_ccd(coo, CCD), _beats_zero)
+# T4 / T5 cyclic rank-one descent; T5 up to a pass of all ranks
+QUERIES["train_ccd"] = _job(_ev, lambda coo: train_ccd(coo, TRAIN), _beats_zero)
 QUERIES["train_ccd_growing"] = _job(_ev, lambda coo: train_ccd(coo, TRAIN, growing=True),
                                     lambda coo, res: res.history[-1]["active"] == TRAIN.k and _beats_zero(coo, res))
 
