@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash over windows of an item's length.
 
 For every benchmark item of ``n`` words, documents are read in windows of
-``n`` words. A window's 64-bit SimHash (over its shingles of five words, each
+``n`` words; a document of fewer words is one window of all its words. A
+window's 64-bit SimHash (over its shingles of five words, each
 weighted by how often it occurs) is looked up in a multi-index: fingerprints
 are cut into eight blocks of eight bits, and since ``RADIUS < 3 * 8``, two
 fingerprints within the radius differ by at most two bits in some block; the
@@ -116,7 +117,7 @@ class Items:
     def leaks(self, found: np.ndarray, doc: np.ndarray, n_docs: int) -> list[tuple[int, int, float, int, int]]:
         """(document, item, similarity, first word, words) for the best window
         of every item that a document of the slice holds."""
-        best: dict[tuple[int, int, int], tuple[float, int]] = {}
+        best: dict[tuple[int, int, int, int], tuple[float, int, int]] = {}
         sizes = np.bincount(doc, minlength=n_docs)
         begin = np.cumsum(sizes) - sizes
         for k, (known, lengths, some) in self.lengths.items():
@@ -139,11 +140,20 @@ class Items:
                 starts = starts[(starts >= 0) & (starts + length <= len(found))]
                 starts = starts[doc[starts] == doc[starts + length - 1]]
                 for lo in range(0, len(starts), WINDOWS):
-                    self._verify(length, starts[lo : lo + WINDOWS], grams, doc, begin, best)
-        return [(d, item, s, w, length) for (d, item, length, _), (s, w) in sorted(best.items())]
-
-    def _verify(self, length: int, starts: np.ndarray, grams: np.ndarray, doc: np.ndarray, begin: np.ndarray, best: dict) -> None:
-        span = length - min(SHINGLE, length) + 1
+                    self._verify(length, length, starts[lo : lo + WINDOWS], grams, doc, begin, best)
+                # shorter documents, but for those whose shingles are too few
+                short = np.unique(doc[hit])
+                own = sizes[short]
+                for size in np.unique(own[(own < length) & (own - k + 1 >= SIMILARITY * span)]).tolist():
+                    starts = begin[short[own == size]]
+                    for lo in range(0, len(starts), WINDOWS):
+                        self._verify(length, size, starts[lo : lo + WINDOWS], grams, doc, begin, best)
+        return [(d, item, s, w, n) for (d, item, *_), (s, w, n) in sorted(best.items())]
+
+    def _verify(self, length: int, size: int, starts: np.ndarray, grams: np.ndarray, doc: np.ndarray, begin: np.ndarray, best: dict) -> None:
+        """The windows of ``size`` words against the items of ``length`` words."""
+        rest = min(SHINGLE, length) - 1
+        span, of_item = size - rest, length - rest
         windows = grams[starts[:, None] + np.arange(span)]
         prints, near = self.index[length]
         mine = fingerprints(windows)
@@ -157,12 +167,12 @@ class Items:
             item_id, counts, _ = self.by_length[length][i]
             own = Counter(windows[r].tolist())
             common = sum(min(n, counts[g]) for g, n in own.items() if g in counts)
-            similarity = common / (2 * span - common)
+            similarity = common / (span + of_item - common)
             if similarity >= SIMILARITY:
                 d = int(doc[starts[r]])
                 key, first = (d, item_id, length, i), int(starts[r] - begin[d])
                 if key not in best or (similarity, -first) > (best[key][0], -best[key][1]):
-                    best[key] = (similarity, first)
+                    best[key] = (similarity, first, size)
 
 
 @lru_cache(maxsize=1)
