@@ -188,11 +188,11 @@ def sign_documents(docs: DataFrame, buckets: int, n_gram: int, percent: int) ->
         for piece in io.slices(batches, "text"):
             found = Sets(piece.column(1), n_gram)
             ids = piece.column(0)
-            _, first = np.unique(found.ids, return_index=True)
+            valid = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+            _, first = np.unique(found.ids[valid], return_index=True)
             chosen = np.zeros(len(ids), bool)
-            chosen[first] = True
+            chosen[valid[first]] = True
             chosen &= found.sizes > 0
-            chosen &= ids.is_valid().to_numpy(zero_copy_only=False)
             k, s = signatures(found, chosen, percent)
             keys.append(k)
             sets.append(s)
