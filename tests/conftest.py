@@ -20,11 +20,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def lines_df(spark, texts):
-    """Corpus lines from literal texts (one document per text)."""
-    from wordfold.sources.text import read_corpus
-
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    return read_corpus(df)

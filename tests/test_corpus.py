@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import lines_df
+from corpus_lines import lines_df
 from wordfold.operators import corpus
 from wordfold.plans.ppmi import CorpusParams, counts_from_lines
 
