@@ -7,10 +7,12 @@ from wordfold.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from wordfold.llm.interpolated_lm import op7_deleted_interpolation
 from wordfold.llm.langid import op9_compression_langid
 from wordfold.llm.line_dedup import op6_patience_line_dedup
+from wordfold.llm.merge_replay import op12_merge_replay
 from wordfold.llm.packing import op3_nnls_packing
 from wordfold.llm.sanitise import op8_information_sanitiser
 from wordfold.llm.set_join import op10_prefix_tree_join
 from wordfold.llm.substring_dedup import op4_suffix_array_dedup
+from wordfold.llm.token_alignment import op13_spill_alignment
 from wordfold.llm.token_files import op1_token_files
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_information_sanitiser": op8_information_sanitiser,
     "op9_compression_langid": op9_compression_langid,
     "op10_prefix_tree_join": op10_prefix_tree_join,
+    "op12_merge_replay": op12_merge_replay,
+    "op13_spill_alignment": op13_spill_alignment,
 }
 
 SQL = {

@@ -74,6 +74,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(int(lo), int(hi - lo))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows again in pieces that hold about ``limit`` bytes of the text
+    column, whatever the batches' sizes."""
+    held, waiting = 0, []
+    for piece in slices(batches, column, limit):
+        held += int(pc.sum(pc.binary_length(piece.column(column))).as_py() or 0)
+        waiting.append(piece)
+        if held >= limit:
+            yield pa.concat_batches(waiting)
+            held, waiting = 0, []
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """Arrow schema of a flat DDL string made of the types used here."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}

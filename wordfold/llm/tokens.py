@@ -5,8 +5,9 @@ offsets. ``Encoder`` cuts at single spaces and line feeds between other
 characters, where the library's pattern always cuts too, remembers the ids of
 each piece and asks the library's model only for words it hasn't met. Texts
 with any other white space go to the library whole. The ids are those of
-``Tokenizer.encode(text, add_special_tokens=False)`` with special strings
-read as ordinary text.
+``Tokenizer.encode(text, add_special_tokens=False)``, which gives the
+vocabulary's special strings their own ids where a text holds them; with
+``plain`` they are ordinary text.
 """
 
 from __future__ import annotations
@@ -41,13 +42,14 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of texts as little-endian bytes; one per Python worker."""
 
-    def __init__(self, path: str, remember: int = 1_200_000):
+    def __init__(self, path: str, remember: int = 1_200_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         wide = self.library.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if wide else "<u2")
@@ -91,10 +93,9 @@ class Encoder:
         """The ids of the text without the end id."""
         if not text:
             return b""
-        if len(self._next) > self.remember:
-            self._next.clear()
-        if len(self._first) > self.remember:
-            self._first.clear()
+        if any(s in text for s in self.special):
+            return self._whole(text)
+        self._forget()
         ids = []
         for line in text.split("\n"):
             first, *rest = line.split(" ")
@@ -103,9 +104,25 @@ class Encoder:
             ids.append(self._line_feed)
         ids.pop()
         if None in ids:
-            return array(self._code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._whole(text)
         return b"".join(ids)
 
+    def _forget(self) -> None:
+        for known in (self._first, self._next):
+            if len(known) > self.remember:
+                known.clear()
+
+    def _whole(self, text: str) -> bytes:
+        return array(self._code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def pieces(self, bodies: list[str], lead: str) -> list[bytes | None]:
+        """Ids of pieces that follow a single space or line feed, with it; None
+        for a piece that is empty or holds white space."""
+        self._forget()
+        if lead == " ":
+            return self._pieces(bodies, self._next, " ")
+        return [None if ids is None else self._line_feed + ids for ids in self._pieces(bodies, self._first, "")]
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
