@@ -45,8 +45,14 @@ class Plain:
             starts.update(dict.fromkeys(range(lo, hi), j))
         links = [(a[i], b[j]) for i, (lo, hi) in enumerate(spans_a) for j in sorted({starts[x] for x in range(lo, hi)})]
         ends = sorted({e for _, e in spans_a} & {e for _, e in spans_b})
-        groups = [[",".join(str(i) for i, (_, e) in zip(ids, spans, strict=True) if lo < e <= hi) for ids, spans in ((a, spans_a), (b, spans_b))] for lo, hi in zip([0, *ends], ends, strict=False)]
-        return (len(a), len(b), len(ends), len(links), ";".join("|".join(g) for g in groups)), links
+        of = {e: n for n, e in enumerate(ends)}
+        groups = [([], []) for _ in ends]
+        for side, (ids, spans) in enumerate(((a, spans_a), (b, spans_b))):
+            n = 0
+            for i, (_, end) in zip(ids, spans, strict=True):
+                groups[n][side].append(str(i))
+                n = of.get(end, n - 1) + 1
+        return (len(a), len(b), len(ends), len(links), ";".join("|".join(map(",".join, g)) for g in groups)), links
 
 
 @pytest.fixture(scope="module")
