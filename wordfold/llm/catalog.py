@@ -14,6 +14,7 @@ from wordfold.llm.set_join import op10_prefix_tree_join
 from wordfold.llm.substring_dedup import op4_suffix_array_dedup
 from wordfold.llm.token_alignment import op13_spill_alignment
 from wordfold.llm.token_files import op1_token_files
+from wordfold.llm.turn_trie import OP11_SQL, op11_turn_trie
 
 QUERIES = {
     "op1_token_files": op1_token_files,
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_information_sanitiser": op8_information_sanitiser,
     "op9_compression_langid": op9_compression_langid,
     "op10_prefix_tree_join": op10_prefix_tree_join,
+    "op11_turn_trie": op11_turn_trie,
     "op12_merge_replay": op12_merge_replay,
     "op13_spill_alignment": op13_spill_alignment,
 }
 
 SQL = {
     "op5_exact_dedup": OP5_SQL,
+    "op11_turn_trie": OP11_SQL,
 }

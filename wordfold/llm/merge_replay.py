@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from wordfold.llm import io
 
 #: Texts whose words are replayed together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 #: Symbols of one replay; more words make another one.
 REPLAY_BYTES = 8 << 20
-#: Words that a worker remembers.
-REMEMBER = 1_000_000
+#: Words that a worker remembers, and pieces.
+REMEMBER = 500_000
 #: Bytes of ids or decoded texts in a batch sent on.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, ids array<int>, bytes binary"
