@@ -270,9 +270,8 @@ def _bounded(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield from zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(part)].tolist(), strict=True)
 
 
-def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``doc_id`` and ``ids`` of every row's text."""
-    ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
+def encoding(ranks: str, pattern: str):
+    """A step from batches ``doc_id, text`` to batches of ``ENCODED``."""
     schema = io.arrow_schema(ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,13 +281,11 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
             for a, b in _bounded(map(len, ids), BATCH_BYTES):
                 yield pa.record_batch([piece.column(0).slice(a, b - a), _lists(ids[a:b])], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
+    return run
 
 
-def decode_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
-    """Rows of ``doc_id, ids`` with the ``bytes`` that the ids stand for. An id
-    without a token is an error; null ids are none."""
-    ranks = ranks or default_ranks()
+def decoding(ranks: str):
+    """A step from batches of ``ENCODED`` to batches of ``DECODED``."""
     schema = io.arrow_schema(DECODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,10 +301,33 @@ def decode_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
             for a, b in _bounded(map(len, texts), BATCH_BYTES):
                 yield pa.record_batch([batch.column(0).slice(a, b - a), column.slice(a, b - a), pa.array(texts[a:b], pa.binary())], schema=schema)
 
-    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, DECODED)
+    return run
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``doc_id`` and ``ids`` of every row's text."""
+    return _texts(docs).mapInArrow(encoding(ranks or default_ranks(), pattern or default_pattern()), ENCODED)
+
+
+def decode_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
+    """Rows of ``doc_id, ids`` with the ``bytes`` that the ids stand for. An id
+    without a token is an error; null ids are none."""
+    given = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return given.mapInArrow(decoding(ranks or default_ranks()), DECODED)
+
+
+def round_trip(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``decode_documents(encode_documents(docs))`` in one pass of a worker."""
+    ranks = ranks or default_ranks()
+    encode, decode = encoding(ranks, pattern or default_pattern()), decoding(ranks)
+    return _texts(docs).mapInArrow(lambda batches: decode(encode(batches)), DECODED)
 
 
 def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode_documents(encode_documents(io.spread(io.documents(spark, sf_dir))))
+    decoded = round_trip(io.spread(io.documents(spark, sf_dir)))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

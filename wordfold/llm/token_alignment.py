@@ -40,7 +40,7 @@ from wordfold.llm import io, tokens
 from wordfold.llm.blocks import packed, packed_sorted, unpacked, unpacked_sorted
 
 #: Bytes of texts in a block.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 #: Runs of a block, by A id modulo this.
 RADIX = 32
 #: Runs that one task merges; blocks that share a copy of the counts.
@@ -78,7 +78,7 @@ class Aligner:
         import regex
         import sentencepiece
 
-        self.a = tokens.Encoder(path_a, remember=400_000, plain=True)
+        self.a = tokens.Encoder(path_a, remember=150_000, plain=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = {c: b for b, c in tokens._byte_letters().items()}
         vocabulary = self.a.library.get_vocab()
