@@ -19,7 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordfold.functions import vec as V
+from wordfold.session import cut_lineage, discard
+
 DEFAULT_BLOCK_ROWS = 4096
+#: Rows whose scores against a block are summed together.
+TILE = 32
+#: A product's rounding error, as a share of the norms' product, at most.
+SLACK = 1e-9
 
 
 def block_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -28,11 +35,30 @@ def block_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     blocks' shapes, equal vectors always get equal scores, and the scores
     equal those of :func:`wordfold.functions.vec.dot` bit by bit."""
     out = np.zeros((len(q), len(c)))
-    for d in range(q.shape[1]):
-        out += q[:, d, None] * c[None, :, d]
+    columns, part = np.ascontiguousarray(c.T), np.empty((TILE, len(c)))
+    for lo in range(0, len(q), TILE):  # a tile of sums stays in the processor's cache
+        rows = q[lo:lo + TILE]
+        sums, product = out[lo:lo + TILE], part[:len(rows)]
+        for d in range(q.shape[1]):
+            np.multiply(rows[:, d, None], columns[d], out=product)
+            sums += product
     return out
 
 
+def best_of(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``n`` best finite scores of every row, in order of
+    row and falling score; equal scores in order of column."""
+    if n < scores.shape[1]:
+        least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+        row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+    else:
+        row, col = np.nonzero(np.isfinite(scores))
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < n], col[place < n]
+
+
 def n_blocks(df: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> int:
     return max(1, math.ceil(df.count() / block_rows))
 
@@ -76,3 +102,65 @@ def cogroup_blocks(
         rb = rb.unionByName(ex.select(*rb.columns))
 
     return lb.groupBy("_qb", "_cb").cogroup(rb.groupBy("_qb", "_cb")).applyInPandas(kernel, schema)
+
+
+def norm_blocks(cands: DataFrame, keys: list, vec: str, block_rows: int) -> tuple[DataFrame, list[float]]:
+    """Candidates with ``_cb``, their block by falling norm (equal norms by
+    key), written once, and each block's largest norm."""
+    ranged = cands.withColumn("_norm", F.sqrt(V.sq_norm(vec))).repartitionByRange(
+        n_blocks(cands, block_rows), F.col("_norm").desc_nulls_last(), F.xxhash64(*keys))
+    ranged = cut_lineage(ranged.withColumn("_cb", F.spark_partition_id()), "norm-blocks")
+    tops = sorted((r["_cb"], r["top"] or 0.0) for r in ranged.groupBy("_cb").agg(F.max("_norm").alias("top")).collect())
+    number = F.create_map(*[F.lit(x) for n, (cb, _) in enumerate(tops) for x in (cb, n)]) if tops else F.lit(None)
+    return ranged.withColumn("_cb", number[F.col("_cb")] if tops else F.lit(0)), [top for _, top in tops]
+
+
+def pruned_blocks(queries: DataFrame, cands: DataFrame, qkey: str, ckey: str, qvec: str, kernel, schema: str, n: int,
+                  block_rows: int = DEFAULT_BLOCK_ROWS, extra: DataFrame | None = None, extra_keys: tuple[str, str] | None = None,
+                  report: dict | None = None) -> DataFrame:
+    """Local top-n rows of ``kernel`` (with ``qkey`` and ``score``) that hold
+    every query's best ``n`` candidates.
+
+    Candidates lie in blocks of falling norm. Each query meets the first block;
+    if that gives it ``n`` rows, no candidate can enter whose norm times the
+    query's is below the least of their scores (Cauchy-Schwarz), so it goes on
+    to the blocks above that alone, and a block that no query of a query block
+    reaches isn't sent there. ``extra`` rows (excluded cells, in the
+    candidates' schema) go to the one block pair of their query and candidate.
+    ``report`` gets how many (query, block) pairs there are and were met."""
+    ranged, tops = norm_blocks(cands, [ckey], "vec", block_rows)
+    columns = cands.columns
+    bq = n_blocks(queries, block_rows)
+    queries = cut_lineage(queries, "block-queries")
+
+    def met(left: DataFrame, blocks: DataFrame) -> DataFrame:
+        """``left`` has ``_qb`` and ``_cb``; candidates follow its block pairs."""
+        pairs = left.select([F.col(c).alias(c) for c in ("_qb", "_cb")]).distinct()
+        right = blocks.join(pairs, "_cb").select(*columns, "_qb", "_cb")
+        if extra is not None:
+            asked, wanted = extra_keys
+            at = blocks.select(F.col(ckey).alias(wanted), "_cb")
+            of = left.select(F.col(qkey).alias(asked), "_qb", "_cb")
+            right = right.unionByName(extra.join(at, wanted).join(of, [asked, "_cb"]).select(*columns, "_qb", "_cb"))
+        # fresh attribute ids: the pairs come from the left
+        right = right.select([F.col(c).alias(c) for c in right.columns])
+        return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(kernel, schema)
+
+    first = met(assign_block(queries, [qkey], bq, "_qb").withColumn("_cb", F.lit(0)), ranged.where(F.col("_cb") == 0))
+    if len(tops) < 2:
+        if report is not None:
+            report.update(pairs=queries.count(), met=queries.count())
+        return first
+    first = cut_lineage(first, "block-best")
+    least = first.groupBy(qkey).agg(F.when(F.count("*") >= n, F.min("score")).alias("_least"))
+    norm = F.sqrt(V.sq_norm(qvec))
+    rest = F.array(*[F.lit(float(t)) for t in tops[1:]])
+    # no more than the least, even with rounding: strictly below is out
+    reach = F.size(F.filter(rest, lambda t: F.col("_least").isNull() | (t * norm * (1 + SLACK) >= F.col("_least"))))
+    going = queries.join(least, qkey, "left").withColumn("_reach", reach).drop("_least").where(F.col("_reach") > 0)
+    going = cut_lineage(going.repartitionByRange(bq, "_reach", F.xxhash64(qkey)).withColumn("_qb", F.spark_partition_id()), "block-going")
+    if report is not None:
+        asked = queries.count()
+        report.update(pairs=asked * len(tops), met=asked + (going.agg(F.sum("_reach")).first()[0] or 0))
+    left = going.withColumn("_cb", F.explode(F.sequence(F.lit(1), F.col("_reach")))).drop("_reach")
+    return first.unionByName(met(left, ranged.where(F.col("_cb") > 0)))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, cogroup_blocks
+from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, block_scores, cogroup_blocks
 from wordfold.operators.corpus import assign_ids
 from wordfold.operators.grouped import running_sums_before
 from wordfold.operators.vectors import _dim, represent, similarity
@@ -50,42 +50,40 @@ def test_vocab(test: DataFrame) -> DataFrame:
     return assign_ids(words, "word", "id")
 
 
-def _analogy_kernel(dense: bool):
-    def best(scores: np.ndarray, words: np.ndarray) -> tuple[int, float]:
-        m = np.max(scores)
-        if not np.isfinite(m):
-            return -1, m
-        idx = np.nonzero(scores == m)[0]
-        j = min(idx, key=lambda t: words[t])  # score desc, word asc
-        return j, m
+#: Scores of questions against a block that are held at once.
+QUESTION_SCORES = 1 << 22
+
 
+def _analogy_kernel(dense: bool):
     def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        cols = {"qid": [], "method": [], "word": [], "score": []}
+        found = {"qid": [np.zeros(0, np.int64)], "method": [np.zeros(0, object)], "word": [np.zeros(0, object)], "score": [np.zeros(0)]}
         if len(q) and len(c):
-            cm = np.stack(c["vec"].to_numpy())
+            c = c.sort_values("word")  # the first best is the smallest word
             words = c["word"].to_numpy().astype(object)
-
-            def sims(col: str) -> np.ndarray:
-                s = np.stack(q[col].to_numpy()) @ cm.T
-                return (s + 1.0) / 2.0 if dense else s
-
-            sa, sa_, sb = sims("va"), sims("va_"), sims("vb")
-            add = -sa + sa_ + sb
-            mul = sa_ * sb / (sa + 0.01)
-            for r, (qid, a, a_, b) in enumerate(zip(q["qid"], q["a"], q["a_"], q["b"])):
-                mask = (words == a) | (words == a_) | (words == b)
-                for name, sc in (("add", add[r]), ("mul", mul[r])):
-                    sc = np.where(mask, -np.inf, sc)
-                    j, m = best(sc, words)
-                    if j >= 0:
-                        cols["qid"].append(int(qid))
-                        cols["method"].append(name)
-                        cols["word"].append(words[j])
-                        cols["score"].append(float(m))
-        return pd.DataFrame({
-            "qid": pd.Series(cols["qid"], dtype="int64"), "method": pd.Series(cols["method"], dtype=object),
-            "word": pd.Series(cols["word"], dtype=object), "score": pd.Series(cols["score"], dtype=float),
-        })
+            place = {w: n for n, w in enumerate(words)}
+            # each word of the questions is scored once, whatever questions ask for it
+            asked = {w: v for names, vecs in (("a", "va"), ("a_", "va_"), ("b", "vb")) for w, v in zip(q[names], q[vecs])}
+            row_of = {w: n for n, w in enumerate(asked)}
+            scores = block_scores(np.stack(list(asked.values())), np.stack(c["vec"].to_numpy()))
+            scores = (scores + 1.0) / 2.0 if dense else scores
+            at = np.array([[row_of[w] for w in q[x]] for x in ("a", "a_", "b")])
+            hide = np.array([[place.get(w, -1) for w in q[x]] for x in ("a", "a_", "b")])
+            qid = q["qid"].to_numpy().astype(np.int64)
+            step = max(1, QUESTION_SCORES // len(c))
+            for lo in range(0, len(q), step):
+                a, a_, b = (scores[rows[lo:lo + step]] for rows in at)
+                which, hidden = np.nonzero(hide[:, lo:lo + step].T >= 0)[0], hide[:, lo:lo + step].T
+                hidden = hidden[hidden >= 0]
+                for name, total in (("add", -a + a_ + b), ("mul", a_ * b / (a + 0.01))):
+                    total[which, hidden] = -np.inf
+                    best = np.argmax(total, axis=1)
+                    top = total[np.arange(len(total)), best]
+                    some = np.isfinite(top)
+                    found["qid"].append(qid[lo:lo + step][some])
+                    found["method"].append(np.full(int(some.sum()), name, object))
+                    found["word"].append(words[best[some]])
+                    found["score"].append(top[some])
+        return pd.DataFrame({k: np.concatenate(v) for k, v in found.items()})
 
     return kernel
 

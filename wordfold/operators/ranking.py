@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wordfold.functions import vec as V
 from wordfold.operators.grouped import running_sums_before
-from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, block_scores, cogroup_blocks
+from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, best_of, block_scores, cogroup_blocks, pruned_blocks
 from wordfold.session import cut_lineage
 
 # Fixed values of the half-life utility: neutral relevance 0, half-life 5.
@@ -80,29 +80,27 @@ def _topk_kernel(k: int):
             r, cc = np.searchsorted(qi, ii), np.searchsorted(cid, jj)
             here = (qi[np.minimum(r, len(qi) - 1)] == ii) & (cid[np.minimum(cc, len(cid) - 1)] == jj)
             s[r[here], cc[here]] = -np.inf
-        # candidates are in order of id, so a stable sort breaks ties by id
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(s, order, axis=1)
-        row, place = np.nonzero(np.isfinite(best))
-        return pd.DataFrame({"i": qi[row], "j": cid[order[row, place]], "score": best[row, place]})
+        row, col = best_of(s, k)  # candidates are in order of id
+        return pd.DataFrame({"i": qi[row], "j": cid[col], "score": s[row, col]})
 
     return kernel
 
 
 def recommend_topk(rows: DataFrame, w: DataFrame, h: DataFrame, k: int = 10, ignored: DataFrame | None = None,
-                   block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = DEFAULT_BLOCK_ROWS, report: dict | None = None) -> DataFrame:
     """F3. (i, rank, j, score): per requested row the k best columns by
     <w_i, h_j>, ignored cells excluded, ties by column id; rows with fewer
     valid candidates return fewer rows, rows without factors score 0.
-    Column-wise top-k: swap w and h and transpose ``ignored``."""
+    Column-wise top-k: swap w and h and transpose ``ignored``. Blocks of
+    columns too short to enter are skipped (``report``: pairs and pairs met)."""
     q = row_vectors(rows.select(F.col("id").alias("i")), w, width(h))
     cand = h.select("id", "vec", F.lit(None).cast("long").alias("ign_i"))
     extra = None
     if ignored is not None:
         extra = ignored.select(F.col("j").alias("id"), F.lit(None).cast("array<double>").alias("vec"),
                                F.col("i").cast("long").alias("ign_i"))
-    local = cogroup_blocks(q, cand, ["i"], ["id"], _topk_kernel(k), "i long, j long, score double", block_rows,
-                           right_extra=extra, right_extra_keys=(["ign_i"], ["id"]) if extra is not None else None)
+    local = pruned_blocks(q, cand, "i", "id", "vec", _topk_kernel(k), "i long, j long, score double", k, block_rows,
+                          extra, ("ign_i", "id") if extra is not None else None, report)
     win = Window.partitionBy("i").orderBy(F.desc("score"), F.asc("j"))
     return local.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k)
 

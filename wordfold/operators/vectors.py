@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordfold.functions import vec as V
-from wordfold.operators import assoc
-from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, cogroup_blocks
+from wordfold.operators import assoc, sparse
+from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, best_of, block_scores, pruned_blocks
 from wordfold.session import cut_lineage, size_bounded_broadcast
 
 
@@ -53,28 +53,13 @@ def _topn_kernel(n: int, drop_self: bool = False):
         if len(q) == 0 or len(c) == 0:
             return pd.DataFrame({"query": pd.Series([], dtype=object), "word": pd.Series([], dtype=object),
                                  "score": pd.Series([], dtype=float)})
-        qm = np.stack(q["qvec"].to_numpy())
-        cm = np.stack(c["vec"].to_numpy())
-        words = c["word"].to_numpy().astype(object)
-        s = qm @ cm.T
-        out_q, out_w, out_s = [], [], []
-        take = min(n, len(c))
-        for r, qw in enumerate(q["query"].to_numpy()):
-            row = s[r]
-            if drop_self:
-                row = np.where(words == qw, -np.inf, row)
-            if take < len(row):
-                thr = np.partition(row, len(row) - take)[len(row) - take]
-                idx = np.nonzero(row >= thr)[0]
-            else:
-                idx = np.arange(len(row))
-            idx = idx[np.isfinite(row[idx])]
-            # score desc, word desc (tuple order of the reference's nlargest)
-            order = sorted(idx, key=lambda j: (row[j], words[j]), reverse=True)[:take]
-            out_q.extend([qw] * len(order))
-            out_w.extend(words[order].tolist())
-            out_s.extend(row[order].tolist())
-        return pd.DataFrame({"query": out_q, "word": out_w, "score": out_s})
+        c = c.sort_values("word", ascending=False)  # equal scores: word descending
+        words, asked = c["word"].to_numpy().astype(object), q["query"].to_numpy().astype(object)
+        scores = block_scores(np.stack(q["qvec"].to_numpy()), np.stack(c["vec"].to_numpy()))
+        if drop_self:
+            scores[asked[:, None] == words[None, :]] = -np.inf
+        row, col = best_of(scores, n)
+        return pd.DataFrame({"query": asked[row], "word": words[col], "score": scores[row, col]})
 
     return kernel
 
@@ -82,16 +67,20 @@ def _topn_kernel(n: int, drop_self: bool = False):
 TOPN_SCHEMA = "query string, word string, score double"
 
 
+def _closest(words: DataFrame, vecs: DataFrame, cands: DataFrame, n: int, block_rows: int, drop_self: bool, report: dict | None) -> DataFrame:
+    q = represent(words.select("word").distinct(), vecs, _dim(vecs)).select(F.col("word").alias("query"), F.col("vec").alias("qvec"))
+    local = pruned_blocks(q, cands.select("word", "vec"), "query", "word", "qvec", _topn_kernel(n, drop_self), TOPN_SCHEMA, n, block_rows, report=report)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("word"))
+    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
 def closest(words: DataFrame, vecs: DataFrame, n: int = 10, block_rows: int = DEFAULT_BLOCK_ROWS,
-            drop_self: bool = False) -> DataFrame:
+            drop_self: bool = False, report: dict | None = None) -> DataFrame:
     """G4. (query, rank, word, score): the n best words by <q, v>, the query word
-    itself included; ties by word descending. Unknown queries score 0 everywhere."""
-    k = _dim(vecs)
-    q = represent(words.select("word").distinct(), vecs, k).select(F.col("word").alias("query"), F.col("vec").alias("qvec"))
-    cand = cogroup_blocks(q, vecs.select("word", "vec"), ["query"], ["word"], _topn_kernel(n, drop_self),
-                          TOPN_SCHEMA, block_rows)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("word"))
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    itself included; ties by word descending. Unknown queries score 0 everywhere.
+    Scores don't depend on the blocks, so equal vectors tie exactly; blocks of
+    words too short to enter are skipped (``report``: pairs and pairs met)."""
+    return _closest(words, vecs, vecs, n, block_rows, drop_self, report)
 
 
 def ensemble(v1: DataFrame, v2: DataFrame, normalize: bool = True) -> DataFrame:
@@ -131,11 +120,7 @@ def closest_contexts(words: DataFrame, w: DataFrame, c: DataFrame, n: int = 10,
                      block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """G9. Top-n contexts for each word by <w_word, c_context> (every context row
     is a candidate)."""
-    k = _dim(w)
-    q = represent(words.select("word").distinct(), w, k).select(F.col("word").alias("query"), F.col("vec").alias("qvec"))
-    cand = cogroup_blocks(q, c.select("word", "vec"), ["query"], ["word"], _topn_kernel(n), TOPN_SCHEMA, block_rows)
-    win = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("word"))
-    return cand.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= n)
+    return _closest(words, w, c, n, block_rows, False, None)
 
 
 def svd_vectors(u: DataFrame, s: DataFrame, eig: float = 0.5, normalize: bool = True) -> DataFrame:
@@ -192,23 +177,13 @@ def explicit_closest_contexts(words: DataFrame, m: DataFrame, n: int = 10) -> Da
     )
 
 
-def explicit_closest(words: DataFrame, m: DataFrame, n: int = 10) -> DataFrame:
+def explicit_closest(words: DataFrame, m: DataFrame, n: int = 10, report: dict | None = None) -> DataFrame:
     """G15. Top-n words by sparse dot with the query row (only rows sharing a
-    context get a score). Partial sums per (query, word) are combined map-side.
-    The matrix is read twice (query rows, all rows): it is written once to the
-    checkpoint folder instead of being derived twice."""
-    m = cut_lineage(m.select("word", "context", "v"), "explicit-matrix")
-    q = m.join(size_bounded_broadcast(words.select("word").distinct()), "word", "left_semi").select(
-        F.col("word").alias("query"), "context", F.col("v").alias("_vq")
-    )
-    # The query rows are usually few: measured, and broadcast when under the
-    # bound, so the matrix side streams through a hash join without a shuffle
-    # and only (query, word) partial sums cross the network.
-    q = q.persist()
-    q = size_bounded_broadcast(q, known_rows=q.count())
-    scores = m.join(q, "context").groupBy("query", "word").agg(F.sum(F.col("_vq") * F.col("v")).alias("score"))
+    context get a score; ties by word descending). See
+    :mod:`wordfold.operators.sparse`."""
+    local = sparse.top_products(words, m, n, report)
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("word"))
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 # ---------------------------------------------------------------- G16 factory

@@ -16,7 +16,7 @@ from wordfold.plans.catalog_vectors import SLICES, WVN, _slices, _svd, _wv, sql_
 from wordfold.plans.ppmi import encoded_counts
 from wordfold.plans.sql_fixtures import event_matrix_cte, interactions_cte, word_vectors_cte, wordsim_cte
 from wordfold.session import cut_lineage
-from wordfold.plans.train import SgdParams, TrainParams, train_als, train_ccd, train_pu, train_pu_als_unit, train_sgd
+from wordfold.plans.train import SgdParams, TrainParams, rank_settled, train_als, train_ccd, train_pu, train_pu_als_unit, train_sgd
 
 QUERIES = {}
 SQL = {}
@@ -112,15 +112,29 @@ QUERIES["train_pu_als_unit"] = _job(_ev, lambda coo: train_pu_als_unit(coo, Trai
                                     lambda coo, res: _beats_zero(coo.withColumn("v", F.lit(1.0)), res))
 SQL["train_pu_als_unit"] = _with(EVM) + REPORT + "evm"
 
-# T4 / T5 cyclic rank-one descent; T5 up to a pass of all ranks
-QUERIES["train_ccd"] = _job(_ev, lambda coo: train_ccd(coo, TRAIN), _beats_zero)
-QUERIES["train_ccd_growing"] = _job(_ev, lambda coo: train_ccd(coo, TRAIN, growing=True),
-                                    lambda coo, res: res.history[-1]["active"] == TRAIN.k and _beats_zero(coo, res))
+# T4 / T5 cyclic rank-one descent; T5 up to a pass of all ranks. The factor
+# column fitted last has to be the best for all others; the model must beat
+# the mean alone.
+def _descent(growing):
+    def run(s, sf):
+        coo = cut_lineage(_ev(s, sf), "entries")
+        res = train_ccd(coo, TRAIN, growing)
+        last = res.history[-1]
+        if not _beats_zero(coo, res) or growing and last["active"] != TRAIN.k:
+            raise ValueError(f"no better than the mean after {last}")
+        return rank_settled(coo, res, last["last"], TRAIN.lam)
+
+    return run
+
+
+QUERIES["train_ccd"] = _descent(False)
+QUERIES["train_ccd_growing"] = _descent(True)
+for _name in ("train_ccd", "train_ccd_growing"):
+    SQL[_name] = _with(EVM) + "SELECT DISTINCT i AS id, true AS settled FROM evm"
 
 # T6 stratified SGD with the rank split and T10's step sizes
 QUERIES["train_sgd"] = _job(_ev, lambda coo: train_sgd(coo, TRAIN, SgdParams(split=True, bold=True)))
-for _name in ("train_ccd", "train_ccd_growing", "train_sgd"):
-    SQL[_name] = _with(EVM) + REPORT + "evm"
+SQL["train_sgd"] = _with(EVM) + REPORT + "evm"
 
 
 def _with_zeros(s, sf, lam=0.1, mode="row_frac"):

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,8 +17,9 @@ from pyspark.sql import functions as F
 from wordfold.functions import vec as V
 from wordfold.operators import factor as E
 from wordfold.operators.coo import dense_ids, transpose
+from wordfold.operators.residual import rank_one_cells
 from wordfold.operators.solve import DEFAULT_HEAVY, plan_side, solve_side
-from wordfold.session import cut_lineage
+from wordfold.session import cut_lineage, discard
 from wordfold.sources.matrix import snapshot_factors
 
 
@@ -169,61 +169,67 @@ def _dim(f: DataFrame, t: int) -> DataFrame:
     return f.select("id", F.element_at("vec", t + 1).alias("x"))
 
 
-def _assemble(dims: list[DataFrame]) -> DataFrame:
-    """(id, vec) from one (id, x) table per dimension."""
-    parts = [d.select("id", F.lit(t).alias("t"), "x") for t, d in enumerate(dims)]
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda e: e["x"]).alias("vec"))
-
-
-def _sweep(r: DataFrame, u: DataFrame, v: DataFrame, lam: float, nmf: bool) -> tuple[DataFrame, DataFrame, float]:
-    """One column update and one row update of a rank: (u, v, gain)."""
-    across = transpose(r)
-    new_v = E.rank_one_update(r, u, v, lam, nmf)
-    new_u = E.rank_one_update(across, new_v.select("id", "x"), u, lam, nmf)
-    both = cut_lineage(new_v.withColumn("of", F.lit("v")).unionByName(new_u.withColumn("of", F.lit("u"))), "rank")
-    gain = both.agg(F.sum("gain")).first()[0] or 0.0
-    return *(both.where(F.col("of") == side).select("id", "x") for side in "uv"), gain
-
-
 def train_ccd(coo: DataFrame, p: TrainParams, growing: bool = False) -> TrainResult:
     """T4 (and T5 with ``growing``). Cyclic rank-one descent on the squared
-    loss with n-scaled lambda.
-
-    A pass takes the ranks in turn: the rank's product goes back into the
-    residual, ``inner`` sweeps (E6 for columns, then rows) fit it, and the
-    new product is taken out. Training ends after ``iters`` passes, or when a
-    pass lowers the objective by less than ``eps`` of it. Growing mode
-    activates 1, 2, 4, ... k ranks pass by pass, with lambda falling linearly
-    from lam * log2(k) to lam; it goes on after ``iters`` passes until all
-    ranks were active in one. ``active`` of the history tells how many were. One table
-    is written per sweep and one residual per rank."""
+    loss with n-scaled lambda, on the cells laid out by
+    :mod:`wordfold.operators.residual`.
+
+    A pass takes the ranks in turn, with the other ranks' products taken out
+    of the cells, in up to ``inner`` sweeps (E6 for columns, then rows).
+
+    T9: a sweep that lowers the objective by less than ``eps`` of the pass's
+    best one is its rank's last, and a pass ends after five ranks whose first
+    sweep did (the very first sweep, from a cold start, is no measure).
+    Training ends after ``iters`` passes, or when a pass lowers the objective
+    by less than ``eps`` of it. Growing mode activates 1, 2, 4, ... k ranks
+    pass by pass, with lambda falling linearly from lam * log2(k) to lam; it
+    goes on after ``iters`` passes until all ranks were active in one. The
+    history tells a pass's ``active`` ranks, how many were ``fitted`` and in
+    how many ``sweeps``, and the rank fitted ``last``."""
     spark = coo.sparkSession
     coo, _, mean = centered(coo, p)
-    coo = cut_lineage(coo.select("i", "j", "v", *(["w"] if "w" in coo.columns else [])), "ccd-entries")
-    w, h, _, _ = init_model(coo, p)
+    entries = cut_lineage(coo.select("i", "j", "v", *(["w"] if "w" in coo.columns else [])), "ccd-entries")
+    w, h, _, _ = init_model(entries, p)
     w, h = cut_lineage(w, "W"), cut_lineage(h, "H")
-    us, vs = [_dim(w, t) for t in range(p.k)], [_dim(h, t) for t in range(p.k)]
-    r = E.predictions(coo, w, h).withColumn("v", F.col("v") - F.col("p")).drop("p")
-    weight = F.col("w") if "w" in coo.columns else F.lit(1.0)
+    cells = rank_one_cells(entries, w, h, p.k)
     history = []
     grown = math.ceil(math.log2(max(p.k, 1))) + 1 if growing else 0  # the first pass of all ranks
     for it in range(1, max(p.iters, grown) + 1):
         active = min(p.k, 2 ** (it - 1)) if growing else p.k
         lam = p.lam * max(1.0, math.log2(max(p.k, 2)) - (it - 1)) if growing else p.lam
-        gained = 0.0
+        best, weak, gained, sweeps, fitted = 0.0, 0, 0.0, 0, 0
         for t in range(active):
-            r = cut_lineage(E.residuals(r, us[t], vs[t], add=True), "R")
-            for _ in range(p.inner):
-                us[t], vs[t], gain = _sweep(r, us[t], vs[t], lam, p.nmf)
-                gained += gain
-            r = E.residuals(r, us[t], vs[t])
-        r = cut_lineage(r, "R")
-        left = r.agg(F.sum(weight * F.col("v") * F.col("v"))).first()[0] or 0.0
-        history.append({"iter": it, "loss": left, "gain": gained, "active": active})
+            if weak == 5:
+                break
+            cells.open(t)
+            for n in range(p.inner):
+                gain = cells.sweep(lam, p.nmf)
+                gained, sweeps = gained + gain, sweeps + 1
+                if gain < p.eps * best:
+                    weak += n == 0
+                    break
+                if (it, t, n) != (1, 0, 0):
+                    best = max(best, gain)
+            cells.close()
+            fitted, last = fitted + 1, t
+        left = cells.loss()
+        history.append({"iter": it, "loss": left, "gain": gained, "active": active, "fitted": fitted, "sweeps": sweeps, "last": last})
         if active == p.k and gained < p.eps * (left + gained):
             break
-    return TrainResult(_assemble(us), _assemble(vs), _log_frame(spark, history) if p.log else None, history, mean)
+    factors = cells.factors()
+    cells.drop()
+    discard(entries, w, h)
+    return TrainResult(*factors, _log_frame(spark, history) if p.log else None, history, mean)
+
+
+def rank_settled(coo: DataFrame, res: TrainResult, t: int, lam: float, tolerance: float = 1e-6) -> DataFrame:
+    """(id, settled): whether the row factor of the rank fitted last is the
+    best one for its column factor and all other ranks (E6 finds no better)."""
+    p = E.predictions(coo.withColumn("v", F.col("v") - res.mean), res.w, res.h)
+    u, v = _dim(res.w, t), _dim(res.h, t)
+    cells = E.residuals(p.withColumn("v", F.col("v") - F.col("p")).drop("p"), u, v, add=True)
+    best = E.rank_one_update(transpose(cells), v, u, lam).select("id", F.col("x").alias("best"))
+    return u.join(best, "id").select("id", (F.abs(F.col("x") - F.col("best")) <= tolerance * (1 + F.abs("best"))).alias("settled"))
 
 
 # ---------------------------------------------------------------- T6 - T8 stratified SGD

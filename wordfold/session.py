@@ -67,7 +67,27 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)  # no job to find the schema
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``cut_lineage`` wrote for these tables, once nothing reads
+    them any more (their successors are written). Other frames, null and
+    repeated ones are passed over."""
+    seen = set()
+    for table in tables:
+        path = getattr(table, "written_at", None) if table is not None else None
+        if not isinstance(path, str) or path in seen:
+            continue
+        seen.add(path)
+        spark = table.sparkSession
+        name = getattr(table, "written_as", None)
+        if isinstance(name, str):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def size_bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
