@@ -12,6 +12,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,24 +91,68 @@ def spmv_t(coo: DataFrame, u: DataFrame, cols: DataFrame | None = None) -> DataF
     return spmv(transpose(coo), u, cols).withColumnRenamed("i", "j")
 
 
+#: Bytes of row sums that a task gathers before it sends them on.
+SUM_BYTES = 32 << 20
+
+ROW_SUMS = "i long, vec array<double>"
+
+
+def _row_sums(scaled: bool):
+    """Batches ``i, vec`` (``scaled``: and ``v``) to sums of ``v * vec`` by
+    ``i``: rows of a batch by sorted segments, batches in memory until they
+    fill ``SUM_BYTES``. So a row that many tasks hold leaves each but once a
+    fill."""
+    schema = pa.schema([("i", pa.int64()), ("vec", pa.list_(pa.float64()))])
+
+    def by_row(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        return ids[starts], np.add.reduceat(x[order], starts, axis=0)
+
+    def sent(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        stops = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * x.shape[1])
+        return pa.record_batch([pa.array(ids), pa.ListArray.from_arrays(stops, pa.array(x.ravel()))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            x = x * batch.column(2).to_numpy()[:, None] if scaled else x
+            held.append(by_row(batch.column(0).to_numpy(), x))
+            size += held[-1][1].nbytes
+            if size > SUM_BYTES:
+                held = [by_row(*(np.concatenate(y) for y in zip(*held, strict=True)))]
+                size = held[0][1].nbytes
+                if size > SUM_BYTES // 2:
+                    yield sent(*held[0])
+                    held, size = [], 0
+        if held:
+            yield sent(*by_row(*(np.concatenate(y) for y in zip(*held, strict=True))))
+
+    return run
+
+
 def spmm(coo: DataFrame, factors: DataFrame, a: float = 1.0, h0: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """D8. (i, vec) = a * X W (+ H0). W is (id, vec) keyed by column id. Rows
     listed in ``rows`` (column id) but without entries get zeros.
 
-    Each entry contributes v * W_j; the per-(i, dim) sums are partial-aggregated
-    before the shuffle, then the k sums of a row are reassembled."""
-    f = factors.select(F.col("id").alias("j"), F.col("vec"))
-    prod = coo.join(f, "j").select("i", F.posexplode("vec").alias("t", "x"), "v")
-    parts = prod.groupBy("i", "t").agg((F.sum(F.col("v") * F.col("x")) * F.lit(float(a))).alias("s"))
+    Entries meet their vectors (broadcast when small, measured) and are summed
+    by row inside their task, a vector at a time; one vector per row and task
+    is shuffled and summed again. A hot row so sends a vector per task."""
+    f = size_bounded_broadcast(factors.select(F.col("id").alias("j"), F.col("vec")))
+    met = coo.join(f, "j").select(F.col("i").cast("long").alias("i"), "vec", (F.col("v") * F.lit(float(a))).alias("v"))
+    parts = met.mapInArrow(_row_sums(True), ROW_SUMS)
     if h0 is not None:
-        base = h0.select(F.col("id").alias("i"), F.posexplode("vec").alias("t", "s"))
-        parts = parts.unionByName(base).groupBy("i", "t").agg(F.sum("s").alias("s"))
-    out = parts.groupBy("i").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("t", "s"))), lambda e: e["s"]).alias("vec")
-    )
+        parts = parts.unionByName(h0.select(F.col("id").cast("long").alias("i"), "vec"))
+    width = factors.select(F.size("vec").alias("k")).first()
+    k = width["k"] if width else 0
+    out = parts.groupBy("i").agg(F.array(*[F.sum(F.get("vec", F.lit(t))) for t in range(k)]).alias("vec"))
     if rows is not None:
-        k = factors.select(F.size("vec").alias("k")).first()
-        zeros = F.array_repeat(F.lit(0.0), k["k"] if k else 0)
+        zeros = F.array_repeat(F.lit(0.0), k)
         out = rows.select(F.col("id").alias("i")).distinct().join(out, "i", "left").select("i", F.coalesce("vec", zeros).alias("vec"))
     return out
 

@@ -63,13 +63,20 @@ def mask_tokens(lines: DataFrame, voc_p: DataFrame, seed: int = 17, chunk_tokens
     exceeds its drop probability. Removed tokens are not materialized: with
     placeholders (B5 off) the windows run over raw positions, so the holes are
     implied by ``pos``. With ``token_col`` (e.g. ``wid``) the kept token is
-    that vocabulary column instead of the word string."""
+    that vocabulary column instead of the word string. Lines in several rows
+    tell where a row starts and how many tokens the line has (``start``,
+    ``line_tokens``)."""
+    parts = "start" in lines.columns
+    size = F.col("line_tokens") if parts else F.size("toks")
     toks = lines.select(
         "doc_id",
         "line_no",
-        F.ceil(F.size("toks") / F.lit(chunk_tokens)).cast("int").alias("n_chunks"),
+        *(["start"] if parts else []),
+        F.ceil(size / F.lit(chunk_tokens)).cast("int").alias("n_chunks"),
         F.posexplode("toks").alias("pos", "word"),
     )
+    if parts:
+        toks = toks.withColumn("pos", F.col("start") + F.col("pos")).drop("start")
     tok = F.col("word") if token_col == "word" else F.col(token_col).alias("word")
     lookup = size_bounded_broadcast(voc_p.select("word", "p_drop", *([token_col] if token_col != "word" else [])),
                                     known_rows=vocab_rows)

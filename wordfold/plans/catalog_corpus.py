@@ -6,13 +6,16 @@ Doubles are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wordfold.operators import assoc, corpus
 from wordfold.plans import fixtures as fx
 from wordfold.plans.ppmi import CorpusParams, build_epmi, counts_from_lines
 from wordfold.plans.sql_fixtures import assoc_ctes, corpus_ctes, d, pairs_ctes
-from wordfold.sources.text import format_counts, parse_counts
+from wordfold.session import checkpoint_dir
+from wordfold.sources.text import format_counts, parse_counts, read_corpus_words
 
 P = CorpusParams(thr=fx.THR, win=fx.WIN, sub=fx.SUB, delete=True, seed=fx.SEED, cds=fx.CDS)
 P_DYN = CorpusParams(thr=fx.THR, win=4, dyn=True, sub=fx.SUB, delete=True, seed=fx.SEED, cds=fx.CDS)
@@ -61,6 +64,19 @@ QUERIES["read_corpus"] = lambda s, sf: _lines(s, sf).select(
     F.array_join("toks", " ").alias("joined"))
 SQL["read_corpus"] = _with(C_CORPUS) + "SELECT doc_id, line_no, CAST(len(toks) AS BIGINT) AS n_tok, array_to_string(toks, ' ') AS joined FROM lines WHERE len(toks) > 0"
 
+
+# A1 by words: the texts as files, read by splits at spaces; tokens by their place in the line
+def _corpus_words(s, sf):
+    path = f"{checkpoint_dir(s).rstrip('/')}/corpus-text-{uuid.uuid4().hex}"
+    fx.table(s, sf, "documents").select(F.coalesce("text", F.lit("")).alias("text")).write.text(path)
+    words = read_corpus_words(s, path).select("start", F.posexplode("toks").alias("n", "word"))
+    return words.groupBy((F.col("start") + F.col("n")).alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("word")).alias("chars"))
+
+
+QUERIES["read_corpus_words"] = _corpus_words
+SQL["read_corpus_words"] = _with(C_CORPUS) + """SELECT CAST(pos AS BIGINT) AS pos, count(*) AS n, CAST(sum(length(word)) AS BIGINT) AS chars FROM (
+  SELECT unnest(generate_series(0, len(toks) - 1)) AS pos, unnest(toks) AS word FROM lines WHERE len(toks) > 0) GROUP BY pos"""
+
 # A2 read_counts: format counts as 'uniq -c' lines, parse back
 QUERIES["read_counts"] = lambda s, sf: parse_counts(format_counts(_counts(s, sf)))
 SQL["read_counts"] = _with(C_CORPUS, c_pairs(P)) + "SELECT word, context, n FROM counts"

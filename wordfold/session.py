@@ -7,12 +7,14 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Broadcast limits. A side is broadcast only when its row count was measured
-# below the limit; otherwise the plan keeps a shuffle join.
+# Broadcast limits. A side is broadcast only when its rows and bytes were
+# measured below them; otherwise the plan keeps a shuffle join.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "wordfold") -> SparkSession:
@@ -90,15 +92,43 @@ def discard(*tables: DataFrame | None) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def size_bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows.
-
-    The bound is either ``known_rows`` (an upper bound the caller measured
-    earlier, e.g. the vocabulary size for a per-word marginal) or an actual
-    count (one small job). Above the bound the frame is returned as is and
-    Spark plans a shuffle join (AQE may still convert it at runtime)."""
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: fixed widths, and strings, arrays and maps as
+    long as they are."""
+
+    def of(kind: T.DataType, value: Column) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return 16 + F.octet_length(value).cast("long")
+        if isinstance(kind, T.StructType):
+            return sum((of(f.dataType, value[f.name]) for f in kind.fields), F.lit(8))
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+                return F.aggregate(value, F.lit(16).cast("long"), lambda total, x: total + F.coalesce(of(kind.elementType, x).cast("long"), F.lit(8).cast("long")))
+            return 16 + 8 * F.size(value).cast("long")
+        if isinstance(kind, T.MapType):
+            return 16 + of(T.ArrayType(kind.keyType), F.map_keys(value)) + of(T.ArrayType(kind.valueType), F.map_values(value))
+        return F.lit(8)
+
+    return sum((F.coalesce(of(f.dataType, F.col(f"`{f.name}`")).cast("long"), F.lit(8).cast("long")) for f in df.schema.fields), F.lit(16).cast("long"))
+
+
+def size_bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None,
+                           max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows of at
+    most ``max_bytes`` together.
+
+    ``known_rows`` is an upper bound the caller measured earlier (e.g. the
+    vocabulary size for a per-word marginal); with rows of fixed width it
+    decides alone. Otherwise one small job measures rows and bytes. Above a
+    bound the frame is returned as is and Spark plans a shuffle join (AQE may
+    still convert it at runtime)."""
+    if known_rows is not None and known_rows > max_rows:
+        return df
+    fixed = all(isinstance(f.dataType, T.NumericType | T.BooleanType | T.DateType | T.TimestampType) for f in df.schema.fields)
+    if known_rows is not None and fixed:
+        return F.broadcast(df) if known_rows * (16 + 8 * len(df.columns)) <= max_bytes else df
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
 def spread_input(df: DataFrame) -> DataFrame:

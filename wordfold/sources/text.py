@@ -7,11 +7,15 @@ built from tables; the ``read_*`` twins take a path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordfold.functions.text import tokens
+from wordfold.session import cut_lineage
 
 
 def read_corpus(df: DataFrame, text_col: str = "text", key_col: str = "doc_id", lower: bool = False) -> DataFrame:
@@ -26,10 +30,6 @@ def read_corpus(df: DataFrame, text_col: str = "text", key_col: str = "doc_id",
     return lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"), tokens("line").alias("toks")).where(F.size("toks") > 0)
 
 
-#: Tokens of a file's line that stay in one row.
-LINE_TOKENS = 100_000
-
-
 def read_corpus_text(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
     """A1 for plain text files: each file line is a corpus line. Files are read
     by splits, not whole; doc_id names the file's split and line_no numbers the
@@ -41,6 +41,89 @@ def read_corpus_text(spark: SparkSession, path: str, lower: bool = False) -> Dat
     return numbered.where(F.size("toks") > 0)
 
 
+#: Tokens of a line in one row of ``read_corpus_words``.
+PIECE_TOKENS = 4096
+
+PIECES = "file string, block long, feeds long, start long, toks array<string>, whole boolean"
+
+
+def _pieces(lower: bool, size: int):
+    """Words as they stand between spaces -> rows of ``PIECES``: ``feeds`` line
+    feeds and ``start`` tokens of the line come before, in this split; the line
+    is ``whole`` if it begins and ends in the row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, feeds, start, held = None, 0, 0, []
+
+        def flush(rows: list, whole: bool) -> None:
+            nonlocal start, held
+            for lo in range(0, len(held), size):
+                rows.append((*key, feeds, start, held[lo:lo + size], whole and len(held) <= size))
+                start += len(held[lo:lo + size])
+            held = []
+
+        for batch in batches:
+            rows: list = []
+            # a batch may hold the end of one split and the beginning of others
+            for now, words in batch.groupby(["file", "block"], sort=False)["value"]:
+                if now != key:
+                    if key:
+                        flush(rows, False)
+                        rows.append((*key, feeds, start, [], False))
+                    key, feeds, start, held = now, 0, 0, []
+                text = " ".join(words)
+                first, *later = (text.lower() if lower else text).encode().split(b"\n")
+                held += [t.decode() for t in first.split()]
+                for line in later:
+                    flush(rows, feeds > 0 and start == 0)
+                    feeds, start, held = feeds + 1, 0, [t.decode() for t in line.split()]
+                if len(held) >= size:
+                    flush(rows, False)
+            yield pd.DataFrame(rows, columns=["file", "block", "feeds", "start", "toks", "whole"])
+        if key:
+            rows = []
+            flush(rows, False)
+            rows.append((*key, feeds, start, [], False))  # how the split ends, tokens or not
+            yield pd.DataFrame(rows, columns=["file", "block", "feeds", "start", "toks", "whole"])
+
+    return run
+
+
+def read_corpus_words(spark: SparkSession, path: str, lower: bool = False, piece_tokens: int = PIECE_TOKENS) -> DataFrame:
+    """A1 for text files whose lines may be as long as the file: (doc_id,
+    line_no, start, line_tokens, toks), ``toks`` being at most about
+    ``piece_tokens`` tokens of a line from its token ``start`` on.
+
+    Files are read by splits at spaces, with line feeds as marks inside the
+    records, so a file of one line is spread like any other. Each split numbers
+    its own lines and tokens; a row per split tells what the splits before it
+    had. So doc_id (by file), line_no and start are the same however the files
+    are split. For texts with spaces; a file without any is one record. Lines
+    without tokens drop."""
+    # splits are told apart by where they start in their file
+    raw = spark.read.option("lineSep", " ").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    pieces = cut_lineage(raw.select("file", "block", "value").mapInPandas(_pieces(lower, piece_tokens), PIECES), "corpus-pieces")
+    # one row per split: its line feeds and the tokens after the last of them
+    splits = pieces.groupBy("file", "block").agg(F.max("feeds").alias("feeds"), F.max(F.struct("feeds", F.col("start") + F.size("toks")))["col2"].alias("tail"))
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("line", F.sum((F.col("feeds") > 0).cast("long")).over(order))
+    # the tail of a split belongs to the line that is open when it ends
+    open_line = Window.partitionBy("file", "line").orderBy("block")
+    splits = splits.withColumn("open", F.sum("tail").over(open_line))
+    splits = splits.select("file", "block", F.coalesce(F.sum("feeds").over(before), F.lit(0)).alias("lines_before"),
+                           F.coalesce(F.lag("open").over(order), F.lit(0)).alias("tokens_before"))
+    here = pieces.where(F.size("toks") > 0).join(splits, ["file", "block"])
+    carried = F.when(F.col("feeds") == 0, F.col("tokens_before")).otherwise(0)
+    placed = here.select(F.xxhash64("file").alias("doc_id"), (F.col("lines_before") + F.col("feeds")).alias("line_no"),
+                         (F.col("start") + carried).alias("start"), "toks", "whole")
+    # only lines in several rows are added up
+    sizes = placed.where(~F.col("whole")).groupBy("doc_id", "line_no").agg(F.sum(F.size("toks")).alias("line_tokens"))
+    found = placed.join(sizes, ["doc_id", "line_no"], "left")
+    return found.select("doc_id", "line_no", "start", F.coalesce("line_tokens", F.size("toks").cast("long")).alias("line_tokens"), "toks")
+
+
 def rejected_lines(lines: DataFrame, fields: tuple[int, int | None], numbers: tuple[int, ...] = (), col: str = "value") -> DataFrame:
     """The lines that the parsers here leave out though they aren't blank:
     fewer or more fields than ``fields`` (least, most), or no number where
