@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordfold.session import cut_lineage, discard
+from wordfold.session import cut_lineage
 
 #: Bytes of query rows that are broadcast; more are cut into blocks of as many.
 QUERY_BYTES = 64 << 20
@@ -164,7 +164,8 @@ def top_products(words: DataFrame, m: DataFrame, n: int, report: dict | None = N
         return rows.mapInArrow(run, TOP)
     shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     left = asked.withColumn("_q", F.pmod(F.xxhash64("word"), F.lit(blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    right = rows.withColumn("_c", F.pmod(F.xxhash64("word"), F.lit(shares))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    # fresh attribute ids: both sides come from one table
+    right = rows.select([F.col(c).alias(c) for c in rows.columns]).withColumn("_c", F.pmod(F.xxhash64("word"), F.lit(shares))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
         names = ["word", "contexts", "values"]
