@@ -27,6 +27,7 @@ import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordfold.llm import io
-from wordfold.session import size_bounded_broadcast
+from wordfold.session import discard, size_bounded_broadcast
 
 MIN_CHARS = 20
 
@@ -231,7 +232,7 @@ def repeated(documents: DataFrame) -> DataFrame:
     own = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "part", "row")
     rows = documents.select(own.alias("own"), "same")
     first = rows.groupBy("same").agg(F.min("own").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    first = size_bounded_broadcast(io.written(first, "line-firsts"), 300_000)
+    first = size_bounded_broadcast(io.written(first, "line-firsts"))
     return io.written(rows.join(first, "same").filter("first < own").select("own.part", "own.row"), "line-copies")
 
 
@@ -269,50 +270,61 @@ def merged(found: DataFrame) -> DataFrame:
 
 
 def overlapping_cuts(documents: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
-    """Rows of ``CUTS``, one a document: the lines that an alignment with some
-    earlier document deletes. Of ``few`` pairs or less (or as many as the first
+    """Rows of ``CUTS``, one a document, written: the lines that an alignment
+    with some earlier document deletes. Of ``few`` pairs or less (or as many as the first
     round had) all that are left are aligned at once."""
     copies = repeated(documents)
     n_copies = copies.count()
-    named = size_bounded_broadcast(copies, 300_000, n_copies)
-    out = io.written(copied_cuts(documents.join(named, ["part", "row"], "left_semi")), "line-cuts")
+    named = size_bounded_broadcast(copies, known_rows=n_copies)
+    pieces = [io.written(copied_cuts(documents.join(named, ["part", "row"], "left_semi")), "line-cuts")]
     others = documents.join(named, ["part", "row"], "left_anti") if n_copies else documents
     runs = runs_of(others.withColumn("cut", F.lit(None).cast("array<int>")))
     shared = runs.groupBy("run").agg(F.min("own").alias("earlier"), F.count("*").alias("n")).filter("n > 1")
     shared = io.written(shared, "shared-runs")
-    holders = io.written(runs.join(size_bounded_broadcast(shared.select("run"), 300_000), "run"), "run-holders")
+    holders = io.written(runs.join(size_bounded_broadcast(shared.select("run")), "run"), "run-holders")
     open_runs, tried = holders, 0
+
+    def finished(*tables: DataFrame) -> DataFrame:
+        """All cuts, written; nothing else stays."""
+        out = io.written(merged(reduce(DataFrame.unionByName, pieces)), "line-cuts")
+        discard(*pieces, *tables, shared, holders, open_runs, copies)
+        return out
+
     while True:
         # every run's next holder is met by all later ones that still need it
-        pairs = io.written(open_runs.join(size_bounded_broadcast(shared, 300_000), "run").filter("earlier < own").select("own", "earlier").distinct(), "line-pairs")
+        pairs = io.written(open_runs.join(size_bounded_broadcast(shared), "run").filter("earlier < own").select("own", "earlier").distinct(), "line-pairs")
         n_pairs = pairs.count()
         if not n_pairs:
-            return merged(out)
+            return finished(pairs)
         tried = max(tried, n_pairs)
-        found = io.written(aligned_cuts(documents, pairs), "line-cuts")
-        out = out.unionByName(found)
+        pieces.append(io.written(aligned_cuts(documents, pairs), "line-cuts"))
         # runs of those documents with lines that stay, and holders not yet met
         met = pairs.select("own.part", "own.row").distinct()
-        rest = others.join(met, ["part", "row"], "left_semi").join(merged(out), ["part", "row"], "left")
-        open_runs = io.written(runs_of(rest).join(size_bounded_broadcast(shared, 300_000), "run").filter("earlier < own").select("run", "own", "n"), "open-runs")
+        so_far = merged(reduce(DataFrame.unionByName, pieces))
+        rest = others.join(met, ["part", "row"], "left_semi").join(so_far, ["part", "row"], "left")
+        before = open_runs
+        open_runs = io.written(runs_of(rest).join(size_bounded_broadcast(shared), "run").filter("earlier < own").select("run", "own", "n"), "open-runs")
+        discard(pairs, *([before] if before is not holders else []))
         left = open_runs.agg(F.sum("n")).first()[0] or 0
         if not left:
-            return merged(out)
-        wanted = shared.join(size_bounded_broadcast(open_runs.select("run").distinct(), 300_000), "run", "left_semi")
-        later = holders.join(size_bounded_broadcast(wanted, 300_000), "run").filter("earlier < own")
-        open_runs = open_runs.select("run", "own")
+            return finished()
+        wanted = shared.join(size_bounded_broadcast(open_runs.select("run").distinct()), "run", "left_semi")
+        later = holders.join(size_bounded_broadcast(wanted), "run").filter("earlier < own")
         if left <= max(few, tried):
             ahead = later.select("run", F.col("own").alias("earlier"))
-            pairs = open_runs.join(ahead, "run").filter("earlier < own").select("own", "earlier").distinct()
-            return merged(out.unionByName(io.written(aligned_cuts(documents, pairs), "line-cuts")))
+            pairs = open_runs.select("run", "own").join(ahead, "run").filter("earlier < own").select("own", "earlier").distinct()
+            pieces.append(io.written(aligned_cuts(documents, pairs), "line-cuts"))
+            return finished()
+        before = shared
         shared = io.written(later.groupBy("run").agg(F.min("own").alias("earlier"), F.count("*").alias("n")), "shared-runs")
+        discard(before)
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """A row of ``RESULT`` for every document."""
     documents = number_lines(docs)
-    found = io.written(overlapping_cuts(documents), "line-cuts")
-    joined = documents.select("part", "row", "doc_id", "text").join(size_bounded_broadcast(found, 300_000), ["part", "row"], "left").select("doc_id", "text", "cut")
+    found = overlapping_cuts(documents)
+    joined = documents.select("part", "row", "doc_id", "text").join(size_bounded_broadcast(found), ["part", "row"], "left").select("doc_id", "text", "cut")
     schema = io.arrow_schema(RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
