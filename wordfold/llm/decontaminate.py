@@ -211,9 +211,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    found = io.written(leaks(docs, benchmark).select("doc_id").distinct(), "leaking")
-    return docs.join(size_bounded_broadcast(found, 1_000_000), "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    """The rows of ``docs`` that hold no benchmark item; rows are told apart by
+    their place, as doc_ids may be null or shared."""
+    numbered = io.written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place")), "leak-rows")
+    found = leaks(numbered.select(F.col("place").alias("doc_id"), F.col("doc.text").alias("text")), benchmark)
+    away = io.written(found.select(F.col("doc_id").alias("place")).distinct(), "leaking")
+    return numbered.join(size_bounded_broadcast(away), "place", "left_anti").select("doc.*")
 
 
 def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

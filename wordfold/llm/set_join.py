@@ -8,7 +8,12 @@
    sizes; a set signs for its class and the next, which covers all sizes it
    can link with. The few sets with many empty pieces also sign by the first
    elements of the global order. No pair within the threshold is missed, and
-   texts that share only a passage rarely agree in a whole piece.
+   texts that share only a passage rarely agree in a whole piece. At lower
+   thresholds pieces get too small for that, so there (``rarest``) a set signs
+   by its rarest n-grams, as many as a set that links may lack and one more:
+   the global order is by frequency, counted over all documents in a table of
+   fixed size with one cell for many hashes, then by hash. What follows is
+   exact whatever the counts.
 3. A piece's sets are joined with the smallest of them (first inside each
    task, so that a piece shared by a third of all sets sends one row a task).
    The sets of each smallest one are stored in a prefix tree, which it
@@ -38,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordfold.llm import graph, hashing, io
-from wordfold.llm.blocks import packed_sorted, unpacked_sorted
+from wordfold.llm.blocks import packed, packed_sorted, unpacked, unpacked_sorted
 from wordfold.llm.hashing import U, mix
 from wordfold.session import size_bounded_broadcast
 
@@ -46,8 +51,10 @@ N_GRAM = 3
 PERCENT = 90
 #: Signatures gathered in a task before they are combined and sent.
 GATHER = 1_500_000
-#: Sets in one prefix tree at most.
-TREE_SETS = 2048
+#: Sets in one prefix tree at most; elements, where keys are rare n-grams.
+TREE_SETS, TREE_GRAMS = 2048, 500_000
+#: Hash cells whose n-grams are counted, and cells in one row of the table.
+CELLS, CHUNK = 1 << 24, 1 << 16
 
 BLOBS = "kind int, bucket int, a binary, b binary, c binary"
 FOUND = "kind int, x long, y long, z long"
@@ -147,6 +154,55 @@ def signatures(sets: Sets, chosen: np.ndarray, percent: int) -> tuple[np.ndarray
     return np.concatenate(out), np.concatenate(of)
 
 
+def count_grams(docs: DataFrame, n_gram: int) -> np.ndarray:
+    """The order of rarity: how often the n-grams of each of ``CELLS`` hash cells occur in all
+    documents, as a byte: eight steps to a power of two. The table's size is
+    fixed, so it may be sent to the driver and the tasks."""
+    kinds = "chunk int, counts binary"
+    schema = io.arrow_schema(kinds)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(CELLS, np.uint32)
+        for piece in io.slices(batches, "text"):
+            data, offsets = io.text_arrays(piece.column(0))
+            start, end, doc = hashing.word_bounds(data, offsets)
+            grams, _ = hashing.shingles(hashing.span_hashes(data, start, end), doc, n_gram, len(offsets) - 1)
+            np.add.at(table, cell(grams), np.uint32(1))
+        for n, part in enumerate(np.split(table, CELLS // CHUNK)):
+            if part.any():
+                yield pa.record_batch([pa.array([n], pa.int32()), pa.array([packed(part)], pa.binary())], schema=schema)
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.uint64)
+        for blob in table["counts"].to_pylist():
+            total += unpacked(blob, np.uint32)
+        steps = np.minimum(255, np.ceil(8 * np.log2(1 + total.astype(float)))).astype(np.uint8)
+        return pa.table([table["chunk"].slice(0, 1).combine_chunks(), pa.array([steps.tobytes()], pa.binary())], schema=schema)
+
+    steps = np.zeros(CELLS, np.uint8)
+    for r in docs.select("text").mapInArrow(count, kinds).groupBy("chunk").applyInArrow(add, kinds).collect():
+        steps[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint8)
+    return steps
+
+
+def cell(grams: np.ndarray) -> np.ndarray:
+    return (grams >> U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def rare_signatures(sets: Sets, chosen: np.ndarray, percent: int, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, set id) of the chosen sets' first elements in the order of
+    frequency and hash: as many as a set that links may lack, and one more."""
+    member = np.flatnonzero(chosen[sets.owner])
+    grams, owner = sets.grams[member], sets.owner[member]
+    order = np.argsort(steps[cell(grams)], kind="stable")  # equal steps stay in order of hash
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(chosen) < 1 << 16 else np.int64), kind="stable")]
+    grams, owner = grams[order], owner[order]
+    sizes = np.where(chosen, sets.sizes, 0)
+    rank = np.arange(len(grams)) - (np.cumsum(sizes) - sizes)[owner]
+    first = rank <= (sizes - -(-percent * sizes // 100))[owner]
+    return grams[first], sets.ids[owner[first]]
+
+
 def star(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(keys, smallest set) of each key and (key, set, smallest set) of the
     other sets of a key."""
@@ -165,11 +221,12 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def sign_documents(docs: DataFrame, buckets: int, n_gram: int, percent: int) -> DataFrame:
+def sign_documents(docs: DataFrame, buckets: int, n_gram: int, percent: int, rarest: bool = False) -> DataFrame:
     """Rows of ``BLOBS``. Kind 0: documents (ids, set ids, sizes); kind 1:
     signatures with their smallest set, by bucket; kind 2: (signature, set,
     smallest set) for the others of a signature in this task."""
     schema = io.arrow_schema(BLOBS)
+    steps = docs.sparkSession.sparkContext.broadcast(count_grams(docs, n_gram)) if rarest else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets, waiting = [], [], 0
@@ -193,7 +250,7 @@ def sign_documents(docs: DataFrame, buckets: int, n_gram: int, percent: int) ->
             chosen = np.zeros(len(ids), bool)
             chosen[valid[first]] = True
             chosen &= found.sizes > 0
-            k, s = signatures(found, chosen, percent)
+            k, s = rare_signatures(found, chosen, percent, steps.value) if rarest else signatures(found, chosen, percent)
             keys.append(k)
             sets.append(s)
             waiting += len(k)
@@ -367,16 +424,20 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, n_gram: int) -> DataFrame:
     return io.written(texts.mapInArrow(run, SETS).dropDuplicates(["set"]), "set-join-sets")
 
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """``key, parts``: tasks for each key, so that each has few sets."""
-    return rows.groupBy(key).agg(F.ceil(F.count("*") / TREE_SETS).cast("int").alias("parts"))
+def _dealt(rows: DataFrame, key: str, sets: DataFrame | None = None) -> DataFrame:
+    """``key, parts``: tasks for each key, so that each has few sets, and few
+    elements if the ``sets`` are given."""
+    if sets is None:
+        return rows.groupBy(key).agg(F.ceil(F.count("*") / TREE_SETS).cast("int").alias("parts"))
+    sized = rows.join(sets.select("set", (F.octet_length("grams") / 8).alias("size")), "set")
+    return sized.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / TREE_SETS, F.sum("size") / TREE_GRAMS)).cast("int").alias("parts"))
 
 
-def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCENT) -> DataFrame:
+def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCENT, rarest: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every document."""
     spark = docs.sparkSession
     buckets = 4 * io.shuffle_partitions(spark)
-    found = gather(sign_documents(docs, buckets, n_gram, percent))
+    found = gather(sign_documents(docs, buckets, n_gram, percent, rarest))
     none = np.iinfo(np.int64).min
     documents = found.filter("kind = 0").select(F.nullif("x", F.lit(none)).alias("doc_id"), F.col("y").alias("set"), F.col("z").alias("n_shingles"))
     holders = documents.filter("doc_id is not null and n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
@@ -388,7 +449,7 @@ def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     sets = fetch_sets(docs, wanted, n_gram)
 
     part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
-    dealt = io.written(_dealt(edges, "pivot"), "set-join-dealt")
+    dealt = io.written(_dealt(edges, "pivot", sets if rarest else None), "set-join-dealt")
     members = edges.join(dealt, "pivot").select("pivot", "set", part.alias("part"))
     probes = dealt.select("pivot", F.col("pivot").alias("set"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     groups = members.union(probes).join(sets, "set").select("pivot", "part", "set", "grams")
@@ -405,7 +466,7 @@ def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     open_sets = apart.select("set", "label").distinct()
     open_sets = io.written(open_sets.join(areas, open_sets["label"] == areas["node"]).select(F.col("component").alias("area"), "set", "label"), "set-join-open")
     # an area of many sets is dealt into blocks, and a task joins two of them
-    block = open_sets.join(_dealt(open_sets, "area"), "area").withColumn("own", part)
+    block = open_sets.join(_dealt(open_sets, "area", sets if rarest else None), "area").withColumn("own", part)
     block = block.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     block = block.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "label").join(sets, "set")
     more = block.groupBy("area", "i", "j").applyInArrow(lambda t: link_groups(t, percent), LINKS)
@@ -422,10 +483,20 @@ def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
 
 
 def first_documents(docs: DataFrame, n_gram: int, percent: int) -> DataFrame:
-    """One row of each component of ``docs``: that of the smallest doc_id."""
-    away = join_components(docs, n_gram, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    away = io.written(away, "set-join-away")
-    return docs.join(size_bounded_broadcast(away, 1_000_000), "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    """One row of each component of ``docs``: the first of those with the
+    smallest doc_id. Rows are told apart by place, so of rows that share a
+    doc_id only those of other components stay; rows without one stay."""
+    numbered = io.written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place")), "set-join-rows")
+    texts = numbered.select(F.when(F.col("doc.doc_id").isNotNull(), F.col("place")).alias("doc_id"), F.col("doc.text").alias("text"))
+    placed = join_components(texts, n_gram, percent, rarest=True).select(F.col("doc_id").alias("place"), "component_id")
+    placed = io.written(placed.filter("place is not null"), "set-join-placed")
+    # a component's row: the smallest doc_id, then the first place
+    ids = numbered.select("place", F.col("doc.doc_id").cast("long").alias("id"))
+    linked = placed.groupBy("component_id").count().filter("count > 1").select("component_id")
+    rows = placed.join(linked, "component_id").join(ids, "place")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("id", "place")).alias("first"))
+    away = io.written(rows.join(first, "component_id").filter(F.col("place") != F.col("first.place")).select("place"), "set-join-away")
+    return numbered.join(size_bounded_broadcast(away), "place", "left_anti").select("doc.*")
 
 
 def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
