@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, block_scores, cogroup_blocks
 from wordfold.operators.corpus import assign_ids
 from wordfold.operators.grouped import running_sums_before
-from wordfold.operators.vectors import _dim, represent, similarity
+from wordfold.operators.vectors import _dim, normalize_vectors, represent, similarity
 
 
 def with_avg_rank(df: DataFrame, col: str, out: str, group: list | None = None) -> DataFrame:
@@ -132,7 +132,16 @@ def evaluation_catalog(models: DataFrame, tasks: DataFrame) -> DataFrame:
     return spearman(sims, "sim", "gold", ["model", "task"])
 
 
-def read_snapshots(spark, path: str, side: str = "W") -> DataFrame:
-    """A16 source: factor snapshots written as side=S/iter=N -> (model, id, vec)."""
+def read_snapshots(spark, path: str, side: str = "W", iterations: list[int] | None = None) -> DataFrame:
+    """A16 source: factor snapshots written as side=S/iter=N -> (model, id,
+    vec). Side and iterations prune the folders that are read."""
     df = spark.read.parquet(path).where(F.col("side") == side)
+    if iterations is not None:
+        df = df.where(F.col("iter").isin(iterations))
     return df.select(F.concat(F.lit("iter"), F.col("iter").cast("string")).alias("model"), "id", "vec")
+
+
+def snapshot_models(spark, path: str, words: DataFrame, side: str = "W", iterations: list[int] | None = None) -> DataFrame:
+    """Saved factors as models (model, word, vec) with unit vectors;
+    ``words`` is (id, word), ids without a word drop."""
+    return normalize_vectors(read_snapshots(spark, path, side, iterations).join(words, "id").select("model", "word", "vec"))

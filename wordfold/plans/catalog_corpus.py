@@ -174,6 +174,11 @@ QUERIES["scale_rows"] = lambda s, sf: (lambda c: assoc.scale_rows(
     _counts(s, sf).withColumn("n", F.col("n").cast("double"))).select("word", "context", r6(F.col("n")).alias("p"))
 SQL["scale_rows"] = _with(C_CORPUS, c_pairs(P), assoc_ctes(P.cds)) + (
     "SELECT word, context, round(n * (1.0 / row_sum), 6) AS p FROM counts JOIN ws USING (word)")
+QUERIES["scale_cols"] = lambda s, sf: (lambda c: assoc.scale_cols(
+    c, assoc.col_sums(c).select("context", (1.0 / F.col("col_sum")).alias("coef")), "context", "n"))(
+    _counts(s, sf).withColumn("n", F.col("n").cast("double"))).select("word", "context", r6(F.col("n")).alias("p"))
+SQL["scale_cols"] = _with(C_CORPUS, c_pairs(P)) + (
+    "SELECT word, context, round(n * (1.0 / sum(n) OVER (PARTITION BY context)), 6) AS p FROM counts")
 QUERIES["l2_normalize_rows"] = lambda s, sf: assoc.l2_normalize_rows(
     assoc.ppmi(_epmi(s, sf)).select("word", "context", "pmi"), "word", "pmi").select(
     "word", "context", r6(F.col("pmi")).alias("v"))

@@ -146,6 +146,22 @@ SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS new_id FROM (
   SELECT DISTINCT c_custkey AS id, ('0x' || substr(md5(concat_ws('|', 'perm', '3', CAST(c_custkey AS VARCHAR))), 1, 8))::BIGINT AS h
   FROM customer)"""
 
+
+def _permuted(s, sf):
+    ev = _ev(s, sf)
+    rows, cols = (D.shuffle_ids(ev.select(F.col(c).alias("id")), seed) for c, seed in (("i", 3), ("j", 4)))
+    return D.apply_permutation(ev, rows, cols)
+
+
+def _sql_permutation(c, seed):
+    return f"""(SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS new_id FROM (
+  SELECT DISTINCT {c} AS id, ('0x' || substr(md5(concat_ws('|', 'perm', '{seed}', CAST({c} AS VARCHAR))), 1, 8))::BIGINT AS h FROM evm))"""
+
+
+QUERIES["apply_permutation"] = lambda s, sf: _permuted(s, sf).select("i", "j", r6(F.col("v")).alias("v"))
+SQL["apply_permutation"] = _with(EVM) + f"""SELECT r.new_id AS i, c.new_id AS j, round(evm.v, 6) AS v
+FROM evm JOIN {_sql_permutation('i', 3)} r ON r.id = evm.i JOIN {_sql_permutation('j', 4)} c ON c.id = evm.j"""
+
 # ---------------------------------------------------------------- E factorization data operators
 def _ev_counts(s, sf):
     ev = fx.table(s, sf, "events")
@@ -306,6 +322,8 @@ SELECT inter.i, inter.j, round(0.5 + coalesce(list_dot_product(wf.vec, hf.vec),
 FROM inter LEFT JOIN wf ON wf.id = inter.i LEFT JOIN hf ON hf.id = inter.j WHERE {split_expr()}"""
 QUERIES["predict_row"] = lambda s, sf: R.predict_row(*_wh(s, sf), 0).select("j", r6(F.col("pred")).alias("pred"))
 SQL["predict_row"] = _with(FAC) + "SELECT hf.id AS j, round(list_dot_product(wf.vec, hf.vec), 6) AS pred FROM hf, wf WHERE wf.id = 0"
+QUERIES["predict_col"] = lambda s, sf: R.predict_col(*_wh(s, sf), 0).select("i", r6(F.col("pred")).alias("pred"))
+SQL["predict_col"] = _with(FAC) + "SELECT wf.id AS i, round(list_dot_product(wf.vec, hf.vec), 6) AS pred FROM wf, hf WHERE hf.id = 0"
 QUERIES["prediction_rmse"] = lambda s, sf: R.prediction_rmse(R.predict(_split_raw(s, sf)[1], *_wh(s, sf))).select(
     r6(F.col("rmse")).alias("rmse"))
 SQL_TEST = f""",

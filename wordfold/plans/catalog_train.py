@@ -3,6 +3,7 @@ evaluation catalog (A16)."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from wordfold.plans.catalog_corpus import P, SQL as CORPUS_SQL, _lines, _with
 from wordfold.plans.catalog_vectors import SLICES, WVN, _slices, _svd, _wv, sql_norm
 from wordfold.plans.ppmi import encoded_counts
 from wordfold.plans.sql_fixtures import event_matrix_cte, interactions_cte, word_vectors_cte, wordsim_cte
-from wordfold.session import cut_lineage
+from wordfold.session import checkpoint_dir, cut_lineage
+from wordfold.sources.matrix import snapshot_factors
 from wordfold.plans.train import SgdParams, TrainParams, rank_settled, train_als, train_ccd, train_pu, train_pu_als_unit, train_sgd
 
 QUERIES = {}
@@ -178,16 +180,7 @@ def _tasks(s, sf):
 QUERIES["evaluation_catalog"] = lambda s, sf: evaluate.evaluation_catalog(_models(s, sf), _tasks(s, sf)).select(
     "model", "task", r6(F.col("spearman")).alias("spearman"))
 
-SQL["evaluation_catalog"] = _with(WVN, wordsim_cte()) + "," + SLICES.replace(word_vectors_cte() + ",", "") + f""",
-sv0 AS (SELECT word, list_transform(list_zip(vec, generate_series(0, len(vec) - 1)), lambda p: p[1] * pow(1.0 / (p[2] + 1), 0.5)) AS vec FROM wv),
-ens0 AS (SELECT coalesce(s1.word, s2.word) AS word,
-                CASE WHEN s1.vec IS NULL THEN s2.vec WHEN s2.vec IS NULL THEN s1.vec
-                     ELSE list_transform(list_zip(s1.vec, s2.vec), lambda p: p[1] + p[2]) END AS vec
-         FROM s1 FULL OUTER JOIN s2 USING (word)),
-models AS (
-  SELECT 'emb' AS model, word, vec FROM wvn
-  UNION ALL SELECT 'svd', word, {sql_norm('vec')} FROM sv0
-  UNION ALL SELECT 'ens', word, {sql_norm('vec')} FROM ens0),
+SQL_SCORES = f"""
 tasks AS (SELECT CASE WHEN {sql_uniform("'task'", 'w1')} < 0.5 THEN 't1' ELSE 't2' END AS task, w1, w2, gold FROM gold),
 sims AS (
   SELECT m.model, t.task, t.gold, coalesce(list_dot_product(a.vec, b.vec), 0.0) AS sim
@@ -199,3 +192,33 @@ SELECT model, task, round(corr(rx, ry), 6) AS spearman FROM (
          rank() OVER (PARTITION BY model, task ORDER BY sim) + (count(*) OVER (PARTITION BY model, task, sim) - 1) / 2.0 AS rx,
          rank() OVER (PARTITION BY model, task ORDER BY gold) + (count(*) OVER (PARTITION BY model, task, gold) - 1) / 2.0 AS ry
   FROM sims) GROUP BY model, task"""
+SQL["evaluation_catalog"] = _with(WVN, wordsim_cte()) + "," + SLICES.replace(word_vectors_cte() + ",", "") + f""",
+sv0 AS (SELECT word, list_transform(list_zip(vec, generate_series(0, len(vec) - 1)), lambda p: p[1] * pow(1.0 / (p[2] + 1), 0.5)) AS vec FROM wv),
+ens0 AS (SELECT coalesce(s1.word, s2.word) AS word,
+                CASE WHEN s1.vec IS NULL THEN s2.vec WHEN s2.vec IS NULL THEN s1.vec
+                     ELSE list_transform(list_zip(s1.vec, s2.vec), lambda p: p[1] + p[2]) END AS vec
+         FROM s1 FULL OUTER JOIN s2 USING (word)),
+models AS (
+  SELECT 'emb' AS model, word, vec FROM wvn
+  UNION ALL SELECT 'svd', word, {sql_norm('vec')} FROM sv0
+  UNION ALL SELECT 'ens', word, {sql_norm('vec')} FROM ens0),""" + SQL_SCORES
+
+
+# A16 over saved models: factors of three iterations are written, found again by their folders and scored
+ITERATIONS = {1: 16, 2: 32, 3: 64}  # dimensions known by each
+
+
+def _snapshot_catalog(s, sf):
+    path = f"{checkpoint_dir(s).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    emb = fx.table(s, sf, "embeddings").select(F.col("vec_id").alias("id"), fx.to_double_array("embedding").alias("vec"))
+    for it, size in ITERATIONS.items():
+        known = emb.select("id", F.slice("vec", 1, size).alias("vec"))
+        snapshot_factors(known, known, path, it)
+    words = emb.select("id", F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
+    return evaluate.evaluation_catalog(evaluate.snapshot_models(s, path, words, "W", [1, 2, 3]), _tasks(s, sf))
+
+
+QUERIES["snapshot_catalog"] = lambda s, sf: _snapshot_catalog(s, sf).select("model", "task", r6(F.col("spearman")).alias("spearman"))
+SQL["snapshot_catalog"] = _with(word_vectors_cte(), wordsim_cte()) + """,
+models AS (""" + " UNION ALL ".join(
+    f"SELECT 'iter{it}' AS model, word, {sql_norm(f'list_slice(vec, 1, {size})')} AS vec FROM wv" for it, size in ITERATIONS.items()) + "),\n" + SQL_SCORES
