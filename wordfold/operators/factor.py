@@ -8,13 +8,18 @@ enumerated: the zero part of PU losses goes through k x k Gram matrices.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordfold.functions import vec as V
-from wordfold.functions.rand import keyed_hash32, keyed_uniform, lit_key
+from wordfold.functions.rand import TWO_32, keyed_hash32, keyed_uniform, lit_key
 from wordfold.operators.coo import gram_matrix, nnz_by_row
 from wordfold.session import size_bounded_broadcast
 
@@ -262,6 +267,50 @@ def sample_negatives(coo: DataFrame, m: int, n: int, strategy: str = "pu1", rati
     return stored.unionByName(drawn)
 
 
+#: Cells drawn from a block of cell numbers, about.
+DRAWS = 4096
+
+
+def _gaps(cells: int, block: int, rate: float, seed: int):
+    """Blocks of cell numbers -> the numbers drawn: from one to the next the
+    gap is geometric, so the work goes with the draws, not with the cells."""
+    log_rest = math.log1p(-rate) if rate < 1 else 0.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for number in batch["id"]:
+                at, end = int(number) * block - 1, min((int(number) + 1) * block, cells)
+                for k in itertools.count():
+                    u = int(hashlib.md5(f"gap|{seed}|{number}|{k}".encode()).hexdigest()[:8], 16) / TWO_32
+                    at += 1 + (math.floor(math.log1p(-u) / log_rest) if log_rest else 0)
+                    if at >= end:
+                        break
+                    out.append(at)
+            yield pd.DataFrame({"cell": np.array(out, np.int64)})
+
+    return run
+
+
+def sample_zero_cells(coo: DataFrame, m: int, n: int, rate: float, seed: int = 0) -> DataFrame:
+    """E12 by rate: every cell of the m x n grid that isn't stored is drawn
+    once with probability ``rate``, independently. (i, j, v = 0).
+
+    Cells are numbered row by row and drawn by gaps within blocks of numbers,
+    as many blocks as there are draws by ``DRAWS``; drawn cells that are stored
+    are rejected by an anti join. Nothing of the size of the grid is made."""
+    if not 0 <= rate <= 1:
+        raise ValueError(f"{rate} is no probability")
+    cells = int(m) * int(n)
+    if not cells or not rate:
+        return coo.select("i", "j", F.lit(0.0).alias("v")).limit(0)
+    block = max(1, min(cells, int(DRAWS / rate)))
+    blocks = coo.sparkSession.range(-(-cells // block))
+    drawn = blocks.mapInPandas(_gaps(cells, block, rate, seed), "cell long")
+    placed = drawn.select(F.expr(f"cell div {int(n)}L").alias("i"), (F.col("cell") % F.lit(int(n))).alias("j"))
+    return placed.join(coo.select("i", "j"), ["i", "j"], "left_anti").select("i", "j", F.lit(0.0).alias("v"))
+
+
 def sample_cells_lookup(coo: DataFrame, m: int, n: int, n_draw: int, rho: float = 1.0, seed: int = 0) -> DataFrame:
     """E13. Uniform cells with their stored value (0 if absent) and weight 1
     for stored cells, rho for absent ones. (i, j, v, w)."""

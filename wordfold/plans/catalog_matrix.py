@@ -280,6 +280,29 @@ UNION ALL
 SELECT CAST(floor({sql_uniform("'negi'", "'5'", 'r.range')} * dm.m) AS BIGINT) AS i,
        CAST(floor({sql_uniform("'negj'", "'5'", 'r.range')} * dm.n) AS BIGINT) AS j, 0.0 AS v, false AS stored
 FROM dm, range(0, (SELECT nnz FROM dm)) r"""
+# pu0: a share of the stored cells and as many draws as the rho-weighted grid asks for
+RHO0 = 0.05
+QUERIES["sample_negatives_pu0"] = lambda s, sf: E.sample_negatives(_ev(s, sf), *_dims(s, sf), "pu0", rho=RHO0, seed=6)
+SQL["sample_negatives_pu0"] = _with(EVM) + f""",
+d0 AS (SELECT max(i) + 1 AS m, max(j) + 1 AS n, count(*) AS nnz FROM evm),
+dm AS (SELECT *, nnz / (nnz + {RHO0} * m * n) AS share, CAST(round({RHO0} * m * n * (nnz / (nnz + {RHO0} * m * n))) AS BIGINT) AS draws FROM d0)
+SELECT i, j, v, true AS stored FROM evm, dm WHERE {sql_uniform("'keep'", "'6'", 'i', 'j')} < share
+UNION ALL
+SELECT CAST(floor({sql_uniform("'negi'", "'6'", 'r.range')} * dm.m) AS BIGINT) AS i,
+       CAST(floor({sql_uniform("'negj'", "'6'", 'r.range')} * dm.n) AS BIGINT) AS j, 0.0 AS v, false AS stored
+FROM dm, range(0, (SELECT draws FROM dm)) r"""
+# zero cells at a rate: the SQL lists more gaps than any block can use
+RATE0 = 0.02
+QUERIES["sample_zero_cells"] = lambda s, sf: E.sample_zero_cells(_ev(s, sf), *_dims(s, sf), RATE0, seed=7)
+SQL["sample_zero_cells"] = _with(EVM) + f""",
+d0 AS (SELECT CAST(max(i) + 1 AS BIGINT) AS m, CAST(max(j) + 1 AS BIGINT) AS n FROM evm),
+dm AS (SELECT *, m * n AS cells, greatest(1, least(m * n, CAST(floor({E.DRAWS} / {RATE0}) AS BIGINT))) AS block FROM d0),
+blocks AS (SELECT b.range AS b, dm.* FROM dm, range(0, (SELECT CAST(ceil(cells / block::DOUBLE) AS BIGINT) FROM dm)) b),
+gaps AS (SELECT blocks.*, b * block - 1 + sum(1 + CAST(floor(ln(1 - {sql_uniform("'gap'", "'7'", 'b', 'k.range')}) / ln(1 - {RATE0})) AS BIGINT))
+                OVER (PARTITION BY b ORDER BY k.range) AS cell
+         FROM blocks, range(0, {2 * E.DRAWS}) k)
+SELECT CAST(cell // n AS BIGINT) AS i, CAST(cell % n AS BIGINT) AS j, 0.0 AS v FROM gaps
+WHERE cell < least((b + 1) * block, cells) AND NOT EXISTS (SELECT 1 FROM evm WHERE evm.i = cell // n AND evm.j = cell % n)"""
 QUERIES["sample_cells_lookup"] = lambda s, sf: (lambda ev: E.sample_cells_lookup(ev, *_dims(s, sf), ev.count(), 0.5, seed=5))(_ev(s, sf))
 SQL["sample_cells_lookup"] = _with(EVM) + f""",
 dm AS (SELECT max(i) + 1 AS m, max(j) + 1 AS n, count(*) AS nnz FROM evm),
