@@ -3,8 +3,9 @@
 Documents become sequences of line hashes. A document is aligned with every
 earlier document (by ``doc_id``) with which it shares a run of lines of
 ``MIN_CHARS`` characters, as far as that can delete more: its shared runs meet
-their first holder; the runs that have lines left then meet the next holder,
-and so on until none has lines left or holders before it. So a line that a
+their first holder; the runs that have lines left then meet the next two
+holders, then four, and so on until none has lines left or holders before it.
+So the rounds are as many as a run's holders have binary digits, and a line that a
 third of all documents hold makes about one pair a document. A document with
 the lines of an earlier one loses all that can be lost and is nobody's
 partner. Each pair is aligned by patience diff: lines that are rare enough to
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordfold.llm import io
+from wordfold.operators.grouped import running_sums_before
 from wordfold.session import discard, size_bounded_broadcast
 
 MIN_CHARS = 20
@@ -279,10 +281,13 @@ def overlapping_cuts(documents: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
     pieces = [io.written(copied_cuts(documents.join(named, ["part", "row"], "left_semi")), "line-cuts")]
     others = documents.join(named, ["part", "row"], "left_anti") if n_copies else documents
     runs = runs_of(others.withColumn("cut", F.lit(None).cast("array<int>")))
-    shared = runs.groupBy("run").agg(F.min("own").alias("earlier"), F.count("*").alias("n")).filter("n > 1")
-    shared = io.written(shared, "shared-runs")
-    holders = io.written(runs.join(size_bounded_broadcast(shared.select("run")), "run"), "run-holders")
-    open_runs, tried = holders, 0
+    shared = io.written(runs.groupBy("run").count().filter("count > 1").select("run"), "shared-runs")
+    held = io.written(runs.join(size_bounded_broadcast(shared), "run").withColumn("one", F.lit(1).cast("long")), "run-holders")
+    # a run's holders in order; a hot run is numbered by pieces
+    ranked = running_sums_before(held, ["run"], [F.col("own")], ["one"])
+    holders = io.written(ranked.select("run", "own", F.col("one_before").alias("rank")), "run-holders")
+    discard(held)
+    open_runs, tried, lo, width = holders.filter("rank > 0"), 0, 0, 1
 
     def finished(*tables: DataFrame) -> DataFrame:
         """All cuts, written; nothing else stays."""
@@ -290,34 +295,35 @@ def overlapping_cuts(documents: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
         discard(*pieces, *tables, shared, holders, open_runs, copies)
         return out
 
+    def partners(last: int | None) -> DataFrame:
+        """Open runs' documents with the run's earlier holders from ``lo`` on."""
+        some = holders.filter(F.col("rank") >= lo) if last is None else holders.filter((F.col("rank") >= lo) & (F.col("rank") < last))
+        ahead = some.select("run", F.col("own").alias("earlier"), F.col("rank").alias("at"))
+        return io.written(open_runs.join(ahead, "run").filter("at < rank").select("own", "earlier").distinct(), "line-pairs")
+
     while True:
-        # every run's next holder is met by all later ones that still need it
-        pairs = io.written(open_runs.join(size_bounded_broadcast(shared), "run").filter("earlier < own").select("own", "earlier").distinct(), "line-pairs")
+        # every open run's next holders: one, two, four and so on
+        pairs = partners(lo + width)
         n_pairs = pairs.count()
         if not n_pairs:
             return finished(pairs)
         tried = max(tried, n_pairs)
         pieces.append(io.written(aligned_cuts(documents, pairs), "line-cuts"))
+        lo, width = lo + width, 2 * width
         # runs of those documents with lines that stay, and holders not yet met
         met = pairs.select("own.part", "own.row").distinct()
         so_far = merged(reduce(DataFrame.unionByName, pieces))
         rest = others.join(met, ["part", "row"], "left_semi").join(so_far, ["part", "row"], "left")
         before = open_runs
-        open_runs = io.written(runs_of(rest).join(size_bounded_broadcast(shared), "run").filter("earlier < own").select("run", "own", "n"), "open-runs")
-        discard(pairs, *([before] if before is not holders else []))
-        left = open_runs.agg(F.sum("n")).first()[0] or 0
+        open_runs = io.written(runs_of(rest).join(holders.filter(F.col("rank") > lo), ["run", "own"]).select("run", "own", "rank"), "open-runs")
+        discard(pairs, before)
+        left = open_runs.agg(F.sum(F.col("rank") - lo)).first()[0] or 0
         if not left:
             return finished()
-        wanted = shared.join(size_bounded_broadcast(open_runs.select("run").distinct()), "run", "left_semi")
-        later = holders.join(size_bounded_broadcast(wanted), "run").filter("earlier < own")
         if left <= max(few, tried):
-            ahead = later.select("run", F.col("own").alias("earlier"))
-            pairs = open_runs.select("run", "own").join(ahead, "run").filter("earlier < own").select("own", "earlier").distinct()
+            pairs = partners(None)
             pieces.append(io.written(aligned_cuts(documents, pairs), "line-cuts"))
-            return finished()
-        before = shared
-        shared = io.written(later.groupBy("run").agg(F.min("own").alias("earlier"), F.count("*").alias("n")), "shared-runs")
-        discard(before)
+            return finished(pairs)
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
