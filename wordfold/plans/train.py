@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from wordfold.functions import vec as V
 from wordfold.operators import factor as E
 from wordfold.operators.coo import dense_ids, transpose
+from wordfold.operators.grouped import running_sums_before
 from wordfold.operators.residual import rank_one_cells
 from wordfold.operators.solve import DEFAULT_HEAVY, plan_side, solve_side
 from wordfold.session import cut_lineage, discard
@@ -243,9 +245,10 @@ class SgdParams:
     it by the loss of each iteration (T10). ``rho`` weighs zero cells (T7);
     with ``shifted`` (T8) the zero cells' pull of rho p on every pair comes
     from one dense step an iteration (E15), and a stored cell only adds what
-    it differs by, (1 - rho) p - v. ``split``: of the k dimensions the last
-    half starts in the second iteration, so that the first half settles on
-    the bulk of the signal. ``entries``: entries of a block at most."""
+    it differs by, (1 - rho) p - v. ``split``: of the k dimensions the first
+    eighth (one at least) learns alone in the first iteration, the others from
+    the second on. ``entries``: entries of a block, about; ``blocks``: the
+    grid's width, if it shouldn't follow from them."""
     lr: float = 0.1
     adagrad: bool = True
     bold: bool = False
@@ -253,6 +256,7 @@ class SgdParams:
     shifted: bool = False
     split: bool = False
     entries: int = 200_000
+    blocks: int | None = None
 
 
 def _sgd_kernel(lr: float, nmf: bool, q: SgdParams, active: int):
@@ -309,65 +313,117 @@ def _sgd_kernel(lr: float, nmf: bool, q: SgdParams, active: int):
     return run
 
 
+def balanced_blocks(ent: DataFrame, side: str, blocks: int, total: int, seed: int) -> DataFrame:
+    """(id, copy, copies, key, blk) of one side's ids, written: blocks of about
+    as many entries each, cut from the entries' histogram in a keyed order. An
+    id with more entries than a block's mean is split into copies with a share
+    of them each. A block has the mean and less than one id or copy more, so
+    twice the mean at most. ``key`` numbers ids and copies."""
+    mean = max(1, -(-total // blocks))
+    counts = ent.groupBy(F.col(side).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    sized = counts.withColumn("copies", F.ceil(F.col("n") / mean).cast("long"))
+    each = sized.select("id", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), (F.col("n") / F.col("copies")).alias("size"))
+    each = each.select("*", F.lit(0).alias("all"), F.lit(1).cast("long").alias("one"), F.xxhash64(F.lit(seed), "id", "copy").alias("place"))
+    placed = running_sums_before(each, ["all"], [F.col("place"), F.col("id"), F.col("copy")], ["size", "one"])
+    blk = F.least(F.floor(F.col("size_before") * F.lit(blocks) / F.lit(max(total, 1))).cast("long"), F.lit(blocks - 1))
+    return cut_lineage(placed.select("id", "copy", "copies", F.col("one_before").alias("key"), blk.alias("blk")), f"sgd-blocks-{side}")
+
+
+def _keyed(ent: DataFrame, side: str, other: str, places: DataFrame, seed: int) -> DataFrame:
+    """Entries with ``key`` and block of their id, or of its copy, on a side."""
+    copies = places.where(F.col("copy") == 0).select(F.col("id").alias(side), "copies")
+    at = places.select(F.col("id").alias(side), "copy", F.col("key").alias(f"k{side}"), F.col("blk").alias("rb" if side == "i" else "cb"))
+    with_copy = ent.join(copies, side).withColumn("copy", F.pmod(F.xxhash64(F.lit(seed), other), F.col("copies"))).drop("copies")
+    return with_copy.join(at, [side, "copy"]).drop("copy")
+
+
 def train_sgd(coo: DataFrame, p: TrainParams, q: SgdParams | None = None) -> TrainResult:
     """T6 (T7 with ``rho``, T8 with ``shifted``). Stratified SGD on a B x B
     grid of id blocks: a stratum's blocks share no row or column, so its B
     jobs run in parallel, each with just the factors it touches (cogrouped by
     block). Every iteration takes the strata in another order. B follows from
-    the number of entries, so that a block holds about ``q.entries``.
+    the number of entries, so that a block holds about ``q.entries``; the cuts
+    follow their histogram, and a hot row or column is split into copies that
+    are trained in their own blocks and averaged after each iteration.
     ``coo`` may bring lambdas per entry and side (``lam_i``, ``lam_j``, E16);
     the default is ``p.lam`` for both. Repeated cells stay separate entries."""
     q = q or SgdParams()
     spark = coo.sparkSession
     coo, _, mean = centered(coo, p)
     lams = [F.col(c) if c in coo.columns else F.lit(p.lam).alias(c) for c in ("lam_i", "lam_j")]
-    ent = coo.select("i", "j", "v", *lams)
-    n = ent.count()
-    blocks = max(2, math.ceil(math.sqrt(n / q.entries)))
-    ent = ent.withColumn("rb", E.block_of(F.col("i"), blocks, p.seed)).withColumn("cb", E.block_of(F.col("j"), blocks, p.seed + 1))
-    ent = cut_lineage(ent, "sgd-entries")
-    rows, cols = (ent.select(F.col(c).alias("id")).distinct() for c in "ij")
+    raw = cut_lineage(coo.select("i", "j", "v", *lams), "sgd-raw")
+    n = raw.count()
+    blocks = q.blocks or max(2, math.ceil(math.sqrt(n / q.entries)))
+    places = {c: balanced_blocks(raw, c, blocks, n, p.seed + k) for k, c in enumerate("ij")}
+    ent = cut_lineage(_keyed(_keyed(raw, "i", "j", places["i"], p.seed), "j", "i", places["j"], p.seed), "sgd-entries")
     zeros = F.array_repeat(F.lit(0.0), p.k)
-    block = F.when(F.col("side") == "W", E.block_of(F.col("id"), blocks, p.seed)).otherwise(E.block_of(F.col("id"), blocks, p.seed + 1))
-    sides = [E.init_factors(ids, p.k, seed).select(F.lit(side).alias("side"), "id", "vec", zeros.alias("g2"))
-             for side, ids, seed in (("W", rows, p.seed), ("H", cols, p.seed + p.k))]
-    fac = cut_lineage(sides[0].unionByName(sides[1]).withColumn("blk", block), "sgd-factors")
+    # every copy of an id starts with its vector; `key` stands for the copy
+    fac = reduce(DataFrame.unionByName, [
+        E.init_factors(places[c].where(F.col("copy") == 0).select("id"), p.k, seed).join(places[c].select("id", "key", "blk"), "id").select(
+            F.lit(side).alias("side"), F.col("key").alias("id"), "vec", zeros.alias("g2"), F.col("blk").cast("long").alias("blk"))
+        for side, c, seed in (("W", "i", p.seed), ("H", "j", p.seed + p.k))])
+    fac = cut_lineage(fac, "sgd-factors")
+    names = reduce(DataFrame.unionByName, [places[c].select(F.lit(side).alias("side"), F.col("key").alias("id"), F.col("id").alias("name"), "copies", "blk")
+                                           for side, c in (("W", "i"), ("H", "j"))])
+    names = cut_lineage(names, "sgd-names")
+    split = names.where(F.col("copies") > 1).limit(1).count() > 0
     schema = "side string, id long, vec array<double>, g2 array<double>"
     history, lr, rng = [], q.lr, np.random.default_rng(p.seed)
 
+    def sides() -> tuple[DataFrame, DataFrame]:
+        """(id, vec) of both sides: an id's copies as their mean."""
+        whole = fac.join(names.select("side", "id", "name"), ["side", "id"]).groupBy("side", "name").agg(
+            F.array(*[F.avg(F.get("vec", F.lit(t))) for t in range(p.k)]).alias("vec"))
+        return tuple(whole.where(F.col("side") == s).select(F.col("name").alias("id"), "vec") for s in "WH")
+
+    def renewed(new: DataFrame) -> DataFrame:
+        """All copies with the vectors of ``side, name, new``."""
+        of = fac.join(names.select("side", "id", "name"), ["side", "id"]).join(new, ["side", "name"])
+        return cut_lineage(of.select("side", "id", F.col("new").alias("vec"), "g2", "blk"), "sgd-factors")
+
+    def named(w_: DataFrame, h_: DataFrame) -> DataFrame:
+        both = w_.withColumn("side", F.lit("W")).unionByName(h_.withColumn("side", F.lit("H")))
+        return both.select("side", F.col("id").alias("name"), F.col("vec").alias("new"))
+
     def loss() -> float:
-        w_, h_ = (fac.where(F.col("side") == s).select("id", "vec") for s in "WH")
+        w_, h_ = sides()
         if q.shifted:
-            return float(E.pu_loss(ent.where(F.col("v") > 0), w_, h_, q.rho).first()["loss"])
-        cells = ent.withColumn("w", F.when(F.col("v") > 0, 1.0).otherwise(1.0 if q.rho is None else q.rho))
+            return float(E.pu_loss(raw.where(F.col("v") > 0), w_, h_, q.rho).first()["loss"])
+        cells = raw.withColumn("w", F.when(F.col("v") > 0, 1.0).otherwise(1.0 if q.rho is None else q.rho))
         return float(E.stored_sums(cells, w_, h_).first()["omega"])
 
     if p.log or q.bold:
         history.append({"iter": 0, "loss": loss()})
     for it in range(1, p.iters + 1):
-        active = p.k // 2 if q.split and it == 1 else p.k
+        active = max(1, p.k // 8) if q.split and it == 1 else p.k
         for s in rng.permutation(blocks).tolist():
             keyed = ent.where(F.pmod(F.col("cb") - F.col("rb"), F.lit(blocks)) == s).select(
-                F.col("rb").alias("task"), "i", "j", "v", "lam_i", "lam_j", F.xxhash64("i", "j", F.lit(it)).alias("key"))
+                F.col("rb").alias("task"), F.col("ki").alias("i"), F.col("kj").alias("j"), "v", "lam_i", "lam_j", F.xxhash64("i", "j", F.lit(it)).alias("key"))
             task = F.when(F.col("side") == "W", F.col("blk")).otherwise(F.pmod(F.col("blk") - F.lit(s), F.lit(blocks)))
             moved = keyed.groupBy("task").cogroup(fac.withColumn("task", task).groupBy("task")).applyInPandas(
                 _sgd_kernel(lr, p.nmf, q, active), schema)
-            fac = cut_lineage(moved.withColumn("blk", block), "sgd-factors")
+            old, fac = fac, cut_lineage(moved.join(names.select("side", "id", "blk"), ["side", "id"]), "sgd-factors")
+            discard(old)
         if q.shifted:
-            w_, h_ = (fac.where(F.col("side") == s).select("id", "vec") for s in "WH")
+            w_, h_ = sides()
             # at most the share lr of a vector: no eigenvalue of a Gram matrix exceeds its trace
             trace = max(f.agg(F.sum(V.sq_norm("vec"))).first()[0] or 0.0 for f in (w_, h_))
-            w_, h_ = E.pu_zero_gradient_step(w_, h_, q.rho, lr / (q.rho * max(trace, 1.0)))
-            new = w_.withColumn("side", F.lit("W")).unionByName(h_.withColumn("side", F.lit("H"))).withColumnRenamed("vec", "new")
-            fac = cut_lineage(fac.join(new, ["side", "id"]).select("side", "id", F.col("new").alias("vec"), "g2", "blk"), "sgd-factors")
+            fac = renewed(named(*E.pu_zero_gradient_step(w_, h_, q.rho, lr / (q.rho * max(trace, 1.0)))))
+        elif split:
+            fac = renewed(named(*sides()))
         if p.log or q.bold:
             history.append({"iter": it, "loss": loss()})
-            if q.bold:
+            if q.bold and it >= BOLD_FROM:
                 lr = bold_driver(history, lr)
-    w, h = (fac.where(F.col("side") == s).select("id", "vec") for s in "WH")
+    w, h = (cut_lineage(f, "factors") for f in sides())
+    discard(raw, ent, fac, names, *places.values())
     return TrainResult(w, h, _log_frame(spark, history) if p.log else None, history, mean)
 
 
+#: The first iteration that changes the step size.
+BOLD_FROM = 4
+
+
 def bold_driver(history: list, lr: float) -> float:
     """T10. The next step size: 5 % more after a fall of the loss, half after
     a rise."""
