@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from wordfold.llm import hashing, io, packing, suffix_array
 from wordfold.llm.blocks import packed, packed_sorted, unpacked, unpacked_sorted
@@ -77,11 +78,17 @@ def test_ids_are_the_librarys(texts):
         assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ["", None, "I'm it's 'tis we'll", "a  b", " a", "a ", "x1y2 3.14, <|endoftext|>", "é naïve  café", "'s 't", "a\x85b"])
+@pytest.mark.parametrize("text", ["", None, "I'm it's 'tis we'll", "a  b", " a", "a ", "x1y2 3.14, <|endoftext|>", "<|endoftext|>", "é naïve  café", "'s 't", "a\x85b"])
 def test_ids_of_odd_texts(text):
-    encoder = Encoder(default_vocabulary(), remember=3)
-    for _ in range(2):
-        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == encoder.library.encode(text or "", add_special_tokens=False).ids
+    """Against a tokenizer of its own: special strings have their own ids,
+    unless they are to be plain text."""
+    for plain in (False, True):
+        library = Tokenizer.from_file(default_vocabulary())
+        library.encode_special_tokens = plain
+        encoder = Encoder(default_vocabulary(), remember=3, plain=plain)
+        for _ in range(2):
+            assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids
+    assert text != "<|endoftext|>" or Encoder(default_vocabulary()).encode(text) == b"\x50\xc4"
 
 
 def test_plan_fills_windows_and_uses_each_length_once():
