@@ -252,11 +252,12 @@ def copied_cuts(copies: DataFrame) -> DataFrame:
 
 def aligned_cuts(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of ``CUTS``: for each pair of ``own, earlier``, the lines to delete."""
-    hashes = documents.select("part", "row", "lines", "chars")
-    mine = hashes.select(F.col("part").alias("own_part"), F.col("row").alias("own_row"), F.col("lines").alias("later"), "chars")
-    theirs = hashes.select(F.col("part").alias("first_part"), F.col("row").alias("first_row"), F.col("lines").alias("first"))
     pairs = pairs.select(F.col("own.part").alias("own_part"), F.col("own.row").alias("own_row"), F.col("earlier.part").alias("first_part"), F.col("earlier.row").alias("first_row"))
-    both = pairs.join(mine, ["own_part", "own_row"]).join(theirs, ["first_part", "first_row"]).select("own_part", "own_row", "later", "chars", "first")
+    # only the lines of the pairs' documents are shuffled
+    mine = documents.select(F.col("part").alias("own_part"), F.col("row").alias("own_row"), F.col("lines").alias("later"), "chars").join(size_bounded_broadcast(pairs), ["own_part", "own_row"])
+    asked = size_bounded_broadcast(pairs.select("first_part", "first_row").distinct())
+    theirs = documents.select(F.col("part").alias("first_part"), F.col("row").alias("first_row"), F.col("lines").alias("first")).join(asked, ["first_part", "first_row"], "left_semi")
+    both = mine.join(theirs, ["first_part", "first_row"]).select("own_part", "own_row", "later", "chars", "first")
     schema = io.arrow_schema(CUTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +314,7 @@ def overlapping_cuts(documents: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
         # runs of those documents with lines that stay, and holders not yet met
         met = pairs.select("own.part", "own.row").distinct()
         so_far = merged(reduce(DataFrame.unionByName, pieces))
-        rest = others.join(met, ["part", "row"], "left_semi").join(so_far, ["part", "row"], "left")
+        rest = others.join(size_bounded_broadcast(met), ["part", "row"], "left_semi").join(so_far, ["part", "row"], "left")
         before = open_runs
         open_runs = io.written(runs_of(rest).join(holders.filter(F.col("rank") > lo), ["run", "own"]).select("run", "own", "rank"), "open-runs")
         discard(pairs, before)
