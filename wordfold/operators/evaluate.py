@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, block_scores, cogroup_blocks
+from wordfold.operators.blocks import block_scores, cogroup_blocks
 from wordfold.operators.corpus import assign_ids
 from wordfold.operators.grouped import running_sums_before
 from wordfold.operators.vectors import _dim, normalize_vectors, represent, similarity
@@ -50,46 +52,77 @@ def test_vocab(test: DataFrame) -> DataFrame:
     return assign_ids(words, "word", "id")
 
 
-#: Scores of questions against a block that are held at once.
-QUESTION_SCORES = 1 << 22
+#: Scores of questions against a block that are held at once: a cache full.
+QUESTION_SCORES = 1 << 18
+#: Rows of a block at most.
+QUESTION_ROWS = 1 << 15
+#: How far single-precision scores of unit vectors may be off, for each method:
+#: what comes so near the best is scored again.
+NEAR_ADD, NEAR_MUL = 1e-4, 2e-3
+
+
+def _exact(rows: np.ndarray, cols: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Products of listed rows, summed as :func:`block_scores` sums them."""
+    left, right = pairs
+    total = np.zeros(len(left))
+    for d in range(rows.shape[1]):
+        total += rows[left, d] * cols[right, d]
+    return total
 
 
 def _analogy_kernel(dense: bool):
+    half = (lambda x: (x + 1.0) / 2.0) if dense else (lambda x: x)
+
     def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = {"qid": [np.zeros(0, np.int64)], "method": [np.zeros(0, object)], "word": [np.zeros(0, object)], "score": [np.zeros(0)]}
         if len(q) and len(c):
             c = c.sort_values("word")  # the first best is the smallest word
             words = c["word"].to_numpy().astype(object)
             place = {w: n for n, w in enumerate(words)}
-            # each word of the questions is scored once, whatever questions ask for it
-            asked = {w: v for names, vecs in (("a", "va"), ("a_", "va_"), ("b", "vb")) for w, v in zip(q[names], q[vecs])}
-            row_of = {w: n for n, w in enumerate(asked)}
-            scores = block_scores(np.stack(list(asked.values())), np.stack(c["vec"].to_numpy()))
-            scores = (scores + 1.0) / 2.0 if dense else scores
-            at = np.array([[row_of[w] for w in q[x]] for x in ("a", "a_", "b")])
+            vecs = np.stack(c["vec"].to_numpy()).astype(float)
+            asked = [np.stack(q[x].to_numpy()).astype(float) for x in ("va", "va_", "vb")]
+            # single precision finds what is near the best of unit vectors; others are scored exactly throughout
+            unit = dense and all(np.square(x).sum(axis=1).max() <= 1.0 + 1e-6 for x in (vecs, *asked))
+            columns, singles = np.ascontiguousarray(vecs.T, np.float32), [x.astype(np.float32) for x in asked]
             hide = np.array([[place.get(w, -1) for w in q[x]] for x in ("a", "a_", "b")])
             qid = q["qid"].to_numpy().astype(np.int64)
             step = max(1, QUESTION_SCORES // len(c))
             for lo in range(0, len(q), step):
-                a, a_, b = (scores[rows[lo:lo + step]] for rows in at)
-                which, hidden = np.nonzero(hide[:, lo:lo + step].T >= 0)[0], hide[:, lo:lo + step].T
+                some = slice(lo, lo + step)
+                a, a_, b = (half(x[some] @ columns) if unit else half(block_scores(y[some], vecs)) for x, y in zip(singles, asked, strict=True))
+                which, hidden = np.nonzero(hide[:, some].T >= 0)[0], hide[:, some].T
                 hidden = hidden[hidden >= 0]
-                for name, total in (("add", -a + a_ + b), ("mul", a_ * b / (a + 0.01))):
+                for name, total in (("add", -a + a_ + b), ("mul", a_ * b / (a + (np.float32(0.01) if unit else 0.01)))):
                     total[which, hidden] = -np.inf
-                    best = np.argmax(total, axis=1)
-                    top = total[np.arange(len(total)), best]
-                    some = np.isfinite(top)
-                    found["qid"].append(qid[lo:lo + step][some])
-                    found["method"].append(np.full(int(some.sum()), name, object))
-                    found["word"].append(words[best[some]])
-                    found["score"].append(top[some])
+                    best = total.max(axis=1)
+                    near = (NEAR_ADD if name == "add" else NEAR_MUL * (1 + np.abs(best))) if unit else 0.0
+                    row, col = np.nonzero((total >= (best - near)[:, None]) & np.isfinite(total))
+                    if unit:
+                        x, x_, y = (half(_exact(z[some], vecs, (row, col))) for z in asked)
+                        score = -x + x_ + y if name == "add" else x_ * y / (x + 0.01)
+                    else:
+                        score = total[row, col]
+                    order = np.lexsort((col, -score, row))
+                    first = order[np.flatnonzero(np.r_[True, row[order][1:] != row[order][:-1]][:len(order)])]
+                    found["qid"].append(qid[some][row[first]])
+                    found["method"].append(np.full(len(first), name, object))
+                    found["word"].append(words[col[first]])
+                    found["score"].append(score[first])
         return pd.DataFrame({k: np.concatenate(v) for k, v in found.items()})
 
     return kernel
 
 
+def _question_rows(test: DataFrame, vecs: DataFrame) -> int:
+    """Rows of a block: as many blocks as keep the cores busy, no more, for
+    each side is sent once to every block of the other."""
+    cores = test.sparkSession.sparkContext.defaultParallelism
+    rows = max(test.count(), vecs.count())
+    return min(QUESTION_ROWS, max(256, -(-rows // math.ceil(math.sqrt(4 * cores)))))
+
+
 def analogy_guesses(test: DataFrame, vecs: DataFrame, dense: bool = True,
-                    block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                    block_rows: int | None = None) -> DataFrame:
     """H5/H6. (qid, method, guess): argmax of -s(a)+s(a_)+s(b) ('add') and of
     s(a_)*s(b)/(s(a)+0.01) ('mul') over the vocabulary, question words excluded,
     ties to the smaller word. Unknown question words use the zero vector."""
@@ -102,7 +135,7 @@ def analogy_guesses(test: DataFrame, vecs: DataFrame, dense: bool = True,
     q = (test.select("qid", "a", "a_", "b")
          .join(vec_of("a", "va"), "a", "left").join(vec_of("a_", "va_"), "a_", "left").join(vec_of("b", "vb"), "b", "left"))
     local = cogroup_blocks(q, vecs.select("word", "vec"), ["qid"], ["word"], _analogy_kernel(dense),
-                           "qid long, method string, word string, score double", block_rows)
+                           "qid long, method string, word string, score double", block_rows or _question_rows(test, vecs))
     w = Window.partitionBy("qid", "method").orderBy(F.desc("score"), F.asc("word"))
     return local.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select(
         "qid", "method", F.col("word").alias("guess"))
