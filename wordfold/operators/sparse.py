@@ -33,8 +33,10 @@ _TOP = pa.schema([("query", pa.string()), ("word", pa.string()), ("score", pa.fl
 
 
 def records(m: DataFrame) -> DataFrame:
-    """Rows of ``RECORDS`` from ``word, context, v`` (no cell twice)."""
-    cells = m.groupBy("word").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("context").alias("c"), F.col("v").cast("double").alias("v")))).alias("cells"))
+    """Rows of ``RECORDS`` from ``word, context, v`` (no cell twice); contexts
+    that are ids stay what they are."""
+    context = F.col("context") if m.schema["context"].dataType.typeName() == "long" else F.xxhash64("context")
+    cells = m.groupBy("word").agg(F.array_sort(F.collect_list(F.struct(context.alias("c"), F.col("v").cast("double").alias("v")))).alias("cells"))
     return cells.select("word", F.col("cells.c").alias("contexts"), F.col("cells.v").alias("values"))
 
 
@@ -140,13 +142,15 @@ def _scored(q: Queries, batches: Iterator[pa.RecordBatch], n: int) -> Iterator[p
         yield block()
 
 
-def top_products(words: DataFrame, m: DataFrame, n: int, report: dict | None = None) -> DataFrame:
+def top_products(words: DataFrame, m: DataFrame, n: int, report: dict | None = None, named=None) -> DataFrame:
     """Rows of ``TOP`` that hold the n best words of every query word that has
     a row. Query rows of at most ``QUERY_BYTES`` together are broadcast and
     the candidates never move; more are dealt into blocks of as many bytes,
     which meet every share of the candidates."""
     spark = m.sparkSession
-    rows = cut_lineage(records(m.select("word", "context", "v")), "sparse-rows")
+    rows = records(m.select("word", "context", "v"))
+    rows = named(rows).select("word", "contexts", "values") if named else rows
+    rows = cut_lineage(rows, "sparse-rows", "zstd")
     asked = rows.join(words.select("word").distinct(), "word", "left_semi")
     cost = F.size("contexts").cast("long") * CELL_BYTES + ROW_BYTES + F.octet_length("word")
     size, most = asked.agg(F.coalesce(F.sum(cost), F.lit(0)), F.count("*")).first()

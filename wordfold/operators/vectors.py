@@ -136,18 +136,19 @@ def svd_vectors(u: DataFrame, s: DataFrame, eig: float = 0.5, normalize: bool =
 
 
 # ---------------------------------------------------------------- explicit (sparse)
-def explicit_vectors(epmi: DataFrame, normalize: bool = True, max_rows: int | None = None) -> DataFrame:
+def explicit_vectors(epmi: DataFrame, normalize: bool = True, max_rows: int | None = None, dense: int | None = None) -> DataFrame:
     """G11. Rows of ln(epmi) (unclipped), optionally L2-normalized per word
-    (``max_rows``: known bound on the number of words)."""
+    (``max_rows``: known bound on the number of words; ``dense``: words are
+    ids below it)."""
     m = epmi.select("word", "context", F.log("epmi").alias("v"))
-    return assoc.l2_normalize_rows(m, "word", "v", max_rows) if normalize else m
+    return assoc.l2_normalize_rows(m, "word", "v", max_rows, dense) if normalize else m
 
 
 def positive_explicit(epmi: DataFrame, neg: float = 1.0, normalize: bool = True,
-                      max_rows: int | None = None) -> DataFrame:
+                      max_rows: int | None = None, dense: int | None = None) -> DataFrame:
     """PPMI representation: shifted PPMI cells, optionally L2-normalized."""
     m = assoc.shifted_ppmi(epmi, neg).select("word", "context", F.col("spmi").alias("v"))
-    return assoc.l2_normalize_rows(m, "word", "v", max_rows) if normalize else m
+    return assoc.l2_normalize_rows(m, "word", "v", max_rows, dense) if normalize else m
 
 
 def explicit_similarity(pairs: DataFrame, m: DataFrame, a: str = "w1", b: str = "w2") -> DataFrame:
@@ -177,11 +178,12 @@ def explicit_closest_contexts(words: DataFrame, m: DataFrame, n: int = 10) -> Da
     )
 
 
-def explicit_closest(words: DataFrame, m: DataFrame, n: int = 10, report: dict | None = None) -> DataFrame:
+def explicit_closest(words: DataFrame, m: DataFrame, n: int = 10, report: dict | None = None, named=None) -> DataFrame:
     """G15. Top-n words by sparse dot with the query row (only rows sharing a
     context get a score; ties by word descending). See
-    :mod:`wordfold.operators.sparse`."""
-    local = sparse.top_products(words, m, n, report)
+    :mod:`wordfold.operators.sparse`; where ``m`` is on ids, ``named`` gives
+    rows their words."""
+    local = sparse.top_products(words, m, n, report, named)
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("word"))
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
@@ -190,14 +192,15 @@ def explicit_closest(words: DataFrame, m: DataFrame, n: int = 10, report: dict |
 def representation(kind: str, *, epmi: DataFrame | None = None, words: DataFrame | None = None,
                    contexts: DataFrame | None = None, u: DataFrame | None = None, s: DataFrame | None = None,
                    v: DataFrame | None = None, neg: float = 1.0, eig: float = 0.5, w_c: bool = False,
-                   concat: bool = False, use_contexts: bool = False, max_rows: int | None = None) -> DataFrame:
+                   concat: bool = False, use_contexts: bool = False, max_rows: int | None = None,
+                   dense: int | None = None) -> DataFrame:
     """G16. Build a representation by kind: 'PPMI', 'SVD', 'PMF' or an embedding.
 
     PPMI -> sparse (word, context, v); all others -> dense (word, vec)."""
     if kind == "PPMI":
         if w_c:
             raise ValueError("w+c is not defined for PPMI")
-        return positive_explicit(epmi, neg, True, max_rows)
+        return positive_explicit(epmi, neg, True, max_rows, dense)
     if kind == "SVD":
         if w_c:
             return ensemble(svd_vectors(u, s, eig, False), svd_vectors(v, s, eig, False), True)

@@ -15,7 +15,7 @@ from wordfold.operators import coo as D
 from wordfold.operators import factor as E
 from wordfold.operators import ranking as R
 from wordfold.plans import fixtures as fx
-from wordfold.plans.catalog_corpus import C_CORPUS, P, _counts, _with, c_pairs
+from wordfold.plans.catalog_corpus import C_CORPUS, P, _sums, _with, c_pairs
 from wordfold.plans.sql_fixtures import event_matrix_cte, factor_ctes, interactions_cte, split_expr
 from wordfold.sources import matrix as A
 
@@ -62,7 +62,7 @@ SQL["read_coo"] = _with(INTER) + "SELECT i, j, round(v, 6) AS v FROM inter"
 QUERIES["write_coo"] = lambda s, sf: A.format_coo(_inter(s, sf))
 SQL["write_coo"] = _with(INTER) + "SELECT printf('%d %d %.6f', i + 1, j + 1, v) AS value FROM inter"
 QUERIES["read_count_vocab"] = lambda s, sf: A.parse_count_vocab(A.format_count_vocab(
-    _counts(s, sf).groupBy("word").agg(F.sum("n").alias("n"))))
+    _sums(s, sf, "word").groupBy("word").agg(F.sum("n").alias("n"))))
 SQL["read_count_vocab"] = _with(C_CORPUS, c_pairs(P)) + "SELECT word, sum(n) AS n FROM counts GROUP BY word"
 QUERIES["read_vectors_text"] = lambda s, sf: (lambda v: v.select(
     "word", F.posexplode("vec").alias("t", "x")).select("word", F.col("t").cast("long").alias("t"), r6(F.col("x")).alias("x")))(

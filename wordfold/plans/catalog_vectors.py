@@ -157,15 +157,15 @@ sv AS (SELECT word, {sql_norm('vec')} AS vec FROM sv0)
 NEG = 5.0
 
 
-def _epmi(s, sf):
+def _epmi(s, sf, cells=lambda ep, dense: ep):
     from wordfold.plans.catalog_corpus import _epmi as corpus_epmi
 
-    return corpus_epmi(s, sf)
+    return corpus_epmi(s, sf, cells)
 
 
 CORPUS_ASSOC = [C_CORPUS, c_pairs(P), assoc_ctes(P.cds)]
 
-QUERIES["explicit_vectors"] = lambda s, sf: vectors.explicit_vectors(_epmi(s, sf), True).select(
+QUERIES["explicit_vectors"] = lambda s, sf: _epmi(s, sf, lambda ep, dense: vectors.explicit_vectors(ep, True, dense=dense)).select(
     "word", "context", r6(F.col("v")).alias("v"))
 SQL["explicit_vectors"] = _with(*CORPUS_ASSOC) + """,
 lm AS (SELECT word, context, ln(epmi) AS v FROM epmi),
@@ -174,7 +174,7 @@ SELECT word, context, round(v / nrm, 6) AS v FROM lm JOIN nr USING (word)"""
 
 
 def _ppmi_rep(s, sf):
-    return vectors.representation("PPMI", epmi=_epmi(s, sf), neg=NEG)
+    return _epmi(s, sf, lambda ep, dense: vectors.representation("PPMI", epmi=ep, neg=NEG, dense=dense))
 
 
 PPMI_REP = f""",
@@ -228,11 +228,14 @@ def _benchmark_words(s, sf):
 
 def _explicit_closest(s, sf):
     from wordfold.plans.catalog_corpus import P as CP, _lines
-    from wordfold.plans.ppmi import build_epmi
-
-    ep, (nw, _) = build_epmi(_lines(s, sf), CP)
-    rep = vectors.representation("PPMI", epmi=ep, neg=NEG, max_rows=nw)
-    return vectors.explicit_closest(_benchmark_words(s, sf), rep, N)
+    from wordfold.plans.ppmi import epmi_ids
+    from wordfold.operators import corpus
+
+    ep, voc, nv, dense = epmi_ids(_lines(s, sf), CP)
+    rep = vectors.representation("PPMI", epmi=ep, neg=NEG, max_rows=nv, dense=dense)
+    if dense is None:
+        return vectors.explicit_closest(_benchmark_words(s, sf), corpus.decode_counts(rep, voc, CP.win, False, vocab_rows=nv), N)
+    return vectors.explicit_closest(_benchmark_words(s, sf), rep, N, named=lambda rows: corpus.decode_counts(rows, voc, CP.win, False))
 
 
 QUERIES["explicit_closest"] = lambda s, sf: _explicit_closest(s, sf).select(
