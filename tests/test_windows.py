@@ -74,3 +74,30 @@ def test_marginals_looked_up_in_place(spark):
     key = lambda r: (r.word, r.context, r.n, round(r.epmi, 9))
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
     assert got.where(F.col("word").isNull()).count() == 0
+
+
+def test_cells_stay_packed(spark):
+    """Written counts are packed rows, joined by bucket; cells take values and words in one pass, sums are those of the cells."""
+    lines = lines_df(spark, TEXTS).repartition(3)  # buckets of several rows
+    p = CorpusParams(thr=2, win=2, delete=True)
+    enc, voc, n = encoded_counts(lines, p)
+    cells = lookup.cut_cells(enc, "counts-ids")
+    stored = spark.read.parquet(cells.packed[0].written_at)
+    assert "keys" in stored.columns and stored.groupBy("bucket").count().where("count > 1").count() == 0
+    want = sorted(tuple(r) for r in enc.collect())
+    assert sorted(tuple(r) for r in cells.collect()) == want
+    for key, at in (("word", 0), ("context", 1)):
+        sums = {}
+        for r in want:
+            sums[r[at]] = sums.get(r[at], 0) + r[2]
+        for source in (enc, cells, cells.select("word", "context", "n")):
+            assert {r[0]: r[1] for r in lookup.sums(source, key, "n", "total").collect()} == sums
+    words = {r.wid: r.word for r in voc.collect()}
+    coefs = assoc.row_sums(cells).selectExpr("word", "1D / row_sum as coef")
+    scaled = corpus.decode_counts(assoc.scale_rows(cells, coefs, "word", "n", dense=lookup.Named.of(n, voc)), voc, 2, False)
+    plan = scaled._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("MapInArrow") == 1
+    total = {r[0]: 0 for r in want}
+    for r in want:
+        total[r[0]] += r[2]
+    assert sorted((r.word, r.context, round(r.n, 9)) for r in scaled.collect()) == sorted((words[a], words[b], round(m / total[a], 9)) for a, b, m in want)

@@ -157,7 +157,7 @@ sv AS (SELECT word, {sql_norm('vec')} AS vec FROM sv0)
 NEG = 5.0
 
 
-def _epmi(s, sf, cells=lambda ep, dense: ep):
+def _epmi(s, sf, cells=None):
     from wordfold.plans.catalog_corpus import _epmi as corpus_epmi
 
     return corpus_epmi(s, sf, cells)
