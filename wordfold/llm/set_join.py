@@ -409,8 +409,9 @@ def link_groups(table: pa.Table, percent: int) -> pa.Table:
 SETS = "set long, grams binary"
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, n_gram: int) -> DataFrame:
-    """``set, grams`` for the sets ``wanted`` (``set, doc_id`` of one holder)."""
+def fetch_sets(docs: DataFrame, wanted: DataFrame, n_gram: int, placed: bool = False) -> DataFrame:
+    """``set, grams`` for the sets ``wanted`` (``set, doc_id`` of one holder).
+    Where rows are ``placed``, no two share a doc_id, so a set comes once."""
     schema = io.arrow_schema(SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +422,8 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, n_gram: int) -> DataFrame:
 
     holders = size_bounded_broadcast(wanted.select("doc_id"), 1_000_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(holders, "doc_id", "left_semi")
-    return io.written(texts.mapInArrow(run, SETS).dropDuplicates(["set"]), "set-join-sets")
+    found = texts.mapInArrow(run, SETS)
+    return io.written(found if placed else found.dropDuplicates(["set"]), "set-join-sets")
 
 
 def _dealt(rows: DataFrame, key: str, sets: DataFrame | None = None) -> DataFrame:
@@ -433,21 +435,27 @@ def _dealt(rows: DataFrame, key: str, sets: DataFrame | None = None) -> DataFram
     return sized.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / TREE_SETS, F.sum("size") / TREE_GRAMS)).cast("int").alias("parts"))
 
 
-def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCENT, rarest: bool = False) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every document."""
+def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCENT, rarest: bool = False, placed: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every document (``placed``: no
+    two rows share a doc_id that isn't null)."""
     spark = docs.sparkSession
     buckets = 4 * io.shuffle_partitions(spark)
     found = gather(sign_documents(docs, buckets, n_gram, percent, rarest))
     none = np.iinfo(np.int64).min
     documents = found.filter("kind = 0").select(F.nullif("x", F.lit(none)).alias("doc_id"), F.col("y").alias("set"), F.col("z").alias("n_shingles"))
-    holders = documents.filter("doc_id is not null and n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    holders = documents.filter("doc_id is not null and n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
 
     stars = found.filter("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("set"), F.col("z").alias("pivot"))
     edges = io.written(stars.select("set", "pivot").distinct(), "set-join-edges")
     nodes = edges.select("set").union(edges.select("pivot")).distinct()
     wanted = io.written(holders.join(nodes, "set"), "set-join-wanted")
-    sets = fetch_sets(docs, wanted, n_gram)
+    sets = fetch_sets(docs, wanted, n_gram, placed)
 
+    # a set meets the smallest one of a piece only if their sizes let them link
+    sizes = wanted.select("set", "size")
+    fits = 100 * F.least("size", "most") >= percent * F.greatest("size", "most")
+    edges = edges.join(sizes, "set").join(sizes.select(F.col("set").alias("pivot"), F.col("size").alias("most")), "pivot")
+    edges = io.written(edges.filter(fits).select("set", "pivot"), "set-join-fitting")
     part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
     dealt = io.written(_dealt(edges, "pivot", sets if rarest else None), "set-join-dealt")
     members = edges.join(dealt, "pivot").select("pivot", "set", part.alias("part"))
@@ -488,7 +496,7 @@ def first_documents(docs: DataFrame, n_gram: int, percent: int) -> DataFrame:
     doc_id only those of other components stay; rows without one stay."""
     numbered = io.written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place")), "set-join-rows")
     texts = numbered.select(F.when(F.col("doc.doc_id").isNotNull(), F.col("place")).alias("doc_id"), F.col("doc.text").alias("text"))
-    placed = join_components(texts, n_gram, percent, rarest=True).select(F.col("doc_id").alias("place"), "component_id")
+    placed = join_components(texts, n_gram, percent, rarest=True, placed=True).select(F.col("doc_id").alias("place"), "component_id")
     placed = io.written(placed.filter("place is not null"), "set-join-placed")
     # a component's row: the smallest doc_id, then the first place
     ids = numbered.select("place", F.col("doc.doc_id").cast("long").alias("id"))
