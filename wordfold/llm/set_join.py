@@ -21,8 +21,12 @@
    a subtree ends where the remaining lengths can't reach the overlap needed.
    The tree is kept in levels of some elements each, so that numpy takes all
    living nodes of a level at once. Large groups are dealt to several tasks.
+   Pairs whose sizes or sketches (a row of bits a set, one for each element's
+   hash cell) rule a link out are left away before, so only sets that may link
+   are fetched and sent.
 4. Sets of a piece that this leaves in different components are compared with
-   each other through trees of all of them, so no link is lost.
+   each other, so no link is lost: pair by pair, as in 3, where a piece has few
+   sets; through trees of all of them where it has many.
 5. Components by star contraction; each gets its smallest ``doc_id``.
 
 A text without words has an empty set and links with nothing. Null text
@@ -39,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordfold.llm import graph, hashing, io
@@ -53,6 +57,8 @@ PERCENT = 90
 GATHER = 1_500_000
 #: Sets in one prefix tree at most; elements, where keys are rare n-grams.
 TREE_SETS, TREE_GRAMS = 2048, 500_000
+#: Bits of a set's sketch; sets of a piece, at most, that are compared pair by pair.
+BITS, FEW = 1024, 32
 #: Hash cells whose n-grams are counted, and cells in one row of the table.
 CELLS, CHUNK = 1 << 24, 1 << 16
 
@@ -404,26 +410,67 @@ def link_groups(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=io.arrow_schema(LINKS))
 
 
+# -- sketches --------------------------------------------------------------
+
+
+def sketch(sets: Sets) -> np.ndarray:
+    """``BITS`` bits for each set: which cells its elements' hashes fall into."""
+    bits = np.zeros((len(sets.sizes), BITS), bool)
+    bits[sets.owner, (mix(sets.grams ^ U(0x3C3C3C3C3C3C3C3C)) % U(BITS)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with sketches ``a``, ``b`` and ``n``, ``m`` elements may
+    link: a cell that only one of them has holds an element the other lacks."""
+    shared = np.minimum(n - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+    return shared >= overlap_needed(n, m, percent)
+
+
+def fitting(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs ``set, pivot`` those that sizes and sketches let link."""
+    schema = io.arrow_schema("set long, pivot long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits", "pivot_bits"))
+                keep = may_link(a, b, batch.column("size").to_numpy(), batch.column("pivot_size").to_numpy(), percent)
+                yield pa.record_batch([batch.column(c).filter(pa.array(keep)) for c in ("set", "pivot")], schema=schema)
+
+    sizes = sketches.select("set", "size")
+    sized = pairs.join(sizes, "set").join(sizes.select(F.col("set").alias("pivot"), F.col("size").alias("pivot_size")), "pivot")
+    sized = sized.filter(100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size"))
+    both = sized.join(sketches.select("set", "bits"), "set").join(sketches.select(F.col("set").alias("pivot"), F.col("bits").alias("pivot_bits")), "pivot")
+    return both.select("set", "pivot", "size", "pivot_size", "bits", "pivot_bits").mapInArrow(run, "set long, pivot long")
+
+
 # -- the join --------------------------------------------------------------
 
 SETS = "set long, grams binary"
+SKETCHES = "set long, size long, bits binary"
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, n_gram: int, placed: bool = False) -> DataFrame:
-    """``set, grams`` for the sets ``wanted`` (``set, doc_id`` of one holder).
-    Where rows are ``placed``, no two share a doc_id, so a set comes once."""
-    schema = io.arrow_schema(SETS)
+def fetch_sets(docs: DataFrame, wanted: DataFrame, n_gram: int, placed: bool = False, sketches: bool = False) -> DataFrame:
+    """``set, grams`` (or ``set, size, bits``, their ``sketches``) for the sets
+    ``wanted`` (``set, doc_id`` of one holder). Where rows are ``placed``, no
+    two share a doc_id, so a set comes once."""
+    kinds = SKETCHES if sketches else SETS
+    schema = io.arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in io.slices(batches, "text"):
             found = Sets(piece.column("text"), n_gram)
-            blobs = [found.grams[f : f + n].tobytes() for f, n in zip(found.first, found.sizes, strict=True)]
-            yield pa.record_batch([as_long(found.ids), pa.array(blobs, pa.binary())], schema=schema)
+            if sketches:
+                columns = [as_long(found.ids), pa.array(found.sizes.astype(np.int64)), pa.array([x.tobytes() for x in sketch(found)], pa.binary())]
+            else:
+                columns = [as_long(found.ids), pa.array([found.grams[f : f + n].tobytes() for f, n in zip(found.first, found.sizes, strict=True)], pa.binary())]
+            yield pa.record_batch(columns, schema=schema)
 
     holders = size_bounded_broadcast(wanted.select("doc_id"), 1_000_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(holders, "doc_id", "left_semi")
-    found = texts.mapInArrow(run, SETS)
-    return io.written(found if placed else found.dropDuplicates(["set"]), "set-join-sets")
+    found = texts.mapInArrow(run, kinds)
+    return io.written(found if placed else found.dropDuplicates(["set"]), "set-join-sketches" if sketches else "set-join-sets")
 
 
 def _dealt(rows: DataFrame, key: str, sets: DataFrame | None = None) -> DataFrame:
@@ -435,6 +482,25 @@ def _dealt(rows: DataFrame, key: str, sets: DataFrame | None = None) -> DataFram
     return sized.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / TREE_SETS, F.sum("size") / TREE_GRAMS)).cast("int").alias("parts"))
 
 
+def _part() -> Column:
+    return F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
+
+
+def _nodes(edges: DataFrame) -> DataFrame:
+    return edges.select("set").union(edges.select("pivot")).distinct()
+
+
+def link_pairs(docs: DataFrame, pairs: DataFrame, wanted: DataFrame, sketches: DataFrame, n_gram: int, percent: int, rarest: bool, placed: bool) -> DataFrame:
+    """Links ``u, v`` among the pairs ``set, pivot`` of sets in ``wanted``."""
+    edges = io.written(fitting(pairs, sketches, percent), "set-join-fitting")
+    sets = fetch_sets(docs, wanted.join(_nodes(edges), "set"), n_gram, placed)
+    dealt = io.written(_dealt(edges, "pivot", sets if rarest else None), "set-join-dealt")
+    members = edges.join(dealt, "pivot").select("pivot", "set", _part().alias("part"))
+    probes = dealt.select("pivot", F.col("pivot").alias("set"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    groups = members.union(probes).join(sets, "set").select("pivot", "part", "set", "grams")
+    return io.written(groups.groupBy("pivot", "part").applyInArrow(lambda t: link_star(t, percent), LINKS), "set-join-links")
+
+
 def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCENT, rarest: bool = False, placed: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every document (``placed``: no
     two rows share a doc_id that isn't null)."""
@@ -447,34 +513,29 @@ def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
 
     stars = found.filter("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("set"), F.col("z").alias("pivot"))
     edges = io.written(stars.select("set", "pivot").distinct(), "set-join-edges")
-    nodes = edges.select("set").union(edges.select("pivot")).distinct()
-    wanted = io.written(holders.join(nodes, "set"), "set-join-wanted")
-    sets = fetch_sets(docs, wanted, n_gram, placed)
-
-    # a set meets the smallest one of a piece only if their sizes let them link
-    sizes = wanted.select("set", "size")
-    fits = 100 * F.least("size", "most") >= percent * F.greatest("size", "most")
-    edges = edges.join(sizes, "set").join(sizes.select(F.col("set").alias("pivot"), F.col("size").alias("most")), "pivot")
-    edges = io.written(edges.filter(fits).select("set", "pivot"), "set-join-fitting")
-    part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
-    dealt = io.written(_dealt(edges, "pivot", sets if rarest else None), "set-join-dealt")
-    members = edges.join(dealt, "pivot").select("pivot", "set", part.alias("part"))
-    probes = dealt.select("pivot", F.col("pivot").alias("set"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    groups = members.union(probes).join(sets, "set").select("pivot", "part", "set", "grams")
-    links = io.written(groups.groupBy("pivot", "part").applyInArrow(lambda t: link_star(t, percent), LINKS), "set-join-links")
+    wanted = io.written(holders.join(_nodes(edges), "set"), "set-join-wanted")
+    sketches = fetch_sets(docs, wanted, n_gram, placed, sketches=True)
+    links = link_pairs(docs, edges, wanted, sketches, n_gram, percent, rarest, placed)
     labels = io.written(graph.components(links), "set-join-labels")
 
     # pieces whose sets are still apart
     inside = stars.select("key", "set").union(stars.select("key", F.col("pivot").alias("set"))).distinct()
     inside = inside.join(labels, inside["set"] == labels["node"], "left").select("key", "set", F.coalesce("component", "set").alias("label"))
     inside = io.written(inside, "set-join-inside")
-    apart = inside.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key", "least")
-    apart = io.written(inside.join(apart, "key").select("set", "label", "least").distinct(), "set-join-apart")
-    areas = graph.components(apart.select(F.col("label").alias("u"), F.col("least").alias("v")))
-    open_sets = apart.select("set", "label").distinct()
+    apart = inside.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("sets")).filter("least <> most")
+    apart = io.written(inside.join(apart.select("key", "least", "sets"), "key"), "set-join-apart")
+    few = apart.filter(F.col("sets") <= FEW).select("key", "set", "label")
+    others = few.select("key", F.col("set").alias("pivot"), F.col("label").alias("pivot_label"))
+    pairs = few.join(others, "key").filter("pivot < set and pivot_label <> label").select("set", "pivot").distinct()
+    links = links.union(link_pairs(docs, pairs, wanted, sketches, n_gram, percent, rarest, placed))
+
+    many = apart.filter(F.col("sets") > FEW).select("set", "label", "least").distinct()
+    areas = graph.components(many.select(F.col("label").alias("u"), F.col("least").alias("v")))
+    open_sets = many.select("set", "label").distinct()
     open_sets = io.written(open_sets.join(areas, open_sets["label"] == areas["node"]).select(F.col("component").alias("area"), "set", "label"), "set-join-open")
+    sets = fetch_sets(docs, wanted.join(open_sets, "set", "left_semi"), n_gram, placed)
     # an area of many sets is dealt into blocks, and a task joins two of them
-    block = open_sets.join(_dealt(open_sets, "area", sets if rarest else None), "area").withColumn("own", part)
+    block = open_sets.join(_dealt(open_sets, "area", sets if rarest else None), "area").withColumn("own", _part())
     block = block.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     block = block.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "label").join(sets, "set")
     more = block.groupBy("area", "i", "j").applyInArrow(lambda t: link_groups(t, percent), LINKS)
