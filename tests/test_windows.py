@@ -101,3 +101,17 @@ def test_cells_stay_packed(spark):
     for r in want:
         total[r[0]] += r[2]
     assert sorted((r.word, r.context, round(r.n, 9)) for r in scaled.collect()) == sorted((words[a], words[b], round(m / total[a], 9)) for a, b, m in want)
+
+
+def test_pairs_of_a_task_are_packed_together(spark):
+    """Millions of pairs make one packed row a bucket, not one for every two million."""
+    lines = spark.range(0, 1300, 1, 1).select(F.col("id").alias("doc_id"), F.lit(0).alias("line_no"), F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda x: (x * x % 53).cast("string")).alias("toks"))
+    counts, _, _ = encoded_counts(lines, CorpusParams(thr=1, win=2))
+    blobs = counts.packed[0]
+    assert blobs.count() == blobs.select("bucket").distinct().count()
+    assert counts.agg(F.sum("n")).first()[0] == 1300 * (2 * 999 + 2 * 998)
+
+
+def test_vocabularies_of_millions_of_words_fit_a_worker(spark):
+    voc = spark.range(5_000_000).select(F.format_string("w%07d", "id").alias("word"), F.col("id").alias("n"), F.rand().alias("p_drop"), F.col("id").alias("wid"))
+    assert lookup.fits(voc)

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from wordfold.session import cut_lineage, row_bytes
 
-#: Bytes of such tables that a worker may hold.
-WORKER_BYTES = 256 << 20
+#: Bytes of such tables that a worker may hold (by ``row_bytes``; in arrays about half).
+WORKER_BYTES = 512 << 20
 #: Strings hashed at once.
 HASHED = 1 << 17
 #: Rows given back at once.

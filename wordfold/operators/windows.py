@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from wordfold.operators.lookup import Ids, cells_of, held
 
 #: Tokens masked at once, pairs counted at once, pairs of a bucket (about), rows given back at once.
-TOKENS, PAIRS, BUCKET, ROWS = 1 << 18, 1 << 21, 1 << 20, 1 << 16
+TOKENS, PAIRS, BUCKET, ROWS = 1 << 18, 1 << 22, 1 << 21, 1 << 16
 #: A word's pairs may lie in so many buckets.
 SPREAD = 32
 TWO_32 = 4294967296.0
