@@ -210,10 +210,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, stored: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows are told apart by
-    their place, as doc_ids may be null or shared."""
-    numbered = io.written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place")), "leak-rows")
+    their place (:func:`io.numbered`), as doc_ids may be null or shared."""
+    numbered = io.numbered(docs, "leak-rows", stored)
     found = leaks(numbered.select(F.col("place").alias("doc_id"), F.col("doc.text").alias("text")), benchmark)
     away = io.written(found.select(F.col("doc_id").alias("place")).distinct(), "leaking")
     return numbered.join(size_bounded_broadcast(away), "place", "left_anti").select("doc.*")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordfold.llm import io
-from wordfold.session import size_bounded_broadcast
+from wordfold.session import discard, size_bounded_broadcast
 
 #: Bytes of different texts that one table may hold.
 TABLE_BYTES = 32 << 20
@@ -180,8 +180,10 @@ def dedup_rows(docs: DataFrame, hashed: Callable[[bytes], int] = content_hash, l
 
 def unique_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    rows, decisions = dedup_rows(docs)
-    dropped = io.written(decisions.filter("not kept").select("part", "row"), "dedup-dropped")
+    with io.recorded() as tables:
+        rows, decisions = dedup_rows(docs)
+        dropped = io.written(decisions.filter("not kept").select("part", "row"), "dedup-dropped")
+    discard(*(t for t in tables if t is not rows and t is not dropped))
     return rows.join(size_bounded_broadcast(dropped, 500_000), ["part", "row"], "left_anti").select("doc.*")
 
 

@@ -22,11 +22,12 @@
    The tree is kept in levels of some elements each, so that numpy takes all
    living nodes of a level at once. Large groups are dealt to several tasks.
    Pairs whose sizes or sketches (a row of bits a set, one for each element's
-   hash cell) rule a link out are left away before, so only sets that may link
-   are fetched and sent.
+   hash cell, at least two bits an element) rule a link out are left away
+   before, so only sets that may link are computed again and sent.
 4. Sets of a piece that this leaves in different components are compared with
    each other, so no link is lost: pair by pair, as in 3, where a piece has few
-   sets; through trees of all of them where it has many.
+   sets (the pair of a piece of two is settled); through trees of all of them
+   where it has many.
 5. Components by star contraction; each gets its smallest ``doc_id``.
 
 A text without words has an empty set and links with nothing. Null text
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 from wordfold.llm import graph, hashing, io
 from wordfold.llm.blocks import packed, packed_sorted, unpacked, unpacked_sorted
 from wordfold.llm.hashing import U, mix
-from wordfold.session import size_bounded_broadcast
+from wordfold.session import discard, shuffles_dropped, size_bounded_broadcast
 
 N_GRAM = 3
 PERCENT = 90
@@ -57,8 +58,10 @@ PERCENT = 90
 GATHER = 1_500_000
 #: Sets in one prefix tree at most; elements, where keys are rare n-grams.
 TREE_SETS, TREE_GRAMS = 2048, 500_000
-#: Bits of a set's sketch; sets of a piece, at most, that are compared pair by pair.
+#: Bits of a set's sketch at least (a power of two); sets of a piece, at most, that are compared pair by pair.
 BITS, FEW = 1024, 32
+#: Cells of sketches at work at once.
+SKETCHED = 1 << 24
 #: Hash cells whose n-grams are counted, and cells in one row of the table.
 CELLS, CHUNK = 1 << 24, 1 << 16
 
@@ -186,7 +189,9 @@ def count_grams(docs: DataFrame, n_gram: int) -> np.ndarray:
         return pa.table([table["chunk"].slice(0, 1).combine_chunks(), pa.array([steps.tobytes()], pa.binary())], schema=schema)
 
     steps = np.zeros(CELLS, np.uint8)
-    for r in docs.select("text").mapInArrow(count, kinds).groupBy("chunk").applyInArrow(add, kinds).collect():
+    with shuffles_dropped(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(count, kinds).groupBy("chunk").applyInArrow(add, kinds).collect()
+    for r in rows:
         steps[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint8)
     return steps
 
@@ -413,11 +418,34 @@ def link_groups(table: pa.Table, percent: int) -> pa.Table:
 # -- sketches --------------------------------------------------------------
 
 
-def sketch(sets: Sets) -> np.ndarray:
-    """``BITS`` bits for each set: which cells its elements' hashes fall into."""
-    bits = np.zeros((len(sets.sizes), BITS), bool)
-    bits[sets.owner, (mix(sets.grams ^ U(0x3C3C3C3C3C3C3C3C)) % U(BITS)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1)
+def sketch(sets: Sets, bits: int = BITS) -> np.ndarray:
+    """``bits`` bits for each set: which cells its elements' hashes fall into."""
+    cells = np.zeros((len(sets.sizes), bits), bool)
+    cells[sets.owner, (mix(sets.grams ^ U(0x3C3C3C3C3C3C3C3C)) % U(bits)).astype(np.int64)] = True
+    return np.packbits(cells, axis=1)
+
+
+def sketches_of(sets: Sets) -> list[bytes]:
+    """A sketch for each set, of two bits an element or more: fewer than its
+    elements would fill all cells and rule nothing out."""
+    widths = np.maximum(BITS, 2 ** np.ceil(np.log2(np.maximum(2 * sets.sizes, 1))).astype(np.int64))
+    out: list = [None] * len(widths)
+    for width in np.unique(widths).tolist():
+        same = np.flatnonzero(widths == width)
+        for at in np.array_split(same, -(-len(same) * width // SKETCHED)):
+            chosen = np.zeros(len(widths), bool)
+            chosen[at] = True
+            part = Sets.__new__(Sets)
+            member = chosen[sets.owner]
+            part.grams, part.owner, part.sizes = sets.grams[member], (np.cumsum(chosen) - 1)[sets.owner[member]], sets.sizes[at]
+            for i, bits in zip(at.tolist(), sketch(part, width), strict=True):
+                out[i] = bits.tobytes()
+    return out
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """The sketches of so many bytes, for wider ones: widths are powers of two."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, width), axis=1)
 
 
 def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -434,8 +462,14 @@ def fitting(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits", "pivot_bits"))
-                keep = may_link(a, b, batch.column("size").to_numpy(), batch.column("pivot_size").to_numpy(), percent)
+                bits = [batch.column(c).to_pylist() for c in ("bits", "pivot_bits")]
+                widths = np.array([[len(x) for x in c] for c in bits])
+                size, pivot_size = (batch.column(c).to_numpy() for c in ("size", "pivot_size"))
+                keep = np.zeros(batch.num_rows, bool)
+                for kind in np.unique(widths, axis=1).T:
+                    at = np.flatnonzero((widths == kind[:, None]).all(axis=0))
+                    a, b = (folded(np.frombuffer(b"".join([c[i] for i in at.tolist()]), np.uint8).reshape(len(at), -1), int(kind.min())) for c in bits)
+                    keep[at] = may_link(a, b, size[at], pivot_size[at], percent)
                 yield pa.record_batch([batch.column(c).filter(pa.array(keep)) for c in ("set", "pivot")], schema=schema)
 
     sizes = sketches.select("set", "size")
@@ -453,8 +487,9 @@ SKETCHES = "set long, size long, bits binary"
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, n_gram: int, placed: bool = False, sketches: bool = False) -> DataFrame:
     """``set, grams`` (or ``set, size, bits``, their ``sketches``) for the sets
-    ``wanted`` (``set, doc_id`` of one holder). Where rows are ``placed``, no
-    two share a doc_id, so a set comes once."""
+    ``wanted`` (``set, doc_id`` of one holder, written), computed where it is
+    read. Where rows are ``placed``, no two share a doc_id, so a set comes
+    once."""
     kinds = SKETCHES if sketches else SETS
     schema = io.arrow_schema(kinds)
 
@@ -462,7 +497,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, n_gram: int, placed: bool = F
         for piece in io.slices(batches, "text"):
             found = Sets(piece.column("text"), n_gram)
             if sketches:
-                columns = [as_long(found.ids), pa.array(found.sizes.astype(np.int64)), pa.array([x.tobytes() for x in sketch(found)], pa.binary())]
+                columns = [as_long(found.ids), pa.array(found.sizes.astype(np.int64)), pa.array(sketches_of(found), pa.binary())]
             else:
                 columns = [as_long(found.ids), pa.array([found.grams[f : f + n].tobytes() for f, n in zip(found.first, found.sizes, strict=True)], pa.binary())]
             yield pa.record_batch(columns, schema=schema)
@@ -470,15 +505,20 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, n_gram: int, placed: bool = F
     holders = size_bounded_broadcast(wanted.select("doc_id"), 1_000_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(holders, "doc_id", "left_semi")
     found = texts.mapInArrow(run, kinds)
-    return io.written(found if placed else found.dropDuplicates(["set"]), "set-join-sketches" if sketches else "set-join-sets")
+    return found if placed else found.dropDuplicates(["set"])
+
+
+def _wanted(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the sets ``wanted`` those in ``nodes``, which are to be fetched."""
+    return io.written(wanted.join(nodes, "set", "left_semi"), "set-join-sets")
 
 
-def _dealt(rows: DataFrame, key: str, sets: DataFrame | None = None) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFrame:
     """``key, parts``: tasks for each key, so that each has few sets, and few
-    elements if the ``sets`` are given."""
-    if sets is None:
+    elements if the sets' ``sizes`` are given."""
+    if sizes is None:
         return rows.groupBy(key).agg(F.ceil(F.count("*") / TREE_SETS).cast("int").alias("parts"))
-    sized = rows.join(sets.select("set", (F.octet_length("grams") / 8).alias("size")), "set")
+    sized = rows.join(sizes.select("set", "size"), "set")
     return sized.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / TREE_SETS, F.sum("size") / TREE_GRAMS)).cast("int").alias("parts"))
 
 
@@ -493,11 +533,12 @@ def _nodes(edges: DataFrame) -> DataFrame:
 def link_pairs(docs: DataFrame, pairs: DataFrame, wanted: DataFrame, sketches: DataFrame, n_gram: int, percent: int, rarest: bool, placed: bool) -> DataFrame:
     """Links ``u, v`` among the pairs ``set, pivot`` of sets in ``wanted``."""
     edges = io.written(fitting(pairs, sketches, percent), "set-join-fitting")
-    sets = fetch_sets(docs, wanted.join(_nodes(edges), "set"), n_gram, placed)
-    dealt = io.written(_dealt(edges, "pivot", sets if rarest else None), "set-join-dealt")
+    sets = fetch_sets(docs, _wanted(wanted, _nodes(edges)), n_gram, placed)
+    dealt = io.written(_dealt(edges, "pivot", sketches if rarest else None), "set-join-dealt")
     members = edges.join(dealt, "pivot").select("pivot", "set", _part().alias("part"))
     probes = dealt.select("pivot", F.col("pivot").alias("set"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    groups = members.union(probes).join(sets, "set").select("pivot", "part", "set", "grams")
+    places = size_bounded_broadcast(members.union(probes))  # few beside the sets, which are sent to their groups at once
+    groups = sets.join(places, "set").select("pivot", "part", "set", "grams")
     return io.written(groups.groupBy("pivot", "part").applyInArrow(lambda t: link_star(t, percent), LINKS), "set-join-links")
 
 
@@ -514,7 +555,7 @@ def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     stars = found.filter("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("set"), F.col("z").alias("pivot"))
     edges = io.written(stars.select("set", "pivot").distinct(), "set-join-edges")
     wanted = io.written(holders.join(_nodes(edges), "set"), "set-join-wanted")
-    sketches = fetch_sets(docs, wanted, n_gram, placed, sketches=True)
+    sketches = io.written(fetch_sets(docs, wanted, n_gram, placed, sketches=True), "set-join-sketches")
     links = link_pairs(docs, edges, wanted, sketches, n_gram, percent, rarest, placed)
     labels = io.written(graph.components(links), "set-join-labels")
 
@@ -522,7 +563,7 @@ def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     inside = stars.select("key", "set").union(stars.select("key", F.col("pivot").alias("set"))).distinct()
     inside = inside.join(labels, inside["set"] == labels["node"], "left").select("key", "set", F.coalesce("component", "set").alias("label"))
     inside = io.written(inside, "set-join-inside")
-    apart = inside.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("sets")).filter("least <> most")
+    apart = inside.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("sets")).filter("least <> most and sets > 2")  # a piece's only pair is settled
     apart = io.written(inside.join(apart.select("key", "least", "sets"), "key"), "set-join-apart")
     few = apart.filter(F.col("sets") <= FEW).select("key", "set", "label")
     others = few.select("key", F.col("set").alias("pivot"), F.col("label").alias("pivot_label"))
@@ -533,11 +574,12 @@ def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     areas = graph.components(many.select(F.col("label").alias("u"), F.col("least").alias("v")))
     open_sets = many.select("set", "label").distinct()
     open_sets = io.written(open_sets.join(areas, open_sets["label"] == areas["node"]).select(F.col("component").alias("area"), "set", "label"), "set-join-open")
-    sets = fetch_sets(docs, wanted.join(open_sets, "set", "left_semi"), n_gram, placed)
+    sets = fetch_sets(docs, _wanted(wanted, open_sets.select("set")), n_gram, placed)
     # an area of many sets is dealt into blocks, and a task joins two of them
-    block = open_sets.join(_dealt(open_sets, "area", sets if rarest else None), "area").withColumn("own", _part())
+    block = open_sets.join(_dealt(open_sets, "area", sketches if rarest else None), "area").withColumn("own", _part())
     block = block.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    block = block.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "label").join(sets, "set")
+    places = size_bounded_broadcast(block.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "label"))
+    block = sets.join(places, "set").select("area", "i", "j", "set", "label", "grams")
     more = block.groupBy("area", "i", "j").applyInArrow(lambda t: link_groups(t, percent), LINKS)
     links = io.written(links.union(more), "set-join-all-links")
     labels = io.written(graph.components(links), "set-join-components")
@@ -551,20 +593,23 @@ def join_components(docs: DataFrame, n_gram: int = N_GRAM, percent: int = PERCEN
     return filled.union(documents.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def first_documents(docs: DataFrame, n_gram: int, percent: int) -> DataFrame:
+def first_documents(docs: DataFrame, n_gram: int, percent: int, stored: bool = False) -> DataFrame:
     """One row of each component of ``docs``: the first of those with the
-    smallest doc_id. Rows are told apart by place, so of rows that share a
-    doc_id only those of other components stay; rows without one stay."""
-    numbered = io.written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("place")), "set-join-rows")
-    texts = numbered.select(F.when(F.col("doc.doc_id").isNotNull(), F.col("place")).alias("doc_id"), F.col("doc.text").alias("text"))
-    placed = join_components(texts, n_gram, percent, rarest=True, placed=True).select(F.col("doc_id").alias("place"), "component_id")
-    placed = io.written(placed.filter("place is not null"), "set-join-placed")
-    # a component's row: the smallest doc_id, then the first place
-    ids = numbered.select("place", F.col("doc.doc_id").cast("long").alias("id"))
-    linked = placed.groupBy("component_id").count().filter("count > 1").select("component_id")
-    rows = placed.join(linked, "component_id").join(ids, "place")
-    first = rows.groupBy("component_id").agg(F.min(F.struct("id", "place")).alias("first"))
-    away = io.written(rows.join(first, "component_id").filter(F.col("place") != F.col("first.place")).select("place"), "set-join-away")
+    smallest doc_id. Rows are told apart by place (:func:`io.numbered`), so of
+    rows that share a doc_id only those of other components stay; rows without
+    one stay."""
+    with io.recorded() as tables:
+        numbered = io.numbered(docs, "set-join-rows", stored)
+        texts = numbered.select(F.when(F.col("doc.doc_id").isNotNull(), F.col("place")).alias("doc_id"), F.col("doc.text").alias("text"))
+        placed = join_components(texts, n_gram, percent, rarest=True, placed=True).select(F.col("doc_id").alias("place"), "component_id")
+        placed = io.written(placed.filter("place is not null"), "set-join-placed")
+        # a component's row: the smallest doc_id, then the first place
+        ids = numbered.select("place", F.col("doc.doc_id").cast("long").alias("id"))
+        linked = placed.groupBy("component_id").count().filter("count > 1").select("component_id")
+        rows = placed.join(linked, "component_id").join(ids, "place")
+        first = rows.groupBy("component_id").agg(F.min(F.struct("id", "place")).alias("first"))
+        away = io.written(rows.join(first, "component_id").filter(F.col("place") != F.col("first.place")).select("place"), "set-join-away")
+    discard(*(t for t in tables if t is not numbered and t is not away))
     return numbered.join(size_bounded_broadcast(away), "place", "left_anti").select("doc.*")
 
 
