@@ -7,22 +7,24 @@ import numpy as np
 import pytest
 
 from wordfold.llm import decontaminate, io, set_join
-from wordfold.session import checkpoint_dir, shuffles_dropped
+from wordfold.session import shuffles_dropped
 
 NEAR = [f"near{i}" for i in range(60)]
 ROWS = [(5, " ".join(NEAR)), (4, " ".join([*NEAR[:30], "other", *NEAR[31:]])), (4, "another text of the same number"), (None, " ".join(NEAR)), (8, None), (7, "x y")]
 
 
-def left_by(spark, run):
-    at = checkpoint_dir(spark).removeprefix("file:")
-    before = set(os.listdir(at))
-    found = run()
-    return found, {x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before if os.listdir(f"{at}/{x}")}
+def left_by(monkeypatch, run):
+    """(what ``run`` gives, the names of the tables that it wrote and left)."""
+    made, place = [], io.shared_dir
+    with monkeypatch.context() as patch:
+        patch.setattr(io, "shared_dir", lambda spark, name: made.append((name, place(spark, name))) or made[-1][1])
+        found = run()
+    return found, {name for name, path in made if os.path.exists(path.removeprefix("file:"))}
 
 
-def test_places_in_files_are_told_apart(spark):
+def test_places_in_files_are_told_apart(spark, monkeypatch):
     docs = io.written(spark.createDataFrame([(n % 7, f"text {n}") for n in range(500)], "doc_id long, text string").repartition(5), "some-rows")
-    numbered, left = left_by(spark, lambda: io.numbered(docs, "copied", True))
+    numbered, left = left_by(monkeypatch, lambda: io.numbered(docs, "copied", True))
     assert left == set()
     rows = [(r.place, r.doc.text) for r in numbered.collect()]
     assert len({p for p, _ in rows}) == 500 and {t for _, t in rows} == {f"text {n}" for n in range(500)}
@@ -30,17 +32,17 @@ def test_places_in_files_are_told_apart(spark):
 
 
 @pytest.mark.parametrize("stored", [True, False])
-def test_near_stage_leaves_no_tables_of_sets(spark, stored):
+def test_near_stage_leaves_no_tables_of_sets(spark, monkeypatch, stored):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
     docs = io.written(docs, "near-input") if stored else docs
-    found, left = left_by(spark, lambda: set_join.first_documents(docs, 5, 80, stored))
+    found, left = left_by(monkeypatch, lambda: set_join.first_documents(docs, 5, 80, stored))
     assert left == {"set-join-away"} | (set() if stored else {"set-join-rows"})
     assert sorted((r.doc_id or 0, r.text or "") for r in found.collect()) == sorted((d or 0, t or "") for d, t in ROWS[1:])
 
 
-def test_stages_do_not_copy_what_is_written(spark, sf):
+def test_stages_do_not_copy_what_is_written(spark, monkeypatch, sf):
     docs = io.written(io.documents(spark, sf).limit(50), "stage-input")
-    _, left = left_by(spark, lambda: corpus_pipeline.benchmark(spark, docs, sf))
+    _, left = left_by(monkeypatch, lambda: corpus_pipeline.benchmark(spark, docs, sf))
     assert not any("rows" in x for x in left)
     items = spark.createDataFrame([(7, " ".join(f"item{i}" for i in range(30)))], "item_id long, text string")
     assert decontaminate.clean_documents(docs, items, stored=True).count() == 50
