@@ -203,7 +203,7 @@ def train_ccd(coo: DataFrame, p: TrainParams, growing: bool = False) -> TrainRes
         for t in range(active):
             if weak == 5:
                 break
-            cells.open(t)
+            cells.open(t, p.inner)
             for n in range(p.inner):
                 gain = cells.sweep(lam, p.nmf)
                 gained, sweeps = gained + gain, sweeps + 1
