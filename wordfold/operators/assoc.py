@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordfold.operators import lookup
 from wordfold.session import cut_lineage, size_bounded_broadcast
@@ -59,6 +62,15 @@ def exp_pmi(
         counts = counts if counts.columns == [row, col, val] else counts.select(row, col, val)
         named = lookup.words_of(dense, row, col)
         cells = lookup.attach(counts, [(row, rs, "_id", {"row_sum": "row_sum"}), (col, cs, "_id", {c: c for c in ("col_smooth", "smooth_total")}), *named])
+        if lookup.is_packed(cells):
+            kept = [cells.columns.index(c) for c in (row, col, val, *(["_word", "_context"] if named else []))]
+            used = [cells.columns.index(c) for c in (val, "smooth_total", "row_sum", "col_smooth")]
+
+            def epmi(batch: pa.RecordBatch) -> list:
+                n, total, rows, smooth = (batch.column(c).to_numpy() for c in used)
+                return [*(batch.column(c) for c in kept), pa.array(n * total / (rows * smooth))]
+
+            return lookup.computed(cells, [*(cells.schema.fields[c] for c in kept), T.StructField("epmi", T.DoubleType())], epmi)
         return cells.select(row, col, val, *(["_word", "_context"] if named else []), (F.col(val) * F.col("smooth_total") / (F.col("row_sum") * F.col("col_smooth"))).alias("epmi"))
     rs = size_bounded_broadcast(row_sums(counts, row, val), known_rows=max_rows)
     cs = smooth_contexts(col_sums(counts, col, val), cds)
@@ -76,6 +88,15 @@ def pmi(assoc: DataFrame) -> DataFrame:
     return assoc.withColumn("pmi", F.log(F.col("epmi")))
 
 
+def logs(assoc: DataFrame) -> DataFrame:
+    """C4 as cells ``word, context, v``."""
+    if not lookup.is_packed(assoc):
+        return assoc.select("word", "context", F.log("epmi").alias("v"))
+    word, context, at = (assoc.columns.index(c) for c in ("word", "context", "epmi"))
+    return lookup.computed(assoc, [assoc.schema["word"], assoc.schema["context"], T.StructField("v", T.DoubleType())],
+                           lambda batch: [batch.column(word), batch.column(context), pa.array(np.log(batch.column(at).to_numpy()))])
+
+
 def ppmi(assoc: DataFrame) -> DataFrame:
     """C5. Cells with pmi > 0 (the PPMI matrix)."""
     return pmi(assoc).where(F.col("epmi") > 1.0)
@@ -88,6 +109,15 @@ def ppmi_counts(assoc: DataFrame, val: str = "n") -> DataFrame:
 
 def shifted_ppmi(assoc: DataFrame, neg: float = 1.0) -> DataFrame:
     """C7. max(ln(epmi) - ln(neg), 0), stored only where positive."""
+    if lookup.is_packed(assoc):
+        at, less = assoc.columns.index("epmi"), math.log(neg)
+
+        def above(batch: pa.RecordBatch) -> list:
+            spmi = np.log(batch.column(at).to_numpy()) - less
+            some = pa.array(spmi > 0)
+            return [*(x.filter(some) for x in batch.columns), pa.array(spmi[spmi > 0])]
+
+        return lookup.computed(assoc, [*assoc.schema.fields, T.StructField("spmi", T.DoubleType())], above)
     shifted = F.log(F.col("epmi")) - F.lit(math.log(neg))
     return assoc.withColumn("spmi", shifted).where(F.col("spmi") > 0)
 
@@ -118,9 +148,18 @@ def l2_normalize_rows(coo: DataFrame, row: str = "i", val: str = "v", max_rows:
     shuffle size (no extra counting pass over the matrix). With ``dense`` rows
     are ids below it and their norms are looked up in place, and where it is
     named (:class:`lookup.Named`) the words of the cells ``word, context``."""
-    norms = coo.groupBy(row).agg(F.sqrt(F.sum(F.col(val) * F.col(val))).alias("_norm"))
+    norms = lookup.sums(coo, row, val, "_norm", squares=True).withColumn("_norm", F.sqrt("_norm"))
     if dense is not None:
         coo = lookup.attach(coo, [(row, _by_id(norms, row, dense, "norms"), "_id", {"_norm": "_norm"}), *lookup.words_of(dense, "word", "context")])
+        if lookup.is_packed(coo):
+            at, by = coo.columns.index(val), coo.columns.index("_norm")
+
+            def unit(batch: pa.RecordBatch) -> list:
+                v, norm = batch.column(at).to_numpy(), batch.column(by).to_numpy()
+                shares = pa.array(np.divide(v, norm, out=np.zeros(len(v)), where=norm > 0))
+                return [shares if c == at else x for c, x in enumerate(batch.columns) if c != by]
+
+            return lookup.computed(coo, [f for f in coo.schema.fields if f.name != "_norm"], unit)
         return coo.withColumn(val, F.when(F.col("_norm") > 0, F.col(val) / F.col("_norm")).otherwise(F.lit(0.0))).drop("_norm")
     if max_rows is not None:
         norms = size_bounded_broadcast(norms, known_rows=max_rows)

@@ -251,12 +251,16 @@ def decode_counts(counts: DataFrame, ids: DataFrame, win: int, positional: bool,
     allows, shuffle joins otherwise."""
     if "_word" in counts.columns and "_context" in counts.columns and not positional:
         rest = [c for c in counts.columns if c not in ("word", "context", "_word", "_context")]
+        if lookup.is_packed(counts):
+            return lookup.renamed(counts, {"_word": "word", "_context": "context", **{c: c for c in rest}})
         return counts.select(F.col("_word").alias("word"), F.col("_context").alias("context"), *rest)
     if getattr(ids, "dense", False) is True:
         rest = [c for c in counts.columns if c not in ("word", "context")]
         both = [c for c in ("word", "context") if c in counts.columns]
         found = counts.withColumn("_c", F.floor(F.col("context") / (2 * win + 1)).cast("long")) if positional else counts
         found = lookup.attach(found, [("_c" if positional and c == "context" else c, ids, "wid", {"word": f"_{c}"}) for c in both])
+        if not positional and lookup.is_packed(found):
+            return lookup.renamed(found, {**{f"_{c}": c for c in both}, **{c: c for c in rest}})
         off = F.concat(F.lit("_"), (F.pmod(F.col("context"), F.lit(2 * win + 1)) - F.lit(win)).cast("string")) if positional else F.lit("")
         return found.select(*[(F.concat("_context", off) if positional and c == "context" else F.col(f"_{c}")).alias(c) for c in both], *rest)
     wl = size_bounded_broadcast(ids.select(F.col("wid").alias("_w"), F.col("word").alias("_ws")), known_rows=vocab_rows)

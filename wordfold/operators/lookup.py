@@ -117,36 +117,61 @@ def cells_of(blobs: DataFrame, unpack: Step, join: Step, schema: str) -> DataFra
 
 def cut_cells(cells: DataFrame, name: str) -> DataFrame:
     """``cut_lineage`` for cells, packed ones as they are."""
-    if not isinstance(getattr(cells, "packed", None), tuple):
+    if not is_packed(cells) or cells.packed[2] is None:
         return cut_lineage(cells, name, "zstd")
     blobs, unpack, join, schema = cells.packed
     return cells_of(cut_lineage(blobs.mapInArrow(join, blobs.schema), name), unpack, join, schema)
 
 
+def is_packed(cells: DataFrame) -> bool:
+    return isinstance(getattr(cells, "packed", None), tuple)
+
+
 def _pass(cells: DataFrame, run: Step, schema: T.StructType | str) -> DataFrame:
-    """``run`` over the cells' batches, unpacked in the same pass."""
-    if not isinstance(getattr(cells, "packed", None), tuple):
+    """``run`` over the cells' batches, unpacked in the same pass; what comes
+    of packed cells takes further steps in that pass as well."""
+    if not is_packed(cells):
         return cells.mapInArrow(run, schema)
     blobs, unpack = cells.packed[:2]
-    return blobs.mapInArrow(lambda batches: run(unpack(batches)), schema)
+    return cells_of(blobs, lambda batches: run(unpack(batches)), None, schema)
+
+
+def computed(cells: DataFrame, fields: list[T.StructField], of: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """Packed cells as columns ``fields``, which ``of`` makes of a batch."""
+    schema = T.StructType(fields)
+    names = schema.fieldNames()
+    return _pass(cells, lambda batches: (pa.RecordBatch.from_arrays(of(b), names) for b in batches), schema)
+
+
+def renamed(cells: DataFrame, names: dict[str, str]) -> DataFrame:
+    """These columns by their new names, in the same pass where cells are packed."""
+    from pyspark.sql import functions as F
+
+    if not is_packed(cells):
+        return cells.select([F.col(own).alias(out) for own, out in names.items()])
+    at = [cells.columns.index(own) for own in names]
+    return computed(cells, [T.StructField(out, cells.schema[own].dataType) for own, out in names.items()], lambda b: [b.column(k) for k in at])
 
 
-def sums(cells: DataFrame, key: str, val: str, out: str) -> DataFrame:
-    """(key, out): the values' sums by key. Packed cells have dense ids and
-    whole numbers, which each task adds up first."""
+def sums(cells: DataFrame, key: str, val: str, out: str, squares: bool = False) -> DataFrame:
+    """(key, out): the sums by key of the values, or of their ``squares``.
+    Packed cells have dense ids, and each task adds its values up first."""
     from pyspark.sql import functions as F
 
-    if not isinstance(getattr(cells, "packed", None), tuple):
-        return cells.groupBy(key).agg(F.sum(val).alias(out))
+    if not is_packed(cells):
+        return cells.groupBy(key).agg(F.sum(F.col(val) * F.col(val) if squares else val).alias(out))
     at = cells.columns.index(key), cells.columns.index(val)
+    whole = cells.schema[val].dataType == T.LongType()
+    kind = np.int64 if whole else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(0, np.int64), np.zeros(0, bool)
+        total, seen = np.zeros(0, kind), np.zeros(0, bool)
         for batch in batches:
             ids, values = (batch.column(c).to_numpy() for c in at)
+            values = values * values if squares else values
             if len(ids) and int(ids.max()) >= len(total):
                 more = max(int(ids.max()) + 1, 2 * len(total)) - len(total)
-                total, seen = np.r_[total, np.zeros(more, np.int64)], np.r_[seen, np.zeros(more, bool)]
+                total, seen = np.r_[total, np.zeros(more, kind)], np.r_[seen, np.zeros(more, bool)]
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][:len(ids)])
@@ -158,7 +183,7 @@ def sums(cells: DataFrame, key: str, val: str, out: str) -> DataFrame:
             some = ids[lo:lo + ROWS]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], [key, out])
 
-    return _pass(cells, run, f"`{key}` long, `{out}` long").groupBy(key).agg(F.sum(out).alias(out))
+    return _pass(cells, run, f"`{key}` long, `{out}` {'long' if whole else 'double'}").groupBy(key).agg(F.sum(out).alias(out))
 
 
 def attach(cells: DataFrame, tables: list[tuple[str, DataFrame, str, dict[str, str]]]) -> DataFrame:

@@ -9,16 +9,20 @@ so equal rows get equal scores wherever they stand.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordfold.session import cut_lineage
+from wordfold.operators import lookup
+from wordfold.operators.lookup import _place
+from wordfold.session import checkpoint_dir, cut_lineage
 
-#: Bytes of query rows that are broadcast; more are cut into blocks of as many.
+#: Bytes of query rows in a block.
 QUERY_BYTES = 64 << 20
 #: Cells of candidate rows scored together; products expanded and sums held at once.
 BLOCK_CELLS, PRODUCTS, SUMS = 1 << 20, 1 << 22, 1 << 22
@@ -31,6 +35,11 @@ RECORDS = "word string, contexts array<long>, values array<double>"
 TOP = "query string, word string, score double"
 _TOP = pa.schema([("query", pa.string()), ("word", pa.string()), ("score", pa.float64())])
 
+QUERY_BLOCK = "block int, words array<string>, contexts array<long>, starts array<long>, query array<int>, value array<double>"
+_QUERIES = [pa.field("words", pa.list_(pa.string())), pa.field("contexts", pa.list_(pa.int64())), pa.field("starts", pa.list_(pa.int64())),
+            pa.field("query", pa.list_(pa.int32())), pa.field("value", pa.list_(pa.float64()))]
+_kept: dict = {}
+
 
 def records(m: DataFrame) -> DataFrame:
     """Rows of ``RECORDS`` from ``word, context, v`` (no cell twice); contexts
@@ -67,12 +76,30 @@ class Queries:
         order = np.argsort(at, kind="stable")
         self.query, self.value = rows.rows()[order], rows.values[order]
         self.starts = np.searchsorted(at[order], np.arange(len(self.contexts) + 1))
+        self._bounds()
+
+    def _bounds(self) -> None:
         self.high = np.maximum.reduceat(self.value, self.starts[:-1]) if len(self.contexts) else np.zeros(0)
         self.low = np.minimum.reduceat(self.value, self.starts[:-1]) if len(self.contexts) else np.zeros(0)
 
+    def table(self, block: int) -> pa.Table:
+        """One row of ``QUERY_BLOCK``."""
+        lists = (self.words, self.contexts, self.starts.astype(np.int64), self.query.astype(np.int32), self.value)
+        return pa.table({"block": pa.array([block], pa.int32())} | {f.name: pa.array([x], f.type) for f, x in zip(_QUERIES, lists, strict=True)})
+
+    @classmethod
+    def read(cls, table: pa.Table) -> Queries:
+        out = cls.__new__(cls)
+        lists = [table[f.name].combine_chunks().flatten() for f in _QUERIES]
+        out.words = np.array(lists[0].to_pylist(), object)
+        out.contexts, out.starts, out.query, out.value = (x.to_numpy() for x in lists[1:])
+        out._bounds()
+        return out
 
-def best_words(q: Queries, c: Rows, n: int, met: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the n best rows of ``c`` for every query.
+
+def best_words(q: Queries, c: Rows, n: int, met: list | None = None, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the n best rows of ``c`` for every query, less
+    those below ``least`` of a query.
 
     Rows are taken by what they could score with any query at most (each
     context with its highest value among the queries); once no query's n-th
@@ -88,7 +115,7 @@ def best_words(q: Queries, c: Rows, n: int, met: list | None = None) -> tuple[np
     order = np.argsort(-bound, kind="stable")
     order = order[products[order] > 0]
     cell_start = np.searchsorted(row, np.arange(len(c) + 1))
-    least = np.full(nq, -np.inf)
+    least = np.full(nq, -np.inf) if least is None else least
     kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     # equal scores: word descending
     rank = np.empty(len(c), np.int64)
@@ -114,68 +141,140 @@ def best_words(q: Queries, c: Rows, n: int, met: list | None = None) -> tuple[np
         kept = [x[by] for x in kept]
         full = np.bincount(kept[0], minlength=nq) >= n
         last = np.searchsorted(kept[0], np.arange(nq), "right") - 1
-        least[full] = kept[2][last[full]]
+        least[full] = np.maximum(least[full], kept[2][last[full]])
     if met is not None:
         met += [int((products > 0).sum()), lo]
     return tuple(kept)
 
 
-def _scored(q: Queries, batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Top rows of blocks of about ``BLOCK_CELLS`` cells."""
-    waiting, held = [], 0
+class Best:
+    """The n best words so far of every query of a block."""
+
+    def __init__(self, q: Queries, n: int):
+        self.n, self.asked, self.score, self.words = n, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.least = np.full(len(q.words), -np.inf)
+
+    def meet(self, q: Queries, c: Rows) -> None:
+        asked, row, score = best_words(q, c, self.n, least=self.least.copy())
+        if not len(asked):
+            return
+        asked, score, words = np.r_[self.asked, asked], np.r_[self.score, score], np.r_[self.words, c.words[row]]
+        by = np.argsort(words, kind="stable")[::-1]  # equal scores: word descending
+        by = by[np.lexsort((-score[by], asked[by]))]
+        by = by[np.arange(len(by)) - np.searchsorted(asked[by], asked[by]) < self.n]
+        self.asked, self.score, self.words = asked[by], score[by], words[by]
+        full = np.bincount(self.asked, minlength=len(self.least)) >= self.n
+        self.least[full] = self.score[np.searchsorted(self.asked, np.flatnonzero(full), "right") - 1]
+
+
+def _queries(path: str, block: int, keep: bool) -> Queries:
+    """A written block of query rows; the only one is kept."""
+    if (path, block) in _kept:
+        return _kept[path, block]
+    files, place = _place(f"{path}/block={block}")
+    found = Queries.read(dataset.dataset(place, filesystem=files, format="parquet").to_table())
+    if keep:
+        _kept.clear()
+        _kept[path, block] = found
+    return found
+
 
-    def block() -> pa.RecordBatch:
+def _scored(path: str, blocks: list[int], batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Top rows of what a task reads. It meets the query blocks in turn with
+    about ``BLOCK_CELLS`` cells, or more where there are many of them."""
+    waiting, held, best = [], 0, {}
+    cells = BLOCK_CELLS * min(2, len(blocks))
+
+    def meet() -> None:
         c = Rows(waiting)
-        asked, row, score = best_words(q, c, n)
-        return pa.record_batch([pa.array(q.words[asked], pa.string()), pa.array(c.words[row], pa.string()), pa.array(score)], schema=_TOP)
+        for b in blocks:
+            q = _queries(path, b, len(blocks) == 1)
+            best.setdefault(b, Best(q, n)).meet(q, c)
 
     for batch in batches:
         lengths = np.diff(batch.column(1).offsets.to_numpy())
-        cut = np.flatnonzero(np.diff(np.cumsum(lengths) // BLOCK_CELLS)) + 1
+        cut = np.flatnonzero(np.diff(np.cumsum(lengths) // cells)) + 1
         for lo, hi in zip(np.r_[0, cut], np.r_[cut, batch.num_rows], strict=True):
             waiting.append(batch.slice(lo, hi - lo))
             held += int(lengths[lo:hi].sum())
-            if held >= BLOCK_CELLS:
-                yield block()
+            if held >= cells:
+                meet()
                 waiting, held = [], 0
-    if waiting and len(q.words):
-        yield block()
+    if waiting:
+        meet()
+    for b, found in best.items():
+        words = _queries(path, b, len(blocks) == 1).words[found.asked]
+        yield pa.record_batch([pa.array(words, pa.string()), pa.array(found.words, pa.string()), pa.array(found.score)], schema=_TOP)
+
+
+def together(m: DataFrame) -> DataFrame:
+    """Rows of ``RECORDS`` on ids, from ``word, context, v`` where the cells of
+    a word follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None  # the last word may go on in the next batch
+
+        def rows(word: np.ndarray, context: np.ndarray, v: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+            stops = pa.array(np.r_[starts, len(word)].astype(np.int32))
+            return pa.record_batch([pa.array(word[starts]), pa.ListArray.from_arrays(stops, pa.array(context)), pa.ListArray.from_arrays(stops, pa.array(v))], ["word", "contexts", "values"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = [c.to_numpy() for c in batch.columns]
+            if carried is not None and carried[0][0][0] == cells[0][0] == cells[0][-1]:
+                carried.append(cells)
+                continue
+            if carried is not None:
+                cells = [np.concatenate(x) for x in zip(*carried, cells, strict=True)]
+            starts = np.flatnonzero(np.r_[True, cells[0][1:] != cells[0][:-1]])
+            last = starts[-1]
+            if len(starts) > 1:
+                yield rows(*(c[:last] for c in cells), starts[:-1])
+            carried = [[c[last:] for c in cells]]
+        if carried is not None:
+            cells = [np.concatenate(x) for x in zip(*carried, strict=True)]
+            yield rows(*cells, np.zeros(1, np.int64))
+
+    return lookup._pass(lookup.renamed(m, {c: c for c in ("word", "context", "v")}), run, "word long, contexts array<long>, values array<double>")
+
+
+def _asked(m: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The cells of words that the written table ``wid, asked`` marks."""
+    found = lookup.attach(m, [("word", wanted, "wid", {"asked": "asked"})])
+    if not lookup.is_packed(found):
+        return found.where(F.col("asked").isNotNull()).drop("asked")
+    at = found.columns.index("asked")
+    return lookup.computed(found, [f for f in found.schema.fields if f.name != "asked"],
+                           lambda batch: [x.filter(batch.column(at).is_valid()) for c, x in enumerate(batch.columns) if c != at])
 
 
-def top_products(words: DataFrame, m: DataFrame, n: int, report: dict | None = None, named=None) -> DataFrame:
+def top_products(words: DataFrame, m: DataFrame, n: int, report: dict | None = None, named=None, ids: DataFrame | None = None) -> DataFrame:
     """Rows of ``TOP`` that hold the n best words of every query word that has
-    a row. Query rows of at most ``QUERY_BYTES`` together are broadcast and
-    the candidates never move; more are dealt into blocks of as many bytes,
-    which meet every share of the candidates."""
+    a row. Query rows are written in blocks of at most ``QUERY_BYTES``, which
+    the tasks over the candidates read in turn, so no candidate moves. With
+    ``ids`` (word, wid) the cells are on these and lie word by word: rows are
+    made where they are read, and only those of queries are written."""
     spark = m.sparkSession
-    rows = records(m.select("word", "context", "v"))
-    rows = named(rows).select("word", "contexts", "values") if named else rows
-    rows = cut_lineage(rows, "sparse-rows", "zstd")
-    asked = rows.join(words.select("word").distinct(), "word", "left_semi")
+    words = words.select("word").distinct()
+    if ids is None:
+        rows = records(m.select("word", "context", "v"))
+        rows = named(rows).select("word", "contexts", "values") if named else rows
+        rows = cut_lineage(rows, "sparse-rows", "zstd")
+        asked = rows.join(words, "word", "left_semi")
+    else:
+        rows = named(together(m))
+        wanted = cut_lineage(ids.join(words.withColumn("asked", F.lit(True)), "word", "left").select("wid", "asked"), "query-ids")
+        asked = cut_lineage(named(together(_asked(m, wanted))), "query-rows", "zstd")
     cost = F.size("contexts").cast("long") * CELL_BYTES + ROW_BYTES + F.octet_length("word")
     size, most = asked.agg(F.coalesce(F.sum(cost), F.lit(0)), F.count("*")).first()
     blocks = -(-size // QUERY_BYTES)
     if report is not None:
         report.update(queries=most, blocks=blocks)
-    if blocks <= 1:
-        shared = spark.sparkContext.broadcast(asked.toArrow().to_batches())
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            if sum(b.num_rows for b in own):
-                yield from _scored(Queries(Rows(own)), batches, n)
-
-        return rows.mapInArrow(run, TOP)
-    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    left = asked.withColumn("_q", F.pmod(F.xxhash64("word"), F.lit(blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    # fresh attribute ids: both sides come from one table
-    right = rows.select([F.col(c).alias(c) for c in rows.columns]).withColumn("_c", F.pmod(F.xxhash64("word"), F.lit(shares))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        names = ["word", "contexts", "values"]
-        if not q.num_rows or not c.num_rows:
-            return _TOP.empty_table()
-        found = list(_scored(Queries(Rows(q.select(names).to_batches())), iter(c.select(names).to_batches()), n))
-        return pa.Table.from_batches(found, _TOP)
-
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(meet, TOP)
+    if not most:
+        return spark.createDataFrame([], TOP)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/query-blocks-{uuid.uuid4().hex}"
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int"))
+    dealt.groupBy("block").applyInArrow(lambda t: Queries(Rows(t.to_batches())).table(t["block"][0].as_py()), QUERY_BLOCK).write.partitionBy("block").parquet(path, compression="zstd")
+    filled = sorted(r[0] for r in spark.read.schema("block int").parquet(path).select("block").distinct().collect())
+    return lookup._pass(rows, lambda batches: _scored(path, filled, batches, n), TOP)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordfold.functions import vec as V
-from wordfold.operators import assoc, sparse
+from wordfold.operators import assoc, lookup, sparse
 from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, best_of, block_scores, pruned_blocks
 from wordfold.session import cut_lineage, size_bounded_broadcast
 
@@ -140,14 +140,14 @@ def explicit_vectors(epmi: DataFrame, normalize: bool = True, max_rows: int | No
     """G11. Rows of ln(epmi) (unclipped), optionally L2-normalized per word
     (``max_rows``: known bound on the number of words; ``dense``: words are
     ids below it)."""
-    m = epmi.select("word", "context", F.log("epmi").alias("v"))
+    m = assoc.logs(epmi)
     return assoc.l2_normalize_rows(m, "word", "v", max_rows, dense) if normalize else m
 
 
 def positive_explicit(epmi: DataFrame, neg: float = 1.0, normalize: bool = True,
                       max_rows: int | None = None, dense: int | None = None) -> DataFrame:
     """PPMI representation: shifted PPMI cells, optionally L2-normalized."""
-    m = assoc.shifted_ppmi(epmi, neg).select("word", "context", F.col("spmi").alias("v"))
+    m = lookup.renamed(assoc.shifted_ppmi(epmi, neg), {"word": "word", "context": "context", "spmi": "v"})
     return assoc.l2_normalize_rows(m, "word", "v", max_rows, dense) if normalize else m
 
 
@@ -178,12 +178,13 @@ def explicit_closest_contexts(words: DataFrame, m: DataFrame, n: int = 10) -> Da
     )
 
 
-def explicit_closest(words: DataFrame, m: DataFrame, n: int = 10, report: dict | None = None, named=None) -> DataFrame:
+def explicit_closest(words: DataFrame, m: DataFrame, n: int = 10, report: dict | None = None, named=None, ids: DataFrame | None = None) -> DataFrame:
     """G15. Top-n words by sparse dot with the query row (only rows sharing a
     context get a score; ties by word descending). See
     :mod:`wordfold.operators.sparse`; where ``m`` is on ids, ``named`` gives
-    rows their words."""
-    local = sparse.top_products(words, m, n, report, named)
+    rows their words, and with ``ids`` (word, wid) the cells of a word follow
+    each other."""
+    local = sparse.top_products(words, m, n, report, named, ids)
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("word"))
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 

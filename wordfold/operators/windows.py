@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordfold.operators.lookup import Ids, cells_of, held
+from wordfold.operators.lookup import Ids, Step, cells_of, held
 
 #: Tokens masked at once, pairs counted at once, pairs of a bucket (about), rows given back at once.
 TOKENS, PAIRS, BUCKET, ROWS = 1 << 18, 1 << 22, 1 << 21, 1 << 16
@@ -183,12 +183,45 @@ def _merged(rows: list, words: int, win: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(z) for z in ((x[one], y[two]), (y[one], x[two]), (off[one], -off[two]), (there[one], back[two])))
 
 
+def _by_word(words: int, win: int, buckets: int) -> Step:
+    """Buckets of pairs to both directions' keys ``word * words + context``,
+    each with its count, by buckets of the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buckets(batches):
+            x, y, _, n = _merged(rows, words, win)
+            bucket = ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) % np.uint64(buckets)
+            order = np.argsort(x * words + y)
+            order = order[np.argsort(bucket[order], kind="stable")]
+            keys, n, bucket = (x * words + y)[order], n[order], bucket[order].astype(np.int32)
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][:len(bucket)])
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+                row = bucket[lo], hi - lo, packed(np.diff(keys[lo:hi], prepend=0)), packed(n[lo:hi]), None
+                yield pa.record_batch([pa.array([v], t) for v, t in zip(row, _COUNTED.types, strict=True)], schema=_COUNTED)
+
+    return run
+
+
+def _word_cells(words: int) -> Step:
+    """What :func:`_by_word` packed to its cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buckets(batches):
+            keys, n, _ = _joined(rows)
+            for lo in range(0, len(keys), ROWS):
+                some = keys[lo:lo + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(some // words), pa.array(some % words), pa.array(n[lo:lo + ROWS])], ["word", "context", "n"])
+
+    return run
+
+
 def line_pair_counts(lines: DataFrame, voc: DataFrame, n_vocab: int, pairs: float, win: int, dyn: bool, positional: bool, delete: bool,
-                     seed: int, chunk_tokens: int, strings: bool) -> DataFrame:
+                     seed: int, chunk_tokens: int, strings: bool, by_word: bool = False) -> DataFrame:
     """(word, context, n) of lines ``doc_id, line_no, toks, places``; ``voc``
     is the written vocabulary ``word, p_drop, wid`` with dense ids, ``pairs``
     about how many pairs there are. Words are strings or ids, contexts as in
-    :func:`wordfold.operators.corpus.window_pairs`."""
+    :func:`wordfold.operators.corpus.window_pairs`. With ``by_word`` (ids, not
+    positional) the cells of a word follow each other, in order of context."""
     path = voc.written_at
     buckets = max(16, int(pairs) // BUCKET)
 
@@ -239,6 +272,9 @@ def line_pair_counts(lines: DataFrame, voc: DataFrame, n_vocab: int, pairs: floa
     counted = lines.select("doc_id", "line_no", "toks", "places").mapInArrow(count, COUNTED)
     tasks = min(buckets, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = counted.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    if by_word and not strings and not positional:
+        dealt = dealt.mapInArrow(_by_word(n_vocab, win, 2 * buckets), COUNTED).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+        return cells_of(dealt, _word_cells(n_vocab), _join, "word long, context long, n long")
     if strings:
         return dealt.mapInArrow(merge, "word string, context string, n long")
     return cells_of(dealt, merge, _join, "word long, context long, n long")

@@ -231,11 +231,11 @@ def _explicit_closest(s, sf):
     from wordfold.plans.ppmi import epmi_ids
     from wordfold.operators import corpus
 
-    ep, voc, nv, dense = epmi_ids(_lines(s, sf), CP)
+    ep, voc, nv, dense = epmi_ids(_lines(s, sf), CP, by_word=True)
     rep = vectors.representation("PPMI", epmi=ep, neg=NEG, max_rows=nv, dense=dense)
     if dense is None:
         return vectors.explicit_closest(_benchmark_words(s, sf), corpus.decode_counts(rep, voc, CP.win, False, vocab_rows=nv), N)
-    return vectors.explicit_closest(_benchmark_words(s, sf), rep, N, named=lambda rows: corpus.decode_counts(rows, voc, CP.win, False))
+    return vectors.explicit_closest(_benchmark_words(s, sf), rep, N, named=lambda rows: corpus.decode_counts(rows, voc, CP.win, False), ids=voc)
 
 
 QUERIES["explicit_closest"] = lambda s, sf: _explicit_closest(s, sf).select(

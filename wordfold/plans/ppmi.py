@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordfold.operators import assoc, corpus, lookup, windows
-from wordfold.session import cut_lineage
+from wordfold.session import cut_lineage, shuffles_dropped
 
 
 @dataclass(frozen=True)
@@ -45,15 +45,16 @@ def build_counts(lines: DataFrame, p: CorpusParams, materialize: bool = True) ->
     return counts, bounds
 
 
-def encoded_counts(lines: DataFrame, p: CorpusParams) -> tuple[DataFrame, DataFrame, int]:
+def encoded_counts(lines: DataFrame, p: CorpusParams, by_word: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """Counts keyed by vocabulary ids: (word long, context long, n), the
     written vocabulary (word, n, p_drop, wid) and its size. Jobs that only
     need matrix coordinates (factorization) stay on the ids; see
-    :func:`wordfold.operators.corpus.decode_counts` for the strings."""
-    return _pair_counts(lines, p, False)
+    :func:`wordfold.operators.corpus.decode_counts` for the strings. With
+    ``by_word`` packed cells (vocabularies that workers hold) lie word by word."""
+    return _pair_counts(lines, p, False, by_word)
 
 
-def _pair_counts(lines: DataFrame, p: CorpusParams, strings: bool) -> tuple[DataFrame, DataFrame, int]:
+def _pair_counts(lines: DataFrame, p: CorpusParams, strings: bool, by_word: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """Lines that stand in one row are counted where they are read
     (:mod:`wordfold.operators.windows`); lines in several rows, and any under a
     vocabulary too large for the workers, by shuffled tokens."""
@@ -61,20 +62,22 @@ def _pair_counts(lines: DataFrame, p: CorpusParams, strings: bool) -> tuple[Data
     n_vocab, kept = voc.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") * (1 - F.col("p_drop"))), F.lit(0.0))).first()
     if p.win >= 1 and p.chunk_tokens >= 1 and "start" not in lines.columns and n_vocab ** 2 * (p.win + 1) < 1 << 62 and lookup.fits(voc):
         return windows.line_pair_counts(windows.whole_lines(lines), voc, n_vocab, kept * p.win, p.win, p.dyn, p.positional, p.delete,
-                                        p.seed, p.chunk_tokens, strings), voc, n_vocab
+                                        p.seed, p.chunk_tokens, strings, by_word), voc, n_vocab
     toks = corpus.mask_tokens(lines, voc, p.seed, p.chunk_tokens, vocab_rows=n_vocab, token_col="wid")
     pairs = corpus.window_pairs(toks, p.win, p.dyn, p.positional, p.delete, p.seed, p.chunk_tokens, encoded=True)
     counts = corpus.pair_counts(pairs)
     return corpus.decode_counts(counts, voc, p.win, p.positional, vocab_rows=n_vocab) if strings else counts, voc, n_vocab
 
 
-def epmi_ids(lines: DataFrame, p: CorpusParams, named: bool = False) -> tuple[DataFrame, DataFrame, int, int | None]:
+def epmi_ids(lines: DataFrame, p: CorpusParams, named: bool = False, by_word: bool = False) -> tuple[DataFrame, DataFrame, int, int | None]:
     """(word, context, n, epmi) on vocabulary ids, the vocabulary, its size,
     and that size again where ids index tables that workers hold (else None).
     The counts are written once: the marginals and the cells read them. With
-    ``named`` cells that take marginals in place take their words as well."""
-    enc, voc, n_vocab = encoded_counts(lines, p)
-    enc = lookup.cut_cells(enc, "counts-ids")
+    ``named`` cells that take marginals in place take their words as well;
+    with ``by_word`` they lie word by word."""
+    enc, voc, n_vocab = encoded_counts(lines, p, by_word)
+    with shuffles_dropped(lines.sparkSession):
+        enc = lookup.cut_cells(enc, "counts-ids")
     dense = n_vocab if voc.dense and not p.positional else None
     own = lookup.Named.of(dense, voc) if named else dense
     return assoc.exp_pmi(enc, p.cds, max_rows=n_vocab, max_cols=n_vocab * 2 * p.win if p.positional else n_vocab, dense=own), voc, n_vocab, dense
