@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordfold.operators.blocks import block_scores, cogroup_blocks
+from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, Blocks, block_scores, exact_scores, matrix, streamed
 from wordfold.operators.corpus import assign_ids
 from wordfold.operators.grouped import running_sums_before
 from wordfold.operators.vectors import _dim, normalize_vectors, represent, similarity
@@ -61,58 +63,95 @@ QUESTION_ROWS = 1 << 15
 NEAR_ADD, NEAR_MUL = 1e-4, 2e-3
 
 
-def _exact(rows: np.ndarray, cols: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Products of listed rows, summed as :func:`block_scores` sums them."""
-    left, right = pairs
-    total = np.zeros(len(left))
-    for d in range(rows.shape[1]):
-        total += rows[left, d] * cols[right, d]
-    return total
+METHODS = ("add", "mul")
 
 
-def _analogy_kernel(dense: bool):
+def _best_words(asked: list[np.ndarray], hide: np.ndarray, vecs: np.ndarray, dense: bool, methods: tuple[str, ...],
+                least: dict[str, np.ndarray] | None = None) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(method, question, row of ``vecs``, score) of the best row for every
+    question, the first one of equals, less those below ``least`` so far;
+    ``asked`` are the vectors of a, a_ and b, ``hide`` the rows that stand for
+    these (or -1)."""
     half = (lambda x: (x + 1.0) / 2.0) if dense else (lambda x: x)
-
+    # single precision finds what is near the best of unit vectors; others are scored exactly throughout
+    unit = dense and all(np.square(x).sum(axis=1).max() <= 1.0 + 1e-6 for x in (vecs, *asked))
+    columns, singles = np.ascontiguousarray(vecs.T, np.float32), [x.astype(np.float32) for x in asked]
+    added = (asked[1] + asked[2] - asked[0]).astype(np.float32) / np.float32(2)
+    step = max(1, QUESTION_SCORES // len(vecs))
+    for lo in range(0, len(asked[0]), step):
+        some = slice(lo, lo + step)
+        parts = [half(x[some] @ columns) if unit else half(block_scores(y[some], vecs))
+                 for x, y in zip(singles, asked, strict=True)] if not unit or "mul" in methods else None
+        which, hidden = np.nonzero(hide[:, some].T >= 0)[0], hide[:, some].T
+        hidden = hidden[hidden >= 0]
+        for name in methods:
+            if name == "add":
+                total = added[some] @ columns + np.float32(0.5) if unit else -parts[0] + parts[1] + parts[2]
+            else:
+                total = parts[1] * parts[2] / (parts[0] + (np.float32(0.01) if unit else 0.01))
+            total[which, hidden] = -np.inf
+            best = total.max(axis=1)
+            best = best if least is None else np.maximum(best, least[name][some])
+            near = (NEAR_ADD if name == "add" else NEAR_MUL * (1 + np.abs(best))) if unit else 0.0
+            row, col = np.nonzero((total >= (best - near)[:, None]) & np.isfinite(total))
+            if unit:
+                x, x_, y = (half(exact_scores(z[some], vecs, row, col)) for z in asked)
+                score = -x + x_ + y if name == "add" else x_ * y / (x + 0.01)
+            else:
+                score = total[row, col]
+            order = np.lexsort((col, -score, row))
+            first = order[np.flatnonzero(np.r_[True, row[order][1:] != row[order][:-1]][:len(order)])]
+            yield name, lo + row[first], col[first], score[first]
+
+
+def _analogy_kernel(dense: bool, methods: tuple[str, ...] = METHODS):
     def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = {"qid": [np.zeros(0, np.int64)], "method": [np.zeros(0, object)], "word": [np.zeros(0, object)], "score": [np.zeros(0)]}
         if len(q) and len(c):
             c = c.sort_values("word")  # the first best is the smallest word
             words = c["word"].to_numpy().astype(object)
             place = {w: n for n, w in enumerate(words)}
-            vecs = np.stack(c["vec"].to_numpy()).astype(float)
-            asked = [np.stack(q[x].to_numpy()).astype(float) for x in ("va", "va_", "vb")]
-            # single precision finds what is near the best of unit vectors; others are scored exactly throughout
-            unit = dense and all(np.square(x).sum(axis=1).max() <= 1.0 + 1e-6 for x in (vecs, *asked))
-            columns, singles = np.ascontiguousarray(vecs.T, np.float32), [x.astype(np.float32) for x in asked]
             hide = np.array([[place.get(w, -1) for w in q[x]] for x in ("a", "a_", "b")])
+            asked = [np.stack(q[x].to_numpy()).astype(float) for x in ("va", "va_", "vb")]
             qid = q["qid"].to_numpy().astype(np.int64)
-            step = max(1, QUESTION_SCORES // len(c))
-            for lo in range(0, len(q), step):
-                some = slice(lo, lo + step)
-                a, a_, b = (half(x[some] @ columns) if unit else half(block_scores(y[some], vecs)) for x, y in zip(singles, asked, strict=True))
-                which, hidden = np.nonzero(hide[:, some].T >= 0)[0], hide[:, some].T
-                hidden = hidden[hidden >= 0]
-                for name, total in (("add", -a + a_ + b), ("mul", a_ * b / (a + (np.float32(0.01) if unit else 0.01)))):
-                    total[which, hidden] = -np.inf
-                    best = total.max(axis=1)
-                    near = (NEAR_ADD if name == "add" else NEAR_MUL * (1 + np.abs(best))) if unit else 0.0
-                    row, col = np.nonzero((total >= (best - near)[:, None]) & np.isfinite(total))
-                    if unit:
-                        x, x_, y = (half(_exact(z[some], vecs, (row, col))) for z in asked)
-                        score = -x + x_ + y if name == "add" else x_ * y / (x + 0.01)
-                    else:
-                        score = total[row, col]
-                    order = np.lexsort((col, -score, row))
-                    first = order[np.flatnonzero(np.r_[True, row[order][1:] != row[order][:-1]][:len(order)])]
-                    found["qid"].append(qid[some][row[first]])
-                    found["method"].append(np.full(len(first), name, object))
-                    found["word"].append(words[col[first]])
-                    found["score"].append(score[first])
+            for name, row, col, score in _best_words(asked, hide, np.stack(c["vec"].to_numpy()).astype(float), dense, methods):
+                found["qid"].append(qid[row])
+                found["method"].append(np.full(len(row), name, object))
+                found["word"].append(words[col])
+                found["score"].append(score)
         return pd.DataFrame({k: np.concatenate(v) for k, v in found.items()})
 
     return kernel
 
 
+def _guessed(blocks: Blocks, dense: bool, methods: tuple[str, ...]):
+    """Questions ``qid, a, a_, b, va, va_, vb`` meet the blocks of words in
+    turn and keep the best one so far."""
+
+    def run(questions: pa.Table) -> Iterator[pa.RecordBatch]:
+        one = {c: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for c, x in zip(questions.column_names, questions.columns, strict=True)}
+        asked, names = [matrix(one[c]) for c in ("va", "va_", "vb")], [one[c].to_pylist() for c in ("a", "a_", "b")]
+        score = {m: np.full(len(questions), -np.inf) for m in methods}
+        guess = {m: np.full(len(questions), None, object) for m in methods}
+        for b in range(len(blocks.tops)):
+            words, vecs, _ = blocks.read(b)
+            words = np.array(words.to_pylist(), object)
+            order = np.argsort(words, kind="stable")  # the first best is the smallest word
+            words, vecs = words[order], vecs[order]
+            place = {w: n for n, w in enumerate(words)}
+            hide = np.array([[place.get(w, -1) for w in x] for x in names])
+            for m, row, col, found in _best_words(asked, hide, vecs, dense, methods, score):
+                word = words[col]
+                new = (found > score[m][row]) | (found == score[m][row]) & (word < np.where(guess[m][row] == None, "", guess[m][row]))  # noqa: E711
+                score[m][row[new]], guess[m][row[new]] = found[new], word[new]
+        for m in methods:
+            have = np.flatnonzero(score[m] > -np.inf)
+            yield pa.RecordBatch.from_arrays([one["qid"].take(pa.array(have)), pa.array([m] * len(have), pa.string()), pa.array(guess[m][have].tolist(), pa.string()), pa.array(score[m][have])],
+                                             ["qid", "method", "word", "score"])
+
+    return run
+
+
 def _question_rows(test: DataFrame, vecs: DataFrame) -> int:
     """Rows of a block: as many blocks as keep the cores busy, no more, for
     each side is sent once to every block of the other."""
@@ -122,10 +161,11 @@ def _question_rows(test: DataFrame, vecs: DataFrame) -> int:
 
 
 def analogy_guesses(test: DataFrame, vecs: DataFrame, dense: bool = True,
-                    block_rows: int | None = None) -> DataFrame:
+                    block_rows: int | None = None, methods: tuple[str, ...] = METHODS) -> DataFrame:
     """H5/H6. (qid, method, guess): argmax of -s(a)+s(a_)+s(b) ('add') and of
     s(a_)*s(b)/(s(a)+0.01) ('mul') over the vocabulary, question words excluded,
-    ties to the smaller word. Unknown question words use the zero vector."""
+    ties to the smaller word. Unknown question words use the zero vector. Each
+    task's questions meet the written blocks of words in turn."""
     k = _dim(vecs)
 
     def vec_of(col: str, out: str) -> DataFrame:
@@ -134,8 +174,8 @@ def analogy_guesses(test: DataFrame, vecs: DataFrame, dense: bool = True,
 
     q = (test.select("qid", "a", "a_", "b")
          .join(vec_of("a", "va"), "a", "left").join(vec_of("a_", "va_"), "a_", "left").join(vec_of("b", "vb"), "b", "left"))
-    local = cogroup_blocks(q, vecs.select("word", "vec"), ["qid"], ["word"], _analogy_kernel(dense),
-                           "qid long, method string, word string, score double", block_rows or _question_rows(test, vecs))
+    blocks = Blocks(vecs.where(F.col("vec").isNotNull()), "word", "vec", block_rows or min(DEFAULT_BLOCK_ROWS, _question_rows(test, vecs)))
+    local = streamed(q, "qid", _guessed(blocks, dense, methods), "qid long, method string, word string, score double")
     w = Window.partitionBy("qid", "method").orderBy(F.desc("score"), F.asc("word"))
     return local.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select(
         "qid", "method", F.col("word").alias("guess"))

@@ -8,15 +8,12 @@ local top-n per query before the final ranking window.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wordfold.functions import vec as V
 from wordfold.operators import assoc, lookup, sparse
-from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, best_of, block_scores, pruned_blocks
+from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, top_candidates
 from wordfold.session import cut_lineage, size_bounded_broadcast
 
 
@@ -48,30 +45,10 @@ def similarity(pairs: DataFrame, vecs: DataFrame, a: str = "w1", b: str = "w2")
     )
 
 
-def _topn_kernel(n: int, drop_self: bool = False):
-    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({"query": pd.Series([], dtype=object), "word": pd.Series([], dtype=object),
-                                 "score": pd.Series([], dtype=float)})
-        c = c.sort_values("word", ascending=False)  # equal scores: word descending
-        words, asked = c["word"].to_numpy().astype(object), q["query"].to_numpy().astype(object)
-        scores = block_scores(np.stack(q["qvec"].to_numpy()), np.stack(c["vec"].to_numpy()))
-        if drop_self:
-            scores[asked[:, None] == words[None, :]] = -np.inf
-        row, col = best_of(scores, n)
-        return pd.DataFrame({"query": asked[row], "word": words[col], "score": scores[row, col]})
-
-    return kernel
-
-
-TOPN_SCHEMA = "query string, word string, score double"
-
-
 def _closest(words: DataFrame, vecs: DataFrame, cands: DataFrame, n: int, block_rows: int, drop_self: bool, report: dict | None) -> DataFrame:
     q = represent(words.select("word").distinct(), vecs, _dim(vecs)).select(F.col("word").alias("query"), F.col("vec").alias("qvec"))
-    local = pruned_blocks(q, cands.select("word", "vec"), "query", "word", "qvec", _topn_kernel(n, drop_self), TOPN_SCHEMA, n, block_rows, report=report)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("word"))
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    best = top_candidates(q, cands.select("word", "vec"), "query", "word", "qvec", n, True, block_rows, drop_self=drop_self, report=report)
+    return best.select("query", "word", "score", "rank")
 
 
 def closest(words: DataFrame, vecs: DataFrame, n: int = 10, block_rows: int = DEFAULT_BLOCK_ROWS,

@@ -305,13 +305,13 @@ best AS (SELECT qid, b_, method, word AS guess FROM (
 """
 
 
-def _guesses(s, sf):
-    return evaluate.analogy_guesses(fx.analogy_questions(s, sf), _wv(s, sf), True)
+def _guesses(s, sf, method):
+    return evaluate.analogy_guesses(fx.analogy_questions(s, sf), _wv(s, sf), True, methods=(method,))
 
 
-QUERIES["analogy_add"] = lambda s, sf: _guesses(s, sf).where(F.col("method") == "add").select("qid", "guess")
+QUERIES["analogy_add"] = lambda s, sf: _guesses(s, sf, "add").where(F.col("method") == "add").select("qid", "guess")
 SQL["analogy_add"] = ANALOGY_SQL + "SELECT qid, guess FROM best WHERE method = 'add'"
-QUERIES["analogy_mul"] = lambda s, sf: _guesses(s, sf).where(F.col("method") == "mul").select("qid", "guess")
+QUERIES["analogy_mul"] = lambda s, sf: _guesses(s, sf, "mul").where(F.col("method") == "mul").select("qid", "guess")
 SQL["analogy_mul"] = ANALOGY_SQL + "SELECT qid, guess FROM best WHERE method = 'mul'"
 QUERIES["analogy_accuracy"] = lambda s, sf: evaluate.analogy_accuracy(fx.analogy_questions(s, sf), _wv(s, sf)).select(
     "method", r6(F.col("accuracy")).alias("accuracy"))
