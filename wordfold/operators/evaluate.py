@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, Blocks, block_scores, exact_scores, matrix, streamed
+from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, Blocks, block_scores, exact_scores, matrix, streamed, where
 from wordfold.operators.corpus import assign_ids
 from wordfold.operators.grouped import running_sums_before
 from wordfold.operators.vectors import _dim, normalize_vectors, represent, similarity
@@ -93,7 +93,9 @@ def _best_words(asked: list[np.ndarray], hide: np.ndarray, vecs: np.ndarray, den
             best = total.max(axis=1)
             best = best if least is None else np.maximum(best, least[name][some])
             near = (NEAR_ADD if name == "add" else NEAR_MUL * (1 + np.abs(best))) if unit else 0.0
-            row, col = np.nonzero((total >= (best - near)[:, None]) & np.isfinite(total))
+            row, col = where(total >= (best - near)[:, None])
+            good = np.isfinite(total[row, col])
+            row, col = row[good], col[good]
             if unit:
                 x, x_, y = (half(exact_scores(z[some], vecs, row, col)) for z in asked)
                 score = -x + x_ + y if name == "add" else x_ * y / (x + 0.01)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wordfold.functions import vec as V
 from wordfold.operators.grouped import running_sums_before
-from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, Blocks, exact_scores, finite, matrix, near, streamed, top_candidates
+from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, Blocks, exact_scores, finite, matrix, near, streamed, top_candidates, where
 from wordfold.session import cut_lineage
 
 #: Query rows scored against a block at once.
@@ -188,7 +188,7 @@ def _beaten(q: np.ndarray, of: np.ndarray, js: np.ndarray, ss: np.ndarray, c: np
         beat[cells] = (own + 1) * len(ids) - most_at
         unsure = np.flatnonzero(most_at > least)
         for some in np.array_split(unsure, -(-len(unsure) // 256)) if len(unsure) else ():
-            at, col = np.nonzero(np.abs(scores[own[some]] - want[some, None]) <= 1.01 * off)
+            at, col = where(np.abs(scores[own[some]] - want[some, None].astype(np.float32)) <= np.float32(1.1 * off))
             cell = cells[some][at]
             score = exact_scores(q, c, of[cell], col)
             better = (score > ss[cell]) | (score == ss[cell]) & (ids[col] < js[cell])
