@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wordfold.operators import lookup
 from wordfold.operators.lookup import _place
-from wordfold.session import checkpoint_dir, cut_lineage
+from wordfold.session import checkpoint_dir, cut_lineage, size_bounded_broadcast
 
 #: Bytes of query rows in a block.
 QUERY_BYTES = 64 << 20
@@ -239,6 +239,67 @@ def together(m: DataFrame) -> DataFrame:
     return lookup._pass(lookup.renamed(m, {c: c for c in ("word", "context", "v")}), run, "word long, contexts array<long>, values array<double>")
 
 
+def most(m: DataFrame, n: int) -> DataFrame:
+    """The cells of every word that are as high as its n-th highest, at least;
+    ``m`` is packed and lies word by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            row, v = np.repeat(np.arange(len(sizes)), sizes), batch.column(2).flatten().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            least = v[np.lexsort((-v, row))][starts + np.minimum(sizes, n) - 1]
+            some = np.flatnonzero(v >= least[row])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[some])), batch.column(1).flatten().take(pa.array(some)), pa.array(v[some])], ["word", "context", "v"])
+
+    return lookup._pass(together(m), run, "word long, context long, v double")
+
+
+def listed(m: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """The cells whose ``word * words + context`` is in the written table
+    ``key, cell`` (twice the same), which every worker reads; ``m`` is packed."""
+    path = keys.written_at
+    word, context = (m.columns.index(c) for c in ("word", "context"))
+
+    def some(batch: pa.RecordBatch) -> list:
+        known = lookup.held(path, "key", ("cell",))["cell"].to_numpy()
+        key = batch.column(word).to_numpy() * words + batch.column(context).to_numpy()
+        found = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
+        return [x.filter(pa.array(found)) for x in batch.columns]
+
+    return lookup.computed(m, m.schema.fields, some)
+
+
+#: Pairs of rows that meet in one task.
+PAIRS_TOGETHER = 256
+
+
+def row_products(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b, sim): products of the rows ``word, contexts, values`` of listed
+    ids, where both have one and they share a context. Pairs meet by ``at``,
+    and a row goes to each meeting it has a pair in."""
+    pairs = cut_lineage(pairs.select("a", "b", F.floor(F.col("at") / PAIRS_TOGETHER).alias("_at")), "row-pairs")
+    needed = pairs.select(F.col("a").alias("word"), "_at").union(pairs.select("b", "_at")).distinct()
+    moved = rows.join(size_bounded_broadcast(cut_lineage(needed.groupBy("word").agg(F.collect_set("_at").alias("_to")), "row-places")), "word").select("word", "contexts", "values", F.explode("_to").alias("_at"))
+
+    def meet(asked: pa.Table, found: pa.Table) -> pa.Table:
+        words = {w: k for k, w in enumerate(found["word"].to_pylist())}
+        lists = [found[c].combine_chunks() for c in ("contexts", "values")]
+        starts = lists[0].offsets.to_numpy() - lists[0].offsets.to_numpy()[0] if len(words) else np.zeros(1, np.int64)
+        contexts, values = (x.flatten().to_numpy() for x in lists)
+        out: list = []
+        for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist(), strict=True):
+            if a in words and b in words:
+                (x, y) = (slice(starts[words[w]], starts[words[w] + 1]) for w in (a, b))
+                at = np.minimum(np.searchsorted(contexts[y], contexts[x]), max(y.stop - y.start - 1, 0))
+                same = contexts[y][at] == contexts[x]
+                if same.any():
+                    out.append((a, b, float(np.sum(values[x][same] * values[y][at[same]]))))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "sim": pa.array([o[2] for o in out], pa.float64())})
+
+    return pairs.groupBy("_at").cogroup(moved.groupBy("_at")).applyInArrow(meet, "a long, b long, sim double")
+
+
 def _asked(m: DataFrame, wanted: DataFrame) -> DataFrame:
     """The cells of words that the written table ``wid, asked`` marks."""
     found = lookup.attach(m, [("word", wanted, "wid", {"asked": "asked"})])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wordfold.functions import vec as V
 from wordfold.operators import assoc, lookup, sparse
+from wordfold.operators.coo import dense_ids
 from wordfold.operators.blocks import DEFAULT_BLOCK_ROWS, top_candidates
 from wordfold.session import cut_lineage, size_bounded_broadcast
 
@@ -128,9 +129,17 @@ def positive_explicit(epmi: DataFrame, neg: float = 1.0, normalize: bool = True,
     return assoc.l2_normalize_rows(m, "word", "v", max_rows, dense) if normalize else m
 
 
-def explicit_similarity(pairs: DataFrame, m: DataFrame, a: str = "w1", b: str = "w2") -> DataFrame:
+def explicit_similarity(pairs: DataFrame, m: DataFrame, a: str = "w1", b: str = "w2", ids: DataFrame | None = None) -> DataFrame:
     """G12. Sparse row dot product for listed pairs; 0 when rows share no context.
-    The matrix feeds both sides of the pair join: written once, read twice."""
+    The matrix feeds both sides of the pair join: written once, read twice.
+    With ``ids`` (word, wid) the matrix is on these, packed and word by word:
+    rows move whole, to where their pairs are (those near in order of ``a``)."""
+    if ids is not None:
+        known = [ids.select(F.col("word").alias(c), F.col("wid").alias(f"_{c}")) for c in (a, b)]
+        asked = cut_lineage(dense_ids(pairs.select(a, b).distinct(), [a, b], "at").join(known[0], a).join(known[1], b), "pair-ids")
+        products = sparse.row_products(asked.select(F.col(f"_{a}").alias("a"), F.col(f"_{b}").alias("b"), "at"), sparse.together(m))
+        sims = asked.join(products.select(F.col("a").alias(f"_{a}"), F.col("b").alias(f"_{b}"), "sim"), [f"_{a}", f"_{b}"]).select(a, b, "sim")
+        return pairs.join(sims, [a, b], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
     m = cut_lineage(m.select("word", "context", "v"), "explicit-matrix")
     p = pairs.select(a, b).distinct()
     left = p.join(m.select(F.col("word").alias(a), "context", F.col("v").alias("_va")), a)
@@ -139,15 +148,27 @@ def explicit_similarity(pairs: DataFrame, m: DataFrame, a: str = "w1", b: str =
     return pairs.join(sims, [a, b], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
 
 
-def explicit_first_order(pairs: DataFrame, m: DataFrame) -> DataFrame:
-    """G13. Cell lookup m[word, context]; absent cells (and unknown keys) give 0."""
+def explicit_first_order(pairs: DataFrame, m: DataFrame, ids: DataFrame | None = None, n_ids: int = 0, named=None) -> DataFrame:
+    """G13. Cell lookup m[word, context]; absent cells (and unknown keys) give 0.
+    With ``ids`` (word, wid; ``n_ids`` of them) the matrix is packed on these:
+    cells are picked where they are unpacked and then ``named``."""
+    if ids is not None:
+        known = [ids.select(F.col("word").alias(c), F.col("wid").alias(f"_{c}")) for c in ("word", "context")]
+        keys = pairs.select("word", "context").distinct().join(known[0], "word").join(known[1], "context").select((F.col("_word") * n_ids + F.col("_context")).alias("key"))
+        keys = cut_lineage(keys.withColumn("cell", F.col("key")), "pair-keys")
+        m = named(sparse.listed(m, keys, n_ids)) if lookup.fits(keys) else named(m)
     return pairs.join(m.select("word", "context", F.col("v").alias("sim")), ["word", "context"], "left").withColumn(
         "sim", F.coalesce("sim", F.lit(0.0))
     )
 
 
-def explicit_closest_contexts(words: DataFrame, m: DataFrame, n: int = 10) -> DataFrame:
-    """G14. Top-n stored cells of each requested row (ties: context descending)."""
+def explicit_closest_contexts(words: DataFrame, m: DataFrame, n: int = 10, named=None) -> DataFrame:
+    """G14. Top-n stored cells of each requested row (ties: context descending).
+    With ``named`` the matrix is on ids, packed and word by word: cells below a
+    row's n-th are dropped where they are unpacked, and the others named."""
+    if named is not None:
+        m = cut_lineage(named(sparse.most(m, n)), "highest-cells", "zstd")
+        words = m.select("word") if words is None else words
     sel = m.join(size_bounded_broadcast(words.select("word").distinct()), "word", "left_semi")
     w = Window.partitionBy("word").orderBy(F.desc("v"), F.desc("context"))
     return sel.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from wordfold.functions.rand import keyed_uniform, lit_key, sql_uniform
 from wordfold.functions.text import tokens
-from wordfold.operators import assoc, evaluate, vectors
+from wordfold.operators import assoc, evaluate, lookup, vectors
 from wordfold.plans import fixtures as fx
 from wordfold.plans.catalog_corpus import C_CORPUS, P, _counts, _with, c_pairs
 from wordfold.plans.sql_fixtures import analogy_cte, assoc_ctes, d, event_matrix_cte, factor_ctes, word_vectors_cte, wordsim_cte
+from wordfold.session import cut_lineage
 
 QUERIES = {}
 SQL = {}
@@ -186,12 +187,25 @@ QUERIES["representation"] = lambda s, sf: _ppmi_rep(s, sf).select("word", "conte
 SQL["representation"] = _with(*CORPUS_ASSOC) + PPMI_REP + "\nSELECT word, context, round(v, 6) AS v FROM rep"
 
 
-def _neighbour_pairs(s, sf, rep=None):
+def _rep_ids(s, sf):
+    """The PPMI representation on vocabulary ids, word by word where cells are
+    packed: (cells, vocabulary, its size, what names cells or None)."""
+    from wordfold.operators import corpus
+    from wordfold.plans.ppmi import epmi_ids
+
+    ep, voc, nv, dense = epmi_ids(fx.corpus_lines(s, sf), P, by_word=True)
+    rep = vectors.representation("PPMI", epmi=ep, neg=NEG, max_rows=nv, dense=dense)
+    named = lambda cells: corpus.decode_counts(cells, voc, P.win, False, vocab_rows=nv)
+    return (rep, voc, nv, named) if lookup.is_packed(rep) else (named(rep), None, nv, None)
+
+
+def _neighbour_pairs(s, sf, rep=None, named=None):
     """(w1, w2) = consecutive words of the sorted vocabulary of the representation."""
     from wordfold.operators.coo import dense_ids
 
     rep = _ppmi_rep(s, sf) if rep is None else rep
-    words = dense_ids(rep.select("word").distinct(), ["word"], "k")
+    words = rep.select("word").distinct() if named is None else cut_lineage(named(lookup.sums(rep, "word", "v", "v")).select("word"), "words")
+    words = dense_ids(words, ["word"], "k")
     nxt = words.select(F.col("word").alias("w2"), (F.col("k") - 1).alias("k"))
     return words.withColumnRenamed("word", "w1").join(nxt, "k").select("w1", "w2")
 
@@ -201,20 +215,33 @@ vk AS (SELECT word, row_number() OVER (ORDER BY word) AS k FROM (SELECT DISTINCT
 nb AS (SELECT a.word AS w1, b.word AS w2 FROM vk a JOIN vk b ON b.k = a.k + 1)"""
 
 # one corpus build per query: the test pairs and the matrix come from the same representation
-QUERIES["explicit_similarity"] = lambda s, sf: (lambda m: vectors.explicit_similarity(_neighbour_pairs(s, sf, m), m))(
-    _ppmi_rep(s, sf)).select("w1", "w2", r6(F.col("sim")).alias("sim"))
+def _explicit_similarity(s, sf):
+    m, voc, _, named = _rep_ids(s, sf)
+    return vectors.explicit_similarity(_neighbour_pairs(s, sf, m, named), m, ids=voc)
+
+
+def _explicit_first_order(s, sf):
+    m, voc, nv, named = _rep_ids(s, sf)
+    pairs = _neighbour_pairs(s, sf, m, named).select(F.col("w1").alias("word"), F.col("w2").alias("context"))
+    return vectors.explicit_first_order(pairs, m, voc, nv, named)
+
+
+def _explicit_closest_contexts(s, sf):
+    m, _, _, named = _rep_ids(s, sf)
+    return vectors.explicit_closest_contexts(m.select("word") if named is None else None, m, N, named)
+
+
+QUERIES["explicit_similarity"] = lambda s, sf: _explicit_similarity(s, sf).select("w1", "w2", r6(F.col("sim")).alias("sim"))
 SQL["explicit_similarity"] = _with(*CORPUS_ASSOC) + PPMI_REP + SQL_NEIGHBOURS + """
 SELECT nb.w1, nb.w2, round(coalesce(sum(a.v * b.v), 0.0), 6) AS sim
 FROM nb LEFT JOIN rep a ON a.word = nb.w1 LEFT JOIN rep b ON b.word = nb.w2 AND b.context = a.context
 GROUP BY nb.w1, nb.w2"""
-QUERIES["explicit_first_order"] = lambda s, sf: (lambda m: vectors.explicit_first_order(
-    _neighbour_pairs(s, sf, m).select(F.col("w1").alias("word"), F.col("w2").alias("context")), m))(_ppmi_rep(s, sf)).select(
-    "word", "context", r6(F.col("sim")).alias("sim"))
+QUERIES["explicit_first_order"] = lambda s, sf: _explicit_first_order(s, sf).select("word", "context", r6(F.col("sim")).alias("sim"))
 SQL["explicit_first_order"] = _with(*CORPUS_ASSOC) + PPMI_REP + SQL_NEIGHBOURS + """
 SELECT nb.w1 AS word, nb.w2 AS context, round(coalesce(rep.v, 0.0), 6) AS sim
 FROM nb LEFT JOIN rep ON rep.word = nb.w1 AND rep.context = nb.w2"""
-QUERIES["explicit_closest_contexts"] = lambda s, sf: (lambda m: vectors.explicit_closest_contexts(m.select("word"), m, N))(
-    _ppmi_rep(s, sf)).select("query", F.col("rank").cast("long").alias("rank"), "word", r6(F.col("score")).alias("score"))
+QUERIES["explicit_closest_contexts"] = lambda s, sf: _explicit_closest_contexts(s, sf).select(
+    "query", F.col("rank").cast("long").alias("rank"), "word", r6(F.col("score")).alias("score"))
 SQL["explicit_closest_contexts"] = _with(*CORPUS_ASSOC) + PPMI_REP + f"""
 SELECT query, rank, word, round(score, 6) AS score FROM (
   SELECT word AS query, context AS word, v AS score,
