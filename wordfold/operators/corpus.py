@@ -66,7 +66,12 @@ def mask_tokens(lines: DataFrame, voc_p: DataFrame, seed: int = 17, chunk_tokens
     implied by ``pos``. With ``token_col`` (e.g. ``wid``) the kept token is
     that vocabulary column instead of the word string. Lines in several rows
     tell where a row starts and how many tokens the line has (``start``,
-    ``line_tokens``)."""
+    ``line_tokens``). With what :func:`dense_token_ids` wrote, lines that stand
+    in one row are masked where they are read."""
+    if getattr(voc_p, "dense", False) is True and "start" not in lines.columns and token_col == "word":
+        from wordfold.operators import windows
+
+        return windows.kept_tokens(windows.whole_lines(lines), voc_p, seed, chunk_tokens)
     parts = "start" in lines.columns
     size = F.col("line_tokens") if parts else F.size("toks")
     toks = lines.select(
@@ -100,7 +105,12 @@ def delete_placeholders(kept: DataFrame, chunk_tokens: int = DEFAULT_CHUNK) -> D
     """B5. (doc_id, line_no, q, pos, word): dense 0-based positions of kept tokens.
 
     Offsets come from a running sum over per-chunk sizes (one small row per
-    chunk), so a long line is numbered by many tasks."""
+    chunk), so a long line is numbered by many tasks. Tokens that follow each
+    other by line are counted where they are."""
+    if getattr(kept, "by_line", False) is True:
+        from wordfold.operators import windows
+
+        return windows.numbered(kept)
     cells = _chunk_cells(kept, chunk_tokens)
     w = Window.partitionBy("doc_id", "line_no").orderBy("chunk")
     offs = cells.select("doc_id", "line_no", "chunk", F.size("cells").alias("k"))

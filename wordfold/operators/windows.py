@@ -122,6 +122,69 @@ class Windows:
             yield (x * self.n + y) * (self.win + 1) + off, there, back
 
 
+def kept_tokens(lines: DataFrame, voc: DataFrame, seed: int, chunk_tokens: int) -> DataFrame:
+    """B4 (doc_id, line_no, pos, word, n_chunks) of lines ``doc_id, line_no,
+    toks, places``, masked where they are read: a line's tokens follow each
+    other in order (``by_line``). ``voc`` is the written vocabulary ``word,
+    p_drop, wid`` with dense ids."""
+    path = voc.written_at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, words = None, None
+        for batch in batches:
+            if windows is None:
+                windows = Windows(*_vocabulary(path), 1, False, False, True, seed, chunk_tokens)
+                words = windows.ids.words
+            upto = np.cumsum(np.diff(batch.column(2).offsets.to_numpy()))
+            cut = np.r_[0, np.flatnonzero(np.diff(upto // TOKENS)) + 1, batch.num_rows]
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                part = batch.slice(lo, hi - lo)
+                row, pos, word = windows.kept(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3))
+                chunks = -(-np.diff(part.column(2).offsets.to_numpy()) // chunk_tokens)
+                for at in range(0, len(row), ROWS):
+                    some = slice(at, at + ROWS)
+                    of = pa.array(row[some])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(pos[some], pa.int32()), words.take(pa.array(word[some])),
+                                                      pa.array(chunks[row[some]], pa.int32())], ["doc_id", "line_no", "pos", "word", "n_chunks"])
+
+    out = lines.select("doc_id", "line_no", "toks", "places").mapInArrow(run, "doc_id long, line_no int, pos int, word string, n_chunks int")
+    out.by_line = True
+    return out
+
+
+def numbered(kept: DataFrame) -> DataFrame:
+    """B5 (doc_id, line_no, q, pos, word) of :func:`kept_tokens`: a token's
+    place among its line's, counted where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, done = None, 0  # the line that may go on, and its tokens so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, line = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            none = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc = np.where(none, 0, doc).astype(np.int64)
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (none[1:] != none[:-1]) | (line[1:] != line[:-1])]
+            starts = np.flatnonzero(new)
+            q = np.arange(batch.num_rows) - np.repeat(starts, np.diff(np.r_[starts, batch.num_rows]))
+            first = doc[0], none[0], line[0]
+            if first == last:
+                q[:starts[1] if len(starts) > 1 else batch.num_rows] += done
+            last, done = (doc[-1], none[-1], line[-1]), int(q[-1]) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(q), batch.column(2), batch.column(3)], ["doc_id", "line_no", "q", "pos", "word"])
+
+    return kept.mapInArrow(run, "doc_id long, line_no int, q long, pos int, word string")
+
+
+def _vocabulary(path: str) -> tuple[pa.Table, Ids]:
+    """The written vocabulary and its words' ids, as a worker holds them."""
+    table = held(path, "wid", ("word", "p_drop"))
+    if path not in _ids:
+        _ids.clear()
+        _ids[path] = Ids(table["word"].combine_chunks() if isinstance(table["word"], pa.ChunkedArray) else table["word"])
+    return table, _ids[path]
+
+
 def bucket_of(keys: np.ndarray, words: int, win: int, buckets: int) -> np.ndarray:
     pair = keys // (win + 1)
     mixed = ((pair // words * SPREAD + pair % SPREAD).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
@@ -229,11 +292,7 @@ def line_pair_counts(lines: DataFrame, voc: DataFrame, n_vocab: int, pairs: floa
         windows, found, many = None, [], 0
         for batch in batches:
             if windows is None:
-                table = held(path, "wid", ("word", "p_drop"))
-                if path not in _ids:
-                    _ids.clear()
-                    _ids[path] = Ids(table["word"].combine_chunks() if isinstance(table["word"], pa.ChunkedArray) else table["word"])
-                windows = Windows(table, _ids[path], win, dyn, positional, delete, seed, chunk_tokens)
+                windows = Windows(*_vocabulary(path), win, dyn, positional, delete, seed, chunk_tokens)
             doc, line = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             upto = np.cumsum(np.diff(batch.column(2).offsets.to_numpy()))
             cut = np.r_[0, np.flatnonzero(np.diff(upto // TOKENS)) + 1, batch.num_rows]

@@ -113,7 +113,7 @@ SQL["mask_tokens"] = _with(C_CORPUS) + "SELECT doc_id, line_no, pos, word FROM k
 
 # B5 delete_placeholders: dense positions after removal
 QUERIES["delete_placeholders"] = lambda s, sf: corpus.delete_placeholders(
-    corpus.mask_tokens(_lines(s, sf), _vp(s, sf).persist(), P.seed)).select(
+    corpus.mask_tokens(_lines(s, sf), corpus.dense_token_ids(_vp(s, sf)), P.seed)).select(
     "doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("q").cast("long").alias("q"), "word")
 SQL["delete_placeholders"] = _with(C_CORPUS) + (
     "SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY pos) - 1 AS q, word FROM kept")
