@@ -245,7 +245,7 @@ def rank_positives(truth: DataFrame, w: DataFrame, h: DataFrame, ignored: DataFr
             beat += _beaten(q, of, j, s, c, ids.to_numpy(), most)
         yield pa.RecordBatch.from_arrays([i.take(pa.array(of)), pa.array(j), pa.array(beat)], ["i", "j", "beat"])
 
-    beat = streamed(asked, "_deal", beaten, "i long, j long, beat long")
+    beat = streamed(asked, "_deal", beaten, "i long, j long, beat long").groupBy("i", "j").agg(F.sum("beat").alias("beat"))
     # range-partitioned running sums: a hot row is split over many tasks
     ev = running_sums_before(scored.withColumn("is_pos", 1 - F.col("is_ign")), ["i"], [F.desc("s"), F.asc("j")],
                              ["is_ign", "is_pos"]).where(F.col("is_ign") == 0)
