@@ -8,6 +8,8 @@ it a shuffle join does the same.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +39,14 @@ def fits(table: DataFrame) -> bool:
     return table.agg(F.coalesce(F.sum(row_bytes(table)), F.lit(0))).first()[0] <= WORKER_BYTES
 
 
+def freed() -> None:
+    """Gives back what the process doesn't use: a worker that waits for its
+    next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _place(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")

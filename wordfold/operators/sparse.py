@@ -23,9 +23,9 @@ from wordfold.operators.lookup import _place
 from wordfold.session import checkpoint_dir, cut_lineage, size_bounded_broadcast
 
 #: Bytes of query rows in a block.
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 32 << 20
 #: Cells of candidate rows scored together; products expanded and sums held at once.
-BLOCK_CELLS, PRODUCTS, SUMS = 1 << 20, 1 << 22, 1 << 22
+BLOCK_CELLS, PRODUCTS, SUMS = 1 << 19, 1 << 20, 1 << 21
 #: Bytes of a cell, and of a row beside its cells.
 CELL_BYTES, ROW_BYTES = 16, 64
 #: Rounding error of a sum, as a share of the sum of its terms' sizes, at most.
@@ -181,15 +181,17 @@ def _queries(path: str, block: int, keep: bool) -> Queries:
 
 def _scored(path: str, blocks: list[int], batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Top rows of what a task reads. It meets the query blocks in turn with
-    about ``BLOCK_CELLS`` cells, or more where there are many of them."""
+    about ``BLOCK_CELLS`` cells."""
     waiting, held, best = [], 0, {}
-    cells = BLOCK_CELLS * min(2, len(blocks))
+    cells = BLOCK_CELLS
 
     def meet() -> None:
         c = Rows(waiting)
         for b in blocks:
             q = _queries(path, b, len(blocks) == 1)
             best.setdefault(b, Best(q, n)).meet(q, c)
+            del q  # before the next one is read
+        lookup.freed()
 
     for batch in batches:
         lengths = np.diff(batch.column(1).offsets.to_numpy())

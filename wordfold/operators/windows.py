@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordfold.operators.lookup import Ids, Step, cells_of, held
+from wordfold.operators.lookup import Ids, Step, cells_of, freed, held
 
 #: Tokens masked at once, pairs counted at once, pairs of a bucket (about), rows given back at once.
 TOKENS, PAIRS, BUCKET, ROWS = 1 << 18, 1 << 22, 1 << 21, 1 << 16
@@ -261,6 +261,8 @@ def _by_word(words: int, win: int, buckets: int) -> Step:
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
                 row = bucket[lo], hi - lo, packed(np.diff(keys[lo:hi], prepend=0)), packed(n[lo:hi]), None
                 yield pa.record_batch([pa.array([v], t) for v, t in zip(row, _COUNTED.types, strict=True)], schema=_COUNTED)
+            del x, y, n, order, keys, bucket
+            freed()
 
     return run
 
@@ -274,6 +276,8 @@ def _word_cells(words: int) -> Step:
             for lo in range(0, len(keys), ROWS):
                 some = keys[lo:lo + ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array(some // words), pa.array(some % words), pa.array(n[lo:lo + ROWS])], ["word", "context", "n"])
+            del keys, n, some
+        freed()
 
     return run
 
@@ -306,6 +310,8 @@ def line_pair_counts(lines: DataFrame, voc: DataFrame, n_vocab: int, pairs: floa
                         found, many = [], 0
         if many:
             yield _counted(found, windows.n, win, buckets)
+            found.clear()
+        freed()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = None
