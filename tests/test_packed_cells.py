@@ -69,3 +69,19 @@ def test_neighbours_on_ids_move_no_candidate(spark, lines, monkeypatch, limit):
     for q in (f"w{k}" for k in range(0, 60, 2)):
         best = sorted((sum(v * o[c] for c, v in cells[q].items() if c in o) for o in cells.values() if q in cells and set(cells[q]) & set(o)), reverse=True)[:4]
         assert [got[q][k] for k in sorted(got[q])] == pytest.approx(best)
+
+
+def test_rows_that_share_nothing_with_the_queries():
+    import numpy as np
+
+    def rows(word, contexts):
+        out = sparse.Rows.__new__(sparse.Rows)
+        out.words, out.contexts, out.values = np.array([word], object), np.array(contexts), np.ones(len(contexts))
+        out.starts = np.array([0, len(contexts)])
+        return out
+
+    q = sparse.Queries(rows("q", [1, 2]))
+    best = sparse.Best(q, 3)
+    best.meet(q, rows("a", [5, 6]))
+    best.meet(q, rows("b", [2, 6]))
+    assert best.words.tolist() == ["b"] and best.score.tolist() == [1.0]

@@ -108,7 +108,7 @@ def best_words(q: Queries, c: Rows, n: int, met: list | None = None, least: np.n
     at = np.minimum(np.searchsorted(q.contexts, c.contexts), max(len(q.contexts) - 1, 0))
     hit = q.contexts[at] == c.contexts if len(q.contexts) else np.zeros(len(c.contexts), bool)
     row, at, value = c.rows()[hit], at[hit], c.values[hit]
-    bound = np.bincount(row, np.maximum(0.0, np.maximum(value * q.high[at], value * q.low[at])), len(c))
+    bound = np.bincount(row, np.maximum(0.0, np.maximum(value * q.high[at], value * q.low[at])), len(c)).astype(float)  # whole numbers if empty
     size = np.bincount(row, np.abs(value) * np.maximum(np.abs(q.high[at]), np.abs(q.low[at])), len(c))
     bound += SLACK * size
     products = np.bincount(row, q.starts[at + 1] - q.starts[at], len(c)).astype(np.int64)
